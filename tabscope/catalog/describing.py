@@ -125,7 +125,12 @@ def matrix(t):
     return insights.correlation_matrix(t.derived(GAPPY_LINES))
 
 
-@query("d4_shape", "SELECT count(*) AS rows, 6 AS columns, 3 AS numeric, 2 AS categorical, 1 AS datetime, 0 AS boolean FROM orders")
+@query(
+    "d4_shape",
+    "SELECT count(*) AS rows, "
+    + ", ".join(f"CAST({n} AS BIGINT) AS {c}" for c, n in {"columns": 6, "numeric": 3, "categorical": 2, "datetime": 1, "boolean": 0}.items())
+    + " FROM orders",
+)
 def table_shape(t):
     return insights.shape(t.orders)
 
@@ -237,7 +242,7 @@ def distinct(t):
     return insights.distinct_counts(_nested(t))
 
 
-_INSIGHT = "SELECT '{kind}' AS kind, {rank} AS rank, {c} AS \"column\", {c2} AS column2, {n} AS count, {v} AS value FROM {source}"
+_INSIGHT = "SELECT '{kind}' AS kind, CAST({rank} AS INTEGER) AS rank, {c} AS \"column\", {c2} AS column2, {n} AS count, {v} AS value FROM {source}"
 
 
 def _insights_sql() -> str:
@@ -287,7 +292,7 @@ def all_insights(t):
 def _profile_sql(view: str, c: str, kind: str, more: list[str]) -> str:
     head = f"SELECT '{c}' AS \"column\", '{kind}' AS kind, "
     counts = [
-        f"'count' AS statistic, NULL AS value, CAST(count(*) AS DOUBLE) AS number FROM {view}",
+        f"'count' AS statistic, CAST(NULL AS VARCHAR) AS value, CAST(count(*) AS DOUBLE) AS number FROM {view}",
         f"'missing', NULL, CAST(count(*) - count({c}) AS DOUBLE) FROM {view}",
         f"'missing_pct', NULL, {rounded(f'100.0 * (count(*) - count({c})) / count(*)', 2)} FROM {view}",
     ]

@@ -46,7 +46,7 @@ def normal_p_sql(z: str) -> str:
 def _welch_sql(rows: str, metric: str) -> str:
     b, a = "FILTER (WHERE side = 'before')", "FILTER (WHERE side = 'after')"
     return f"""SELECT '{metric}' AS metric, 'welch_t_test' AS test, true AS applicable, CAST(NULL AS VARCHAR) AS reason,
-      {rounded('t', 4)} AS statistic, {rounded(t_p_sql('t', 'd'), 4)} AS p_value, 0.05 AS alpha,
+      {rounded('t', 4)} AS statistic, {rounded(t_p_sql('t', 'd'), 4)} AS p_value, CAST(0.05 AS DOUBLE) AS alpha,
       {t_p_sql('t', 'd')} < 0.05 AS significant, n1 AS n_before, n2 AS n_after
     FROM (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
         pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS d
@@ -73,7 +73,7 @@ def _chi_sql(rows: str, column: str) -> str:
     cell = f"pow({gap} - least(CASE WHEN k = 2 THEN 0.5 ELSE 0.0 END, {gap}), 2) / (n * {{t}} / total)"
     cells = cell.format(o="b", t="tb") + " + " + cell.format(o="a", t="ta")
     return f"""SELECT '{column}' AS "column", 'chi_square' AS test, true AS applicable, CAST(NULL AS VARCHAR) AS reason,
-      {rounded('x', 4)} AS statistic, {rounded(chi_p_sql('x', 'd'), 4)} AS p_value, CAST(d AS BIGINT) AS dof, 0.05 AS alpha,
+      {rounded('x', 4)} AS statistic, {rounded(chi_p_sql('x', 'd'), 4)} AS p_value, CAST(d AS BIGINT) AS dof, CAST(0.05 AS DOUBLE) AS alpha,
       {chi_p_sql('x', 'd')} < 0.05 AS significant
     FROM (SELECT sum({cells}) AS x, any_value(k) - 1 AS d FROM
       (SELECT *, b + a AS n, CAST(sum(b) OVER () AS DOUBLE) AS tb, CAST(sum(a) OVER () AS DOUBLE) AS ta,
@@ -114,7 +114,7 @@ def _conversion_sql(counts: str, kept: str) -> str:
       CASE WHEN se > 0 THEN {rounded(f'rb - ra + {z} * so', 4)} END AS ci_high,
       CASE WHEN se > 0 THEN {rounded('zz', 4)} END AS z,
       CASE WHEN se > 0 THEN {rounded(normal_p_sql('zz'), 6)} END AS p_value,
-      CASE WHEN se > 0 THEN {normal_p_sql('zz')} < 0.05 END AS significant, CASE WHEN se > 0 THEN 0.05 END AS alpha
+      CASE WHEN se > 0 THEN {normal_p_sql('zz')} < 0.05 END AS significant, CASE WHEN se > 0 THEN CAST(0.05 AS DOUBLE) END AS alpha
     FROM (SELECT *, CASE WHEN se > 0 THEN (rb - ra) / se END AS zz FROM
       (SELECT *, sqrt(p * (1 - p) * (1.0 / total_a + 1.0 / total_b)) AS se,
          sqrt(ra * (1 - ra) / total_a + rb * (1 - rb) / total_b) AS so FROM
@@ -162,7 +162,7 @@ def _fit_sql(view: str, x: str, y: str) -> str:
     return f"""SELECT true AS applicable, CAST(NULL AS VARCHAR) AS reason, n, {rounded('s', 6)} AS slope, {rounded('i', 4)} AS intercept,
       {rounded('r2', 6)} AS r2, {rounded(t_p_sql('t', 'd'), 4)} AS p_value, x_min, x_max
     FROM (SELECT *, n - 2.0 AS d, sqrt(r2 * (n - 2) / (1 - r2)) AS t FROM
-      (SELECT regr_count({y}, {x}) AS n, regr_slope({y}, {x}) AS s, regr_intercept({y}, {x}) AS i, regr_r2({y}, {x}) AS r2,
+      (SELECT CAST(regr_count({y}, {x}) AS BIGINT) AS n, regr_slope({y}, {x}) AS s, regr_intercept({y}, {x}) AS i, regr_r2({y}, {x}) AS r2,
         min({x}) AS x_min, max({x}) AS x_max FROM {view} WHERE {x} IS NOT NULL AND {y} IS NOT NULL))"""
 
 

@@ -142,5 +142,5 @@ def exact_quantiles(
     result: dict[str, list[float | None]] = {name: [] for name in values}
     for i, (name, fraction) in enumerate(places):
         low, high = answers[2 * i], answers[2 * i + 1]
-        result[name].append(low + (high - low) * fraction)
+        result[name].append(low if low == high else low + (high - low) * fraction)
     return {name: found or [None] * len(probabilities) for name, found in result.items()}

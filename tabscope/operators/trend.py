@@ -6,7 +6,7 @@ as long as the calendar, so windows over all days are small.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tabscope.columns import missing_as_null, ref, require
@@ -19,7 +19,10 @@ FORECAST_DAYS = 14
 SEASONAL_SHARE = 0.15
 BAND = 1.28
 
-_ALL = Window.partitionBy()
+
+def _all_days() -> WindowSpec:
+    """All rows of a table that is no longer than the calendar."""
+    return Window.partitionBy()
 
 
 def daily_series(df: DataFrame, date: str, metric: str, agg: str = "sum") -> DataFrame:
@@ -37,7 +40,7 @@ def daily_series(df: DataFrame, date: str, metric: str, agg: str = "sum") -> Dat
     ).na.drop()
     function = F.avg if agg == "mean" else F.sum
     days = rows.groupBy("day").agg(function("value").alias("value"))
-    last = F.coalesce(F.date_sub(F.lead("day").over(_ALL.orderBy("day")), 1), F.col("day"))
+    last = F.coalesce(F.date_sub(F.lead("day").over(_all_days().orderBy("day")), 1), F.col("day"))
     return days.withColumn("last", last).select(
         F.explode(F.sequence("day", "last")).alias("on_day"), "day", "value"
     ).select(F.col("on_day").alias("day"), F.when(F.col("on_day") == F.col("day"), F.col("value")).alias("value"))
@@ -50,13 +53,13 @@ def fit_trend(daily: DataFrame) -> DataFrame:
     ``slope``, ``intercept``, ``fitted``, ``residual``, ``weekday`` (Monday = 0),
     ``effect`` (mean residual of the weekday).
     """
-    x = F.datediff("day", F.min("day").over(_ALL))
+    x = F.datediff("day", F.min("day").over(_all_days()))
     rows = daily.withColumn("x", x)
     observed = F.when(F.col("value").isNotNull(), F.col("x").cast("double"))
     rows = (
-        rows.withColumn("n_days", F.count("value").over(_ALL))
-        .withColumn("slope", F.regr_slope(F.col("value"), observed).over(_ALL))
-        .withColumn("intercept", F.regr_intercept(F.col("value"), observed).over(_ALL))
+        rows.withColumn("n_days", F.count("value").over(_all_days()))
+        .withColumn("slope", F.regr_slope(F.col("value"), observed).over(_all_days()))
+        .withColumn("intercept", F.regr_intercept(F.col("value"), observed).over(_all_days()))
         .withColumn("fitted", F.col("intercept") + F.col("slope") * F.col("x"))
         .withColumn("residual", F.col("value") - F.col("fitted"))
         .withColumn("weekday", F.weekday("day"))

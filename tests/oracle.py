@@ -15,6 +15,11 @@ TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
+TYPES = {
+    "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
+
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     db = duckdb.connect()
@@ -48,10 +53,9 @@ def difference(frame, db: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     actual = sorted_rows(frame.columns, frame.collect())
     if sorted(names) != sorted(frame.columns):
         return f"columns {sorted(frame.columns)} != {sorted(names)}"
-    kinds = {"HUGEINT", "DECIMAL"}
-    odd = [n for n, t in types.items() if t.split("(")[0] in kinds]
+    odd = [f"{n}: {d} / {types[n]}" for n, d in frame.dtypes if TYPES.get(d) not in (None, types[n])]
     if odd:
-        return f"check has odd types: {odd}"
+        return f"types differ: {odd}"
     if len(expected) != len(actual):
         return f"{len(actual)} rows, {len(expected)} expected\n  {actual[:3]}\n  {expected[:3]}"
     for a, e in zip(actual, expected):
