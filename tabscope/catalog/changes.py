@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabscope.columns import small_table
 from tabscope.catalog import LINES_BY_YEAR, ORDERS_BY_YEAR, ORDERS_GAPS, Derived, query, rounded, sided
 from tabscope.operators import drift, significance
 from tabscope.plans import reports
@@ -261,7 +262,7 @@ def choices(t):
         drift.suggest_metric_column(pair, exclude=("o_orderkey",)),
         drift.suggest_segment_column(pair),
     )
-    return t.spark.createDataFrame([found], "split string, first_column string, metric string, segment string")
+    return small_table(t.spark, [found], "split string, first_column string, metric string, segment string")
 
 
 @query("p2_any_significant")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabscope.columns import small_table
 from tabscope.catalog import EVENTS_GAPS, Derived, query, rounded
 from tabscope.operators import cleaning, cohort, trend
 from tabscope.plans.reports import analyze_trend
@@ -188,4 +189,4 @@ def forecast_events(t):
 @query("m8_date_columns", "SELECT c AS \"column\" FROM (VALUES ('ordered'), ('o_orderdate')) v(c) WHERE (SELECT count(*) FROM orders) > 0")
 def date_columns(t):
     found = cleaning.date_columns(t.derived(WEEKDAYS))
-    return t.spark.createDataFrame([(c,) for c in found], "column string")
+    return small_table(t.spark, [(c,) for c in found], "column string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabscope.columns import small_table
 from tabscope.catalog import query, rounded
 from tabscope.operators import importance, segments
 
@@ -83,7 +84,7 @@ def importance_classification(t):
 def tasks(t):
     found = [("quality", importance.is_classification_target(t.labels, "quality"))]
     found += [(c, importance.is_classification_target(t.orders, c)) for c in ("o_totalprice", "o_orderkey", "o_orderstatus")]
-    return t.spark.createDataFrame(found, "target string, classification boolean")
+    return small_table(t.spark, found, "target string, classification boolean")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabscope import columns
+from tabscope.columns import small_table
 from tabscope.catalog import EVENTS_GAPS, ORDERS_GAPS, Derived, query
 from tabscope.operators import drift, filters
 from tabscope.operators.pii import drop_pii_columns
@@ -176,4 +177,4 @@ def same(t):
     shuffled = orders.orderBy(F.desc("o_orderkey"))
     changed = orders.withColumn("o_totalprice", F.col("o_totalprice") + 1)
     answers = (filters.same_table(orders, shuffled), filters.same_table(orders, changed))
-    return t.spark.createDataFrame([answers], "same_as_itself boolean, same_when_changed boolean")
+    return small_table(t.spark, [answers], "same_as_itself boolean, same_when_changed boolean")

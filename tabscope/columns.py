@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -116,6 +117,12 @@ def unused_name(wanted: str, taken: Iterable[str]) -> str:
     return wanted
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of few rows that the driver knows; it becomes a literal relation in the plan."""
+    names = T.StructType.fromDDL(schema).names
+    return spark.createDataFrame(pd.DataFrame(rows, columns=names, dtype=object), schema)
+
+
 def rows_of(one_row: DataFrame, records: list[list[Column]], names: list[str]) -> DataFrame:
     """Turn a one-row aggregate into one row per record.
 
@@ -123,3 +130,16 @@ def rows_of(one_row: DataFrame, records: list[list[Column]], names: list[str]) -
     """
     structs = [F.struct(*[c.alias(n) for c, n in zip(record, names)]) for record in records]
     return one_row.select(F.inline(F.array(*structs)))
+
+
+def long_texts(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column, value) rows of text columns, missing values included.
+
+    Tests that differ only in the column then are a handful of aggregates by
+    column, whatever the number of columns, and stay small enough to compile.
+    """
+    return df.select(*[ref(c) for c in names]).unpivot([], [ref(c) for c in names], "column", "value")
+
+
+def position_in(names: list[str], column: Column) -> Column:
+    return (F.array_position(F.array(*[F.lit(c) for c in names]), column) - 1).cast("int")

@@ -14,6 +14,7 @@ from tabscope.functions.text import strip
 _ISO = (
     r"\A\d{4}(-\d{1,2}(-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?( ?(Z|UTC|[+-]\d{1,2}:?\d{2}))?)?)?)?\z"
 )
+LONGEST = 40
 _SPELLINGS = [
     (r"\A\d{8}\z", ["yyyyMMdd"]),
     (r"\A\d{4}/\d{1,2}/\d{1,2}( \d{1,2}:\d{2}(:\d{2})?)?\z", ["yyyy/M/d[ H:mm[:ss]]"]),
@@ -27,18 +28,23 @@ _SPELLINGS = [
 
 
 def parse_mixed(c: Column) -> Column:
-    """Timestamp of a text in any accepted spelling, null for anything else.
+    """Timestamp of a text in any accepted spelling, null for anything else."""
+    return parse_stripped(strip(c))
 
-    The shape is tested first, so each value is parsed at most twice.
+
+def parse_stripped(text: Column) -> Column:
+    """The same for text without space around it.
+
+    Every spelling has four digits in a row; most text that is no date fails
+    that one test. The shape is tested next, so a value is parsed at most twice.
     """
-    text = strip(c)
     parsed = F.when(text.rlike(_ISO), text.try_cast("timestamp"))
     for shape, formats in _SPELLINGS:
         spelled = F.initcap(text) if "A-Za-z" in shape else text
         parsed = parsed.when(
             text.rlike(shape), F.coalesce(*[F.try_to_timestamp(spelled, F.lit(f)) for f in formats])
         )
-    return parsed
+    return F.when((F.length(text) <= LONGEST) & text.rlike(r"\d{4}"), parsed)
 
 
 def timestamp_of(c: Column, dtype: T.DataType) -> Column:

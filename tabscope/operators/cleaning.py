@@ -7,6 +7,7 @@ and return a table; chained with :func:`apply_fixes` they stay one Spark plan.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -14,23 +15,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.columns import (
-    is_nested,
+    small_table,
     is_numeric,
     is_text,
+    long_texts,
     missing_as_null,
     nested_columns,
-    numeric_columns,
+    position_in,
     ref,
     require,
-    rows_of,
     text_columns,
     text_of,
 )
-from tabscope.functions.dates import parse_mixed, timestamp_of
+from tabscope.functions.dates import parse_stripped, timestamp_of
 from tabscope.functions.quantiles import exact_quantiles
 from tabscope.functions.safe import share_pct
-from tabscope.functions.text import has_edge_space, strip, to_number
-from tabscope.operators.insights import duplicate_rows, outlier_counts, tukey_fences
+from tabscope.functions.text import number_of_stripped, strip, to_number
+from tabscope.operators.insights import (
+    Facts,
+    duplicate_rows,
+    gather_facts,
+    missing_share,
+    outlier_counts,
+    tukey_fences,
+)
 
 MAX_ISSUES = 8
 LOOKS_LIKE = 0.95
@@ -44,72 +52,58 @@ ISSUE_SCHEMA = (
 def _issues(rows: DataFrame, kind: str | Column, **values: Column) -> DataFrame:
     """Bring detector rows into the common issue columns."""
     values["kind"] = F.lit(kind) if isinstance(kind, str) else kind
-    fields = T._parse_datatype_string(ISSUE_SCHEMA).fields
+    fields = T.StructType.fromDDL(ISSUE_SCHEMA).fields
     return rows.select(
         *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
     )
 
 
-def detect_duplicates(df: DataFrame) -> DataFrame:
+def detect_duplicates(df: DataFrame, facts: Facts | None = None) -> DataFrame:
+    """One row if any row repeats an earlier one."""
     n = F.col("duplicate_rows")
     found = duplicate_rows(df).filter("duplicate_rows > 0")
-    rows = df.agg(F.count("*").alias("n"))
-    return _issues(found, "duplicates", count=n, pct=share_pct(n, rows.scalar()))
+    rows = F.lit(facts.rows if facts else df.count())
+    return _issues(found, "duplicates", count=n, pct=share_pct(n, rows))
 
 
-def detect_missing(df: DataFrame, max_items: int = MAX_ISSUES) -> DataFrame:
+def detect_missing(df: DataFrame, max_items: int = MAX_ISSUES, facts: Facts | None = None) -> DataFrame:
     """Columns with missing values, most first; ``numeric`` says whether a mean could fill them."""
-    clean = missing_as_null(df)
-    one = clean.agg(
-        F.count("*").alias("n"), *[F.count_if(ref(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
-    )
-    records = [
-        [F.lit(f.name), F.col(f"m{i}"), F.col("n"), F.lit(is_numeric(f.dataType, with_bool=True))]
-        for i, f in enumerate(df.schema)
-    ]
-    found = rows_of(one, records, ["column", "count", "n", "numeric"]).filter("count > 0")
-    c = F.col("count")
+    fillable = [f.name for f in df.schema if is_numeric(f.dataType, with_bool=True)]
     return _issues(
-        found.orderBy(c.desc(), "column").limit(max_items), "missing",
-        column=F.col("column"), count=c, pct=share_pct(c, F.col("n")), numeric=F.col("numeric"),
+        missing_share(df, max_items, facts), "missing",
+        column=F.col("column"), count=F.col("count"), pct=F.col("pct"), numeric=F.col("column").isin(fillable),
     )
 
 
-def detect_outliers(df: DataFrame, max_items: int = MAX_ISSUES) -> DataFrame:
+def detect_outliers(df: DataFrame, max_items: int = MAX_ISSUES, facts: Facts | None = None) -> DataFrame:
     """Number columns with values outside the fences; the share is of all rows."""
     c = F.col("count")
     return _issues(
-        outlier_counts(df).orderBy(c.desc(), "column").limit(max_items), "outliers",
+        outlier_counts(df, facts).orderBy(c.desc(), "column").limit(max_items), "outliers",
         column=F.col("column"), count=c, pct=share_pct(c, F.col("n_rows")), lower=F.col("lower"), upper=F.col("upper"),
     )
 
 
-def detect_whitespace(df: DataFrame, max_items: int = MAX_ISSUES) -> DataFrame:
+def detect_whitespace(df: DataFrame, max_items: int = MAX_ISSUES, facts: Facts | None = None) -> DataFrame:
     """Text columns with values that start or end in white space; the share is of present values."""
-    texts = text_columns(df)
-    if not texts:
-        return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
-    aggregates = []
-    for i, name in enumerate(texts):
-        aggregates += [F.count_if(has_edge_space(ref(name))).alias(f"w{i}"), F.count(ref(name)).alias(f"n{i}")]
-    records = [[F.lit(name), F.col(f"w{i}"), F.col(f"n{i}")] for i, name in enumerate(texts)]
+    facts = facts or gather_facts(df)
+    found = [(c, n, facts.present[c]) for c, n in facts.spaced.items() if n]
+    rows = small_table(df.sparkSession, found, "column string, count bigint, present bigint")
     c = F.col("count")
-    found = rows_of(df.agg(*aggregates), records, ["column", "count", "n"]).filter("count > 0")
     return _issues(
-        found.orderBy(c.desc(), "column").limit(max_items), "whitespace",
-        column=F.col("column"), count=c, pct=share_pct(c, F.col("n")),
+        rows.orderBy(c.desc(), "column").limit(max_items), "whitespace",
+        column=F.col("column"), count=c, pct=share_pct(c, F.col("present")),
     )
 
 
-def _type_shares(value: Column) -> Column:
+def _type_shares(trimmed: Column) -> Column:
     """Shares of the present values that are short digit groups, dates, and numbers."""
-    trimmed = strip(value)
-    short = trimmed.rlike(r"\A\d+\z") & (F.length(trimmed) <= SHORT_DIGITS)
-    share = lambda test: F.avg(F.when(value.isNotNull(), F.coalesce(test, F.lit(False)).cast("double")))
+    short = (F.length(trimmed) <= SHORT_DIGITS) & trimmed.rlike(r"\A\d+\z")
+    share = lambda test: F.avg(F.when(trimmed.isNotNull(), F.coalesce(test, F.lit(False)).cast("double")))
     return F.struct(
         share(short).alias("short_digits"),
-        share(parse_mixed(value).isNotNull()).alias("dates"),
-        share(to_number(value).isNotNull()).alias("numbers"),
+        share(parse_stripped(trimmed).isNotNull()).alias("dates"),
+        share(number_of_stripped(trimmed).isNotNull()).alias("numbers"),
     )
 
 
@@ -125,14 +119,14 @@ def looks_numeric(shares: Column) -> Column:
 def type_shares(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per text column the three shares and the two verdicts, from one pass."""
     texts = columns if columns is not None else text_columns(df)
-    one = df.agg(*[_type_shares(ref(c)).alias(f"s{i}") for i, c in enumerate(texts)])
-    records = [
-        [F.lit(i), F.lit(c), *[F.col(f"s{i}")[x] for x in ("short_digits", "dates", "numbers")],
-         looks_datetime(F.col(f"s{i}")), looks_numeric(F.col(f"s{i}"))]
-        for i, c in enumerate(texts)
-    ]
-    return rows_of(
-        one, records, ["position", "column", "short_digits", "dates", "numbers", "looks_datetime", "looks_numeric"]
+    trimmed = long_texts(df, texts).withColumn("value", strip(F.col("value")))
+    shares = trimmed.groupBy("column").agg(_type_shares(F.col("value")).alias("s"))
+    return shares.select(
+        position_in(texts, F.col("column")).alias("position"),
+        "column",
+        "s.*",
+        looks_datetime(F.col("s")).alias("looks_datetime"),
+        looks_numeric(F.col("s")).alias("looks_numeric"),
     )
 
 
@@ -152,42 +146,40 @@ def date_columns(df: DataFrame) -> list[str]:
 def detect_type_issues(df: DataFrame, max_items: int = MAX_ISSUES) -> DataFrame:
     """Text columns that are really dates or numbers, in column order."""
     if not text_columns(df):
-        return df.sparkSession.createDataFrame([], ISSUE_SCHEMA)
+        return small_table(df.sparkSession, [], ISSUE_SCHEMA)
     found = type_shares(df).filter("looks_datetime or looks_numeric").orderBy("position").limit(max_items)
     kind = F.when(F.col("looks_datetime"), "type_datetime").otherwise("type_numeric")
     return _issues(found, kind, column=F.col("column"))
 
 
-def detect_constant_columns(df: DataFrame, max_items: int = MAX_ISSUES) -> DataFrame:
+def detect_constant_columns(df: DataFrame, max_items: int = MAX_ISSUES, facts: Facts | None = None) -> DataFrame:
     """Columns without any value, and columns with only one, in column order.
 
-    Smallest equal to largest says "only one" without counting distinct values.
     Nested columns cannot be compared and are only checked for being empty.
     """
-    clean = missing_as_null(df)
-    nested = set(nested_columns(clean))
-    aggregates = []
-    for i, c in enumerate(clean.columns):
-        aggregates.append(F.count(ref(c)).alias(f"n{i}"))
-        if c not in nested:
-            aggregates += [F.min(ref(c)).alias(f"a{i}"), F.max(ref(c)).alias(f"b{i}")]
-    nothing = F.lit(None).cast("string")
-    records = []
-    for i, c in enumerate(clean.columns):
-        single = F.lit(False) if c in nested else F.coalesce(F.col(f"a{i}") == F.col(f"b{i}"), F.lit(False))
-        kind = F.when(F.col(f"n{i}") == 0, "empty_column").when(single, "constant_column")
-        records.append([F.lit(i), F.lit(c), kind, nothing if c in nested else F.col(f"a{i}").cast("string")])
-    found = rows_of(clean.agg(*aggregates), records, ["position", "column", "kind", "value"])
-    found = found.filter("kind is not null").orderBy("position").limit(max_items)
-    return _issues(found, F.col("kind"), column=F.col("column"), value=F.col("value"))
+    facts = facts or gather_facts(df)
+    found = []
+    for c in df.columns:
+        if not facts.present[c]:
+            found.append(("empty_column", c, None))
+        elif c in facts.constant:
+            found.append(("constant_column", c, facts.constant[c]))
+    rows = small_table(df.sparkSession, found[:max_items], "kind string, column string, value string")
+    return _issues(rows, F.col("kind"), column=F.col("column"), value=F.col("value"))
 
 
 def detect_all_issues(df: DataFrame) -> DataFrame:
-    """All detectors as one table."""
-    result = detect_duplicates(df)
-    for detect in (detect_missing, detect_outliers, detect_whitespace, detect_type_issues, detect_constant_columns):
-        result = result.unionByName(detect(df))
-    return result
+    """All detectors as one table. Most of them share one pass over the rows."""
+    facts = gather_facts(df)
+    parts = [
+        detect_duplicates(df, facts),
+        detect_missing(df, facts=facts),
+        detect_outliers(df, facts=facts),
+        detect_whitespace(df, facts=facts),
+        detect_type_issues(df),
+        detect_constant_columns(df, facts=facts),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def count_open_issues(issues: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.columns import as_text, is_nested, is_numeric, literal, missing_as_null, ref, require
+from tabscope.columns import as_text, is_nested, is_numeric, literal, missing_as_null, ref, require, small_table
 from tabscope.functions.safe import pct_change
 
 SIDE = "__side"
@@ -93,11 +93,19 @@ def split_by_range(df: DataFrame, column: str, range_before: tuple, range_after:
     tests = [
         ref(column).between(literal(low, dtype), literal(high, dtype)) for low, high in (range_before, range_after)
     ]
+    try:
+        apart = range_before[1] < range_after[0] or range_after[1] < range_before[0]
+    except TypeError:
+        apart = False
+    if apart and not isinstance(dtype, T.StringType):
+        rows = df.filter(tests[0] | tests[1]).withColumn(SIDE, F.when(tests[0], BEFORE).otherwise(AFTER))
+        return Pair(missing_as_null(rows), df.schema, df.schema)
     return _split(df, *tests)
 
 
 def _split(df: DataFrame, in_before: Column, in_after: Column) -> Pair:
-    sides = F.array_compact(F.array(F.when(in_before, BEFORE), F.when(in_after, AFTER)))
+    both = F.when(in_before & in_after, F.array(F.lit(BEFORE), F.lit(AFTER)))
+    sides = both.otherwise(F.array(F.when(in_before, BEFORE).otherwise(AFTER)))
     rows = df.filter(in_before | in_after).withColumn(SIDE, F.explode(sides))
     return Pair(missing_as_null(rows), df.schema, df.schema)
 
@@ -124,7 +132,7 @@ def compare_schemas(pair: Pair) -> DataFrame:
         F.col("b").cast("string").alias("after"),
         pct_change(F.col("a"), F.col("b")).alias("pct_change"),
     )
-    names = pair.rows.sparkSession.createDataFrame(records, "kind string, column string, before string, after string")
+    names = small_table(pair.rows.sparkSession, records, "kind string, column string, before string, after string")
     return names.withColumn("pct_change", F.lit(None).cast("double")).unionByName(found)
 
 
@@ -135,7 +143,7 @@ def compare_metrics(pair: Pair, columns: list[str] | None = None) -> DataFrame:
     if not columns:
         empty = "column string, sum_before double, sum_after double, sum_pct_change double, "
         empty += "mean_before double, mean_after double, mean_pct_change double"
-        return pair.rows.sparkSession.createDataFrame([], empty)
+        return small_table(pair.rows.sparkSession, [], empty)
     aggregates = []
     for i, c in enumerate(columns):
         aggregates += [F.sum(pair.number(c)).alias(f"s{i}"), F.avg(pair.number(c)).alias(f"m{i}")]
@@ -215,8 +223,7 @@ def compare_categories(pair: Pair, columns: list[str] | None = None, top_n: int
     """
     columns = columns if columns is not None else pair.categorical()
     if not columns:
-        return pair.rows.sparkSession.createDataFrame(
-            [],
+        return small_table(pair.rows.sparkSession, [],
             "column string, kind string, rank int, value string, share_before double, share_after double, shift_pts double",
         )
     shares = category_shares(pair, columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.columns import is_numeric, missing_as_null, ref, require, text_of
+from tabscope.columns import is_numeric, missing_as_null, ref, require, small_table, text_of
 from tabscope.functions.quantiles import exact_quantiles, values_at
 from tabscope.session import cut_lineage
 
@@ -156,7 +156,7 @@ def predict_importance(
 
     def refused(reason: str) -> Importance:
         row = (False, reason, target, *[None] * 9)
-        return Importance(spark.createDataFrame([row], TABLE_SCHEMA))
+        return Importance(small_table(spark, [row], TABLE_SCHEMA))
 
     working = missing_as_null(df).na.drop(subset=[target])
     features = [c for c in df.columns if c != target]
@@ -224,4 +224,4 @@ def predict_importance(
     sizes_ = (n, n - sums["n_test"], sums["n_test"])
     records = [(*head, *sizes_, i + 1, c, round(float(w), 4)) for i, (c, w) in enumerate(ranked)]
     whole = PipelineModel(stages=[*encoder.stages, model])
-    return Importance(spark.createDataFrame(records, TABLE_SCHEMA), whole, codes)
+    return Importance(small_table(spark, records, TABLE_SCHEMA), whole, codes)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.columns import (
+    small_table,
     boolean_columns,
     categorical_columns,
     datetime_columns,
@@ -21,6 +23,7 @@ from tabscope.columns import (
 )
 from tabscope.functions.quantiles import exact_quantiles
 from tabscope.functions.safe import share_pct
+from tabscope.functions.text import has_edge_space
 
 IDENTIFIER_SHARE = 0.9
 FENCE = 1.5
@@ -33,8 +36,50 @@ EXACT_DISTINCT_ROWS = 1_000_000
 BROADCAST_HASHES = 1_000_000
 
 
+@dataclass(frozen=True)
+class Facts:
+    """What one pass tells about every column; enough for several operators, so they need not read again."""
+
+    rows: int
+    present: dict[str, int]
+    mean: dict[str, float | None]
+    spaced: dict[str, int]
+    constant: dict[str, str | None]
+
+
+def gather_facts(df: DataFrame) -> Facts:
+    """Present values, means, values with space around them, and single values, of all columns."""
+    clean = missing_as_null(df)
+    numbers, texts, nested = set(numeric_columns(clean)), set(text_columns(clean)), set(nested_columns(clean))
+    aggregates = [F.count("*").alias("n")]
+    for i, c in enumerate(clean.columns):
+        aggregates.append(F.count(ref(c)).alias(f"n{i}"))
+        if c in numbers:
+            aggregates.append(F.avg(ref(c).cast("double")).alias(f"m{i}"))
+        if c in texts:
+            aggregates.append(F.count_if(has_edge_space(ref(c))).alias(f"w{i}"))
+        if c not in nested:
+            # Smallest equal to largest says "only one" without counting distinct values.
+            low, high = F.min(ref(c)), F.max(ref(c))
+            aggregates.append(F.when(low == high, low.cast("string")).alias(f"v{i}"))
+    row = clean.agg(*aggregates).first()
+    at = {c: i for i, c in enumerate(clean.columns)}
+    single = {c: row[f"v{i}"] for c, i in at.items() if c not in nested}
+    return Facts(
+        rows=row["n"],
+        present={c: row[f"n{i}"] for c, i in at.items()},
+        mean={c: row[f"m{i}"] for c, i in at.items() if c in numbers},
+        spaced={c: row[f"w{i}"] for c, i in at.items() if c in texts},
+        constant={c: v for c, v in single.items() if v is not None},
+    )
+
+
 def shape(df: DataFrame) -> DataFrame:
     """Row and column counts, with the number of columns of each type class."""
+    return df.agg(F.count("*").alias("rows")).select("rows", *_class_sizes(df))
+
+
+def _class_sizes(df: DataFrame) -> list[Column]:
     sizes = {
         "columns": len(df.columns),
         "numeric": len(numeric_columns(df)),
@@ -42,24 +87,23 @@ def shape(df: DataFrame) -> DataFrame:
         "datetime": len(datetime_columns(df)),
         "boolean": len(boolean_columns(df)),
     }
-    return df.agg(F.count("*").alias("rows")).select(
-        "rows", *[F.lit(n).cast("bigint").alias(name) for name, n in sizes.items()]
-    )
+    return [F.lit(n).cast("bigint").alias(name) for name, n in sizes.items()]
 
 
-def missing_share(df: DataFrame, top: int | None = 5) -> DataFrame:
+def missing_share(df: DataFrame, top: int | None = 5, facts: Facts | None = None) -> DataFrame:
     """Columns with missing values: how many and which share of the rows, most first."""
-    df = missing_as_null(df)
-    one = df.agg(F.count("*").alias("n"), *[F.count_if(ref(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)])
-    records = [[F.lit(c), F.col(f"m{i}"), share_pct(F.col(f"m{i}"), F.col("n"))] for i, c in enumerate(df.columns)]
-    found = rows_of(one, records, ["column", "count", "pct"]).filter("count > 0").orderBy(F.desc("count"), "column")
-    return found if top is None else found.limit(top)
+    facts = facts or gather_facts(df)
+    found = [(c, facts.rows - n, facts.rows) for c, n in facts.present.items() if n < facts.rows]
+    rows = small_table(df.sparkSession, found, "column string, count bigint, rows bigint")
+    ranked = rows.select("column", "count", share_pct(F.col("count"), F.col("rows")).alias("pct"))
+    ranked = ranked.orderBy(F.desc("count"), "column")
+    return ranked if top is None else ranked.limit(top)
 
 
 # ── correlations ─────────────────────────────────────────────────────────────
 
 
-def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def correlation_pairs(df: DataFrame, columns: list[str] | None = None, facts: Facts | None = None) -> DataFrame:
     """Pearson correlation of every pair of number columns, over the rows where both are present.
 
     Long form, one row per unordered pair (``column`` comes later in the table
@@ -74,17 +118,13 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     spark = df.sparkSession
     schema = "column string, column2 string, correlation double"
     if len(columns) < 2:
-        return spark.createDataFrame([], schema)
+        return small_table(spark, [], schema)
+    facts = facts or gather_facts(df.select(*[ref(c) for c in columns]))
     df = missing_as_null(df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
-    row = df.agg(
-        F.count("*").alias("n"),
-        *[F.count(c).alias(f"n_{c}") for c in df.columns],
-        *[F.avg(c).alias(f"m_{c}") for c in df.columns],
-    ).first()
-    complete = [row[f"n_{c}"] == row["n"] for c in df.columns]
+    complete = [facts.present[c] == facts.rows for c in columns]
     centred = [
-        F.col(c) - F.lit(row[f"m_{c}"]) if row[f"m_{c}"] is not None else F.lit(None).cast("double")
-        for c in df.columns
+        F.col(f"c{i}") - F.lit(facts.mean[c]) if facts.mean[c] is not None else F.lit(None).cast("double")
+        for i, c in enumerate(columns)
     ]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
     parts = []
@@ -159,9 +199,9 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     return mirrored.unionByName(own)
 
 
-def strongest_correlations(df: DataFrame, top: int = 5) -> DataFrame:
+def strongest_correlations(df: DataFrame, top: int = 5, facts: Facts | None = None) -> DataFrame:
     return (
-        correlation_pairs(df)
+        correlation_pairs(df, facts=facts)
         .filter(F.col("correlation").isNotNull())
         .orderBy(F.abs("correlation").desc(), "column", "column2")
         .limit(top)
@@ -172,23 +212,22 @@ def strongest_correlations(df: DataFrame, top: int = 5) -> DataFrame:
 # ── outliers ─────────────────────────────────────────────────────────────────
 
 
-def tukey_fences(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+def tukey_fences(df: DataFrame, columns: list[str], facts: Facts | None = None) -> dict[str, tuple[float, float]]:
     """Lower and upper outlier bounds of each column that has a spread between its quartiles."""
     clean = missing_as_null(df.select(*[ref(c) for c in columns]))
     fences = {}
-    for name, (q1, q3) in exact_quantiles(clean, columns, [0.25, 0.75]).items():
+    for name, (q1, q3) in exact_quantiles(clean, columns, [0.25, 0.75], facts and facts.present).items():
         if q1 is not None and q3 != q1:
             fences[name] = (q1 - FENCE * (q3 - q1), q3 + FENCE * (q3 - q1))
     return fences
 
 
-def outlier_counts(df: DataFrame) -> DataFrame:
+def outlier_counts(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """Rows strictly outside the fences, per number column that has any, with both denominators."""
-    fences = tukey_fences(df, numeric_columns(df))
+    fences = tukey_fences(df, numeric_columns(df), facts)
     names = ["column", "count", "n_values", "n_rows", "lower", "upper"]
     if not fences:
-        return df.sparkSession.createDataFrame(
-            [], "column string, count bigint, n_values bigint, n_rows bigint, lower double, upper double"
+        return small_table(df.sparkSession, [], "column string, count bigint, n_values bigint, n_rows bigint, lower double, upper double"
         )
     clean = missing_as_null(df.select(*[ref(c) for c in fences]))
     aggregates = [F.count("*").alias("n")]
@@ -201,10 +240,10 @@ def outlier_counts(df: DataFrame) -> DataFrame:
     return rows_of(clean.agg(*aggregates), records, names).filter("count > 0")
 
 
-def outlier_columns(df: DataFrame, top: int = 5) -> DataFrame:
+def outlier_columns(df: DataFrame, top: int = 5, facts: Facts | None = None) -> DataFrame:
     """Columns with outliers; the share is of the present values."""
     return (
-        outlier_counts(df)
+        outlier_counts(df, facts)
         .select("column", "count", share_pct(F.col("count"), F.col("n_values")).alias("pct"))
         .orderBy(F.desc("count"), "column")
         .limit(top)
@@ -227,7 +266,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return rows_of(one, records, ["column", "n_distinct"])
 
 
-def high_cardinality_columns(df: DataFrame) -> DataFrame:
+def high_cardinality_columns(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """Text columns nearly every row of which has its own value, and all nested columns.
 
     Sketches decide clear cases; only columns whose estimate lies within five
@@ -238,7 +277,7 @@ def high_cardinality_columns(df: DataFrame) -> DataFrame:
     found = list(nested_columns(df))
     if texts:
         clean = df.select(*[ref(c) for c in texts])
-        n = df.count()
+        n = facts.rows if facts else df.count()
         doubtful = texts
         if n > EXACT_DISTINCT_ROWS:
             row = clean.agg(*[F.approx_count_distinct(ref(c), error).alias(f"d{i}") for i, c in enumerate(texts)]).first()
@@ -253,7 +292,7 @@ def high_cardinality_columns(df: DataFrame) -> DataFrame:
                 c for i, c in enumerate(doubtful) if row[f"d{i}"] > 1 and row[f"d{i}"] / n > IDENTIFIER_SHARE
             ]
     ordered = [(c,) for c in df.columns if c in found]
-    return df.sparkSession.createDataFrame(ordered, "column string")
+    return small_table(df.sparkSession, ordered, "column string")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -279,7 +318,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
             repeated = groups.agg(F.sum(F.col("copies") - 1)).first()[0]
     finally:
         twice.unpersist()
-    return df.sparkSession.createDataFrame([(repeated,)], "duplicate_rows bigint")
+    return small_table(df.sparkSession, [(repeated,)], "duplicate_rows bigint")
 
 
 def _comparable(df: DataFrame, name: str) -> Column:
@@ -300,19 +339,20 @@ def generate_insights(df: DataFrame, max_items: int = 5) -> DataFrame:
         )
 
     c, c2, n = F.col("column"), F.col("column2"), F.col("count")
-    sizes = shape(df)
+    facts = gather_facts(df)
+    sizes = small_table(df.sparkSession, [(facts.rows,)], "rows bigint").select("rows", *_class_sizes(df))
     parts = [
         ranked(
             rows_of(sizes, [[F.lit(name), F.col(name)] for name in sizes.columns], ["column", "count"]),
             "shape", c, column=c, count=n,
         ),
-        ranked(missing_share(df, max_items), "missing", n.desc(), c, column=c, count=n, value=F.col("pct")),
+        ranked(missing_share(df, max_items, facts), "missing", n.desc(), c, column=c, count=n, value=F.col("pct")),
         ranked(
-            strongest_correlations(df, max_items), "correlation", F.abs("correlation").desc(), c, c2,
+            strongest_correlations(df, max_items, facts), "correlation", F.abs("correlation").desc(), c, c2,
             column=c, column2=c2, value=F.col("correlation"),
         ),
-        ranked(outlier_columns(df, max_items), "outliers", n.desc(), c, column=c, count=n, value=F.col("pct")),
-        ranked(high_cardinality_columns(df), "high_cardinality", c, column=c),
+        ranked(outlier_columns(df, max_items, facts), "outliers", n.desc(), c, column=c, count=n, value=F.col("pct")),
+        ranked(high_cardinality_columns(df, facts), "high_cardinality", c, column=c),
         ranked(duplicate_rows(df), "duplicates", count=F.col("duplicate_rows")),
     ]
     return reduce(DataFrame.unionByName, parts)

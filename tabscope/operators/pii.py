@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.columns import ref, rows_of, text_columns
+from tabscope.columns import long_texts, position_in, ref, small_table, text_columns
 from tabscope.functions.dates import parse_mixed
 from tabscope.functions.text import digits_of, strip
 
@@ -34,9 +34,8 @@ def _share(test: Column, among: Column) -> Column:
     return F.avg(F.when(among, F.coalesce(test, F.lit(False)).cast("double")))
 
 
-def _rates(value: Column) -> dict[str, Column]:
-    v = strip(value)
-    present = value.isNotNull()
+def _rates(v: Column) -> dict[str, Column]:
+    present = v.isNotNull()
     # Digits are only picked out of values whose shape or separators make them worth it.
     card = v.rlike(CREDIT_CARD)
     card_digits = F.when(card, digits_of(v))
@@ -57,9 +56,9 @@ def _rates(value: Column) -> dict[str, Column]:
 def pii_rates(df: DataFrame) -> DataFrame:
     """Match rates of every text column, from one pass over all of them."""
     texts = text_columns(df)
-    aggregates = [r.alias(f"{name}{i}") for i, c in enumerate(texts) for name, r in _rates(ref(c)).items()]
-    records = [[F.lit(i), F.lit(c), *[F.col(f"{name}{i}") for name in RATES]] for i, c in enumerate(texts)]
-    return rows_of(df.agg(*aggregates), records, ["position", "column", *RATES])
+    trimmed = long_texts(df, texts).withColumn("value", strip(F.col("value")))
+    rates = [rate.alias(name) for name, rate in _rates(F.col("value")).items()]
+    return trimmed.groupBy("column").agg(*rates).select(position_in(texts, F.col("column")).alias("position"), "*")
 
 
 def detect_pii_columns(df: DataFrame) -> DataFrame:
@@ -72,7 +71,7 @@ def detect_pii_columns(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     texts = text_columns(df)
     if not texts:
-        return spark.createDataFrame([], schema)
+        return small_table(spark, [], schema)
     enough = lambda rate: rate is not None and rate >= MATCH_THRESHOLD
     kinds: dict[str, str] = {}
     for row in pii_rates(df).collect():  # one row per text column
@@ -94,7 +93,7 @@ def detect_pii_columns(df: DataFrame) -> DataFrame:
         for i, c in enumerate(phones):
             if enough(dates[f"d{i}"]):
                 del kinds[c]
-    return spark.createDataFrame([(c, kinds[c], LABELS[kinds[c]]) for c in texts if c in kinds], schema)
+    return small_table(spark, [(c, kinds[c], LABELS[kinds[c]]) for c in texts if c in kinds], schema)
 
 
 def drop_pii_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.columns import (
+    small_table,
     as_text,
     is_datetime,
     is_nested,
@@ -91,7 +92,7 @@ def get_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                 names, found = [*names, "std"], [*found, row[f"std{i}"]]
             records += [(c, dtype, s, v, None) for s, v in zip(names, found)]
     schema = "column string, dtype string, statistic string, number double, text string"
-    table = df.sparkSession.createDataFrame(records, schema)
+    table = small_table(df.sparkSession, records, schema)
     if dates:
         stamp = F.date_format(F.timestamp_micros(F.col("number").cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
         is_stamp = F.col("column").isin(dates) & ~F.col("statistic").isin("count", "nulls")
@@ -200,7 +201,7 @@ def _number_profile(one: DataFrame) -> DataFrame:
         spread = 0.0 if row["n"] == 1 else row["std"]
         found = {"mean": row["mean"], "median": median, "std": spread, "min": row["min"], "p25": p25, "p75": p75, "max": row["max"]}
         records = [(name, None, number) for name, number in found.items()]
-    return one.sparkSession.createDataFrame(records, "statistic string, value string, number double")
+    return small_table(one.sparkSession, records, "statistic string, value string, number double")
 
 
 # ── chart data ───────────────────────────────────────────────────────────────
@@ -213,7 +214,7 @@ def histogram(df: DataFrame, column: str, bins: int = DEFAULT_BINS) -> DataFrame
     low, high = values.agg(F.min("v"), F.max("v")).first()
     schema = "bin bigint, left_edge double, right_edge double, count bigint"
     if low is None:
-        return df.sparkSession.createDataFrame([], schema)
+        return small_table(df.sparkSession, [], schema)
     if low == high:
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins

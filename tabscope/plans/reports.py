@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.columns import require
+from tabscope.columns import require, small_table
 from tabscope.operators import drift, trend
 from tabscope.operators.drift import Pair
 from tabscope.operators.significance import (
@@ -49,7 +49,7 @@ def has_significant_change(report: dict[str, DataFrame]) -> DataFrame:
     """One row ``(significant)`` over the tests of a report."""
     tests = [report[k] for k in ("metric_significance", "segment_significance") if k in report]
     if not tests:
-        return report["schema"].sparkSession.createDataFrame([(False,)], "significant boolean")
+        return small_table(report["schema"].sparkSession, [(False,)], "significant boolean")
     return any_significant(*tests)
 
 
@@ -60,7 +60,7 @@ def compare_groups(
 
     An unknown column or a value without rows gives ``{"error": one-row table}``.
     """
-    error = lambda text: {"error": df.sparkSession.createDataFrame([(text,)], "reason string")}
+    error = lambda text: {"error": small_table(df.sparkSession, [(text,)], "reason string")}
     if split not in df.columns:
         return error(f"unknown column: {split}")
     pair = drift.split_by_column(df, split, value_before, value_after)
