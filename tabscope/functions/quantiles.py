@@ -13,6 +13,7 @@ sketches; the result is the exact interpolated quantile.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tabscope.columns import ref
 
-# Values one exact `percentile` buffer may hold (about 50 bytes each).
+# Values the exact `percentile` buffers of one task may hold together (about 50 bytes each).
 BUFFER_ROWS = 2_000_000
 _SKETCH_ACCURACY = 10_000
 
@@ -71,6 +72,19 @@ class _Search:
         return replace(self, low=high, below=passed, inside=self.below + self.inside - passed)
 
 
+def _batches(sizes: dict, limit: int) -> Iterator[list]:
+    """Cut the keys into groups whose sizes add up to no more than ``limit`` (or that are alone)."""
+    batch, total = [], 0
+    for key, size in sizes.items():
+        if batch and total + size > limit:
+            yield batch
+            batch, total = [], 0
+        batch.append(key)
+        total += size
+    if batch:
+        yield batch
+
+
 def values_at(
     df: DataFrame, wanted: list[tuple[Column, int, int]], buffer_rows: int = BUFFER_ROWS
 ) -> list[float | None]:
@@ -92,16 +106,19 @@ def values_at(
         for i in small:
             s = searches[i]
             groups.setdefault((str(s.value), s.below, s.low, s.high), []).append(i)
-        exprs = []
-        for g, members in enumerate(groups.values()):
-            s = searches[members[0]]
-            steps = max(s.inside - 1, 1)
-            parts = F.array(*[F.lit((searches[i].rank - s.below) / steps) for i in members])
-            exprs.append(F.percentile(s.candidates(), parts).alias(f"g{g}"))
-        row = df.agg(*exprs).first()
-        for g, members in enumerate(groups.values()):
-            for i, answer in zip(members, row[f"g{g}"]):
-                searches[i] = replace(searches[i], answer=answer)
+        inside = {g: searches[members[0]].inside for g, members in enumerate(groups.values())}
+        members_of = dict(enumerate(groups.values()))
+        for batch in _batches(inside, buffer_rows):
+            exprs = []
+            for g in batch:
+                s = searches[members_of[g][0]]
+                steps = max(s.inside - 1, 1)
+                parts = F.array(*[F.lit((searches[i].rank - s.below) / steps) for i in members_of[g]])
+                exprs.append(F.percentile(s.candidates(), parts).alias(f"g{g}"))
+            row = df.agg(*exprs).first()
+            for g in batch:
+                for i, answer in zip(members_of[g], row[f"g{g}"]):
+                    searches[i] = replace(searches[i], answer=answer)
     return [s.answer for s in searches]
 
 
@@ -127,9 +144,11 @@ def exact_quantiles(
 
     if max(counts[name] for name in values) <= buffer_rows:
         points = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = df.agg(*[F.percentile(v, points).alias(f"q{i}") for i, v in enumerate(values.values())]).first()
-        nothing = [None] * len(probabilities)
-        return {name: (row[f"q{i}"] or nothing) for i, name in enumerate(values)}
+        found: dict[str, list[float | None]] = {}
+        for batch in _batches({name: counts[name] for name in values}, buffer_rows):
+            row = df.agg(*[F.percentile(values[name], points).alias(f"q{i}") for i, name in enumerate(batch)]).first()
+            found |= {name: row[f"q{i}"] or [None] * len(probabilities) for i, name in enumerate(batch)}
+        return found
 
     wanted, places = [], []
     for name, value in values.items():

@@ -185,8 +185,9 @@ def compare_metrics(pair: Pair, columns: list[str] | None = None) -> DataFrame:
 
 def category_counts(pair: Pair, columns: list[str]) -> DataFrame:
     """(column, value, n_before, n_after) of the present values, compared as text."""
-    texts = pair.rows.select(SIDE, *[pair.text(c).alias(c) for c in columns])
-    long = texts.unpivot(SIDE, [ref(c) for c in columns], "column", "value").filter(F.col("value").isNotNull())
+    pairs = [F.struct(F.lit(c).alias("column"), pair.text(c).alias("value")) for c in columns]
+    # Not `unpivot`: plans with it are not recognised as equal, and the shuffle could not be reused.
+    long = pair.rows.select(SIDE, F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(
         F.count(on(BEFORE, F.lit(1))).alias("n_before"), F.count(on(AFTER, F.lit(1))).alias("n_after")
     )

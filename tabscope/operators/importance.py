@@ -127,6 +127,12 @@ def _encode(df: DataFrame, features: list[str]) -> tuple[DataFrame, list, list[s
     return rows, stages, inputs, codes
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Growing trees is bound by computing: a table in fewer parts than there are cores is dealt out to all."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _test_sizes(counts: dict[float, int], n_test: int) -> dict[float, int]:
     """Share ``n_test`` out over the classes in proportion, largest remainders first."""
     total = sum(counts.values())
@@ -185,7 +191,7 @@ def predict_importance(
     marked = working.withColumn("__label", label).withColumn("__draw", draw)
     rows, stages, inputs, codes = _encode(marked, features)
     # Everything after this reads the same materialised rows, whatever happens to executors.
-    rows = cut_lineage(rows)
+    rows = _spread(cut_lineage(rows))
 
     stratum = F.col("__label") if classify else F.lit(0.0)
     sizes = _test_sizes(counts, math.ceil(TEST_SHARE * n))

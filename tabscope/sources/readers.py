@@ -19,31 +19,40 @@ _INTEGER = r"\A[+-]?\d{1,19}\z"
 _BOOLEANS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 
-def load(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read one table. ``schema`` spares CSV and JSON the pass that finds the types."""
+def load(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Read one table.
+
+    ``schema`` spares CSV and JSON the pass that finds the types. With
+    ``multi_line`` false a CSV cell cannot span lines and JSON has one record per
+    line; then Spark can split large text files among tasks, which it otherwise
+    has to read file by file.
+    """
     extension = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if extension == "parquet":
         return spark.read.parquet(path)
     if extension == "json":
-        reader = spark.read.option("multiLine", True)
+        reader = spark.read.option("multiLine", multi_line)
         return (reader.schema(schema) if schema else reader).json(path)
     if extension == "csv":
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, multi_line)
     raise ValueError(f"Unsupported file type: .{extension}")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header; quoted cells may span lines; number and truth columns are recognised.
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """CSV with a header; number and truth columns are recognised.
 
     Text that looks like a date stays text, to be converted by choice.
     """
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
+    reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
     if schema:
         return reader.schema(schema).csv(path)
     raw = reader.csv(path)
-    return infer_types(
-        raw.select(*[F.when(~ref(c).isin(MISSING_MARKS), ref(c)).alias(c) for c in raw.columns])
-    )
+    present = raw.select(*[F.when(~ref(c).isin(MISSING_MARKS), ref(c)).alias(c) for c in raw.columns])
+    return infer_types(present)
 
 
 def infer_types(df: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ def test_query(spark, db, name):
         assert frame.count() > 0
     else:
         assert difference(frame, db, sql) is None
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
 def test_checks_belong_to_queries():

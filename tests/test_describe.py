@@ -61,6 +61,12 @@ def test_rank_selection(table):
     assert found == [values[r] for r in ranks]
 
 
+def test_buffers_of_many_columns_are_bounded_together(spark):
+    df = spark.range(101).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(6)])
+    found = exact_quantiles(df, df.columns, [0.25, 0.5], buffer_rows=250)
+    assert found == {f"c{i}": [25.0 * (i + 1), 50.0 * (i + 1)] for i in range(6)}
+
+
 def test_quantiles_of_nothing(table):
     assert exact_quantiles(table("x double", [(None,)]), ["x"], [0.5]) == {"x": [None]}
     assert exact_quantiles(table("x double", []), [], [0.5]) == {}

@@ -30,6 +30,12 @@ def test_csv_with_schema_needs_no_type_pass(spark, tmp_path):
     assert load(spark, path, "a string, b double").dtypes == [("a", "string"), ("b", "double")]
 
 
+def test_json_lines_and_splittable_csv(spark, tmp_path):
+    lines = write(tmp_path / "lines.json", '{"a": 1}\n{"a": 2}\n')
+    assert load(spark, lines, multi_line=False).count() == 2
+    assert load(spark, write(tmp_path / "s.csv", "a\n1\n2\n"), multi_line=False).dtypes == [("a", "bigint")]
+
+
 def test_json_keeps_nested_cells(spark, tmp_path):
     path = write(tmp_path / "t.json", json.dumps([{"id": 1, "meta": {"a": 1}}, {"id": 2, "meta": {"a": 2}}]))
     df = load(spark, path)
