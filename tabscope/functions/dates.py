@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.columns import is_datetime
+from tabscope.columns import is_datetime, ref
 from tabscope.functions.text import strip
 
 # The accepted spellings, as (shape, formats tried in order).
@@ -35,8 +35,17 @@ def parse_mixed(c: Column) -> Column:
 def parse_stripped(text: Column) -> Column:
     """The same for text without space around it.
 
-    Every spelling has four digits in a row; most text that is no date fails
-    that one test. The shape is tested next, so a value is parsed at most twice.
+    The lambda binds the text to a name, so that it is computed once and not in
+    each of the tests, and keeps them out of the generated code of the stage,
+    which would grow too large to be compiled well.
+    """
+    return F.get(F.transform(F.array(text), _spelled), F.lit(0))
+
+
+def _spelled(text: Column) -> Column:
+    """Every spelling has four digits in a row; most text that is no date fails that one test.
+
+    The shape is tested next, so a value is parsed at most twice.
     """
     parsed = F.when(text.rlike(_ISO), text.try_cast("timestamp"))
     for shape, formats in _SPELLINGS:
@@ -51,9 +60,15 @@ def timestamp_of(c: Column, dtype: T.DataType) -> Column:
     return c.cast("timestamp") if is_datetime(dtype) else parse_mixed(c.cast("string"))
 
 
-def day_of(c: Column, dtype: T.DataType) -> Column:
-    """Calendar day of a date column or of a text column holding dates."""
-    return c.cast("date") if is_datetime(dtype) else parse_mixed(c.cast("string")).cast("date")
+def day_rows(df: DataFrame, date: str, **others: Column) -> DataFrame:
+    """The given columns and the calendar ``day`` of a date column or of a text column holding dates.
+
+    A text is parsed once per row: filters on the result do not move below a
+    generator, where they would repeat the parse.
+    """
+    c, dtype = ref(date), df.schema[date].dataType
+    day = c.cast("date") if is_datetime(dtype) else F.explode(F.array(parse_mixed(c.cast("string")).cast("date")))
+    return df.select(*[column.alias(name) for name, column in others.items()], day.alias("day"))
 
 
 def period_start(day: Column, period: str) -> Column:

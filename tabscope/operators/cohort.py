@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.columns import missing_as_null, ref, require
-from tabscope.functions.dates import day_of, period_label, period_start, periods_between
+from tabscope.functions.dates import day_rows, period_label, period_start, periods_between
 
 MIN_USERS = 2
 MIN_COHORTS = 2
@@ -20,9 +20,7 @@ def _active_users(df: DataFrame, user: str, date: str, period: str) -> DataFrame
     third of all events brings at most one row per calendar period to the
     window, and later counts need no distinct.
     """
-    events = missing_as_null(
-        df.select(ref(user).alias("user"), day_of(ref(date), df.schema[date].dataType).alias("day"))
-    ).na.drop()
+    events = missing_as_null(day_rows(df, date, user=ref(user))).na.drop()
     visits = events.select("user", period_start(F.col("day"), period).alias("period")).distinct()
     first = F.min("period").over(Window.partitionBy("user"))
     return (

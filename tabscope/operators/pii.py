@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.columns import long_texts, position_in, ref, small_table, text_columns
-from tabscope.functions.dates import parse_mixed
+from tabscope.columns import long_texts, position_in, small_table, text_columns
+from tabscope.functions.dates import parse_stripped
 from tabscope.functions.text import digits_of, strip
 
 # The share of values that must fit, the shapes, and the labels.
@@ -87,12 +87,11 @@ def detect_pii_columns(df: DataFrame) -> DataFrame:
             kinds[row["column"]] = "phone"
     phones = [c for c in texts if kinds.get(c) == "phone"]
     if phones:
-        dates = df.agg(
-            *[_share(parse_mixed(ref(c)).isNotNull(), ref(c).isNotNull()).alias(f"d{i}") for i, c in enumerate(phones)]
-        ).first()
-        for i, c in enumerate(phones):
-            if enough(dates[f"d{i}"]):
-                del kinds[c]
+        trimmed = long_texts(df, phones).withColumn("value", strip(F.col("value")))
+        dates = _share(parse_stripped(F.col("value")).isNotNull(), F.col("value").isNotNull())
+        for row in trimmed.groupBy("column").agg(dates.alias("dates")).collect():  # one row per such column
+            if enough(row["dates"]):
+                del kinds[row["column"]]
     return small_table(spark, [(c, kinds[c], LABELS[kinds[c]]) for c in texts if c in kinds], schema)
 
 

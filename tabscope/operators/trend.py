@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tabscope.columns import missing_as_null, ref, require
-from tabscope.functions.dates import day_of
+from tabscope.functions.dates import day_rows
 from tabscope.functions.safe import share_pct
 
 MIN_DAYS = 10
@@ -35,9 +35,7 @@ def daily_series(df: DataFrame, date: str, metric: str, agg: str = "sum") -> Dat
     value = ref(metric)
     if df.schema[metric].dataType.typeName() == "boolean":
         value = value.cast("int")
-    rows = missing_as_null(
-        df.select(day_of(ref(date), df.schema[date].dataType).alias("day"), value.cast("double").alias("value"))
-    ).na.drop()
+    rows = missing_as_null(day_rows(df, date, value=value.cast("double"))).na.drop()
     function = F.avg if agg == "mean" else F.sum
     days = rows.groupBy("day").agg(function("value").alias("value"))
     last = F.coalesce(F.date_sub(F.lead("day").over(_all_days().orderBy("day")), 1), F.col("day"))

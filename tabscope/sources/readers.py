@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.columns import ref, text_columns
-from tabscope.functions.text import strip, to_number
+from tabscope.columns import long_texts, ref, text_columns
+from tabscope.functions.text import number_of_stripped, strip, to_number
 
 # Cell texts that mean "missing" in CSV.
 MISSING_MARKS = [
@@ -64,21 +64,21 @@ def infer_types(df: DataFrame) -> DataFrame:
     if not names:
         return df
 
-    def tests(c: Column) -> list[Column]:
-        trimmed = strip(c)
-        whole = trimmed.rlike(_INTEGER) & trimmed.try_cast("bigint").isNotNull()
-        return [F.count(c), F.count_if(whole), F.count_if(to_number(c).isNotNull()), F.count_if(c.isin(_BOOLEANS))]
-
-    row = df.agg(*[F.array(*tests(ref(c))).alias(f"t{i}") for i, c in enumerate(names)]).first()
-    casts = {}
-    for i, c in enumerate(names):
-        values, whole, number, truth = row[f"t{i}"]
-        if values == 0:
-            continue
-        if whole == values:
+    texts = long_texts(df, names).filter(F.col("value").isNotNull()).withColumn("trimmed", strip(F.col("value")))
+    trimmed = F.col("trimmed")
+    counts = texts.groupBy("column").agg(
+        F.count("*").alias("values"),
+        F.count_if(trimmed.rlike(_INTEGER) & trimmed.try_cast("bigint").isNotNull()).alias("whole"),
+        F.count_if(number_of_stripped(trimmed).isNotNull()).alias("number"),
+        F.count_if(F.col("value").isin(_BOOLEANS)).alias("truth"),
+    )
+    casts: dict[str, Column] = {}
+    for row in counts.collect():  # one row per text column that has values
+        c = row["column"]
+        if row["whole"] == row["values"]:
             casts[c] = strip(ref(c)).try_cast("bigint")
-        elif number == values:
+        elif row["number"] == row["values"]:
             casts[c] = to_number(ref(c))
-        elif truth == values:
+        elif row["truth"] == row["values"]:
             casts[c] = F.lower(ref(c)) == "true"
     return df.select(*[casts.get(c, ref(c)).alias(c) for c in df.columns])

@@ -25,7 +25,7 @@ def plan(df, executed=False):
 
 
 def pushed(text):
-    return " ".join(re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", text))
+    return " ".join(re.findall(r"PushedFilters: \[(.*?), ReadSchema", text))
 
 
 def test_filters_reach_the_scan(orders):
