@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabscope.catalog import EVENTS_GAPS, ORDERS_GAPS, Derived, query, rounded
+from tabscope.functions.safe import tidy
 from tabscope.operators import insights, significance, summary
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -80,7 +81,7 @@ def _summary_sql(view: str, numbers: dict[str, str], texts: dict[str, str], date
 def whole_summary(t):
     names = ["o_custkey", "price", "priority", "o_orderstatus", "flagged", "o_orderdate"]
     table = summary.get_summary(t.derived(ORDERS_GAPS), names)
-    return table.withColumn("number", F.round("number", 6)).withColumn("text", F.regexp_replace("text", r"\.\d{6}$", ""))
+    return table.withColumn("number", tidy("number", 6)).withColumn("text", F.regexp_replace("text", r"\.\d{6}$", ""))
 
 
 @query(
@@ -309,7 +310,7 @@ def _profile_sql(view: str, c: str, kind: str, more: list[str]) -> str:
     ),
 )
 def numeric_profile(t):
-    return summary.profile_column(t.derived(ORDERS_GAPS), "price").withColumn("number", F.round("number", 6))
+    return summary.profile_column(t.derived(ORDERS_GAPS), "price").withColumn("number", tidy("number", 6))
 
 
 def _frequency_sql(view: str, c: str, limit: int | None) -> str:
@@ -360,7 +361,7 @@ def _histogram_sql(view: str, c: str, bins: str) -> str:
 
 
 def _edges(table):
-    return table.withColumn("left_edge", F.round("left_edge", 6)).withColumn("right_edge", F.round("right_edge", 6))
+    return table.withColumn("left_edge", tidy("left_edge", 6)).withColumn("right_edge", tidy("right_edge", 6))
 
 
 @query("q1_histogram", _histogram_sql(EVENTS_GAPS.sql, "value", "20"))
@@ -404,7 +405,7 @@ _FIT = "SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_ex
 )
 def fit_line(t):
     points = summary.fit_line_points(significance.linear_fit(t.lineitem, "l_quantity", "l_extendedprice"))
-    return points.withColumn("x", F.round("x", 4)).withColumn("y", F.round("y", 4))
+    return points.withColumn("x", tidy("x", 4)).withColumn("y", tidy("y", 4))
 
 
 @query(

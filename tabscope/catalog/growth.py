@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabscope.columns import small_table
 from tabscope.catalog import EVENTS_GAPS, Derived, query, rounded
+from tabscope.columns import small_table
+from tabscope.functions.safe import tidy
 from tabscope.operators import cleaning, cohort, trend
 from tabscope.plans.reports import analyze_trend
 
@@ -99,7 +100,7 @@ _EVENTS = (EVENTS_GAPS.sql, "ts", "value", "avg")
 
 
 def _daily(table):
-    return table.withColumn("day", F.col("day").cast("string")).withColumn("value", F.round("value", 4))
+    return table.withColumn("day", F.col("day").cast("string")).withColumn("value", tidy("value", 4))
 
 
 def _daily_check(name: str, source: tuple) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabscope.catalog import EVENTS_GAPS, ORDERS_GAPS, Derived, query, rounded
 from tabscope.catalog.describing import REPEATED, _outlier_sql
+from tabscope.functions.safe import tidy
 from tabscope.operators import cleaning, pii
 
 # Spaces around some texts; dates, numbers and short codes stored as text; constant and empty columns.
@@ -39,7 +40,7 @@ def _union(parts) -> str:
 
 
 def _tidy(table):
-    return table.withColumn("lower", F.round("lower", 6)).withColumn("upper", F.round("upper", 6))
+    return table.withColumn("lower", tidy("lower", 6)).withColumn("upper", tidy("upper", 6))
 
 
 _DUPLICATES = (
@@ -126,7 +127,7 @@ _LOOKS = "short_digits < 0.95 AND dates >= 0.95"
 )
 def type_shares(t):
     table = cleaning.type_shares(t.derived(UNTIDY))
-    return table.withColumns({c: F.round(c, 6) for c in ("short_digits", "dates", "numbers")})
+    return table.withColumns({c: tidy(c, 6) for c in ("short_digits", "dates", "numbers")})
 
 
 _TYPES = (
@@ -178,7 +179,7 @@ def _filled(fill: str, column: str = "value") -> str:
 
 
 def _rounded_value(table):
-    return table.withColumn("value", F.round("value", 6))
+    return table.withColumn("value", tidy("value", 6))
 
 
 @query("j11a_fill_median", _filled(f"SELECT quantile_cont(CAST(value AS DOUBLE), 0.5) FROM {EVENTS_GAPS.sql}"))
@@ -329,7 +330,7 @@ def _rates_sql() -> str:
 @query("k2_k6_pii_rates", _rates_sql())
 def rates(t):
     table = pii.pii_rates(t.derived(PEOPLE))
-    return table.withColumns({name: F.round(name, 6) for name in pii.RATES})
+    return table.withColumns({name: tidy(name, 6) for name in pii.RATES})
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabscope.catalog import ORDERS_GAPS, query, rounded
 from tabscope.catalog.changes import LINES, ORDERS, lines, orders
+from tabscope.functions.safe import tidy
 from tabscope.operators import drift, significance
 
 STEPS = 2000
@@ -55,7 +56,7 @@ def _welch_sql(rows: str, metric: str) -> str:
 
 
 def _test_rows(table):
-    return table.withColumn("statistic", F.round("statistic", 4)).withColumn("p_value", F.round("p_value", 4))
+    return table.withColumn("statistic", tidy("statistic", 4)).withColumn("p_value", tidy("p_value", 4))
 
 
 @query("e1_welch", _welch_sql(LINES, "l_extendedprice"))
@@ -168,10 +169,10 @@ def _fit_sql(view: str, x: str, y: str) -> str:
 
 def _fit(table):
     return (
-        table.withColumn("slope", F.round("slope", 6))
-        .withColumn("intercept", F.round("intercept", 4))
-        .withColumn("r2", F.round("r2", 6))
-        .withColumn("p_value", F.round("p_value", 4))
+        table.withColumn("slope", tidy("slope", 6))
+        .withColumn("intercept", tidy("intercept", 4))
+        .withColumn("r2", tidy("r2", 6))
+        .withColumn("p_value", tidy("p_value", 4))
     )
 
 

@@ -6,14 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def tidy(c: Column | str, digits: int) -> Column:
+    """Half-up rounding that first drops the noise of floating-point sums.
+
+    A mean of prices often lies exactly between two rounded values; without the
+    first step the order of summation would decide which one it becomes.
+    """
+    return F.round(F.round(c, digits + 4), digits)
+
+
 def share_pct(part: Column, whole: Column, digits: int = 2) -> Column:
-    return F.round(100 * F.try_divide(part.cast("double"), whole.cast("double")), digits)
+    return tidy(100 * F.try_divide(part.cast("double"), whole.cast("double")), digits)
 
 
 def pct_change(before: Column, after: Column) -> Column:
     """Signed change in percent of ``before``: null from zero to zero, infinite from zero."""
     return F.when(before == 0, F.when(after != 0, F.lit(float("inf")))).otherwise(
-        F.round(100 * F.try_divide(after - before, before), 2)
+        tidy(100 * F.try_divide(after - before, before), 2)
     )
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.columns import (
-    small_table,
     is_numeric,
     is_text,
     long_texts,
@@ -24,6 +23,7 @@ from tabscope.columns import (
     position_in,
     ref,
     require,
+    small_table,
     text_columns,
     text_of,
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabscope.columns import missing_as_null, ref, require
 from tabscope.functions.dates import day_rows, period_label, period_start, periods_between
+from tabscope.functions.safe import tidy
 
 MIN_USERS = 2
 MIN_COHORTS = 2
@@ -62,7 +63,7 @@ def compute_retention(df: DataFrame, user: str, date: str, period: str = "M") ->
             "period_offset",
             "active",
             "cohort_size",
-            F.round(F.col("active") / F.col("cohort_size"), 4).alias("retention"),
+            tidy(F.col("active") / F.col("cohort_size"), 4).alias("retention"),
         )
     )
     refusal = facts.filter("reason is not null").select(F.lit(False).alias("applicable"), "reason")

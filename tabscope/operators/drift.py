@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.columns import as_text, is_nested, is_numeric, literal, missing_as_null, ref, require, small_table
-from tabscope.functions.safe import pct_change
+from tabscope.functions.safe import pct_change, tidy
 
 SIDE = "__side"
 BEFORE, AFTER = "before", "after"
@@ -171,9 +171,9 @@ def compare_metrics(pair: Pair, columns: list[str] | None = None) -> DataFrame:
         .withColumn("mean_pct_change", mean_pct)
         .select(
             "column",
-            *[F.round(c, 4).alias(c) for c in names[1:3]],
+            *[tidy(c, 4).alias(c) for c in names[1:3]],
             "sum_pct_change",
-            *[F.round(c, 4).alias(c) for c in names[3:]],
+            *[tidy(c, 4).alias(c) for c in names[3:]],
             "mean_pct_change",
         )
         .orderBy(F.coalesce(F.abs("sum_pct_change"), zero).desc(), "column")
@@ -209,9 +209,9 @@ def category_shares(pair: Pair, columns: list[str] | None = None) -> DataFrame:
         "value",
         "n_before",
         "n_after",
-        F.round(before, 2).alias("share_before"),
-        F.round(after, 2).alias("share_after"),
-        F.round(after - before, 2).alias("shift_pts"),
+        tidy(before, 2).alias("share_before"),
+        tidy(after, 2).alias("share_after"),
+        tidy(after - before, 2).alias("shift_pts"),
     )
 
 
@@ -283,7 +283,7 @@ def decompose_totals(segments: DataFrame) -> DataFrame:
     For means the totals are sums of segment means. A mix shift is a total that
     moves one way while less than half of the segments move with it.
     """
-    delta = F.round(F.col("after") - F.col("before"), 4)
+    delta = tidy(F.col("after") - F.col("before"), 4)
     sums = segments.agg(
         F.coalesce(F.sum("before"), F.lit(0.0)).alias("before"),
         F.coalesce(F.sum("after"), F.lit(0.0)).alias("after"),
@@ -294,9 +294,9 @@ def decompose_totals(segments: DataFrame) -> DataFrame:
     total_delta = F.col("after") - F.col("before")
     along = F.when(total_delta > 0, F.col("n_up")).otherwise(F.col("n_down"))
     return sums.select(
-        F.round("before", 4).alias("total_before"),
-        F.round("after", 4).alias("total_after"),
-        F.round(total_delta, 4).alias("total_delta"),
+        tidy("before", 4).alias("total_before"),
+        tidy("after", 4).alias("total_after"),
+        tidy(total_delta, 4).alias("total_delta"),
         pct_change(F.col("before"), F.col("after")).alias("total_pct_change"),
         "n_segments",
         ((total_delta != 0) & (F.col("n_segments") > 1) & (along < F.col("n_segments") / 2)).alias("mix_shift"),
@@ -312,10 +312,10 @@ def decompose_segments(segments: DataFrame) -> DataFrame:
     total = segments.agg(F.sum("after") - F.sum("before")).scalar()
     return segments.select(
         "segment",
-        F.round("before", 4).alias("before"),
-        F.round("after", 4).alias("after"),
-        F.round(delta, 4).alias("delta"),
-        F.round(100 * F.try_divide(delta, total), 2).alias("contribution_pct"),
+        tidy("before", 4).alias("before"),
+        tidy("after", 4).alias("after"),
+        tidy(delta, 4).alias("delta"),
+        tidy(100 * F.try_divide(delta, total), 2).alias("contribution_pct"),
     ).orderBy(F.abs("delta").desc(), "segment")
 
 

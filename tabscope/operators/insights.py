@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscope.columns import (
-    small_table,
     boolean_columns,
     categorical_columns,
     datetime_columns,
@@ -18,11 +17,12 @@ from tabscope.columns import (
     numeric_columns,
     ref,
     rows_of,
+    small_table,
     text_columns,
     text_of,
 )
 from tabscope.functions.quantiles import exact_quantiles
-from tabscope.functions.safe import share_pct
+from tabscope.functions.safe import share_pct, tidy
 from tabscope.functions.text import has_edge_space
 
 IDENTIFIER_SHARE = 0.9
@@ -179,7 +179,7 @@ def _pair_correlation(i: int, j: int, x: list[Column], complete: list[bool], sum
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The full square matrix in long form, 4 decimals, ones on the diagonal of varying columns."""
     columns = columns if columns is not None else numeric_columns(df)
-    pairs = correlation_pairs(df, columns).withColumn("correlation", F.round("correlation", 4))
+    pairs = correlation_pairs(df, columns).withColumn("correlation", tidy("correlation", 4))
     clean = missing_as_null(df.select(*[ref(c).cast("double").alias(c) for c in columns]))
     one = clean.agg(*[(F.max(ref(c)) > F.min(ref(c))).alias(f"v{i}") for i, c in enumerate(columns)])
     own = rows_of(
@@ -205,7 +205,7 @@ def strongest_correlations(df: DataFrame, top: int = 5, facts: Facts | None = No
         .filter(F.col("correlation").isNotNull())
         .orderBy(F.abs("correlation").desc(), "column", "column2")
         .limit(top)
-        .withColumn("correlation", F.round("correlation", 3))
+        .withColumn("correlation", tidy("correlation", 3))
     )
 
 

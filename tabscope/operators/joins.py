@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.columns import is_nested, is_text, missing_as_null, ref, require
+from tabscope.functions.safe import tidy
 
 JOIN_TYPES = ("inner", "left", "right", "outer")
 
@@ -126,7 +127,7 @@ def join_stats(a: DataFrame, b: DataFrame, left_on: str, right_on: str) -> DataF
     )
     inner, only_a, only_b = F.col("inner"), F.col("only_a"), F.col("only_b")
     totals = {"inner": inner, "left": inner + only_a, "right": inner + only_b, "outer": inner + only_a + only_b}
-    rate = F.coalesce(F.round(F.try_divide(F.col("keys_both"), F.col("keys_a")), 4), F.lit(0.0))
+    rate = F.coalesce(tidy(F.try_divide(F.col("keys_both"), F.col("keys_a")), 4), F.lit(0.0))
     return facts.select(
         F.inline(
             F.array(*[F.struct(F.lit(h).alias("how"), t.cast("double").alias("rows_result")) for h, t in totals.items()])

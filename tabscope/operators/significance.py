@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.columns import missing_as_null, ref, require
+from tabscope.functions.safe import tidy
 from tabscope.functions.tails import chi_square_p, normal_p, t_two_sided_p
 from tabscope.operators.drift import AFTER, BEFORE, Pair, category_counts, on
 
@@ -144,13 +145,13 @@ def conversion_rates(experiments: DataFrame, alpha: float = DEFAULT_ALPHA) -> Da
     measured = measured.withColumn("p", normal_p("z"))
     half = z_limit * se_own
     out = {
-        "rate_a": F.round(rate_a, 4),
-        "rate_b": F.round(rate_b, 4),
-        "diff": F.round(rate_b - rate_a, 4),
-        "ci_low": F.round(rate_b - rate_a - half, 4),
-        "ci_high": F.round(rate_b - rate_a + half, 4),
-        "z": F.round("z", 4),
-        "p_value": F.round("p", 6),
+        "rate_a": tidy(rate_a, 4),
+        "rate_b": tidy(rate_b, 4),
+        "diff": tidy(rate_b - rate_a, 4),
+        "ci_low": tidy(rate_b - rate_a - half, 4),
+        "ci_high": tidy(rate_b - rate_a + half, 4),
+        "z": tidy("z", 4),
+        "p_value": tidy("p", 6),
         "significant": c("p") < alpha,
     }
     return measured.select(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.columns import (
-    small_table,
     as_text,
     is_datetime,
     is_nested,
@@ -16,6 +15,7 @@ from tabscope.columns import (
     ref,
     require,
     rows_of,
+    small_table,
     text_of,
 )
 from tabscope.functions.quantiles import exact_quantiles

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabscope.columns import missing_as_null, ref, require
 from tabscope.functions.dates import day_rows
-from tabscope.functions.safe import share_pct
+from tabscope.functions.safe import share_pct, tidy
 
 MIN_DAYS = 10
 FORECAST_DAYS = 14
@@ -69,7 +69,7 @@ def weekday_effects(fitted: DataFrame) -> DataFrame:
     return (
         fitted.filter((F.col("n_days") >= MIN_DAYS) & F.col("effect").isNotNull())
         .groupBy("weekday")
-        .agg(F.date_format(F.min("day"), "EEEE").alias("day_name"), F.round(F.max("effect"), 2).alias("effect"))
+        .agg(F.date_format(F.min("day"), "EEEE").alias("day_name"), tidy(F.max("effect"), 2).alias("effect"))
         .orderBy("weekday")
     )
 
@@ -90,11 +90,11 @@ def trend_summary(fitted: DataFrame) -> DataFrame:
     # The first day always has data, so the line at the first observed day is the intercept.
     change = share_pct(c("slope") * (c("n") - 1), c("start"))
     found = {
-        "slope_per_day": F.round("slope", 6),
+        "slope_per_day": tidy("slope", 6),
         "trend_direction": direction,
         "trend_pct_over_period": F.when(c("start") != 0, change),
         "has_weekly_seasonality": c("swing") > SEASONAL_SHARE * c("spread"),
-        "forecast_std": F.round("residual_spread", 4),
+        "forecast_std": tidy("residual_spread", 4),
     }
     return one.select(
         usable.alias("applicable"),
@@ -111,7 +111,7 @@ def forecast(fitted: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:
         F.max("x").alias("last_x"),
         F.max("slope").alias("slope"),
         F.max("intercept").alias("intercept"),
-        F.round(F.stddev_pop("residual"), 4).alias("std"),
+        tidy(F.stddev_pop("residual"), 4).alias("std"),
         # One entry per weekday seen, seven at most.
         F.map_from_entries(F.collect_set(F.when(F.col("effect").isNotNull(), F.struct("weekday", "effect")))).alias(
             "effects"
@@ -121,14 +121,14 @@ def forecast(fitted: DataFrame, days: int = FORECAST_DAYS) -> DataFrame:
     steps = one.select("*", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("step"))
     day = F.date_add("last_day", F.col("step"))
     line = F.col("intercept") + F.col("slope") * (F.col("last_x") + F.col("step"))
-    value = F.round(line + F.coalesce(F.try_element_at("effects", F.weekday(day)), F.lit(0.0)), 4)
+    value = tidy(line + F.coalesce(F.try_element_at("effects", F.weekday(day)), F.lit(0.0)), 4)
     return steps.select(
         day.alias("day"),
         value.alias("value"),
-        F.round(value - BAND * F.col("std"), 4).alias("lower"),
-        F.round(value + BAND * F.col("std"), 4).alias("upper"),
+        tidy(value - BAND * F.col("std"), 4).alias("lower"),
+        tidy(value + BAND * F.col("std"), 4).alias("upper"),
     )
 
 
 def history(daily: DataFrame) -> DataFrame:
-    return daily.select("day", F.round("value", 4).alias("value")).orderBy("day")
+    return daily.select("day", tidy("value", 4).alias("value")).orderBy("day")

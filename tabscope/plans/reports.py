@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 from tabscope.columns import require, small_table
 from tabscope.operators import drift, trend
 from tabscope.operators.drift import Pair
-from tabscope.operators.significance import (
-    any_significant,
-    categorical_significance,
-    numeric_significance,
-)
+from tabscope.operators.significance import any_significant, categorical_significance, numeric_significance
 
 HIGHLIGHT_METRICS = 5
 HIGHLIGHT_SHIFTS = 3
