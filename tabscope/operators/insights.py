@@ -199,14 +199,13 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     return mirrored.unionByName(own)
 
 
-def strongest_correlations(df: DataFrame, top: int = 5, facts: Facts | None = None) -> DataFrame:
-    return (
-        correlation_pairs(df, facts=facts)
-        .filter(F.col("correlation").isNotNull())
-        .orderBy(F.abs("correlation").desc(), "column", "column2")
-        .limit(top)
-        .withColumn("correlation", tidy("correlation", 3))
-    )
+def _strongest(df: DataFrame, top: int, facts: Facts | None = None) -> DataFrame:
+    pairs = correlation_pairs(df, facts=facts).filter(F.col("correlation").isNotNull())
+    return pairs.orderBy(F.abs("correlation").desc(), "column", "column2").limit(top)
+
+
+def strongest_correlations(df: DataFrame, top: int = 5) -> DataFrame:
+    return _strongest(df, top).withColumn("correlation", tidy("correlation", 3))
 
 
 # ── outliers ─────────────────────────────────────────────────────────────────
@@ -348,8 +347,8 @@ def generate_insights(df: DataFrame, max_items: int = 5) -> DataFrame:
         ),
         ranked(missing_share(df, max_items, facts), "missing", n.desc(), c, column=c, count=n, value=F.col("pct")),
         ranked(
-            strongest_correlations(df, max_items, facts), "correlation", F.abs("correlation").desc(), c, c2,
-            column=c, column2=c2, value=F.col("correlation"),
+            _strongest(df, max_items, facts), "correlation", F.abs("correlation").desc(), c, c2,
+            column=c, column2=c2, value=tidy("correlation", 3),
         ),
         ranked(outlier_columns(df, max_items, facts), "outliers", n.desc(), c, column=c, count=n, value=F.col("pct")),
         ranked(high_cardinality_columns(df, facts), "high_cardinality", c, column=c),
