@@ -31,6 +31,8 @@ PER_WORD = 64 // BITS
 PACKED = MINIMA // PER_WORD
 ROWS_AT_ONCE = 1024
 SHINGLES_AT_ONCE = 2048
+# 16 bytes each in the broadcast table.
+BROADCAST_IDS = 1_000_000
 
 _draw = np.random.default_rng(20)
 _FACTORS = _draw.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,13 +111,22 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame
     return narrow.mapInArrow(sign, SIGNED)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar enough.
+def texts_of(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id`` and ``text`` of the documents named in ``ids``.
 
-    Texts are brought to the pairs by two joins; no more pairs than documents
-    with candidates come in the first round, so this moves texts, not sets.
+    While the ids are few enough to be broadcast, only their texts leave the
+    scan; beyond that number both sides are shuffled.
     """
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    wanted = cut_lineage(ids.distinct())
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    every = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    return cut_lineage(every.join(wanted, "id", "left_semi"))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full shingle sets are similar enough."""
+    texts = texts_of(pairs.selectExpr("a AS id").union(pairs.selectExpr("b")), docs, doc_id, text)
     both = pairs.join(texts.selectExpr("id AS b", "text AS text_b"), "b").join(texts.selectExpr("id AS a", "text AS text_a"), "a")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -145,8 +156,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Equal sets are folded into one class first. A bucket (all classes with one
     band key) never becomes pairs of all its members: each member is compared
-    with the bucket's smallest one, only its likeliest such pair is confirmed,
-    and after these links have been joined up, only members of different
+    with the bucket's hub, the one that meets most others in all its buckets,
+    only its likeliest such pair is confirmed, and after these links have been
+    joined up, only members of different
     components are compared, those of a bucket's largest component only with
     the rest. Every pair that shares a band and passes the estimate is thus
     either confirmed, refused on the full sets, or already connected.
@@ -161,32 +173,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = cut_lineage(folded.selectExpr("digest", "c.doc_id AS rep", "c.n_shingles AS n", "c.signature AS s", "c.bands AS bands"))
 
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("high"))
-    shared = cut_lineage(shared.where("pivot < high").select("key", "pivot"))
-    spokes = banded.join(shared, "key").where("rep <> pivot").select("pivot", "rep").distinct()
-
-    likely = (similarity_estimate(F.col("s_a"), F.col("s_b")) >= percent / 100 - slack) & (
-        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    )
+    shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size"))
+    members = cut_lineage(banded.join(shared.where("low < high").select("key", "size"), "key"))
+    weights = cut_lineage(members.groupBy("rep").agg(F.sum("size").alias("weight")))
+    hubs = members.join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
+    spokes = members.join(cut_lineage(hubs), "key").where("rep <> hub").selectExpr("rep AS a", "hub AS b").distinct()
+
+    estimate = similarity_estimate(F.col("s_a"), F.col("s_b"))
+    likely = (estimate >= percent / 100 - slack) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     side_a = classes.selectExpr("rep AS a", "n AS n_a", "s AS s_a")
     side_b = classes.selectExpr("rep AS b", "n AS n_b", "s AS s_b")
-    stars = spokes.selectExpr("rep AS a", "pivot AS b").join(side_a, "a").join(side_b, "b").where(likely)
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct(similarity_estimate(F.col("s_a"), F.col("s_b")), -F.col("b"))).alias("b"))
+    stars = spokes.join(side_a, "a").join(side_b, "b").where(likely)
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct(estimate, -F.col("b"))).alias("b"))
     links = cut_lineage(confirmed(cut_lineage(best), docs, doc_id, text, width, percent))
 
-    label = F.coalesce("component", "rep").alias("label")
     first = components(links).withColumnRenamed("node", "rep")
-    members = classes.join(first, "rep", "left").select("rep", "n", "s", label, F.explode("bands").alias("key"))
-    members = members.join(shared, "key").drop("pivot")
-    counted = members.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key")
+    labelled = cut_lineage(members.join(first, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")))
+    counted = labelled.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key")
     counted = counted.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main"))
-    open_keys = cut_lineage(counted.where("labels > 1").select("key", "main"))
-    inside = cut_lineage(members.join(open_keys, "key"))
+    inside = labelled.join(cut_lineage(counted.where("labels > 1").select("key", "main")), "key")
+    inside = cut_lineage(inside.join(classes.select("rep", "n", "s"), "rep"))
     rest = inside.where("label <> main").selectExpr("key", "rep AS a", "n AS n_a", "s AS s_a", "label AS label_a")
     others = inside.selectExpr("key", "rep AS b", "n AS n_b", "s AS s_b", "label AS label_b", "main")
     across = rest.join(others, "key").where("label_a <> label_b AND (label_b = main OR a < b)").where(likely)
-    left = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut_lineage(left)
+    more = cut_lineage(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not more.isEmpty():
         links = links.unionByName(cut_lineage(confirmed(more, docs, doc_id, text, width, percent)))
 

@@ -64,3 +64,34 @@ def _near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from tabscope.llm.near_text import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+# ── 4: SentencePiece encoding and decoding ────────────────────────────────────
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op4_sentencepiece_round_trip")
+def _round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.pieces import decode, encode
+
+    model = vocabulary("piece_bpe_32k.model")
+    both = decode(encode(table(spark, folder, "documents"), model), model)
+    return both.selectExpr("doc_id", "n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(encode(decoded, 'UTF-8'), 256) AS decoded_sha256")
+
+
+# ── 9: packing ────────────────────────────────────────────────────────────────
+
+
+@register("op9_pack_minimum_slack")
+def _pack(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.packing import pack, pieces_of, tokenised
+
+    tokens = tokenised(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    pieces = pieces_of(tokens).selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens")
+    return pack(pieces)
