@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,19 +44,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that a lost executor cannot change it.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all machines of a cluster share.
 
-    Uses the folder named by ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder.
+    Only a session without executors of its own, as in tests, may leave it
+    unset: it gets a temporary folder that is removed when Python ends.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="tabscope-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tabscope-checkpoint-")
         context.setCheckpointDir(folder)
+    return (folder or context.getCheckpointDir()).rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` reliably in the shared folder, so that a lost executor cannot change it."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
