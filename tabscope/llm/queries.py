@@ -7,10 +7,12 @@ parameters and derive the columns asked of them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabscope.session import tune
+from tabscope.session import checkpoint_folder, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +97,37 @@ def _pack(spark: SparkSession, folder: str) -> DataFrame:
     tokens = tokenised(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
     pieces = pieces_of(tokens).selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens")
     return pack(pieces)
+
+
+# ── 5: WARC ───────────────────────────────────────────────────────────────────
+
+# Base32 in the checking engine: five hex digits of the SHA-1 are four characters.
+SQL_BASE32 = (
+    "array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform(range(0, 4), lambda j: "
+    "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr({hex}, 5 * k + 1, 5) AS INTEGER) >> (15 - 5 * j)) & 31)::INTEGER, 1)), '')), '')"
+)
+OP5_SQL = f"""
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS original FROM hashed)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, {SQL_BASE32.format(hex="h")} AS payload_digest,
+  CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < original THEN original END AS refers_to
+FROM grouped
+"""
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all machines of the cluster share."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
+
+
+@register("op5_warc_merged_index", OP5_SQL)
+def _archives(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.archives import merged_index, sorted_runs, with_revisits, write_archives
+
+    # Pages have no time of capture: one second after another from a fixed day on.
+    captured_at = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)))
+    captures = with_revisits(table(spark, folder, "pages"), "page_id", "url", "html", captured_at, least_bytes=0)
+    archives = shared_folder(spark, "archives")
+    write_archives(captures, archives)
+    return merged_index(sorted_runs(spark, archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
