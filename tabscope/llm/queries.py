@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.session import checkpoint_folder, tune
@@ -131,3 +131,80 @@ def _archives(spark: SparkSession, folder: str) -> DataFrame:
     archives = shared_folder(spark, "archives")
     write_archives(captures, archives)
     return merged_index(sorted_runs(spark, archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# ── 2: secrets ────────────────────────────────────────────────────────────────
+
+
+@register("op2_secret_ownership")
+def _secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.secrets import BASE, as_text, scan
+
+    found = scan(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind_no"] < len(BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind.name) for kind in BASE]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(F.encode(as_text(base), "UTF-8"), 256).alias("base_sha256"),
+        as_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["copied"])).cast("bigint").alias("n_copied"),
+    )
+
+
+# ── 3: sharding ───────────────────────────────────────────────────────────────
+
+SHARD_BYTES = 16 << 20
+OP3_SQL = f"""
+WITH rows AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS hash FROM documents),
+ways AS (SELECT doc_id, bytes, hash, d, hash >> (60 - d) AS bucket FROM rows, (SELECT unnest(range(0, 61))::INTEGER AS d)),
+buckets AS (SELECT d, bucket, sum(bytes)::BIGINT AS shard_bytes FROM ways GROUP BY 1, 2),
+found AS (SELECT w.doc_id, w.bytes, w.hash, w.d, b.shard_bytes,
+  row_number() OVER (PARTITION BY w.doc_id, w.hash ORDER BY w.d) AS place
+  FROM ways w JOIN buckets b USING (d, bucket) WHERE b.shard_bytes <= {SHARD_BYTES} OR d = 60)
+SELECT doc_id, bytes, substr(lpad(bin(hash), 60, '0'), 1, d) AS shard, d AS shard_depth, shard_bytes, shard_bytes > {SHARD_BYTES} AS oversized
+FROM found WHERE place = 1
+"""
+
+
+@register("op3_extendible_shards", OP3_SQL)
+def _shards(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.sharding import assign
+
+    return assign(table(spark, folder, "documents"), SHARD_BYTES)
+
+
+# ── 6: licences ───────────────────────────────────────────────────────────────
+
+
+def _licence_sql() -> str:
+    from tabscope.llm.licences import TEMPLATES
+
+    rows = ", ".join("({}, '{}', '{}')".format(n, name, body.replace("'", "''")) for n, (name, body) in enumerate(TEMPLATES))
+    words = r"list_filter(regexp_split_to_array(lower({unit}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+    grams = "list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    return f"""
+WITH templates AS (SELECT no, name, {grams.format(w="w")} AS g FROM (SELECT no, name, {words.format(unit="body")} AS w FROM (VALUES {rows}) v(no, name, body))),
+units AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS unit FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+  UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))),
+cut AS (SELECT doc_id, line, {grams.format(w="w")} AS g FROM (SELECT doc_id, line, {words.format(unit="unit")} AS w FROM units) WHERE len(w) > 1),
+scored AS (SELECT doc_id, line, no, name, 2.0::DOUBLE * len(list_intersect(c.g, t.g)) / (len(c.g) + len(t.g)) AS dice FROM cut c JOIN templates t
+  ON 2 * least(len(c.g), len(t.g)) >= 0.8 * (len(c.g) + len(t.g))),
+best AS (SELECT doc_id, line, name, dice FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, no) = 1),
+met AS (SELECT * FROM best b WHERE line > 0 OR NOT EXISTS (SELECT 1 FROM best o WHERE o.doc_id = b.doc_id AND o.line > 0))
+SELECT d.doc_id, count(m.name)::BIGINT AS n_notices, coalesce(string_agg(DISTINCT m.name, ',' ORDER BY m.name), '') AS licences, max(m.dice) AS best_dice
+FROM documents d LEFT JOIN met m USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@register("op6_licence_dice", _licence_sql())
+def _licences(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.licences import scan
+
+    return scan(table(spark, folder, "documents"))
