@@ -208,3 +208,23 @@ def _licences(spark: SparkSession, folder: str) -> DataFrame:
     from tabscope.llm.licences import scan
 
     return scan(table(spark, folder, "documents"))
+
+
+# ── 8: quality rules ──────────────────────────────────────────────────────────
+
+
+@register("op8_divergence_rules")
+def _rules(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.rules import judge
+
+    return judge(table(spark, folder, "documents"))
+
+
+# ── 7: quality classifier ─────────────────────────────────────────────────────
+
+
+@register("op7_importance_resampling")
+def _importance(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.importance import resample
+
+    return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
