@@ -228,3 +228,25 @@ def _importance(spark: SparkSession, folder: str) -> DataFrame:
     from tabscope.llm.importance import resample
 
     return resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+# ── 1: embedding near-dedup ───────────────────────────────────────────────────
+
+OP1_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+usable AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_dot_product(x.e, y.e) >= 0.95 * x.norm * y.norm),
+{_component_sql("embeddings", "vec_id", "links")},
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN component c ON c.node = e.vec_id LEFT JOIN counted ON a = e.vec_id
+"""
+
+
+@register("op1_quantised_near_duplicates", OP1_SQL)
+def _near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.vectors import near_duplicates
+
+    return near_duplicates(table(spark, folder, "embeddings"))
