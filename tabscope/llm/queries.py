@@ -12,7 +12,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabscope.session import checkpoint_folder, tune
+from tabscope.session import checkpoint_folder, cut_lineage, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,6 +33,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def table_of(ids: DataFrame) -> DataFrame:
+    """Materialised ids, marked for broadcast while there are few enough of them; beyond that a join shuffles."""
+    stored = cut_lineage(ids)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 # Words of a text in the checking engine; \n and the like are control characters 9 to 13.
 SQL_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 SQL_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -90,15 +99,19 @@ def _round_trip(spark: SparkSession, folder: str) -> DataFrame:
 # ── 9: packing ────────────────────────────────────────────────────────────────
 
 
-@register("op9_pack_minimum_slack")
-def _pack(spark: SparkSession, folder: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
     from tabscope.llm.packing import pack, pieces_of, tokenised
 
-    tokens = tokenised(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    tokens = tokenised(docs, vocabulary("word_bpe_49k.json"))
     pieces = pieces_of(tokens).selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens")
     return pack(pieces)
 
 
+@register("op9_pack_minimum_slack")
+def _pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"))
+
+
 # ── 5: WARC ───────────────────────────────────────────────────────────────────
 
 # Base32 in the checking engine: five hex digits of the SHA-1 are four characters.
