@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -32,13 +34,37 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def comparable(value: Any, dtype: T.DataType) -> bool:
+    """Whether a constant and a column have values of one kind; Spark would cast one of them or fail."""
+    if isinstance(value, bool):
+        return is_numeric(dtype, with_bool=True)
+    if isinstance(value, (int, float, Decimal)):
+        return is_numeric(dtype) or (isinstance(dtype, T.BooleanType) and value in (0, 1))
+    if isinstance(value, date):
+        return is_datetime(dtype)
+    return isinstance(value, str) and (is_text(dtype) or is_datetime(dtype))
+
+
 def literal(value: Any, dtype: T.DataType) -> Column:
-    """A constant to compare a column with.
+    """A constant of a comparable kind to compare a column with.
 
     Dates take the type of the column: otherwise Spark would cast the column,
-    and the comparison could no longer be answered from file statistics.
+    and the comparison could no longer be answered from file statistics. Text
+    that is no date is null, which equals nothing.
     """
-    return F.lit(str(value)).cast(dtype) if is_datetime(dtype) else F.lit(value)
+    if not comparable(value, dtype):
+        raise TypeError(f"cannot order {dtype.simpleString()} values against {value!r}")
+    if is_datetime(dtype):
+        return F.lit(str(value)).try_cast(dtype)
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(bool(value))
+    return F.lit(int(value) if isinstance(value, bool) else value)
+
+
+def equals(df: DataFrame, name: str, value: Any) -> Column:
+    """Whether a column has this value; a value of another kind is in no row."""
+    dtype = df.schema[name].dataType
+    return ref(name) == literal(value, dtype) if comparable(value, dtype) else F.lit(False)
 
 
 def require(df: DataFrame, *names: str) -> None:

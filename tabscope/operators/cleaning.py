@@ -190,7 +190,8 @@ def count_open_issues(issues: DataFrame) -> DataFrame:
 
 
 def remove_duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row of every group of identical rows. Nested columns are compared by their JSON text."""
+    """One row of every group of identical rows, missing values alike. Nested columns are compared by their JSON text."""
+    df = missing_as_null(df)
     if not nested_columns(df):
         return df.dropDuplicates()
     keys = {f"__k{i}": text_of(df, c) for i, c in enumerate(nested_columns(df))}
@@ -206,21 +207,26 @@ def fill_missing(df: DataFrame, column: str, strategy: str) -> DataFrame:
     """Fill with the median, the mean, the smallest most frequent value, or zero."""
     require(df, column)
     dtype = df.schema[column].dataType
+    if strategy not in ("median", "mean", "mode", "zero"):
+        raise ValueError(f"no such way to fill: {strategy}")
     df = missing_as_null(df)
     c = ref(column)
+    if df.filter(c.isNull()).isEmpty():
+        return df
     if strategy == "median":
         (fill,) = exact_quantiles(df.select(c), [column], [0.5])[column]
     elif strategy == "mean":
-        fill = df.agg(F.avg(c.cast("double"))).first()[0]
+        decimal = isinstance(dtype, T.DecimalType)
+        fill = df.agg(F.avg(c if decimal else c.cast("double"))).first()[0]
+        if decimal and fill is not None:
+            return _set(df, column, F.coalesce(c, F.lit(fill)))
     elif strategy == "mode":
         # Sorting group counts, not `mode`: that would hold every distinct value in one task.
         top = df.filter(c.isNotNull()).groupBy(c.alias("v")).count().orderBy(F.desc("count"), "v").limit(1)
         found = top.select(F.col("v").cast("string")).first()
         fill = found and found[0]
-    elif strategy == "zero":
-        fill = 0
     else:
-        raise ValueError(f"Unknown fill strategy: '{strategy}'.")
+        fill = 0
     if fill is None:
         return df
     if strategy in ("median", "mean"):
@@ -242,6 +248,8 @@ def cap_outliers(df: DataFrame, column: str) -> DataFrame:
     df = missing_as_null(df)
     c = ref(column).cast("double")
     low, high = F.lit(bounds[0]), F.lit(bounds[1])
+    if df.filter((c < low) | (c > high)).isEmpty():
+        return df
     return _set(df, column, F.when(c < low, low).when(c > high, high).otherwise(c))
 
 

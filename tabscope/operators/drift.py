@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.columns import as_text, is_nested, is_numeric, literal, missing_as_null, ref, require, small_table
+from tabscope.columns import as_text, equals, is_nested, is_numeric, literal, missing_as_null, ref, require, small_table
 from tabscope.functions.safe import pct_change, tidy
 
 SIDE = "__side"
@@ -78,11 +78,10 @@ def pair_of(before: DataFrame, after: DataFrame) -> Pair:
 def split_by_column(df: DataFrame, column: str, value_before: Any, value_after: Any) -> Pair:
     """Rows with one exact value against rows with another; both reach the scan as one filter."""
     require(df, column)
-    c = ref(column)
-    first, second = (literal(v, df.schema[column].dataType) for v in (value_before, value_after))
+    first, second = (equals(df, column, v) for v in (value_before, value_after))
     if value_before == value_after:
-        return _split(df, c == first, c == second)
-    rows = df.filter((c == first) | (c == second)).withColumn(SIDE, F.when(c == first, BEFORE).otherwise(AFTER))
+        return _split(df, first, second)
+    rows = df.filter(first | second).withColumn(SIDE, F.when(first, BEFORE).otherwise(AFTER))
     return Pair(missing_as_null(rows), df.schema, df.schema)
 
 

@@ -9,12 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscope.columns import literal, ref, require, text_of
+from tabscope.columns import equals, literal, missing_as_null, ref, require, text_of
 
 PICKER_VALUES = 200
 
 _COMPARISONS = {
-    "eq": lambda c, v: c == v,
     "gt": lambda c, v: c > v,
     "lt": lambda c, v: c < v,
     "gte": lambda c, v: c >= v,
@@ -26,6 +25,8 @@ def _predicate(df: DataFrame, name: str, op: str, value: Any) -> Column:
     require(df, name)
     if op == "contains":
         return text_of(df, name).rlike("(?i)" + str(value))
+    if op == "eq":
+        return equals(df, name, value)
     if op not in _COMPARISONS:
         raise ValueError(f"Unknown operator: {op}")
     test = _COMPARISONS[op](ref(name), literal(value, df.schema[name].dataType))
@@ -78,6 +79,14 @@ def same_table(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables have the same columns and the same rows, duplicates counted."""
     if a.dtypes != b.dtypes:
         return False
-    comparable = lambda df: df.select(*[text_of(df, c).alias(c) for c in df.columns])
-    a, b = comparable(a), comparable(b)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+    def hashed(df: DataFrame, sign: int) -> DataFrame:
+        """Two hashes of each row; hashing skips nulls, so where they are is hashed too."""
+        df = missing_as_null(df)
+        texts = [text_of(df, c) for c in df.columns]
+        places = F.concat(F.lit(""), *[F.when(t.isNull(), "1").otherwise("0") for t in texts])
+        return df.select(F.xxhash64(places, *texts).alias("h"), F.xxhash64(F.lit("second"), *texts, places).alias("g"), F.lit(sign).alias("sign"))
+
+    # 16 bytes a row are shuffled, and combined before it.
+    counts = hashed(a, 1).unionByName(hashed(b, -1)).groupBy("h", "g").agg(F.sum("sign").alias("more"))
+    return counts.filter("more <> 0").isEmpty()

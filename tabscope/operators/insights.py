@@ -30,8 +30,8 @@ FENCE = 1.5
 
 # Aggregates per pass: more would leave generated code too large to compile.
 AGGREGATES_PER_PASS = 90
-# Up to here exact distinct counts are cheaper than deciding whether they are needed.
-EXACT_DISTINCT_ROWS = 1_000_000
+# Sketches with a ratio below this put a column far away from being an identifier.
+CLEARLY_REPEATED = 0.5
 # Distinct duplicate hashes that are sent to every task instead of shuffling whole rows.
 BROADCAST_HASHES = 1_000_000
 
@@ -122,8 +122,9 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, facts: Fa
     facts = facts or gather_facts(df.select(*[ref(c) for c in columns]))
     df = missing_as_null(df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
     complete = [facts.present[c] == facts.rows for c in columns]
+    # A column with one value has no correlation; sums about a rounded mean would leave a residue.
     centred = [
-        F.col(f"c{i}") - F.lit(facts.mean[c]) if facts.mean[c] is not None else F.lit(None).cast("double")
+        F.col(f"c{i}") - F.lit(facts.mean[c]) if facts.mean[c] is not None and c not in facts.constant else F.lit(None).cast("double")
         for i, c in enumerate(columns)
     ]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
@@ -268,8 +269,8 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
 def high_cardinality_columns(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """Text columns nearly every row of which has its own value, and all nested columns.
 
-    Sketches decide clear cases; only columns whose estimate lies within five
-    standard errors of the limit are counted exactly.
+    A sketch only rules out columns that are far from the limit; all others are
+    counted exactly, at every size.
     """
     error = 0.02
     texts = text_columns(df)
@@ -277,14 +278,8 @@ def high_cardinality_columns(df: DataFrame, facts: Facts | None = None) -> DataF
     if texts:
         clean = df.select(*[ref(c) for c in texts])
         n = facts.rows if facts else df.count()
-        doubtful = texts
-        if n > EXACT_DISTINCT_ROWS:
-            row = clean.agg(*[F.approx_count_distinct(ref(c), error).alias(f"d{i}") for i, c in enumerate(texts)]).first()
-            ratios = {c: row[f"d{i}"] / n for i, c in enumerate(texts)}
-            found += [c for c in texts if ratios[c] * (1 - 5 * error) > IDENTIFIER_SHARE]
-            doubtful = [
-                c for c in texts if c not in found and ratios[c] * (1 + 5 * error) > IDENTIFIER_SHARE
-            ]
+        row = clean.agg(*[F.approx_count_distinct(ref(c), error).alias(f"d{i}") for i, c in enumerate(texts)]).first()
+        doubtful = [c for i, c in enumerate(texts) if n and row[f"d{i}"] / n >= CLEARLY_REPEATED]
         if doubtful:
             row = clean.agg(*[F.count_distinct(ref(c)).alias(f"d{i}") for i, c in enumerate(doubtful)]).first()
             found += [

@@ -106,8 +106,12 @@ def join_stats(a: DataFrame, b: DataFrame, left_on: str, right_on: str) -> DataF
     nested = is_nested(a.schema[left_on].dataType) or is_nested(b.schema[right_on].dataType)
     if nested:
         return _nested_key_stats(a, b, columns)
-    ha = missing_as_null(a.select(ref(left_on).alias("ka"))).groupBy("ka").agg(F.count("*").alias("ca"))
-    hb = missing_as_null(b.select(ref(right_on).alias("kb"))).groupBy("kb").agg(F.count("*").alias("cb"))
+    a, b = missing_as_null(a.select(ref(left_on).alias("ka"))), missing_as_null(b.select(ref(right_on).alias("kb")))
+    if is_text(a.schema["ka"].dataType) != is_text(b.schema["kb"].dataType):
+        # Text never equals a number; only missing keys meet.
+        a, b = (df.select(F.concat(F.lit(k), ref(k).cast("string")).alias(k)) for df, k in ((a, "ka"), (b, "kb")))
+    ha = a.groupBy("ka").agg(F.count("*").alias("ca"))
+    hb = b.groupBy("kb").agg(F.count("*").alias("cb"))
     keys = ha.join(hb, ha["ka"].eqNullSafe(hb["kb"]), "full").select(
         "ka", "kb", F.coalesce("ca", F.lit(0)).alias("ca"), F.coalesce("cb", F.lit(0)).alias("cb")
     )

@@ -13,7 +13,7 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tabscope.operators import drift
 from tabscope.plans.reports import drift_highlights, drift_report, has_significant_change
@@ -22,9 +22,6 @@ from tabscope.sources import load, write_report
 
 EXIT_OK, EXIT_ERROR, EXIT_SIGNIFICANT = 0, 1, 2
 
-# Tables of a report that are small whatever the data; the rest is written, not printed.
-PRINTED_SEGMENTS = 20
-
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="run_check", description="What changed between two snapshots, and is it real?")
@@ -36,14 +33,27 @@ def _parser() -> argparse.ArgumentParser:
     check.add_argument("--agg", choices=["sum", "mean"], default="sum", help="how the metric is aggregated")
     check.add_argument("--format", choices=["text", "json"], default="text", help="what to print")
     check.add_argument("--out", help="folder to write all report tables to, as JSON rows")
+    check.add_argument("--schema", help="column types of both snapshots, as in CREATE TABLE; spares text formats a pass")
+    check.add_argument("--multi-line", action="store_true", help="cells or records of text formats may span lines; reads each file in one task")
     check.add_argument("--fail-on-significant", action="store_true", help="exit with 2 on a significant change")
     return parser
 
 
+def _print_json(head: dict, tables: dict[str, DataFrame]) -> None:
+    """One JSON object with every row of every table; rows come to the driver partition by partition."""
+    print("{" + ", ".join(f"{json.dumps(k)}: {json.dumps(v)}" for k, v in head.items()), end="")
+    for name, table in tables.items():
+        print(f",\n {json.dumps(name)}: [", end="")
+        for i, row in enumerate(table.toLocalIterator()):
+            print(",\n  " if i else "\n  ", json.dumps(row.asDict(recursive=True), default=str), sep="", end="")
+        print("]", end="")
+    print("\n}")
+
+
 def run_check(spark: SparkSession, args: argparse.Namespace) -> int:
     tune(spark)
     try:
-        pair = drift.pair_of(load(spark, args.before), load(spark, args.after))
+        pair = drift.pair_of(*(load(spark, path, args.schema, args.multi_line or None) for path in (args.before, args.after)))
     except Exception as error:  # noqa: BLE001 - any unreadable input ends the job the same way
         print(f"cannot read the input: {error}", file=sys.stderr)
         return EXIT_ERROR
@@ -60,9 +70,7 @@ def run_check(spark: SparkSession, args: argparse.Namespace) -> int:
         if args.out:
             write_report(report, args.out)
         if args.format == "json":
-            shown = {n: t.limit(PRINTED_SEGMENTS) if n == "driver" else t for n, t in report.items()}
-            tables = {n: [r.asDict(recursive=True) for r in t.collect()] for n, t in shown.items()}
-            print(json.dumps({"metric": metric, "segment": segment, **tables}, indent=2, default=str))
+            _print_json({"metric": metric, "segment": segment}, report)
         else:
             for r in drift_highlights(report).collect():
                 numbers = [f"{x:,.2f}" for x in (r["before"], r["after"]) if x is not None]

@@ -20,39 +20,46 @@ _BOOLEANS = ["True", "TRUE", "true", "False", "FALSE", "false"]
 
 
 def load(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """Read one table.
 
     ``schema`` spares CSV and JSON the pass that finds the types. With
-    ``multi_line`` false a CSV cell cannot span lines and JSON has one record per
-    line; then Spark can split large text files among tasks, which it otherwise
-    has to read file by file.
+    ``multi_line`` a CSV cell may span lines and JSON need not have one record
+    per line; then Spark has to read text files whole, one task each. If it is
+    left out, CSV is split among tasks and JSON is read whole.
     """
     extension = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if extension == "parquet":
         return spark.read.parquet(path)
     if extension == "json":
-        reader = spark.read.option("multiLine", multi_line)
+        reader = spark.read.option("multiLine", multi_line is not False)
         return (reader.schema(schema) if schema else reader).json(path)
     if extension == "csv":
-        return read_csv(spark, path, schema, multi_line)
-    raise ValueError(f"Unsupported file type: .{extension}")
+        return read_csv(spark, path, schema, bool(multi_line))
+    raise ValueError(f"no reader for files ending in .{extension}")
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
 ) -> DataFrame:
     """CSV with a header; number and truth columns are recognised.
 
-    Text that looks like a date stays text, to be converted by choice.
+    Text that looks like a date stays text, to be converted by choice. The marks
+    of a missing value are null with and without a schema.
     """
     reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
     if schema:
-        return reader.schema(schema).csv(path)
+        # Columns of other types are null where the text does not fit, marks included.
+        typed = reader.schema(schema).csv(path)
+        texts = set(text_columns(typed))
+        return typed.select(*[_present(c) if c in texts else ref(c) for c in typed.columns])
     raw = reader.csv(path)
-    present = raw.select(*[F.when(~ref(c).isin(MISSING_MARKS), ref(c)).alias(c) for c in raw.columns])
-    return infer_types(present)
+    return infer_types(raw.select(*[_present(c) for c in raw.columns]))
+
+
+def _present(name: str) -> Column:
+    return F.when(~ref(name).isin(MISSING_MARKS), ref(name)).alias(name)
 
 
 def infer_types(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from tabscope.catalog import check_sql, spark_queries
 from tests.oracle import connect, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -16,10 +17,10 @@ def db():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(spark_queries()))
 def test_query(spark, db, name):
-    frame = driver.queries()[name](spark, FOLDER)
-    sql = driver.oracle_sql().get(name)
+    frame = spark_queries()[name](spark, FOLDER)
+    sql = check_sql().get(name)
     if sql is None:
         assert frame.count() > 0
     else:
@@ -29,7 +30,7 @@ def test_query(spark, db, name):
 
 
 def test_checks_belong_to_queries():
-    assert set(driver.oracle_sql()) <= set(driver.queries())
+    assert set(driver.oracle_sql()) <= set(driver.queries()) >= set(spark_queries())
 
 
 def test_entry(spark):

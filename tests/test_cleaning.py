@@ -1,4 +1,5 @@
 import datetime
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -9,14 +10,14 @@ from tabscope.functions.text import strip, to_number
 from tabscope.operators import cleaning
 from tests.conftest import as_dicts, by
 
-IDS = [1, 2, 3, 3, 4, 5, 6, 7, 8, 9]
-AGES = [25.0, 30.0, 35.0, 35.0, None, 28.0, 32.0, 31.0, 29.0, 500.0]
-CITIES = [" NYC", "LA", "LA", "LA", "SF ", "NYC", "LA", "SF", "NYC", "LA"]
+CODES = [11, 12, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21]
+WEIGHTS = [4.5, 5.3, 5.3, None, 4.8, 5.2, 5.1, 4.9, 77.0, 4.7, 5.3, 5.0]
+PORTS = ["Oslo", "Bari ", "Bari ", "Kiel", "Oslo", "Kiel", " Kiel", "Oslo", "Bari", "Oslo", "Kiel", "Bari"]
 
 
 @pytest.fixture(scope="module")
 def messy(table):
-    return table("id int, age double, city string", list(zip(IDS, AGES, CITIES)))
+    return table("code int, weight double, port string", list(zip(CODES, WEIGHTS, PORTS)))
 
 
 def column(table, values, kind="string"):
@@ -25,18 +26,18 @@ def column(table, values, kind="string"):
 
 def test_detectors(messy):
     issues = {(r["kind"], r["column"]): r for r in as_dicts(cleaning.detect_all_issues(messy))}
-    assert set(issues) == {("duplicates", None), ("missing", "age"), ("outliers", "age"), ("whitespace", "city")}
-    assert (issues["duplicates", None]["count"], issues["duplicates", None]["pct"]) == (1, 10.0)
-    assert (issues["missing", "age"]["count"], issues["missing", "age"]["numeric"]) == (1, True)
+    assert set(issues) == {("duplicates", None), ("missing", "weight"), ("outliers", "weight"), ("whitespace", "port")}
+    assert (issues["duplicates", None]["count"], issues["duplicates", None]["pct"]) == (1, 8.33)
+    assert (issues["missing", "weight"]["count"], issues["missing", "weight"]["numeric"]) == (1, True)
     # The share of outliers is of all rows here, missing values included.
-    assert issues["outliers", "age"]["pct"] == 10.0
-    assert issues["whitespace", "city"]["count"] == 2
+    assert issues["outliers", "weight"]["pct"] == 8.33
+    assert issues["whitespace", "port"]["count"] == 3
     assert cleaning.count_open_issues(cleaning.detect_all_issues(messy)).first()[0] == 4
 
 
 def test_fences_match_pandas(messy):
     found = as_dicts(cleaning.detect_outliers(messy))[0]
-    q1, q3 = pd.Series(AGES).quantile([0.25, 0.75])
+    q1, q3 = pd.Series(WEIGHTS).quantile([0.25, 0.75])
     assert found["lower"] == pytest.approx(q1 - 1.5 * (q3 - q1)) and found["upper"] == pytest.approx(q3 + 1.5 * (q3 - q1))
 
 
@@ -53,10 +54,10 @@ def test_at_most_eight_of_a_kind(table):
 @pytest.mark.parametrize(
     "values, kind",
     [
-        (["10", "20", "30.5", "40"], "type_numeric"),
-        (["2024-01-01", "2024-02-15", "2024-03-20", "2024-04-01"], "type_datetime"),
-        (["10001", "90210", "60601", "73301"], "type_numeric"),
-        (["Alice", "Bob", "Carol", "Dave"], None),
+        (["7", "-3", "0.25", "19"], "type_numeric"),
+        (["2021-06-30", "2021-07-31", "2021-08-31", "2021-09-30"], "type_datetime"),
+        (["04109", "10115", "20095", "50667"], "type_numeric"),
+        (["red", "teal", "ochre", "mauve"], None),
         (["20240105", "20240106", None], "type_datetime"),
         ([None, None], None),
         (["1"] * 95 + ["x"] * 5, "type_numeric"),
@@ -68,10 +69,10 @@ def test_type_issues(table, values, kind):
 
 
 def test_constant_and_empty_columns(table):
-    rows = [("US", None, 1, (1,)), ("US", None, 2, (1,)), ("US", None, 3, (1,))]
-    found = by(cleaning.detect_constant_columns(table("country string, notes string, id int, n struct<a:int>", rows)), "column")
-    assert {c: r["kind"] for c, r in found.items()} == {"country": "constant_column", "notes": "empty_column"}
-    assert found["country"]["value"] == "US"
+    rows = [("kg", None, n, (5,)) for n in range(4)]
+    found = by(cleaning.detect_constant_columns(table("unit string, remark string, no int, n struct<x:int>", rows)), "column")
+    assert {c: r["kind"] for c, r in found.items()} == {"unit": "constant_column", "remark": "empty_column"}
+    assert found["unit"]["value"] == "kg"
 
 
 @pytest.mark.parametrize(
@@ -102,14 +103,14 @@ def test_strip_is_like_python(table, text):
 def test_fixes_leave_the_input_alone(messy):
     before = sorted(messy.collect(), key=str)
     fixed = cleaning.remove_duplicate_rows(messy)
-    assert fixed.count() == 9 and sorted(messy.collect(), key=str) == before
+    assert fixed.count() == 11 and sorted(messy.collect(), key=str) == before
 
 
-@pytest.mark.parametrize("strategy, expected", [("median", 31.0), ("mean", pd.Series(AGES).mean()), ("mode", 35.0), ("zero", 0.0)])
+@pytest.mark.parametrize("strategy, expected", [("median", 5.1), ("mean", pd.Series(WEIGHTS).mean()), ("mode", 5.3), ("zero", 0.0)])
 def test_fill_missing(messy, strategy, expected):
-    filled = cleaning.fill_missing(messy, "age", strategy)
-    assert filled.filter("age is null").count() == 0
-    assert filled.filter("id = 4").first()["age"] == pytest.approx(expected)
+    filled = cleaning.fill_missing(messy, "weight", strategy)
+    assert filled.filter("weight is null").count() == 0
+    assert filled.filter("code = 13").first()["weight"] == pytest.approx(expected)
 
 
 def test_fill_edges(table):
@@ -123,17 +124,17 @@ def test_fill_edges(table):
 
 
 def test_outlier_fixes(messy, table):
-    capped = cleaning.cap_outliers(messy, "age")
-    assert capped.count() == 10 and capped.agg(F.max("age")).first()[0] < 500 and capped.filter("age is null").count() == 1
-    kept = cleaning.remove_outlier_rows(messy, "age")
-    assert kept.count() == 9 and kept.filter("age is null").count() == 1
+    capped = cleaning.cap_outliers(messy, "weight")
+    assert capped.count() == 12 and capped.agg(F.max("weight")).first()[0] < 77 and capped.filter("weight is null").count() == 1
+    kept = cleaning.remove_outlier_rows(messy, "weight")
+    assert kept.count() == 11 and kept.filter("weight is null").count() == 1
     flat = column(table, [5.0, 5.0, 5.0, 5.0, 9.0], "double")
     assert cleaning.cap_outliers(flat, "v").collect() == flat.collect()
 
 
 def test_text_fixes(messy, table):
-    assert {r["city"] for r in cleaning.trim_whitespace(messy, "city").collect()} == {"NYC", "LA", "SF"}
-    assert cleaning.trim_whitespace(messy, "age").collect() == messy.collect()
+    assert {r["port"] for r in cleaning.trim_whitespace(messy, "port").collect()} == {"Oslo", "Bari", "Kiel"}
+    assert cleaning.trim_whitespace(messy, "weight").collect() == messy.collect()
     numbers = cleaning.convert_to_numeric(column(table, ["1", "x", None]), "v")
     assert [r[0] for r in numbers.collect()] == [1.0, None, None]
     dates = cleaning.convert_to_datetime(column(table, ["2024-01-05", "x"]), "v")
@@ -143,9 +144,9 @@ def test_text_fixes(messy, table):
 def test_fixes_in_sequence(messy):
     steps = [
         ("remove_duplicate_rows", {}),
-        ("fill_missing", {"column": "age", "strategy": "median"}),
-        ("cap_outliers", {"column": "age"}),
-        ("trim_whitespace", {"column": "city"}),
+        ("fill_missing", {"column": "weight", "strategy": "median"}),
+        ("cap_outliers", {"column": "weight"}),
+        ("trim_whitespace", {"column": "port"}),
     ]
     assert cleaning.detect_all_issues(cleaning.apply_fixes(messy, steps)).count() == 0
 
@@ -158,3 +159,21 @@ def test_duplicates_of_nested_rows(table):
 def test_date_columns(table):
     df = table("a timestamp, b string, c string, d int", [(datetime.datetime(2024, 1, 1), "2024-01-01", "x", 1)])
     assert cleaning.date_columns(df) == ["a", "b"]
+
+
+def test_missing_is_one_value_for_detecting_and_fixing(table):
+    nan = float("nan")
+    df = table("x double, y string", [(nan, "a"), (None, "a"), (1.0, "b")])
+    assert as_dicts(cleaning.detect_duplicates(df))[0]["count"] == 1
+    assert cleaning.detect_duplicates(cleaning.remove_duplicate_rows(df)).count() == 0
+
+
+def test_fixes_of_whole_columns_change_nothing(table):
+    big = 9007199254740993
+    df = column(table, [big, 3, 4, 5], "bigint")
+    for strategy in ("median", "mean", "mode", "zero"):
+        assert cleaning.fill_missing(df, "v", strategy).collect() == df.collect()
+    even = column(table, [1, 2, 3, 4, 5], "bigint")
+    assert cleaning.cap_outliers(even, "v").schema == even.schema
+    prices = table("v decimal(10,2)", [(Decimal("1.10"),), (Decimal("2.20"),), (None,)])
+    assert sorted(r[0] for r in cleaning.fill_missing(prices, "v", "mean").collect()) == [Decimal("1.10"), Decimal("1.65"), Decimal("2.20")]

@@ -9,20 +9,20 @@ from tabscope.functions.quantiles import exact_quantiles, values_at
 from tabscope.operators import insights, summary
 from tests.conftest import as_dicts, by
 
-PEOPLE = [
-    (25.0, 50000, "Eng", "u1"), (30.0, 60000, "Eng", "u2"), (35.0, 70000, "HR", "u3"), (28.0, 52000, "HR", "u4"),
-    (None, 58000, "Sales", "u5"), (32.0, 61000, "Eng", "u6"), (200.0, 90000, "HR", "u7"),
+WELLS = [
+    (12.5, 310, "north", "w-1"), (14.0, 290, "south", "w-2"), (None, 305, "south", "w-3"), (13.2, 322, "north", "w-4"),
+    (15.1, 298, "east", "w-5"), (12.9, 301, "north", "w-6"), (14.4, 315, "east", "w-7"), (13.7, 287, "south", "w-8"), (96.0, 640, "north", "w-9"),
 ]
 
 
 @pytest.fixture(scope="module")
-def people(table):
-    return table("age double, salary bigint, department string, user_id string", PEOPLE)
+def wells(table):
+    return table("depth double, flow bigint, crew string, tag string", WELLS)
 
 
 @pytest.fixture(scope="module")
 def nested(table):
-    return table("id int, meta struct<a:int>, val double", [(1, (1,), 1.0), (2, (2,), 2.0), (2, (2,), 2.0)])
+    return table("key int, spot struct<x:int>, reading double", [(7, (3,), 0.5), (8, (4,), 1.5), (8, (4,), 1.5), (8, (4,), 1.5)])
 
 
 # ── quantiles ────────────────────────────────────────────────────────────────
@@ -75,28 +75,28 @@ def test_quantiles_of_nothing(table):
 # ── insights ─────────────────────────────────────────────────────────────────
 
 
-def test_insights_of_people(people):
-    rows = as_dicts(insights.generate_insights(people))
+def test_insights_of_wells(wells):
+    rows = as_dicts(insights.generate_insights(wells))
     kinds = lambda kind: [r for r in rows if r["kind"] == kind]
     shape = {r["column"]: r["count"] for r in kinds("shape")}
-    assert shape == {"rows": 7, "columns": 4, "numeric": 2, "categorical": 2, "datetime": 0, "boolean": 0}
-    assert [(r["column"], r["value"]) for r in kinds("missing")] == [("age", 14.29)]
-    assert "age" in [r["column"] for r in kinds("outliers")]
-    assert [r["column"] for r in kinds("high_cardinality")] == ["user_id"]
+    assert shape == {"rows": 9, "columns": 4, "numeric": 2, "categorical": 2, "datetime": 0, "boolean": 0}
+    assert [(r["column"], r["value"]) for r in kinds("missing")] == [("depth", 11.11)]
+    assert [r["column"] for r in kinds("outliers")] == ["depth", "flow"]
+    assert [r["column"] for r in kinds("high_cardinality")] == ["tag"]
     assert kinds("duplicates")[0]["count"] == 0
     top = kinds("correlation")[0]
-    assert (top["column"], top["column2"]) == ("salary", "age") and abs(top["value"]) <= 1
+    assert (top["column"], top["column2"]) == ("flow", "depth") and 0.9 < top["value"] <= 1
 
 
-def test_outlier_share_is_of_present_values(people):
-    assert as_dicts(insights.outlier_columns(people))[0] == {"column": "age", "count": 1, "pct": 16.67}
+def test_outlier_share_is_of_present_values(wells):
+    assert as_dicts(insights.outlier_columns(wells))[0] == {"column": "depth", "count": 1, "pct": 12.5}
 
 
 def test_nested_columns(nested):
-    assert [r[0] for r in insights.high_cardinality_columns(nested).collect()] == ["meta"]
-    assert insights.duplicate_rows(nested).first()[0] == 1
+    assert [r[0] for r in insights.high_cardinality_columns(nested).collect()] == ["spot"]
+    assert insights.duplicate_rows(nested).first()[0] == 2
     distinct = by(insights.distinct_counts(nested), "column")
-    assert (distinct["id"]["n_distinct"], distinct["meta"]["n_distinct"]) == (2, None)
+    assert (distinct["key"]["n_distinct"], distinct["spot"]["n_distinct"]) == (2, None)
     assert insights.generate_insights(nested).count() > 0
 
 
@@ -107,8 +107,7 @@ def test_duplicates_tell_missing_places_apart(table, monkeypatch, limit):
     assert insights.duplicate_rows(table("x string, y string", rows)).first()[0] == 2
 
 
-def test_high_cardinality_with_sketches(spark, monkeypatch):
-    monkeypatch.setattr(insights, "EXACT_DISTINCT_ROWS", 100)
+def test_sketches_never_decide_alone(spark):
     df = spark.range(2000).select(
         F.col("id").cast("string").alias("unique"),
         (F.col("id") % 1790).cast("string").alias("below"),
@@ -131,6 +130,13 @@ def test_correlations_match_pandas_pairwise(table):
         insights.correlation_matrix(table("a int, t string", [(1, "x")]), ["a", "t"])
 
 
+def test_a_constant_has_no_correlation(spark):
+    df = spark.range(1000).select(F.lit(0.1).alias("a"), F.col("id").cast("double").alias("b"), (F.col("id") % 7).alias("c"))
+    found = {(r["column"], r["column2"]): r["correlation"] for r in as_dicts(insights.correlation_matrix(df))}
+    assert all((v is None) == ("a" in k) for k, v in found.items())
+    assert [(r["column"], r["column2"]) for r in as_dicts(insights.strongest_correlations(df))] == [("c", "b")]
+
+
 def test_wide_correlation_takes_several_passes(spark):
     df = spark.range(50).select(*[((F.col("id") * (i + 3)) % (i + 7)).alias(f"c{i}") for i in range(20)])
     assert insights.correlation_pairs(df).count() == 190
@@ -170,24 +176,24 @@ def test_summary_of_dates(table):
     assert stat(found, "t", "25%", "text").startswith("2024-01-01T12:00:00")
 
 
-MIXED = [
-    (25.0, "Eng", True, datetime.datetime(2024, 1, 1)), (30.0, "Eng", True, datetime.datetime(2024, 2, 1)),
-    (None, "HR", False, None), (35.0, "Eng", True, datetime.datetime(2024, 3, 1)),
-    (25.0, "Sales", True, datetime.datetime(2024, 4, 1)), (40.0, "HR", False, datetime.datetime(2024, 5, 1)),
+TRIPS = [
+    (4.0, "A", False, datetime.datetime(2023, 5, 3)), (11.0, "B", True, datetime.datetime(2023, 5, 9)), (7.5, "A", False, None),
+    (None, "C", True, datetime.datetime(2023, 6, 2)), (4.0, "A", True, datetime.datetime(2023, 7, 11)),
+    (19.5, "B", False, datetime.datetime(2023, 8, 30)), (8.0, "A", True, datetime.datetime(2023, 5, 3)), (9.0, "C", True, datetime.datetime(2023, 9, 1)),
 ]
 
 
 def test_profiles(table):
-    df = table("age double, department string, active boolean, signup timestamp", MIXED)
-    age = {r["statistic"]: r["number"] for r in as_dicts(summary.profile_column(df, "age"))}
-    assert (age["count"], age["missing"], age["missing_pct"]) == (6, 1, 16.67)
-    assert (age["mean"], age["min"], age["max"], age["median"]) == (31, 25, 40, 30)
-    department = as_dicts(summary.profile_column(df, "department"))
-    assert [(r["value"], r["number"]) for r in department if r["statistic"] == "frequency"][0] == ("Eng", 3)
-    active = {r["value"]: r["number"] for r in as_dicts(summary.profile_column(df, "active")) if r["statistic"] == "frequency"}
-    assert active == {"true": 4, "false": 2}
-    signup = {r["statistic"]: r["value"] for r in as_dicts(summary.profile_column(df, "signup"))}
-    assert signup["min"] == "2024-01-01T00:00:00" and signup["max"] == "2024-05-01T00:00:00"
+    df = table("km double, line string, express boolean, left timestamp", TRIPS)
+    km = {r["statistic"]: r["number"] for r in as_dicts(summary.profile_column(df, "km"))}
+    assert (km["count"], km["missing"], km["missing_pct"]) == (8, 1, 12.5)
+    assert (km["mean"], km["min"], km["max"], km["median"]) == (9, 4, 19.5, 8)
+    line = as_dicts(summary.profile_column(df, "line"))
+    assert [(r["value"], r["number"]) for r in line if r["statistic"] == "frequency"][0] == ("A", 4)
+    express = {r["value"]: r["number"] for r in as_dicts(summary.profile_column(df, "express")) if r["statistic"] == "frequency"}
+    assert express == {"true": 5, "false": 3}
+    left = {r["statistic"]: r["value"] for r in as_dicts(summary.profile_column(df, "left"))}
+    assert left["min"] == "2023-05-03T00:00:00" and left["max"] == "2023-09-01T00:00:00"
 
 
 def test_profile_of_single_and_missing_values(table):
@@ -198,10 +204,10 @@ def test_profile_of_single_and_missing_values(table):
 
 
 def test_profile_of_nested_values(nested):
-    rows = as_dicts(summary.profile_column(nested, "meta"))
+    rows = as_dicts(summary.profile_column(nested, "spot"))
     assert next(r["number"] for r in rows if r["statistic"] == "unique") is None
-    assert [(r["value"], r["number"]) for r in rows if r["statistic"] == "frequency"][0] == ('{"a":2}', 2)
-    assert summary.profile_bars(nested, "meta") is None
+    assert [(r["value"], r["number"]) for r in rows if r["statistic"] == "frequency"][0] == ('{"x":4}', 3)
+    assert summary.profile_bars(nested, "spot") is None
 
 
 # ── chart data ───────────────────────────────────────────────────────────────

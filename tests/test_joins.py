@@ -11,24 +11,29 @@ HOW = ["inner", "left", "right", "outer"]
 
 
 @pytest.fixture(scope="module")
-def shop(table):
-    customers = table("customer_id int, name string", [(1, "A"), (2, "B"), (3, "C"), (4, "D")])
-    orders = table("order_id int, customer_id int, amount int", [(100, 1, 10), (101, 2, 20), (102, 2, 30)])
-    return customers, orders
+def harbour(table):
+    berths = table("berth int, pier string", [(n, f"pier {n % 2}") for n in range(21, 26)])
+    calls = table("call int, berth int, tons int", [(1, 21, 5), (2, 21, 6), (3, 23, 7), (4, 23, 8), (5, 26, 9)])
+    return berths, calls
 
 
-@pytest.mark.parametrize("how, rows", [("inner", 3), ("left", 5), ("right", 3), ("outer", 5)])
-def test_row_counts(shop, how, rows):
-    joined = join_dataframes(*shop, "customer_id", "customer_id", how)
+@pytest.mark.parametrize("how, rows", [("inner", 4), ("left", 7), ("right", 5), ("outer", 8)])
+def test_row_counts(harbour, how, rows):
+    joined = join_dataframes(*harbour, "berth", "berth", how)
     assert joined.count() == rows
-    assert joined.columns == ["customer_id", "name", "order_id", "amount"]
+    assert joined.columns == ["berth", "pier", "call", "tons"]
 
 
-def test_stats_know_the_size_before_the_join(shop):
-    stats = by(join_stats(*shop, "customer_id", "customer_id"), "how")
-    assert [stats[h]["rows_result"] for h in HOW] == [3, 5, 3, 5]
-    assert stats["left"]["match_rate"] == 0.5
-    assert (stats["left"]["rows_a"], stats["left"]["rows_b"], stats["left"]["columns_result"]) == (4, 3, 4)
+def test_stats_know_the_size_before_the_join(harbour):
+    stats = by(join_stats(*harbour, "berth", "berth"), "how")
+    assert [stats[h]["rows_result"] for h in HOW] == [4, 7, 5, 8]
+    assert stats["left"]["match_rate"] == 0.4
+    assert (stats["left"]["rows_a"], stats["left"]["rows_b"], stats["left"]["columns_result"]) == (5, 5, 4)
+
+
+def test_text_never_meets_numbers(harbour):
+    stats = by(join_stats(*harbour, "pier", "berth"), "how")
+    assert stats["inner"]["rows_result"] == 0 and stats["outer"]["rows_result"] == 10 and stats["left"]["match_rate"] == 0
 
 
 def brute(a, b, how):

@@ -18,7 +18,7 @@ def test_csv_types_and_missing_marks(spark, tmp_path):
         tmp_path / "t.csv",
         'id,price,ok,day,name\n1,1.5,True,2024-01-05,"a, b"\n2,NA,False,2024-02-01,n/a\n3,,True,,"two\nlines"\n',
     )
-    df = load(spark, path)
+    df = load(spark, path, multi_line=True)
     assert dict(df.dtypes) == {"id": "bigint", "price": "double", "ok": "boolean", "day": "string", "name": "string"}
     rows = df.orderBy("id").collect()
     assert [r["price"] for r in rows] == [1.5, None, None]
@@ -107,3 +107,19 @@ def test_type_classes(table):
     assert select_by_class(df, ["numeric"]).columns == ["a", "b"]
     assert select_by_class(df, ["categorical"]).columns == ["c", "g"]
     assert select_by_class(df, ["datetime", "boolean"]).columns == ["d", "e", "f"]
+
+
+def test_csv_with_and_without_a_schema_is_the_same(spark, tmp_path):
+    path = write(tmp_path / "s.csv", "id,price,name\n1,1.5,x\n2,NA,None\n3,,n/a\n")
+    found = load(spark, path)
+    given = load(spark, path, schema="id bigint, price double, name string")
+    assert sorted(found.collect()) == sorted(given.collect()) and found.dtypes == given.dtypes
+
+
+def test_large_csv_is_split_among_tasks(spark, tmp_path):
+    path = write(tmp_path / "large.csv", "id,name\n" + "".join(f"{i},row {i}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert load(spark, path, schema="id bigint, name string").rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
