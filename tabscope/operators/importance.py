@@ -1,20 +1,20 @@
-"""Which columns predict a target: importances of a random forest."""
+"""Which columns predict a target: importances of a random forest, and the forest as a model that scores tables."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.columns import is_numeric, missing_as_null, ref, require, small_table, text_of
-from tabscope.functions.quantiles import exact_quantiles, values_at
+from tabscope.functions.quantiles import exact_quantiles
 from tabscope.session import cut_lineage
 
 MIN_ROWS = 20
@@ -24,12 +24,13 @@ DEPTH = 8
 SEED = 42
 TEST_SHARE = 0.25
 CODE_VALUES = 10
-# More classes than this make a target an identifier rather than a category.
-MAX_CLASSES = 100
-# Text columns with more distinct values are numbered by a join instead of a dictionary in the model.
-DICTIONARY_VALUES = 10_000
+# Rows of one part of the training table; parts follow the number of rows, so the forest is the same on every cluster.
+ROWS_PER_PART = 2000
+MOST_PARTS = 10_000
 # Text that stands for a missing value; it is a category of its own.
 MISSING_TEXT = "nan"
+# Code of a text that the training rows do not have.
+UNSEEN = -1.0
 
 TABLE_SCHEMA = (
     "applicable boolean, reason string, target string, task string, score_name string, score double, "
@@ -37,13 +38,63 @@ TABLE_SCHEMA = (
 )
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """A trained forest with all it takes to score raw rows.
+
+    ``features`` is (position, feature, kind, median) with kind number, truth or
+    text; ``codes`` is (feature, value, code) for the texts; ``classes`` is
+    (label, value), empty for a quantity.
+    """
+
+    model: RandomForestClassificationModel | RandomForestRegressionModel
+    features: DataFrame
+    codes: DataFrame
+    classes: DataFrame
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        """``df`` with the vector of its features; numbers are filled with medians, texts are looked up."""
+        rows = self.features.orderBy("position").collect()  # one per feature
+        out = missing_as_null(df)
+        require(out, *(r["feature"] for r in rows))
+        for r in rows:
+            name = f"__f{r['position']}"
+            if r["kind"] == "text":
+                codes = self.codes.filter(F.col("feature") == r["feature"]).select(F.col("value").alias("__value"), F.col("code").alias(name))
+                out = out.join(codes, _feature_text(out, r["feature"]) == F.col("__value"), "left").drop("__value")
+                out = out.withColumn(name, F.coalesce(name, F.lit(UNSEEN)))
+            else:
+                out = out.withColumn(name, F.coalesce(ref(r["feature"]).cast("double"), F.lit(r["median"]), F.lit(0.0)))
+        inputs = [f"__f{r['position']}" for r in rows]
+        return VectorAssembler(inputCols=inputs, outputCol="__features").transform(out).drop(*inputs)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``prediction``: the likeliest class's text, or the expected quantity."""
+        keep = [F.col(f"`{c}`") for c in df.columns if c != "prediction"]
+        scored = self.model.transform(self.encode(df.drop("prediction")))
+        if isinstance(self.model, RandomForestRegressionModel):
+            return scored.select(*keep, "prediction")
+        classes = self.classes.select(F.col("label").alias("prediction"), F.col("value").alias("__class"))
+        return scored.join(classes, "prediction").select(*keep, F.col("__class").alias("prediction"))
+
+    def save(self, folder: str) -> None:
+        self.model.write().overwrite().save(f"{folder}/forest")
+        for name in ("features", "codes", "classes"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    @staticmethod
+    def load(spark: SparkSession, folder: str) -> Scorer:
+        tables = {name: spark.read.parquet(f"{folder}/{name}") for name in ("features", "codes", "classes")}
+        kind = RandomForestRegressionModel if tables["classes"].isEmpty() else RandomForestClassificationModel
+        return Scorer(kind.load(f"{folder}/forest"), **tables)
+
+
 @dataclass(frozen=True)
 class Importance:
-    """``table`` is the result; ``model`` with ``codes`` (value to number tables of very wide text columns) scores new rows."""
+    """``table`` is the result; ``model`` scores tables with the same columns."""
 
     table: DataFrame
-    model: PipelineModel | None = None
-    codes: dict[str, DataFrame] = field(default_factory=dict)
+    model: Scorer | None = None
 
 
 def is_classification_target(df: DataFrame, target: str) -> bool:
@@ -72,75 +123,56 @@ def rank_codes(values: DataFrame) -> DataFrame:
         .select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
     )
     sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # one row per partition
-    starts, total = [], 0
-    for part in sorted(sizes):
-        starts += [F.lit(part), F.lit(total)]
-        total += sizes[part]
-    if not starts:
+    if not sizes:
         return placed.select("value", F.lit(0.0).alias("code"))
-    start = F.create_map(*starts)[F.col("part")]
+    starts, total = [], 0
+    for part in range(max(sizes) + 1):
+        starts.append(total)
+        total += sizes.get(part, 0)
+    start = F.lit(starts)[F.col("part")]
     return placed.select("value", (start + F.col("place").bitwiseAND(F.lit(low_bits))).cast("double").alias("code"))
 
 
+def ranked_within(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """Adds each row's place in its group, from 0, in the given order; rows that tie get different places.
+
+    Rows are range-partitioned, so a group of any size is sorted by many tasks;
+    its places in a partition follow those of its rows in earlier ones.
+    """
+    spread = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    placed = cut_lineage(spread.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__place")))
+    parts = placed.groupBy(group, "__part").agg(F.min("__place").alias("__first"), F.count("*").alias("__size"))
+    earlier = F.sum("__size").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("__before", F.coalesce(earlier, F.lit(0))).drop("__size")
+    ranked = placed.join(parts, [group, "__part"]).withColumn(name, F.col("__before") + F.col("__place") - F.col("__first"))
+    return ranked.drop("__part", "__place", "__first", "__before")
+
+
 def _feature_text(df: DataFrame, column: str) -> Column:
     return F.coalesce(text_of(df, column), F.lit(MISSING_TEXT))
 
 
-def _encode(df: DataFrame, features: list[str]) -> tuple[DataFrame, list, list[str], dict[str, DataFrame]]:
-    """Feature columns as numbers: rows to feed a pipeline, its first stages, its input columns, code tables."""
-    numbers = [c for c in features if is_numeric(df.schema[c].dataType)]
-    medians = exact_quantiles(df, numbers, [0.5])
-    texts = [c for c in features if c not in numbers and not isinstance(df.schema[c].dataType, T.BooleanType)]
-    distinct = {}
-    if texts:
-        row = df.agg(*[F.approx_count_distinct(_feature_text(df, c)).alias(f"d{i}") for i, c in enumerate(texts)]).first()
-        distinct = {c: row[f"d{i}"] for i, c in enumerate(texts)}
-    columns, small, codes, inputs = [], [], {}, []
-    for i, c in enumerate(features):
-        if c in numbers:
-            columns.append(F.coalesce(ref(c).cast("double"), F.lit(medians[c][0]), F.lit(0.0)).alias(f"f{i}"))
-        elif c not in distinct:
-            columns.append(F.coalesce(ref(c).cast("double"), F.lit(0.0)).alias(f"f{i}"))
-        else:
-            columns.append(_feature_text(df, c).alias(f"t{i}"))
-            if distinct[c] <= DICTIONARY_VALUES:
-                small.append(i)
-            else:
-                codes[c] = rank_codes(df.select(_feature_text(df, c).alias("value")))
-        inputs.append(f"f{i}")
-    rows = df.select("__label", "__draw", *columns)
-    for i, c in enumerate(features):
-        if c in codes:
-            table = codes[c].select(F.col("value").alias(f"t{i}"), F.col("code").alias(f"f{i}"))
-            rows = rows.join(table, f"t{i}").drop(f"t{i}")
-    stages: list = []
-    if small:
-        stages.append(
-            StringIndexer(
-                inputCols=[f"t{i}" for i in small], outputCols=[f"i{i}" for i in small],
-                stringOrderType="alphabetAsc", handleInvalid="keep",
-            )
-        )
-        # Adding zero drops the "nominal" mark: codes are split as ordered numbers.
-        plain = ", ".join(f"i{i} + 0.0D AS f{i}" for i in small)
-        stages.append(SQLTransformer(statement=f"SELECT *, {plain} FROM __THIS__"))
-    return rows, stages, inputs, codes
-
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """Growing trees is bound by computing: a table in fewer parts than there are cores is dealt out to all."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
-def _test_sizes(counts: dict[float, int], n_test: int) -> dict[float, int]:
-    """Share ``n_test`` out over the classes in proportion, largest remainders first."""
-    total = sum(counts.values())
-    exact = {c: n * n_test / total for c, n in counts.items()}
-    sizes = {c: math.floor(x) for c, x in exact.items()}
-    for c in sorted(counts, key=lambda c: (sizes[c] - exact[c], c))[: n_test - sum(sizes.values())]:
-        sizes[c] += 1
-    return sizes
+def _encoding(df: DataFrame, features: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """The features with their kinds and medians, and the codes of all text features.
+
+    ``df`` has the features under the names that are the keys.
+    """
+    kinds = {c: "number" if is_numeric(df.schema[c].dataType) else "truth" if isinstance(df.schema[c].dataType, T.BooleanType) else "text" for c in features}
+    medians = exact_quantiles(df, [c for c, k in kinds.items() if k == "number"], [0.5])
+    rows = [(i, features[c], k, medians[c][0] if k == "number" else None) for i, (c, k) in enumerate(kinds.items())]
+    spark = df.sparkSession
+    codes = [rank_codes(df.select(_feature_text(df, c).alias("value"))).select(F.lit(features[c]).alias("feature"), "value", "code") for c, k in kinds.items() if k == "text"]
+    empty = small_table(spark, [], "feature string, value string, code double")
+    return small_table(spark, rows, "position int, feature string, kind string, median double"), cut_lineage(reduce(DataFrame.unionByName, codes, empty))
+
+
+def _test_sizes(counts: DataFrame, total: int, n_test: int) -> DataFrame:
+    """Share ``n_test`` out over classes (label, count) in proportion, largest remainders first: (label, in_test)."""
+    exact = F.col("count") * n_test / total
+    parts = cut_lineage(counts.select("label", F.floor(exact).alias("whole"), (exact - F.floor(exact)).alias("part")))
+    left = n_test - (parts.agg(F.sum("whole")).first()[0] or 0)
+    more = parts.orderBy(F.desc("part"), "label").limit(int(left)).select("label", F.lit(1).alias("more"))
+    return parts.join(more, "label", "left").select("label", (F.col("whole") + F.coalesce("more", F.lit(0))).alias("in_test"))
 
 
 def predict_importance(
@@ -165,53 +197,56 @@ def predict_importance(
         return Importance(small_table(spark, [row], TABLE_SCHEMA))
 
     working = missing_as_null(df).na.drop(subset=[target])
-    features = [c for c in df.columns if c != target]
-    n = working.count()
+    names = {f"x{i}": c for i, c in enumerate(c for c in df.columns if c != target)}
+    kind = text_of(working, target)
+    if key is None:
+        draws = [F.rand(seed).alias("draw"), F.rand(seed + 1).alias("tie")]
+    else:
+        # Rows with one key are told apart by all their values.
+        everything = [text_of(working, c) for c in working.columns]
+        draws = [F.xxhash64(*[ref(c) for c in key], F.lit(seed)).alias("draw"), F.xxhash64(*everything, F.lit(seed)).alias("tie")]
+    # Everything after this reads these rows, whatever happens to executors.
+    marked = cut_lineage(working.select(*draws, ref(target).alias("y"), kind.alias("kind"), *[ref(c).alias(x) for x, c in names.items()]))
+    n = marked.count()
     if n < MIN_ROWS:
         return refused(f"at least {MIN_ROWS} rows with a target are needed")
-    classify = is_classification_target(working, target)
-    counts: dict[float, int] = {0.0: n}
-    label: Column = ref(target).cast("double")
+    classify = is_classification_target(marked, "y")
+    classes = small_table(spark, [], "label double, value string")
     if classify:
-        kind = text_of(working, target)
-        found = working.groupBy(kind.alias("kind")).count().orderBy("kind").take(MAX_CLASSES + 1)
-        if len(found) < 2:
+        found = marked.groupBy("kind").count()
+        smallest = found.agg(F.count("*").alias("n"), F.min("count").alias("least")).first()
+        if smallest["n"] < 2:
             return refused("the target has only one distinct value")
-        if len(found) > MAX_CLASSES:
-            return refused(f"the target has more than {MAX_CLASSES} classes")
-        if min(r["count"] for r in found) < 2:
+        if smallest["least"] < 2:
             return refused("every class needs at least two rows")
-        counts = {float(i): r["count"] for i, r in enumerate(found)}
-        names = F.array(*[F.lit(r["kind"]) for r in found])
-        label = (F.array_position(names, kind) - 1).cast("double")
-    if not features:
+        classes = cut_lineage(rank_codes(found.select(F.col("kind").alias("value"))).select(F.col("code").alias("label"), "value"))
+        labelled = marked.join(classes.withColumnRenamed("value", "kind"), "kind").drop("kind", "y").withColumn("stratum", F.col("label"))
+    else:
+        labelled = marked.withColumn("label", F.col("y").cast("double")).drop("kind", "y").withColumn("stratum", F.lit(0.0))
+    if not names:
         return refused("no other columns can serve as features")
 
-    draw = F.rand(seed) if key is None else F.xxhash64(*[ref(c) for c in key], F.lit(seed)).cast("double")
-    marked = working.withColumn("__label", label).withColumn("__draw", draw)
-    rows, stages, inputs, codes = _encode(marked, features)
-    # Everything after this reads the same materialised rows, whatever happens to executors.
-    rows = _spread(cut_lineage(rows))
-
-    stratum = F.col("__label") if classify else F.lit(0.0)
-    sizes = _test_sizes(counts, math.ceil(TEST_SHARE * n))
-    tested = [c for c, size in sizes.items() if size]
-    cuts = values_at(rows, [(F.when(stratum == c, F.col("__draw")), sizes[c] - 1, counts[c]) for c in tested])
-    in_test = F.lit(False)
-    for c, cut in zip(tested, cuts):
-        in_test = in_test | ((stratum == c) & (F.col("__draw") <= F.lit(cut)))
-
-    forest = RandomForestClassifier if classify else RandomForestRegressor
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    encoder = Pipeline(stages=stages).fit(rows)
-    vectors = encoder.transform(rows).select("features", "__label", in_test.alias("in_test")).persist()
+    ranked = ranked_within(labelled, "stratum", ["draw", "tie"], "rank")
+    counts = labelled.groupBy(F.col("stratum").alias("label")).count()
+    sizes = _test_sizes(counts, n, math.ceil(TEST_SHARE * n)).withColumnRenamed("label", "stratum")
+    split = ranked.join(sizes, "stratum").withColumn("in_test", F.col("rank") < F.col("in_test")).drop("rank", "stratum")
+
+    features, codes = _encoding(marked, names)
+    encoder = Scorer(None, features.withColumn("feature", F.concat(F.lit("x"), "position")), *_renamed(codes, names), classes)
+    parts = min(MOST_PARTS, -(-n // ROWS_PER_PART))
+    label = F.col("label")
+    if classify:
+        label = label.alias("label", metadata={"ml_attr": {"type": "nominal", "num_vals": smallest["n"]}})
+    vectors = encoder.encode(split).select(F.col("__features"), label, "in_test", "draw", "tie")
+    vectors = vectors.repartition(parts, "draw").sortWithinPartitions("draw", "tie").persist()
     try:
+        forest = RandomForestClassifier if classify else RandomForestRegressor
         model = forest(
-            labelCol="__label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed,
+            labelCol="label", featuresCol="__features", numTrees=trees, maxDepth=depth, seed=seed,
             featureSubsetStrategy="sqrt" if classify else "all",
         ).fit(vectors.filter(~F.col("in_test")))
         scored = model.transform(vectors.filter("in_test"))
-        y, guess = F.col("__label"), F.col("prediction")
+        y, guess = F.col("label"), F.col("prediction")
         sums = scored.agg(
             F.count("*").alias("n_test"),
             F.avg((y == guess).cast("double")).alias("accuracy"),
@@ -225,9 +260,14 @@ def predict_importance(
     else:
         name, score = "r2", 1 - sums["missed"] / sums["spread"] if sums["spread"] else 0.0
     weights = model.featureImportances.toArray()
-    ranked = sorted(zip(features, weights), key=lambda pair: (-pair[1], pair[0]))[:max_features]
+    ordered = sorted(zip(names.values(), weights), key=lambda pair: (-pair[1], pair[0]))[:max_features]
     head = (True, None, target, "classification" if classify else "regression", name, round(float(score), 4))
     sizes_ = (n, n - sums["n_test"], sums["n_test"])
-    records = [(*head, *sizes_, i + 1, c, round(float(w), 4)) for i, (c, w) in enumerate(ranked)]
-    whole = PipelineModel(stages=[*encoder.stages, model])
-    return Importance(small_table(spark, records, TABLE_SCHEMA), whole, codes)
+    records = [(*head, *sizes_, i + 1, c, round(float(w), 4)) for i, (c, w) in enumerate(ordered)]
+    return Importance(small_table(spark, records, TABLE_SCHEMA), Scorer(model, features, codes, classes))
+
+
+def _renamed(codes: DataFrame, names: dict[str, str]) -> tuple[DataFrame]:
+    """Codes under the working names of the features."""
+    pairs = small_table(codes.sparkSession, [(c, x) for x, c in names.items()], "feature string, x string")
+    return (codes.join(F.broadcast(pairs), "feature").select(F.col("x").alias("feature"), "value", "code"),)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscope.columns import is_numeric, ref
 from tabscope.functions.quantiles import BUFFER_ROWS, values_at
+from tabscope.operators.importance import Scorer
 
 EXPORT_CAP = 20_000
 SAMPLE_CAP = 5_000
@@ -79,9 +79,10 @@ def preview(df: DataFrame, order_by: list[str], n: int = PREVIEW_ROWS) -> DataFr
     return df.orderBy(*[ref(c) for c in order_by]).limit(n)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Scorer, path: str) -> None:
+    """Everything needed to score raw rows, as one folder."""
+    model.save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> Scorer:
+    return Scorer.load(spark, path)

@@ -77,8 +77,16 @@ def test_classification(signal, tmp_path):
     assert rows[0]["column"] == "strong" and rows[0]["task"] == "classification" and rows[0]["score"] > 0.6
     assert (rows[0]["n_rows_used"], rows[0]["n_train"], rows[0]["n_test"]) == (200, 150, 50)
     assert sum(r["importance"] for r in rows) == pytest.approx(1.0, abs=1e-3)
-    save_model(found.model, str(tmp_path / "model"))
-    assert len(load_model(str(tmp_path / "model")).stages) == len(found.model.stages)
+
+
+def test_a_saved_model_scores_raw_rows(spark, signal, tmp_path):
+    for target, other in (("label", "amount"), ("amount", "label")):
+        found = importance.predict_importance(signal.drop(other), target, key=["id"], trees=10)
+        save_model(found.model, str(tmp_path / target))
+        fresh = signal.withColumn("category", F.when(F.col("id") % 7 == 0, "unseen").otherwise(F.col("category"))).drop(other)
+        scores = [sorted(m.score(fresh).select("id", "prediction").collect()) for m in (found.model, load_model(spark, str(tmp_path / target)))]
+        assert scores[0] == scores[1] and len(scores[0]) == 200
+    assert {r[1] for r in load_model(spark, str(tmp_path / "label")).score(signal).select("id", "prediction").collect()} == {"0", "1"}
 
 
 def test_regression_with_reproducible_split(signal):
@@ -89,10 +97,23 @@ def test_regression_with_reproducible_split(signal):
     assert (rows[0]["n_train"], rows[0]["n_test"]) == (as_dicts(again.table)[0]["n_train"], as_dicts(again.table)[0]["n_test"])
 
 
-def test_wide_text_columns_are_numbered_by_a_join(signal, monkeypatch):
-    monkeypatch.setattr(importance, "DICTIONARY_VALUES", 2)
-    found = importance.predict_importance(signal.select("strong", "category", "label"), "label", trees=10)
-    assert set(found.codes) == {"category"} and as_dicts(found.table)[0]["n_rows_used"] == 200
+def test_places_in_groups_are_exact_where_draws_tie(spark):
+    rows = spark.range(3000).select(F.col("id"), (F.col("id") % 3 == 0).cast("double").alias("g"), (F.col("id") % 7).alias("draw"), F.xxhash64("id").alias("tie"))
+    found = importance.ranked_within(rows.repartition(7), "g", ["draw", "tie"], "place")
+    again = importance.ranked_within(rows.repartition(3), "g", ["draw", "tie"], "place")
+    places = {r["id"]: r["place"] for r in found.collect()}
+    assert places == {r["id"]: r["place"] for r in again.collect()}
+    for g in (0.0, 1.0):
+        own = [(r["draw"], r["tie"], r["id"]) for r in rows.where(F.col("g") == g).collect()]
+        assert [places[i] for _, _, i in sorted(own)] == list(range(len(own)))
+
+
+def test_the_split_is_exact_under_few_keys(signal):
+    few = signal.withColumn("k", F.col("id") % 7).drop("amount", "id")
+    for key in (["k"], ["category"]):
+        assert as_dicts(importance.predict_importance(few, "label", key=key, trees=3).table)[0]["n_test"] == 50
+    constant = few.withColumn("one", F.lit(1))
+    assert as_dicts(importance.predict_importance(constant, "label", key=["one"], trees=3).table)[0]["n_test"] == 50
 
 
 def test_rank_codes_are_places_in_text_order(spark):
@@ -112,11 +133,12 @@ def test_importance_does_not_apply(table, rows, word):
     assert len(found) == 1 and found[0]["applicable"] is False and word in found[0]["reason"]
 
 
-def test_importance_needs_features_and_few_classes(table):
-    rows = [(i % 2, f"name{i // 2}") for i in range(300)]
+def test_importance_needs_features_and_takes_many_classes(table):
+    rows = [(i // 2, f"name{i // 2}") for i in range(300)]
     df = table("y int, name string", rows)
-    assert "features" in as_dicts(importance.predict_importance(df.select("y"), "y").table)[0]["reason"]
-    assert "classes" in as_dicts(importance.predict_importance(df, "name").table)[0]["reason"]
+    assert "features" in as_dicts(importance.predict_importance(df.select("name"), "name").table)[0]["reason"]
+    many = as_dicts(importance.predict_importance(df, "name", trees=3).table)[0]
+    assert many["applicable"] and (many["task"], many["n_test"]) == ("classification", 75)
 
 
 @pytest.mark.parametrize(
@@ -127,6 +149,7 @@ def test_task_detection(table, kind, values, expected):
     assert importance.is_classification_target(table(f"y {kind}", [(v,) for v in values]), "y") is expected
 
 
-def test_test_sizes_keep_proportions():
-    sizes = importance._test_sizes({0.0: 97, 1.0: 33, 2.0: 3}, math.ceil(0.25 * 133))
+def test_test_sizes_keep_proportions(table):
+    counts = table("label double, count bigint", [(0.0, 97), (1.0, 33), (2.0, 3)])
+    sizes = {r["label"]: r["in_test"] for r in importance._test_sizes(counts, 133, math.ceil(0.25 * 133)).collect()}
     assert sum(sizes.values()) == 34 and sizes[0.0] in (24, 25) and sizes[1.0] in (8, 9) and sizes[2.0] in (0, 1)
