@@ -58,8 +58,8 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(expression: str, digits: int) -> str:
-    """Half-up rounding of the decimal value, free of floating-point noise, like ``tidy``."""
-    return f"CAST(round(round(CAST({expression} AS DECIMAL(38, 12)), {digits + 4}), {digits}) AS DOUBLE)"
+    """Half-up rounding of the decimal value, once, with the same guard as ``tidy``."""
+    return f"CAST(round(CAST(({expression}) * (1 + 1e-12) AS DECIMAL(38, 15)), {digits}) AS DOUBLE)"
 
 
 def load_all() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:

@@ -263,12 +263,3 @@ def choices(t):
         drift.suggest_segment_column(pair),
     )
     return small_table(t.spark, [found], "split string, first_column string, metric string, segment string")
-
-
-@query("p2_any_significant")
-def any_significant(t):
-    pair = lines(t)
-    return significance.any_significant(
-        significance.numeric_significance(pair, "l_extendedprice"),
-        significance.categorical_significance(pair, "l_returnflag"),
-    )

@@ -126,6 +126,20 @@ def matrix(t):
     return insights.correlation_matrix(t.derived(GAPPY_LINES))
 
 
+NEAR_CONSTANT = Derived("customer", ("0.1D AS fixed", "c_acctbal", "CAST(c_nationkey AS DOUBLE) AS nation"))
+
+
+@query(
+    "d3_correlation_constant",
+    "SELECT a AS \"column\", b AS column2, CASE WHEN a <> 'fixed' AND b <> 'fixed' THEN CASE WHEN a = b THEN 1.0 ELSE r END END AS correlation"
+    f" FROM (SELECT {rounded('corr(c_acctbal, c_nationkey)', 4)} AS r FROM customer),"
+    " (VALUES ('fixed'), ('c_acctbal'), ('nation')) x(a), (VALUES ('fixed'), ('c_acctbal'), ('nation')) y(b)",
+)
+def constant_beside_complete(t):
+    """0.1 has no exact mean: the constant is complete like its neighbours and still has no correlation."""
+    return insights.correlation_matrix(t.derived(NEAR_CONSTANT))
+
+
 @query(
     "d4_shape",
     "SELECT count(*) AS rows, "

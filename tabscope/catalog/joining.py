@@ -92,6 +92,17 @@ def stats(t):
     return joins.join_stats(t.derived(SALES), t.derived(CLIENTS), "custkey", "custkey")
 
 
+@query(
+    "c3_join_stats_other_type",
+    """SELECT how, CAST(CASE how WHEN 'inner' THEN 0 WHEN 'left' THEN a WHEN 'right' THEN b ELSE a + b END AS DOUBLE) AS rows_result,
+      a AS rows_a, b AS rows_b, CAST(11 AS BIGINT) AS columns_result, CAST(0 AS DOUBLE) AS match_rate, CAST(0 AS DOUBLE) AS null_pairs
+    FROM (SELECT count(*) AS a FROM orders), (SELECT count(*) AS b FROM customer), (VALUES ('inner'), ('left'), ('right'), ('outer')) v(how)""",
+)
+def stats_of_other_type(t):
+    """Names never equal numbers."""
+    return joins.join_stats(t.orders, t.customer, "o_custkey", "c_name")
+
+
 @query(
     "h3_key_overlap",
     f"SELECT DISTINCT custkey FROM {SALES.sql} WHERE custkey IN (SELECT custkey FROM {CLIENTS.sql})",

@@ -25,6 +25,23 @@ def clusters(t):
     return found.rows.select("c_custkey", *BUYER_COLUMNS, "cluster")
 
 
+_N_BUYERS = "SELECT count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"
+
+
+@query("o1_segments_facts", f"SELECT n AS n_rows, n AS n_buyers, CAST(4 AS BIGINT) AS n_clusters FROM ({_N_BUYERS})")
+def cluster_facts(t):
+    """Every complete row is in one cluster, and there are as many clusters as asked for."""
+    rows = segments.find_segments(_buyers(t), BUYER_COLUMNS).rows
+    return rows.agg(F.count("cluster").alias("n_rows"), F.count_distinct("c_custkey").alias("n_buyers"), F.count_distinct("cluster").alias("n_clusters"))
+
+
+@query("o2_cluster_sizes_found", f"SELECT n AS total, CAST(4 AS BIGINT) AS n_clusters FROM ({_N_BUYERS})")
+def found_sizes(t):
+    found = segments.find_segments(_buyers(t), BUYER_COLUMNS)
+    first = segments.cluster_profiles(found.rows, list(found.columns)).filter("rank = 1")
+    return first.agg(F.sum("size").alias("total"), F.count("*").alias("n_clusters"))
+
+
 def _profile_sql() -> str:
     view = (
         "(SELECT c_mktsegment AS cluster, CAST(n AS DOUBLE) AS orders, spent, c_acctbal AS balance FROM customer JOIN"
@@ -75,6 +92,26 @@ def importance_classification(t):
     return importance.predict_importance(rows, "quality", key=["doc_id"]).table
 
 
+def _importance_facts(table):
+    return table.groupBy("target", "task", "score_name", "n_rows_used", "n_train", "n_test").agg(
+        F.array_join(F.array_sort(F.collect_list("column")), ",").alias("features")
+    )
+
+
+@query(
+    "n3_importance_facts",
+    "SELECT 'spent' AS target, 'regression' AS task, 'r2' AS score_name, n AS n_rows_used, n - t AS n_train, t AS n_test,"
+    f" 'balance,c_custkey,c_mktsegment,orders' AS features FROM (SELECT n, CAST(ceil(0.25 * n) AS BIGINT) AS t FROM ({_N_BUYERS}))"
+    " UNION ALL SELECT 'quality', 'classification', 'accuracy', n, n - t, t, 'doc_id,lang,n_chars,source,toxic' FROM"
+    " (SELECT n, CAST(ceil(0.25 * n) AS BIGINT) AS t FROM (SELECT count(*) AS n FROM labels JOIN documents USING (doc_id)))",
+)
+def importance_facts(t):
+    """Task, exact split and features of both importance queries."""
+    rows = t.documents.join(t.labels, "doc_id").select("doc_id", "lang", "source", "n_chars", "toxic", "quality")
+    found = importance.predict_importance(_buyers(t), "spent", key=["c_custkey"], trees=5).table
+    return _importance_facts(found).unionByName(_importance_facts(importance.predict_importance(rows, "quality", key=["doc_id"], trees=5).table))
+
+
 @query(
     "n1_task_detection",
     "SELECT 'quality' AS target, count(DISTINCT quality) <= 10 AS classification FROM labels UNION ALL"

@@ -354,7 +354,7 @@ _MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
     f" WHERE regexp_matches(text, '{_MAIL}')) WHERE n > 0",
 )
 def document_contacts(t):
-    """Addresses found in whole document texts, beside the texts' languages and sources."""
-    found = F.regexp_extract("text", _MAIL, 0)
-    rows = t.documents.select("lang", "source", F.nullif(found, F.lit("")).alias("contact"))
+    """All addresses in whole document texts, beside the texts' languages and sources."""
+    found = F.regexp_extract_all("text", F.lit(_MAIL), F.lit(0))
+    rows = t.documents.select("lang", "source", F.explode_outer(found).alias("contact"))
     return pii.detect_pii_columns(rows)

@@ -64,6 +64,25 @@ def sample(t):
     return sample_rows(t.orders, ["o_orderkey"])
 
 
+@query(
+    "a8_sample_facts",
+    "SELECT least(n, 5000) AS rows, least(n, 5000) AS keys, least(n, 5000) AS found FROM (SELECT count(*) AS n FROM orders)",
+)
+def sample_facts(t):
+    """Size of the sample, its distinct keys, and how many of them the table has."""
+    rows = sample_rows(t.orders, ["o_orderkey"])
+    known = rows.select("o_orderkey").join(t.orders.select("o_orderkey"), "o_orderkey", "left_semi").agg(F.count("*").alias("found"))
+    sizes = rows.agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("keys")).collect()[0]
+    return known.select(*[F.lit(sizes[name]).cast("bigint").alias(name) for name in ("rows", "keys")], "found")
+
+
+@query("b1_filter_eq_other_type", "SELECT * FROM orders WHERE false AND o_orderkey > 0")
+def filter_other_type(t):
+    """Text equals no number, and a number no text."""
+    by_text = filters.filter_rows(t.orders, {"o_orderkey": {"op": "eq", "value": "1"}})
+    return by_text.unionByName(filters.filter_rows(t.orders, {"o_orderstatus": {"op": "eq", "value": 5}}))
+
+
 @query(
     "a11_schema_summary",
     "SELECT CAST(p AS INTEGER) AS position, c AS \"column\", d AS dtype, (SELECT count(*) FROM orders) AS n_rows,"

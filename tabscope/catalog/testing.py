@@ -185,3 +185,16 @@ def fit(t):
 def fit_gaps(t):
     rows = t.derived(ORDERS_GAPS).selectExpr("price", "CAST(o_custkey AS DOUBLE) AS customer")
     return _fit(significance.linear_fit(rows, "customer", "price"))
+
+
+@query(
+    "p2_any_significant",
+    f"SELECT coalesce(bool_or(significant), false) AS significant FROM (SELECT significant FROM ({_welch_sql(LINES, 'l_extendedprice')})"
+    f" UNION ALL SELECT significant FROM ({_chi_sql(LINES, 'l_returnflag')}))",
+)
+def any_significant(t):
+    pair = lines(t)
+    return significance.any_significant(
+        significance.numeric_significance(pair, "l_extendedprice"),
+        significance.categorical_significance(pair, "l_returnflag"),
+    )

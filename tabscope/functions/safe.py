@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+GUARD = 1e-12
+
 
 def tidy(c: Column | str, digits: int) -> Column:
     """Half-up rounding that first drops the noise of floating-point sums.
 
-    A mean of prices often lies exactly between two rounded values; without the
-    first step the order of summation would decide which one it becomes.
+    A mean of prices often lies exactly between two rounded values; without a
+    relative guard, far below the last digit, the order of summation would
+    decide which one it becomes.
     """
-    return F.round(F.round(c, digits + 4), digits)
+    return F.round((F.col(c) if isinstance(c, str) else c) * F.lit(1 + GUARD), digits)
 
 
 def share_pct(part: Column, whole: Column, digits: int = 2) -> Column:

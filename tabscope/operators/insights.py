@@ -259,11 +259,22 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     df = missing_as_null(df.select(*[ref(c) for c in columns]))
     nested = set(nested_columns(df))
     flat = [c for c in columns if c not in nested]
-    one = df.agg(F.count("*").alias("n"), *[F.count_distinct(ref(c)).alias(f"d{i}") for i, c in enumerate(flat)])
-    records = [
-        [F.lit(c), F.col(f"d{flat.index(c)}") if c not in nested else F.lit(None).cast("bigint")] for c in columns
+    counted = _distinct_values(df, flat)
+    names = small_table(df.sparkSession, [(i, c, c in nested) for i, c in enumerate(columns)], "position int, column string, nested boolean")
+    found = names.join(counted, "column", "left")
+    return found.select("column", F.when(~F.col("nested"), F.coalesce("n_distinct", F.lit(0))).alias("n_distinct"))
+
+
+def _distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n_distinct) of columns with present values: two hashes of each value, combined before the one shuffle."""
+    if not columns:
+        return small_table(df.sparkSession, [], "column string, n_distinct bigint")
+    each = [
+        F.struct(F.lit(i).alias("i"), F.xxhash64(ref(c)).alias("h"), F.xxhash64(F.lit("second"), ref(c)).alias("g"), ref(c).isNotNull().alias("present"))
+        for i, c in enumerate(columns)
     ]
-    return rows_of(one, records, ["column", "n_distinct"])
+    values = df.select(F.inline(F.array(*each))).filter("present").groupBy("i", "h", "g").agg(F.lit(1).alias("one"))
+    return values.groupBy("i").agg(F.count("*").alias("n_distinct")).select(F.lit(columns)[F.col("i")].alias("column"), "n_distinct")
 
 
 def high_cardinality_columns(df: DataFrame, facts: Facts | None = None) -> DataFrame:

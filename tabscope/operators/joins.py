@@ -10,9 +10,6 @@ from tabscope.functions.safe import tidy
 
 JOIN_TYPES = ("inner", "left", "right", "outer")
 
-# A key with this many rows on the side an outer join cannot split would make one very long task.
-HOT_KEY_ROWS = 5_000_000
-
 
 def suggest_join_keys(a: DataFrame, b: DataFrame) -> list[tuple[int, str]]:
     """Shared columns as (rank, name): names that look like keys have rank 0."""
@@ -25,7 +22,7 @@ def suggest_join_keys(a: DataFrame, b: DataFrame) -> list[tuple[int, str]]:
 
 
 def join_dataframes(
-    a: DataFrame, b: DataFrame, left_on: str, right_on: str, how: str = "inner", hot_key_rows: int = HOT_KEY_ROWS
+    a: DataFrame, b: DataFrame, left_on: str, right_on: str, how: str = "inner", hot_key_rows: int | None = None
 ) -> DataFrame:
     """Join on equal keys, where a missing key equals a missing key.
 
@@ -33,12 +30,13 @@ def join_dataframes(
 
     Spark picks broadcast or sort-merge by size, and adaptive execution splits
     hot keys of an inner join on either side. It cannot split the optional side
-    of a left or right join, nor any side of a full join. If such a side has a
-    hot key, the join is written as the inner join plus the unmatched rows
-    (anti joins against distinct keys), which all can be split.
+    of a left or right join, nor any side of a full join. With ``hot_key_rows``
+    the keys are counted first, and if such a side has a key with more rows, the
+    join is written as the inner join plus the unmatched rows (anti joins
+    against distinct keys), which all can be split. The result is the same.
     """
     if how not in JOIN_TYPES:
-        raise ValueError(f"Unknown join type: {how}")
+        raise ValueError(f"no such join: {how}")
     require(a, left_on)
     require(b, right_on)
     if is_nested(a.schema[left_on].dataType) or is_nested(b.schema[right_on].dataType):
@@ -48,7 +46,7 @@ def join_dataframes(
     a, b, key_a, key_b, output = _renamed(missing_as_null(a), missing_as_null(b), left_on, right_on)
     match = a[key_a].eqNullSafe(b[key_b])
 
-    if how != "inner" and _hot(a, b, key_a, key_b, how, hot_key_rows):
+    if how != "inner" and hot_key_rows is not None and _hot(a, b, key_a, key_b, how, hot_key_rows):
         matched = a.join(b, match, "inner").select(*output)
         parts = [matched]
         if how in ("left", "outer"):
