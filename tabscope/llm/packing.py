@@ -9,7 +9,6 @@ filling it. The same multiset is used as often as the counts allow.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,56 +25,68 @@ from tabscope.session import cut_lineage
 
 CAPACITY = 2048
 WINDOW_PIECES = 4096
-CACHED_WORDS = 250_000
+CACHED_WORDS = 600_000
 CACHED_PARTS = 600_000
 LONGEST_CACHED = 40
 ROWS_AT_ONCE = 512
 
 
-class WordCache:
-    """Token ids of texts, word by word: no token reaches over a space or a line break.
+# The marks of ASCII but the apostrophe, which can begin a token with letters.
+MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
+def _byte_names() -> list[str]:
+    """Characters that stand for bytes in a byte-level vocabulary: visible ones for themselves, the others from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
-    A word of plain letters with punctuation behind it is looked up in its two
-    parts, which the vocabulary's pattern always parts: there are fewer of them.
-    """
 
-    # Letters that lower-casing and composition leave one by one; no apostrophe, which can begin a token with letters.
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
+class WordCache(dict):
+    """Token ids by word, found when first asked for: no token reaches over a space or a line break.
+
+    A plain word, letters with marks behind them, is made of two parts, which
+    the vocabulary's pattern always parts and its normaliser only lower-cases;
+    there are fewer different parts than words. Parts go to the model itself,
+    all other words through the whole tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.names = _byte_names()
         self.parts: dict[str, bytes] = {"": b""}
 
-    def _tokenise(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        split = {w: m.groups() if (m := self.PLAIN.fullmatch(w)) else None for w in words}
-        lowered = {w: (s[0].lower(), s[1]) for w, s in split.items() if s}
-        parts = {p for s in lowered.values() for p in s}
-        if len(self.parts) > CACHED_PARTS:
-            self.parts = {"": b""}
-        unknown = [p for p in parts if p not in self.parts]
-        self.parts.update(zip(unknown, self._tokenise(unknown), strict=True))
-        odd = [w for w, s in split.items() if not s]
-        found = dict(zip(odd, self._tokenise(odd), strict=True))
-        return found | {w: self.parts[a] + self.parts[b] for w, (a, b) in lowered.items()}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.words)
-        if len(self.words) + len(missing) > CACHED_WORDS:
-            self.words.clear()
-            missing = set().union(*split)
-        long = [w for w in missing if len(w) > LONGEST_CACHED]
-        self.words |= self._learn([w for w in missing if len(w) <= LONGEST_CACHED])
-        if long:
-            known = self.words | dict(zip(long, self._tokenise(long), strict=True))
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            named = part if part.isascii() else "".join([self.names[b] for b in part.encode()])
+            found = [token.id for token in self.model.tokenize(named)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(part) <= LONGEST_CACHED:
+                if len(self.parts) >= CACHED_PARTS:
+                    self.parts = {"": b""}
+                self.parts[part] = ids
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.rstrip(MARKS)
+        # Up to ÿ, letters are composed and are lower-cased one by one.
+        if letters.isalpha() and max(letters) <= "ÿ":
+            ids = self._part(letters.lower()) + self._part(word[len(letters) :])
+        else:
+            found = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(1)
@@ -91,8 +102,9 @@ def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches(batches, ROWS_AT_ONCE):
-            ids = word_cache(vocabulary).encode([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i + closing for i in ids], pa.binary())], schema=schema)
+            cache = word_cache(vocabulary)
+            ids = [cache.encode(t or "") + closing for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], schema=schema)
 
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(run, "doc_id bigint, ids binary")
