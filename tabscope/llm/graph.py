@@ -2,31 +2,60 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.session import cut_lineage
 
+# Every round writes its tables: few links need few files.
+LINKS_PER_PART = 100_000
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component``, its smallest reachable node, for every node with a link.
 
-    Each round takes the smallest label among a node's neighbours and then the
-    label of that label, so the number of rounds grows with the logarithm of the
-    longest path. Joins are plain equi-joins of materialised tables, which
+    Each round finds the smallest label among a node's neighbours and gives it to
+    the node and to the node its own label names, through which it reaches all
+    that have that label; so the number of rounds grows with the logarithm of
+    the number of nodes. Joins are plain equi-joins of materialised tables, which
     adaptive execution can split on a hot node; aggregates combine before the
     shuffle. Empty links give an empty table; repeated links and self-links are
     harmless; rows with a null end are ignored.
     """
     pairs = links.select(F.col(a).alias("node"), F.col(b).alias("other")).na.drop().where("node <> other")
     edges = cut_lineage(pairs.unionByName(pairs.selectExpr("other AS node", "node AS other")).distinct())
-    labels = cut_lineage(edges.groupBy("node").agg(F.min("other").alias("low")).selectExpr("node", "least(node, low) AS label"))
+    parts = -(-edges.count() // LINKS_PER_PART) or 1
+    edges = edges.coalesce(parts)
+
+    def kept(df: DataFrame) -> DataFrame:
+        return cut_lineage(df.coalesce(parts))
+
+    labels = kept(edges.groupBy("node").agg(F.min("other").alias("low")).selectExpr("node", "least(node, low) AS label"))
     while True:
         of_label = labels.selectExpr("node AS label", "label AS next")
-        jumped = cut_lineage(labels.join(of_label, "label").selectExpr("node", "next AS label"))
+        jumped = labels.join(of_label, "label").selectExpr("node", "next AS label")
         around = edges.join(jumped.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("low"))
-        moved = cut_lineage(jumped.join(around, "node").selectExpr("node", "least(label, low) AS label", "low < label AS moved"))
-        labels = moved.select("node", "label")
-        if moved.where("moved").isEmpty():
+        seen = kept(jumped.join(around, "node").select("node", "label", "low"))
+        moved = seen.where("low < label")
+        if moved.isEmpty():
             # No neighbour has a smaller label: all labels of a component agree.
-            return labels.withColumnRenamed("label", "component")
+            return seen.select("node", F.col("label").alias("component"))
+        hooks = moved.groupBy("label").agg(F.min("low").alias("lowest")).withColumnRenamed("label", "node")
+        labels = kept(seen.join(hooks, "node", "left").select("node", F.least("label", "low", "lowest").alias("label")))
+
+
+def spanning(met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Connect the rows and columns of a block as its marks do, with one link each instead of all marks.
+
+    Returns for each row a column it belongs with, or the number of columns if
+    the row has no mark, and for each column the lowest column of its group.
+    """
+    columns = met.shape[1]
+    label = np.arange(columns)
+    while True:
+        of_row = np.where(met, label, columns).min(axis=1, initial=columns)
+        lowered = np.minimum(label, np.where(met, of_row[:, None], columns).min(axis=0, initial=columns))
+        if (lowered == label).all():
+            return of_row, label
+        label = lowered

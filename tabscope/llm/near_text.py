@@ -17,11 +17,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.graph import components
+from tabscope.llm.graph import components, spanning
 from tabscope.llm.words import as_bytes, chunks, mix, record_batches, shingle_sets
 from tabscope.session import cut_lineage
 
@@ -31,6 +32,8 @@ PER_WORD = 64 // BITS
 PACKED = MINIMA // PER_WORD
 ROWS_AT_ONCE = 1024
 SHINGLES_AT_ONCE = 2048
+COLUMNS_AT_ONCE = 8192
+BLOCK = 128
 # 16 bytes each in the broadcast table.
 BROADCAST_IDS = 1_000_000
 
@@ -77,6 +80,51 @@ def similarity_estimate(a: Column, b: Column) -> Column:
     return (1 - differing / F.lit(float(MINIMA)) - chance) / (1 - chance)
 
 
+def similar(first: list[np.ndarray], second: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of one list are similar enough to which of the other, by products of their incidence matrices."""
+    codes = np.intersect1d(np.concatenate([*first, np.zeros(0, np.uint64)]), np.concatenate([*second, np.zeros(0, np.uint64)]))
+    same = np.zeros((len(first), len(second)))
+    for start in range(0, len(codes), COLUMNS_AT_ONCE):
+        some = codes[start : start + COLUMNS_AT_ONCE]
+        sides = []
+        for sets in (first, second):
+            side = np.zeros((len(sets), len(some)), np.float32)
+            for row, own in enumerate(sets):
+                side[row, np.searchsorted(some, own[np.isin(own, some, assume_unique=True)])] = 1
+            sides.append(side)
+        same += sides[0] @ sides[1].T
+    union = np.array([len(s) for s in first])[:, None] + np.array([len(s) for s in second])[None, :] - same
+    return (union > 0) & (100 * same >= percent * union)
+
+
+def links_within(zones: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one zone that have different labels, as many as connect what all of them connect.
+
+    Full sets are compared in blocks of members, so neither the pairs of a large
+    zone nor its members ever come together in one task.
+    """
+    texts = texts_of(zones.selectExpr("rep AS id"), docs, doc_id, text)
+    sizes = cut_lineage(zones.groupBy("zone").agg(F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS INT)").alias("blocks")))
+    placed = zones.join(sizes, "zone").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = placed.select("zone", "rep", "label", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    dealt = dealt.join(texts.withColumnRenamed("id", "rep"), "rep").withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        block = rows["block"].to_numpy()
+        sets = [s for _, texts in chunks([t.encode() for t in rows["text"]]) for s in shingle_sets(texts, width)]
+        sides = [np.flatnonzero(block == int(key[place])) for place in (1, 2)]
+        met = similar([sets[i] for i in sides[0]], [sets[i] for i in sides[1]], percent)
+        label, rep = rows["label"].to_numpy(), rows["rep"].to_numpy()
+        met &= label[sides[0]][:, None] != label[sides[1]][None, :]
+        of_row, lowest = spanning(met)
+        met_rows, moved = of_row < len(sides[1]), lowest < np.arange(len(sides[1]))
+        a = np.concatenate([rep[sides[0]][met_rows], rep[sides[1]][moved]])
+        b = rep[sides[1]][np.concatenate([of_row[met_rows], lowest[moved]])]
+        return pd.DataFrame({"a": a, "b": b})
+
+    return dealt.groupBy("zone", "low", "high").applyInPandas(compare, "a bigint, b bigint")
+
+
 SIGNED = "doc_id bigint, n_shingles bigint, digest binary, signature array<bigint>, bands array<bigint>"
 
 
@@ -155,13 +203,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links, ``kept`` says whether it is the document's own.
 
     Equal sets are folded into one class first. A bucket (all classes with one
-    band key) never becomes pairs of all its members: each member is compared
-    with the bucket's hub, the one that meets most others in all its buckets,
-    only its likeliest such pair is confirmed, and after these links have been
-    joined up, only members of different
-    components are compared, those of a bucket's largest component only with
-    the rest. Every pair that shares a band and passes the estimate is thus
-    either confirmed, refused on the full sets, or already connected.
+    band key) never becomes pairs of all its members:
+
+    1. Each member is compared with the bucket's hub, the one that meets most
+       others in all its buckets, and its likeliest such pair is confirmed.
+    2. What hubs hold together by the estimate is a zone. Members of a zone that
+       are not yet connected are compared on their full sets, in blocks.
+    3. Members of a bucket in different zones and components are compared by the
+       estimate, those of the bucket's largest component only with the rest, and
+       confirmed.
+
+    Every pair that shares a band and passes the estimate is thus either
+    confirmed, refused on the full sets, or already connected. The second step
+    takes time with the square of a zone that does not link up, not memory.
 
     Null or empty texts, and texts without words, have an empty set and link
     with nothing. Rows that repeat an id are one document. Rows with a null id
@@ -184,18 +238,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     side_a = classes.selectExpr("rep AS a", "n AS n_a", "s AS s_a")
     side_b = classes.selectExpr("rep AS b", "n AS n_b", "s AS s_b")
     stars = spokes.join(side_a, "a").join(side_b, "b").where(likely)
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct(estimate, -F.col("b"))).alias("b"))
+    stars = cut_lineage(stars.select("a", "b", estimate.alias("estimate")))
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
     links = cut_lineage(confirmed(cut_lineage(best), docs, doc_id, text, width, percent))
 
     first = components(links).withColumnRenamed("node", "rep")
-    labelled = cut_lineage(members.join(first, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")))
+    zoned = components(stars).withColumnRenamed("node", "rep").withColumnRenamed("component", "zone")
+    known = cut_lineage(zoned.join(first, "rep", "left").select("rep", "zone", F.coalesce("component", "rep").alias("label")))
+    mixed = known.groupBy("zone").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("zone")
+    links = links.unionByName(cut_lineage(links_within(cut_lineage(known.join(cut_lineage(mixed), "zone")), docs, doc_id, text, width, percent)))
+
+    own = F.coalesce("zone", "rep").alias("zone"), F.coalesce("label", "rep").alias("label")
+    labelled = cut_lineage(members.join(known, "rep", "left").select("key", "rep", *own))
     counted = labelled.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key")
     counted = counted.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main"))
     inside = labelled.join(cut_lineage(counted.where("labels > 1").select("key", "main")), "key")
     inside = cut_lineage(inside.join(classes.select("rep", "n", "s"), "rep"))
-    rest = inside.where("label <> main").selectExpr("key", "rep AS a", "n AS n_a", "s AS s_a", "label AS label_a")
-    others = inside.selectExpr("key", "rep AS b", "n AS n_b", "s AS s_b", "label AS label_b", "main")
-    across = rest.join(others, "key").where("label_a <> label_b AND (label_b = main OR a < b)").where(likely)
+    rest = inside.where("label <> main").selectExpr("key", "rep AS a", "n AS n_a", "s AS s_a", "label AS label_a", "zone AS zone_a")
+    others = inside.selectExpr("key", "rep AS b", "n AS n_b", "s AS s_b", "label AS label_b", "zone AS zone_b", "main")
+    across = rest.join(others, "key").where("label_a <> label_b AND zone_a <> zone_b AND (label_b = main OR a < b)").where(likely)
     more = cut_lineage(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not more.isEmpty():
         links = links.unionByName(cut_lineage(confirmed(more, docs, doc_id, text, width, percent)))
