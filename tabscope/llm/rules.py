@@ -81,7 +81,7 @@ COUNTED = pa.schema(
     [
         ("doc_id", pa.int64()),
         ("lang", pa.string()),
-        *((name, pa.int64()) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+        *((name, pa.int64()) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")),
         ("chars", pa.list_(pa.int64())),
         ("common", pa.list_(pa.int64())),
         ("high", pa.int64()),
@@ -89,7 +89,7 @@ COUNTED = pa.schema(
     ]
 )
 COUNTED_COLUMNS = (
-    "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
+    "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_chars bigint, "
     "chars array<bigint>, common array<bigint>, high bigint, low bigint"
 )
 
@@ -99,7 +99,7 @@ def counts(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches(batches, ROWS_AT_ONCE):
-            rows: list[list] = [[] for _ in range(9)]
+            rows: list[list] = [[] for _ in range(10)]
             for _, texts in chunks(as_bytes(batch.column(2))):
                 exact, first = word_codes(texts, lower=False)
                 common = _common(word_codes(texts, lower=True)[0])
@@ -113,6 +113,7 @@ def counts(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
                         chars[SYMBOL],
                         duplicate_lines(text_bytes),
                         repeated_words(own),
+                        chars.sum(),
                         chars,
                         np.bincount(common[start:end], minlength=len(WORDS) + 1),
                         mark.view(np.int64)[0],
@@ -127,17 +128,14 @@ def counts(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     return narrow.mapInArrow(count, COUNTED_COLUMNS)
 
 
-def divergence(counted: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of counts; null if either is empty of counts."""
-    total = F.aggregate(counted, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    total_reference = F.aggregate(reference, F.lit(0).cast("bigint"), lambda a, x: a + x)
+def divergence(counted: Column, total: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance of an array of counts with their sum from an array of shares; null without counts or shares."""
 
     def part(share: Column, other: Column) -> Column:
         return F.when(share > 0, 0.5 * share * F.log2(2 * share / (share + other))).otherwise(0.0)
 
-    terms = F.zip_with(counted, reference, lambda c, r: part(c / total, r / total_reference) + part(r / total_reference, c / total))
-    distance = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)))
-    return F.when((total > 0) & (total_reference > 0), distance)
+    terms = F.zip_with(counted, shares, lambda c, r: part(c / total, r) + part(r, c / total))
+    return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))))
 
 
 def judge(
@@ -169,23 +167,26 @@ def judge(
     counted = cut_lineage(counts(docs, doc_id, text, lang))
     once = counted.groupBy("lang", "high", "low").agg(F.first("chars").alias("chars"), F.first("common").alias("common"))
 
-    def summed(name: str, size: int) -> Column:
-        return F.array(*(F.sum(F.col(name)[i]) for i in range(size))).alias(f"all_{name}")
+    def shares(name: str, size: int) -> Column:
+        """Of the sum over all texts in each place; null if there is nothing to share."""
+        sums = [F.sum(F.col(name)[i]) for i in range(size)]
+        total = sum(sums[1:], sums[0])
+        return F.when(total > 0, F.array(*(s / total for s in sums))).alias(f"{name}_shares")
 
-    references = once.groupBy("lang").agg(F.count("*").alias("texts"), summed("chars", CLASSES), summed("common", len(WORDS) + 1))
+    references = once.groupBy("lang").agg(F.count("*").alias("texts"), shares("chars", CLASSES), shares("common", len(WORDS) + 1))
+    # A table of its own, so that sums are not taken again for each row.
     known = cut_lineage(references.where(F.col("texts") >= least_texts).drop("texts"))
     both = counted.join(known, "lang", "left")
-    n_chars = F.aggregate("chars", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    long_enough = (n_chars >= least_chars) & (F.col("n_words") >= least_words)
+    long_enough = (F.col("n_chars") >= least_chars) & (F.col("n_words") >= least_words)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     judged = both.withColumns(
         {
-            "char_distance": F.when(long_enough, divergence(F.col("chars"), F.col("all_chars"))),
-            "word_distance": F.when(long_enough, divergence(F.col("common"), F.col("all_common"))),
+            "char_distance": F.when(long_enough, divergence(F.col("chars"), F.col("n_chars"), F.col("chars_shares"))),
+            "word_distance": F.when(long_enough, divergence(F.col("common"), F.col("n_words"), F.col("common_shares"))),
             "base_failed": failed,
         }
     )
-    limits = (("char_distance", most_chars + char_noise / F.sqrt(n_chars)), ("word_distance", most_words + word_noise / F.sqrt("n_words")))
+    limits = (("char_distance", most_chars + char_noise / F.sqrt("n_chars")), ("word_distance", most_words + word_noise / F.sqrt("n_words")))
     near = F.lit(True)
     for distance, limit in limits:
         near = near & F.coalesce(F.col(distance) <= limit, F.lit(True))
