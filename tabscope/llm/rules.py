@@ -167,15 +167,18 @@ def judge(
     counted = cut_lineage(counts(docs, doc_id, text, lang))
     once = counted.groupBy("lang", "high", "low").agg(F.first("chars").alias("chars"), F.first("common").alias("common"))
 
-    def shares(name: str, size: int) -> Column:
-        """Of the sum over all texts in each place; null if there is nothing to share."""
-        sums = [F.sum(F.col(name)[i]) for i in range(size)]
-        total = sum(sums[1:], sums[0])
-        return F.when(total > 0, F.array(*(s / total for s in sums))).alias(f"{name}_shares")
-
-    references = once.groupBy("lang").agg(F.count("*").alias("texts"), shares("chars", CLASSES), shares("common", len(WORDS) + 1))
-    # A table of its own, so that sums are not taken again for each row.
-    known = cut_lineage(references.where(F.col("texts") >= least_texts).drop("texts"))
+    def summed(name: str, size: int) -> Column:
+        return F.array(*(F.sum(F.col(name)[i]) for i in range(size))).alias(name)
+
+    def shares(name: str) -> Column:
+        """Of the sum in each place; null if there is nothing to share."""
+        total = F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return F.when(total > 0, F.transform(name, lambda x: x / total)).alias(f"{name}_shares")
+
+    references = once.groupBy("lang").agg(F.count("*").alias("texts"), summed("chars", CLASSES), summed("common", len(WORDS) + 1))
+    # Tables of their own, one row per language, so that nothing is summed again for each text.
+    references = cut_lineage(references.where(F.col("texts") >= least_texts))
+    known = cut_lineage(references.select("lang", shares("chars"), shares("common")))
     both = counted.join(known, "lang", "left")
     long_enough = (F.col("n_chars") >= least_chars) & (F.col("n_words") >= least_words)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
