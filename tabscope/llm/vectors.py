@@ -6,14 +6,11 @@ are from it. A query probes the lists that linked vectors can be in, looks up
 the distances to the codes in a table of its own, and compares exactly by cosine
 what the table, widened by each member's own error, leaves.
 
-The table's bound is safe. Lists are ruled out by their radius, which is safe
-too, and by the plane between their centroid and the query's own: a linked
-vector is beyond it only if it differs from the query in just that direction.
-In more than SPREAD ** 2 dimensions, planes are passed over that are further
-than SPREAD standard deviations of a difference without a preferred direction;
-a link of the least cosine is missed with a chance of about 1e-4 at such a
-border, closer ones less. In fewer dimensions nothing is missed. Tests measure
-the recall against brute force.
+All bounds are safe. The table's is widened by the error of the codes. Lists are
+ruled out by their radius, and by the plane between their centroid and the
+query's own, beyond which all their members are. What is left may be most lists
+in many dimensions, so vectors are not sent to lists but to zones of neighbouring
+lists, once to each, and each pair of zones meets in one place only.
 """
 
 from __future__ import annotations
@@ -33,9 +30,9 @@ from tabscope.session import cut_lineage
 SUBSPACES, CODES = 8, 64
 MOST_LISTS = 1024
 FIT_ROWS = 20_000
-BLOCK = 2048
+BLOCK = 4096  # rows of a zone, and queries that it meets at a time
+ROWS_AT_ONCE = 1024
 ROUNDING = 1e-9
-SPREAD = 4.0
 
 
 @dataclass(frozen=True)
@@ -55,12 +52,12 @@ class Quantiser:
         decoded = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
         return codes.astype(np.uint8), np.linalg.norm(residuals - decoded, axis=1)
 
-    def table_distances(self, residuals: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Distance of each query's residual from each member's codes, by table lookups."""
-        total = np.zeros((len(residuals), len(codes)))
+    def table_squares(self, residuals: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Squared distance of each member's codes (rows) from each query's residual (columns), by lookups of table rows."""
+        total = np.zeros((len(codes), len(residuals)))
         for i, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
-            total += np.square(distances(residuals[:, p], b))[:, codes[:, i]]
-        return np.sqrt(total)
+            total += np.square(distances(b, residuals[:, p]))[codes[:, i]]
+        return total
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -117,36 +114,82 @@ def matrix(units: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def linked(queries: pd.DataFrame, members: pd.DataFrame, quantiser: Quantiser, which: int, least_cosine: float) -> pd.DataFrame:
-    """Links of a block of queries to a block of one list's members: ``a``, ``b``, ``links``.
-
-    Each query with links gets one row with their number; rows with 0 links are
-    there only to connect. All rows together are no more than both blocks, and
-    connect what the links connect.
+def zones_of(centroids: np.ndarray, members: np.ndarray, most: int) -> np.ndarray:
+    """Zone of each list: neighbours together, halved along their longest axis until a zone has ``most`` members or one list."""
+    zone = np.zeros(len(members), np.int64)
+    waiting, made = [np.arange(len(members))], 0
+    while waiting:
+        lists = waiting.pop()
+        if len(lists) == 1 or members[lists].sum() <= most:
+            zone[lists], made = made, made + 1
+            continue
+        apart = centroids[lists] - centroids[lists].mean(axis=0)
+        lists = lists[np.argsort(apart @ np.linalg.svd(apart, full_matrices=False)[2][0], kind="stable")]
+        half = np.searchsorted(np.cumsum(members[lists]), members[lists].sum() / 2)
+        half = min(max(1, int(half)), len(lists) - 1)
+        waiting += [lists[:half], lists[half:]]
+    return zone
+
+
+def reached(x: np.ndarray, first: np.ndarray, centroids: np.ndarray, lists: np.ndarray, radii: np.ndarray, reach: float) -> np.ndarray:
+    """Whether a vector within ``reach`` of each query may be in each of ``lists``; ``first`` has the queries' own."""
+    d = distances(x, centroids[lists])
+    own = np.square(x - centroids[first]).sum(axis=1)
+    # A member is at least so far away: outside the ball of its list, and beyond the plane between the two centroids.
+    gap = np.maximum(2 * distances(centroids, centroids[lists])[first], 1e-12)
+    plane = (np.square(d) - own[:, None]) / gap
+    return (d - radii <= reach) & (plane <= reach) | (lists[None, :] == first[:, None])
+
+
+def linked(queries: pd.DataFrame, members: pd.DataFrame, quantiser: Quantiser, radii: np.ndarray, least_cosine: float) -> pd.DataFrame:
+    """Links of a block of queries to a block of members: ``a``, ``b``, ``links``.
+
+    Links to a query's own zone part are counted for the query, which all its
+    members are; others for both ends. Rows with a = b hold the numbers, rows
+    with 0 links connect what the links connect.
     """
     width = quantiser.centroids.shape[1]
     q, m = matrix(queries["unit"], width), matrix(members["unit"], width)
     codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(m), -1)
-    reach = np.sqrt(2 - 2 * least_cosine) + ROUNDING + members["error"].to_numpy()
-    near = quantiser.table_distances(q - quantiser.centroids[which], codes) <= reach
-    near &= queries["cls"].to_numpy()[:, None] != members["cls"].to_numpy()[None, :]
-    near &= queries["dim"].to_numpy()[:, None] == members["dim"].to_numpy()[None, :]
-    rows, columns = np.nonzero(near)
-    for start in range(0, len(rows), 1 << 16):
-        r, c = rows[start : start + (1 << 16)], columns[start : start + (1 << 16)]
-        near[r, c] = np.einsum("ij,ij->i", q[r], m[c]) >= least_cosine
-    links = near @ members["weight"].to_numpy()
-    of_query, label = spanning(near)
-    ids = members["cls"].to_numpy()
-    met = of_query < len(m)
-    joined = label < np.arange(len(m))
-    return pd.DataFrame(
-        {
-            "a": np.concatenate([queries["cls"].to_numpy()[met], ids[joined]]),
-            "b": np.concatenate([ids[of_query[met]], ids[label[joined]]]),
-            "links": np.concatenate([links[met], np.zeros(joined.sum(), np.int64)]),
-        }
-    )
+    least = np.sqrt(2 - 2 * least_cosine) + ROUNDING
+    reach = least + members["error"].to_numpy()
+    q_cls, q_dim, q_weight, q_list, q_part = (queries[c].to_numpy() for c in ("cls", "dim", "weight", "list", "part"))
+    m_cls, m_dim, m_weight, m_list, m_part = (members[c].to_numpy() for c in ("cls", "dim", "weight", "list", "part"))
+    lists = np.unique(m_list)
+    asks = reached(q, q_list, quantiser.centroids, lists, radii[lists], least) if len(q) and len(m) else np.zeros((len(q), len(lists)), bool)
+    q_links, m_links = np.zeros(len(q), np.int64), np.zeros(len(m), np.int64)
+    ends = [np.zeros((2, 0), np.int64)]
+    for which, asked in zip(lists, asks.T, strict=True):
+        here, all_asking = np.flatnonzero(m_list == which), np.flatnonzero(asked)
+        for start in range(0, len(all_asking), ROWS_AT_ONCE):
+            asking = all_asking[start : start + ROWS_AT_ONCE]
+            near = quantiser.table_squares(q[asking] - quantiser.centroids[which], codes[here]) <= np.square(reach[here])[:, None]
+            columns, rows = np.nonzero(near)
+            r, c = asking[rows], here[columns]
+            met = (q_cls[r] != m_cls[c]) & (q_dim[r] == m_dim[c])
+            for part in range(0, len(r), 1 << 16):
+                some = np.arange(part, min(len(r), part + (1 << 16)))
+                some = some[met[some]]
+                met[some] = np.einsum("ij,ij->i", q[r[some]], m[c[some]]) >= least_cosine
+            rows, columns, r, c = rows[met], columns[met], r[met], c[met]
+            if not len(r):
+                continue
+            q_links += np.bincount(r, m_weight[c], len(q)).astype(np.int64)
+            both = q_part[r] != m_part[c]
+            m_links += np.bincount(c[both], q_weight[r[both]], len(m)).astype(np.int64)
+            # Only rows and columns with a link are spanned.
+            used, row = np.unique(rows, return_inverse=True)
+            held, column = np.unique(columns, return_inverse=True)
+            block = np.zeros((len(used), len(held)), bool)
+            block[row, column] = True
+            of_row, label = spanning(block)
+            ids = m_cls[here[held]]
+            joined = label < np.arange(len(held))
+            ends += [np.stack([q_cls[asking[used]], ids[of_row]]), np.stack([ids[joined], ids[label[joined]]])]
+    a, b = np.unique(np.concatenate(ends, axis=1), axis=1)
+    counted = np.concatenate([q_cls[q_links > 0], m_cls[m_links > 0]])
+    numbers = np.concatenate([q_links[q_links > 0], m_links[m_links > 0]])
+    return pd.DataFrame({"a": np.concatenate([a, counted]), "b": np.concatenate([b, counted]), "links": np.concatenate([np.zeros(len(a), np.int64), numbers])})
 
 
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least_cosine: float = 0.95, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -156,7 +199,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     ``least_cosine``; ``component_id`` is the smallest id reachable by links.
     Vectors of one direction are folded into one class first, with its number
     of rows as weight. Centroids and codes are fitted on at most ``fit_rows``
-    classes, chosen by hash; every class is indexed and is a query. Lists with
+    classes, chosen by hash; every class is indexed and is a query. Zones with
     many members or queries are cut into blocks, so no task holds more than a
     block of each.
 
@@ -188,45 +231,51 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     columns = "unit binary, dim int, rep bigint, weight bigint, cls bigint"
     indexed = cut_lineage(classes.mapInPandas(index, f"{columns}, list int, codes binary, error double, radius double"))
     sizes = indexed.groupBy("list").agg(F.count("*").alias("members"), F.max("radius").alias("radius")).toPandas().set_index("list")
-    reach = np.sqrt(2 - 2 * least_cosine) + ROUNDING
-    beyond = reach * min(1.0, SPREAD / np.sqrt(width))
     used = sizes.index.to_numpy(np.int64)
-    radii = sizes["radius"].to_numpy()
+    radii = np.zeros(len(quantiser.centroids))
+    radii[used] = sizes["radius"].to_numpy()
+    # A zone of more than BLOCK members, which is one list, is dealt over parts.
+    zone = zones_of(quantiser.centroids[used], sizes["members"].to_numpy(), BLOCK)
+    parts = -(-np.bincount(zone, sizes["members"].to_numpy()).astype(np.int64) // BLOCK)
+    first_part = np.cumsum(parts) - parts
+    zone_of_list = np.zeros(len(quantiser.centroids), np.int64)
+    zone_of_list[used] = zone
+    zone_of_part = np.repeat(np.arange(len(parts)), parts)
+    reach = np.sqrt(2 - 2 * least_cosine) + ROUNDING
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres = shared.value.centroids
-        apart = distances(centres, centres)
+        every = np.arange(len(zone_of_part))
+        order = np.argsort(zone, kind="stable")
+        borders = np.searchsorted(zone[order], np.arange(len(parts)))
         for frame in frames:
-            _, d = shared.value.nearest(matrix(frame["unit"], width))
-            first = frame["list"].to_numpy()
-            # A member is at least so far away: outside the ball of its list, and beyond the plane between the two centroids.
-            ball = d[:, used] - radii
-            gap = np.maximum(2 * apart[first][:, used], 1e-12)
-            plane = (np.square(d[:, used]) - np.square(d[np.arange(len(d)), first])[:, None]) / gap
-            hit = (ball <= reach) & (plane <= beyond) | (used[None, :] == first[:, None])
-            yield frame.assign(probes=[used[h].astype(np.int32).tolist() for h in hit])
-
-    searched = cut_lineage(indexed.drop("radius").mapInPandas(probe, f"{columns}, list int, codes binary, error double, probes array<int>"))
-    asked = searched.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("queries"))
-    # One row per list, of which there are at most MOST_LISTS.
-    blocks = F.broadcast(cut_lineage(searched.groupBy("list").agg(F.count("*").alias("members")).join(asked, "list").selectExpr(
-        "list", f"CAST(ceil(members / {BLOCK}) AS INT) AS member_blocks", f"CAST(ceil(queries / {BLOCK}) AS INT) AS query_blocks"
-    )))
-    block = F.xxhash64("cls")
-    payload = ["cls", "weight", "dim", "unit", "codes", "error"]
-    members = searched.join(blocks, "list").select(
-        "list", F.pmod(block, F.col("member_blocks")).cast("int").alias("mb"), F.explode(F.expr("sequence(0, query_blocks - 1)")).alias("qb"), F.lit(False).alias("asks"), *payload
+            own = frame["list"].to_numpy()
+            hit = reached(matrix(frame["unit"], width), own, shared.value.centroids, used[order], radii[used[order]], reach)
+            zones = np.logical_or.reduceat(hit, borders, axis=1)
+            part = first_part[zone_of_list[own]] + frame["deal"].to_numpy() % parts[zone_of_list[own]]
+            # Of two parts one asks the other; each part asks itself.
+            turn = ((every[None, :] + part[:, None]) % 2 == 0) == (part[:, None] < every[None, :])
+            goes = zones[:, zone_of_part] & turn | (every[None, :] == part[:, None])
+            yield frame.drop(columns="deal").assign(part=part.astype(np.int32), asks=[every[g].astype(np.int32).tolist() for g in goes])
+
+    dealt = indexed.drop("radius").withColumn("deal", F.pmod(F.xxhash64("cls"), F.lit(1 << 40)))
+    searched = cut_lineage(dealt.mapInPandas(probe, f"{columns}, list int, codes binary, error double, part int, asks array<int>"))
+    # One row per part, of which there are about the number of classes divided by BLOCK.
+    blocks = F.broadcast(cut_lineage(searched.select(F.explode("asks").alias("at")).groupBy("at").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_blocks"))))
+    payload = ["cls", "weight", "dim", "unit", "list", "part"]
+    members = searched.withColumn("at", F.col("part")).join(blocks, "at").select(
+        "at", F.explode(F.expr("sequence(0, query_blocks - 1)")).alias("qb"), F.lit(False).alias("query"), *payload, "codes", "error"
     )
-    probes = searched.drop("list").withColumn("list", F.explode("probes")).join(blocks, "list")
+    probes = searched.withColumn("at", F.explode("asks")).join(blocks, "at")
+    # Codes are looked up for members only.
     queries = probes.select(
-        "list", F.explode(F.expr("sequence(0, member_blocks - 1)")).alias("mb"), F.pmod(block, F.col("query_blocks")).cast("int").alias("qb"), F.lit(True).alias("asks"), *payload
+        "at", F.pmod(F.xxhash64("cls"), F.col("query_blocks")).cast("int").alias("qb"), F.lit(True).alias("query"), *payload, F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error")
     )
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        asks = frame["asks"].to_numpy(bool)
-        return linked(frame[asks], frame[~asks], shared.value, int(key[0]), least_cosine)
+        query = frame["query"].to_numpy(bool)
+        return linked(frame[query], frame[~query], shared.value, radii, least_cosine)
 
-    found = cut_lineage(members.unionByName(queries).groupBy("list", "mb", "qb").applyInPandas(compare, "a bigint, b bigint, links bigint"))
+    found = cut_lineage(members.unionByName(queries).groupBy("at", "qb").applyInPandas(compare, "a bigint, b bigint, links bigint"))
     counted = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cls")
     joined = components(found).withColumnRenamed("node", "cls")
     placed = classes.join(counted, "cls", "left").join(joined, "cls", "left").withColumn("group", F.coalesce("component", "cls"))

@@ -166,3 +166,19 @@ def test_recall_in_many_dimensions(spark):
     got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
     found = np.array([got[i] for i in range(len(x))])
     assert (found <= want).all() and found.sum() >= 0.999 * want.sum() and want.sum() > 1000
+
+
+@pytest.mark.parametrize("width,rank", [(64, 4), (768, 6)])
+def test_no_link_is_lost_in_a_subspace(spark, monkeypatch, width, rank):
+    """Vectors of low effective rank, in groups, and half of them of another length."""
+    monkeypatch.setattr(vectors, "BLOCK", 512)
+    rng = np.random.default_rng(rank)
+    x = np.repeat(rng.normal(size=(400, rank)), 5, axis=0)
+    x = (x + 0.25 * rng.normal(size=x.shape)) @ np.linalg.qr(rng.normal(size=(width, rank)))[0].T
+    x[1::2, width - 8 :] = 0
+    dims = np.where(np.arange(len(x)) % 2, width - 8, width)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.95) & (dims[:, None] == dims[None, :])
+    df = spark.createDataFrame([(i, r[:d].tolist()) for i, (r, d) in enumerate(zip(x, dims, strict=True))], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
