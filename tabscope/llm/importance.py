@@ -5,6 +5,11 @@ labelled good) and of the raw corpus, give each text a log ratio. Gumbel noise
 is added to it, and the largest k are kept: a sample without replacement,
 weighted by the ratio. k is the number of texts that clear a threshold found on
 labelled texts the target model has not seen.
+
+A mean says little of a few toxic words in a long text. A third model, of the
+words and pairs that labelled toxic texts use more than good ones, scores each
+text by its worst window; one over a threshold of its own, found on unseen
+labels as well, is not drawn from.
 """
 
 from __future__ import annotations
@@ -23,6 +28,9 @@ BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 ROWS_AT_ONCE = 2048
 TRAIN_FIFTHS = 4
+TOXIC_GRAMS = 1 << 16
+TOXIC_WINDOW = 8
+SIGNIFICANT = 4.0  # standard deviations by which toxic texts must use a gram more than good ones
 RANGES = 4096
 
 
@@ -37,13 +45,15 @@ def buckets_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def labelled_sample(labels: DataFrame, most_labels: int) -> DataFrame:
-    """At most ``most_labels`` labelled ids, chosen and dealt into fifths by their hash: ``doc_id``, ``good``, ``fifth``.
+    """At most ``most_labels`` labelled ids, chosen and dealt into fifths by their hash: ``doc_id``, ``good``, ``low``, ``toxic``, ``fifth``.
 
-    Good means quality 1 and not toxic. Null ids or qualities are left out; of
-    rows that repeat an id, all must be good.
+    Good means quality 1 and not toxic, low another quality. Null ids or
+    qualities are left out; of rows that repeat an id, all must be good, and one
+    is enough for the others.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
-    known = known.agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    toxic = F.coalesce("toxic", F.lit(0)) != 0
+    known = known.agg(F.min((F.col("quality") == 1) & ~toxic).alias("good"), F.max(F.col("quality") != 1).alias("low"), F.max(toxic).alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(most_labels)
     return cut_lineage(chosen.withColumn("fifth", F.pmod(F.xxhash64("doc_id"), F.lit(5)).cast("int")))
 
@@ -87,22 +97,90 @@ def log_ratios(totals: np.ndarray, smoothing: float) -> np.ndarray:
     return np.log((totals[1] + smoothing) / (expected + smoothing))
 
 
-def scores(docs: DataFrame, ratios: np.ndarray, doc_id: str, text: str, shrinkage: float) -> DataFrame:
-    """``doc_id``, ``n_grams``, ``log_weight`` (summed log ratio) and ``score`` (its mean, drawn to 0 for short texts)."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64())])
+def grams_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Full codes of each word and of each pair of neighbouring words of each text, A-Z lower-cased."""
+    codes, first = word_codes(texts, lower=True)
+    pairs = windows(codes, 2)
+    for start, end in zip(first[:-1], first[1:], strict=True):
+        yield codes[start:end].view(np.int64), pairs[start : max(start, end - 1)].view(np.int64)
+
+
+def toxic_weights(docs: DataFrame, sample: DataFrame, doc_id: str, text: str, smoothing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes of the most usual grams of toxic texts of the first fifths, and log(toxic share / good share) of each.
+
+    Shares are of the texts that hold a gram; grams that toxic texts do not use
+    significantly more weigh nothing, or their sum would hide the few that matter.
+    Codes have 64 bits, since one shared by a usual gram would make clean texts
+    toxic. At most TOXIC_GRAMS codes come to the driver.
+    """
+    train = F.broadcast(sample.where(f"fifth < {TRAIN_FIFTHS} AND (toxic OR good)").select(F.col("doc_id").alias("_id"), "toxic"))
+    known = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("text")).join(train, "_id")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in record_batches(batches, ROWS_AT_ONCE):
+            for _, texts in chunks(as_bytes(batch.column(0))):
+                grams, n = np.unique(np.concatenate([np.unique(np.concatenate(g)) for g in grams_of(texts)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], names=["gram", "n"])
+
+    counted = cut_lineage(known.where("toxic").select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
+    usual = counted.orderBy(F.desc("n"), "gram").limit(TOXIC_GRAMS).toPandas().sort_values("gram")
+    grams, toxic = usual["gram"].to_numpy(np.int64), usual["n"].to_numpy(np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(grams)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last place holds all other grams.
+        found = np.zeros(len(shared.value) + 1, np.int64)
+        for batch in record_batches(batches, ROWS_AT_ONCE):
+            for _, texts in chunks(as_bytes(batch.column(0))):
+                every = np.concatenate([np.unique(np.concatenate(g)) for g in grams_of(texts)])
+                found += np.bincount(place_in(shared.value, every), minlength=len(found))
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(found[seen])], names=["place", "n"])
+
+    good = np.zeros(len(grams) + 1, np.int64)
+    sums = known.where("NOT toxic").select("text").mapInArrow(look, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    good[sums["place"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
+    n_texts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if len(n_texts) < 2:
+        return grams[:0], np.zeros(0)
+    expected = good[:-1] * (n_texts[True] / n_texts[False])
+    telling = toxic - expected >= SIGNIFICANT * np.sqrt(toxic + expected)
+    return grams[telling], np.log((toxic + smoothing) / (expected + smoothing))[telling]
+
+
+def place_in(grams: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Place of each code among sorted grams, their number for all others."""
+    place = np.searchsorted(grams, codes)
+    found = place < len(grams)
+    found[found] = grams[place[found]] == codes[found]
+    return np.where(found, place, len(grams))
+
+
+def worst_window(words: np.ndarray, pairs: np.ndarray) -> float:
+    """The largest sum of weights of TOXIC_WINDOW words in a row, and of the pairs that begin at them."""
+    total = np.concatenate([[0.0], np.cumsum(words + np.append(pairs, 0.0)[: len(words)])])
+    width = min(TOXIC_WINDOW, len(words))
+    return float((total[width:] - total[: len(total) - width]).max()) if width else 0.0
+
+
+def scores(docs: DataFrame, ratios: np.ndarray, toxic: tuple[np.ndarray, np.ndarray], doc_id: str, text: str, shrinkage: float) -> DataFrame:
+    """``doc_id``, ``n_grams``, ``log_weight`` (summed log ratio), ``worst`` (toxic window) and ``score`` (mean log ratio, drawn to 0 for short texts)."""
+    shared = docs.sparkSession.sparkContext.broadcast((ratios, toxic[0], np.append(toxic[1], 0.0)))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_grams", pa.int64()), ("log_weight", pa.float64()), ("worst", pa.float64())])
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket, grams, weights = shared.value
         for batch in record_batches(batches, ROWS_AT_ONCE):
-            sizes, sums = [], []
+            sizes, sums, worst = [], [], []
             for _, texts in chunks(as_bytes(batch.column(1))):
                 for singles, pairs in buckets_of(texts):
                     sizes.append(len(singles) + len(pairs))
-                    sums.append(float(shared.value[singles].sum() + shared.value[pairs].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], schema=schema)
+                    sums.append(float(by_bucket[singles].sum() + by_bucket[pairs].sum()))
+                worst += [worst_window(*(weights[place_in(grams, g)] for g in found)) for found in grams_of(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(worst, pa.float64())], schema=schema)
 
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    weighed = narrow.mapInArrow(weigh, "doc_id bigint, n_grams bigint, log_weight double")
+    weighed = narrow.mapInArrow(weigh, "doc_id bigint, n_grams bigint, log_weight double, worst double")
     return weighed.withColumn("score", F.col("log_weight") / (F.col("n_grams") + shrinkage))
 
 
@@ -155,18 +233,28 @@ def resample(
     The models are counted over all texts; only the labels are a bounded
     sample. The noise depends on ``doc_id`` alone, so a run can be repeated and
     rows that repeat share their fate; a null id has the noise of its own hash.
-    Rows tied with the k-th are all kept. Null or empty texts score 0. Without
-    usable labels everything is kept. Other columns are ignored.
+    At the given ``temperature`` it decides only between texts whose scores are
+    within some hundredths of the threshold. Texts with a toxic window are not
+    drawn from. The two thresholds together refuse no more than 1 - ``least_kept``
+    of unseen good texts. Rows tied with the k-th are all kept. Null or empty
+    texts score 0. Without usable labels everything is kept. Other columns are
+    ignored.
     """
     sample = labelled_sample(labels, most_labels)
     ratios = log_ratios(gram_counts(docs, sample, doc_id, text), smoothing)
-    weighed = cut_lineage(scores(docs, ratios, doc_id, text, shrinkage))
+    toxic = toxic_weights(docs, sample, doc_id, text, smoothing)
+    weighed = cut_lineage(scores(docs, ratios, toxic, doc_id, text, shrinkage))
     # Bounded by the sample, up to rows that repeat an id: one score each.
-    unseen = weighed.join(F.broadcast(sample.where(f"NOT good OR fifth >= {TRAIN_FIFTHS}")), "doc_id").groupBy("doc_id", "good")
-    unseen = unseen.agg(F.min("score").alias("score")).toPandas()
-    threshold = threshold_of(unseen["score"][unseen["good"]].to_numpy(), unseen["score"][~unseen["good"]].to_numpy(), least_kept)
+    unseen = weighed.join(F.broadcast(sample.where(f"(low AND NOT toxic) OR fifth >= {TRAIN_FIFTHS}")), "doc_id").groupBy("doc_id", "good", "low", "toxic")
+    unseen = unseen.agg(F.min("score").alias("score"), F.max("worst").alias("worst")).toPandas()
+    good, low, harmful = (unseen[c].to_numpy(bool) for c in ("good", "low", "toxic"))
+    score, calm = unseen["score"].to_numpy(), -unseen["worst"].to_numpy()
+    each = (1 + least_kept) / 2
+    threshold = threshold_of(score[good], score[low], each)
+    most_toxic = -threshold_of(calm[good], calm[harmful & ~low], each)
     uniform = (F.pmod(F.xxhash64(F.lit("gumbel"), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     noisy = cut_lineage(weighed.withColumn("noisy_score", F.col("score") / temperature - F.log(-F.log(uniform))))
-    k = noisy.where(F.col("score") >= threshold).count()
-    lowest = kth_largest(noisy, "noisy_score", k) if k else np.inf
-    return noisy.withColumn("kept", F.col("noisy_score") >= float(lowest))
+    drawn = noisy.where(F.col("worst") <= float(most_toxic))
+    k = drawn.where(F.col("score") >= threshold).count()
+    lowest = kth_largest(drawn, "noisy_score", k) if k else np.inf
+    return noisy.withColumn("kept", (F.col("noisy_score") >= float(lowest)) & (F.col("worst") <= float(most_toxic))).drop("worst")

@@ -211,6 +211,20 @@ def test_classifier_refuses_unseen_junk_and_keeps_clean(spark):
     assert sorted(rows) == sorted(again)
 
 
+def test_classifier_refuses_a_few_toxic_words_in_long_texts(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, rng.randint(100, 600)) for _ in range(1500)]
+    for words in texts[1000:]:
+        for _ in range(rng.randint(2, 4)):
+            words[rng.randrange(len(words))] = rng.choice(["vile", "Scum", "rot", "filth"])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i >= 1000)) for i in range(0, 1500, 2)], "doc_id bigint, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in importance.resample(docs, labels).collect()}
+    unseen = range(1, 1500, 2)
+    assert np.mean([kept[i] for i in unseen if i < 1000]) > 0.98
+    assert np.mean([kept[i] for i in unseen if i >= 1000]) < 0.05
+
+
 def test_classifier_scores_are_log_ratios():
     texts = [b"a b a", b"c", b""]
     totals = np.zeros((2, importance.BUCKETS), np.int64)
