@@ -82,7 +82,9 @@ def with_ownership(docs: DataFrame, doc_id: str, text: str, repository: str, own
 
     ``spans`` is an array by start and then kind, each with ``n_owners`` and
     ``n_repositories`` of its value, and ``copied``: whether at least
-    ``many_owners`` owners or ``many_repositories`` repositories have it.
+    ``many_owners`` owners have it, or several owners in at least
+    ``many_repositories`` repositories. Documents that stand for repositories
+    are no sign of a copy, however many there are.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     found = cut_lineage(
@@ -103,7 +105,8 @@ def with_ownership(docs: DataFrame, doc_id: str, text: str, repository: str, own
     # The spans of a text do not depend on whose it is: rows with a null id may share them.
     place = F.coalesce("doc_id", F.lit(-1)).alias("place")
     judged = each.select(place, "text_hash", "hash", "start", "kind_no", "end", "kind").distinct().join(held, "hash")
-    judged = judged.withColumn("copied", (F.col("n_owners") >= many_owners) | (F.col("n_repositories") >= many_repositories))
+    spread = (F.col("n_owners") > 1) & (F.col("n_repositories") >= many_repositories) & F.lit(repository != doc_id)
+    judged = judged.withColumn("copied", (F.col("n_owners") >= many_owners) | spread)
     judged = judged.where((F.col("kind") != OWNED.name) | ~F.col("copied") & (F.col("n_owners") == 1))
     span = F.struct("start", "kind_no", "end", "kind", "hash", "n_owners", "n_repositories", "copied")
     by_text = judged.groupBy("place", "text_hash").agg(F.array_sort(F.collect_list(span)).alias("spans"))

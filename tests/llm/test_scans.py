@@ -46,6 +46,21 @@ def test_ownership_parts_examples_from_live_ones(spark):
     assert clean[0] == "see [EXAMPLE] here" and clean[10] == "mine é [SECRET] end" and clean[12] == rows[6][1]
 
 
+def test_one_owners_token_is_live_in_any_number_of_documents(spark):
+    live, named = "zq9XkLm2PqRs7TuVw8Yz", "token=kk8JhGfDs3AqWeRt"
+    rows = [(i, f"page {i} {live} {named} end", "owner", f"repo{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, repo string")
+    for repository in ("doc_id", "repo"):
+        for r in secrets.scan(docs, repository=repository).collect():
+            assert [(s["kind"], s["n_repositories"], s["copied"]) for s in r["spans"]] == [("owned", 300, False), ("assign", 300, False)]
+        clean = secrets.redact(docs, repository=repository)
+        assert {r["text"] for r in clean.collect()} == {f"page {i} [SECRET] [SECRET] end" for i in range(300)}
+    # Repositories of two owners tell of a copy, documents do not.
+    shared = docs.union(docs.selectExpr("doc_id + 1000", "text", "'other'", "repo || 'b'"))
+    assert {s["copied"] for r in secrets.scan(shared, repository="repo").collect() for s in r["spans"]} == {True}
+    assert {s["copied"] for r in secrets.scan(shared).collect() for s in r["spans"]} == {False}
+
+
 def test_overlapping_spans_are_replaced_together(spark):
     key = "0123456789abcdef" * 2
     docs = spark.createDataFrame([(1, f'x token = "{key}" y {key}z', "a")], "doc_id bigint, text string, source string")
