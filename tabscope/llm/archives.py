@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import io
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -168,6 +169,14 @@ def _entry(headers: dict[str, str], archive: str, place: int, block: bytes) -> d
     }
 
 
+def _verify(entry: dict, block: bytes) -> None:
+    """A response's block has the length and the digest that its headers name; a revisit has none."""
+    if entry["record_type"] == "response":
+        digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
+        if (len(block), digest) != (entry["payload_bytes"], entry["payload_digest"]):
+            raise ValueError(f"the record at {entry['place']} of {entry['archive']} does not hold the payload it names")
+
+
 def _order(entry: dict) -> tuple:
     return tuple((entry[c] is not None, entry[c]) for c in SORT_KEY)
 
@@ -175,7 +184,7 @@ def _order(entry: dict) -> tuple:
 def sorted_runs(spark: SparkSession, folder: str) -> DataFrame:
     """One index entry per record, in sorted runs of at most RUN_ROWS entries of one archive.
 
-    A response whose block does not have the digest it names is an error.
+    A response whose block does not have the length and the digest it names is an error.
     """
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +193,7 @@ def sorted_runs(spark: SparkSession, folder: str) -> DataFrame:
                 archive, entries, runs = path.rsplit("/", 1)[-1], [], 0
                 for headers, place, block in records_in(content):
                     entries.append(_entry(headers, archive, place, block))
+                    _verify(entries[-1], block)
                     if len(entries) == RUN_ROWS:
                         yield _run(entries, f"{archive}:{runs}")
                         entries, runs = [], runs + 1

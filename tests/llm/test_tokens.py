@@ -186,3 +186,14 @@ def test_url_keys():
 def test_crc_is_that_of_the_ids(spark):
     row = spark.createDataFrame([(bytearray(b"\x01\x00\x00\x00"),)], "ids binary").select(F.crc32("ids")).first()
     assert row[0] == zlib.crc32(b"\x01\x00\x00\x00")
+
+
+def test_an_altered_payload_is_an_error(spark, pages, tmp_path):
+    folder = str(tmp_path / "altered")
+    made = captures(pages)
+    # Another payload of equal length, below the digest of the first.
+    altered = made.withColumn("payload", F.translate("payload", "abcdefghi", "bcdefghia"))
+    assert altered.where("record_type = 'response'").exceptAll(made.where("record_type = 'response'")).count() > 0
+    archives.write_archives(altered, folder)
+    with pytest.raises(Exception, match="does not hold the payload it names"):
+        archives.sorted_runs(spark, folder).collect()
