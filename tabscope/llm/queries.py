@@ -263,3 +263,16 @@ def _near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     from tabscope.llm.vectors import near_duplicates
 
     return near_duplicates(table(spark, folder, "embeddings"))
+
+
+# ── 12: token ids in wavelet matrices ─────────────────────────────────────────
+
+
+@register("op12_wavelet_shards")
+def _token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.wavelet import read_documents, with_starts, write_shards
+
+    shards = shared_folder(spark, "token-shards")
+    write_shards(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), shards, end_id=2)
+    read = read_documents(spark, shards).select("doc_id", "n_tokens", "partition", "place", F.crc32("ids").alias("ids_crc32"))
+    return with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")

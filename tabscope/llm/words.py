@@ -49,10 +49,13 @@ def _power_tables(size: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_codes(texts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all words in order, and where each text's words begin (one more entry than texts)."""
+def word_codes(texts: list[bytes], lower: bool, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all words in order, and where each text's words begin (one more entry than texts).
+
+    ``gaps`` marks the bytes that part words; the end of a line is always one.
+    """
     raw = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
-    space = SPACE[raw]
+    space = gaps[raw]
     before = np.concatenate([[True], space[:-1]])
     starts = np.flatnonzero(before & ~space)
     ends = np.flatnonzero(space & ~before)
