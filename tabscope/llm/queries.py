@@ -276,3 +276,15 @@ def _token_shards(spark: SparkSession, folder: str) -> DataFrame:
     write_shards(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), shards, end_id=2)
     read = read_documents(spark, shards).select("doc_id", "n_tokens", "partition", "place", F.crc32("ids").alias("ids_crc32"))
     return with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+# ── 13: cross-tokenizer alignment ─────────────────────────────────────────────
+
+
+@register("op13_coalesced_alignment")
+def _alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.alignment import align, with_counts
+
+    model = vocabulary("piece_bpe_32k.model")
+    rows = align(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), model, related="ends")
+    return with_counts(rows, model).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

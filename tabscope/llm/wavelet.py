@@ -155,17 +155,16 @@ class WaveletFile:
         return place
 
     def tokens(self) -> np.ndarray:
-        """All ids in order, all places followed down the planes at once."""
-        place, value = np.arange(self.n), np.zeros(self.n, "<u4")
-        for level in range(self.width):
-            blocks = range(len(self.directories[level]) - 1)
+        """All ids in order: from the last plane up, each plane's order is undone, a scan through memory."""
+        value = np.zeros(self.n, "<u4")
+        for level in range(self.width - 1, -1, -1):
             ends = self.directories[level]["end"].tolist()
-            raw = b"".join([_plain(self.planes[level][ends[b] : ends[b + 1]]) for b in blocks])
+            raw = b"".join([_plain(self.planes[level][low:high]) for low, high in zip(ends[:-1], ends[1:], strict=True)])
             bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")[: self.n].astype(bool)
-            down = np.empty(self.n, np.int64)
-            down[~bits], down[bits] = np.arange(self.zeros[level]), np.arange(self.zeros[level], self.n)
-            value = value << np.uint32(1) | bits[place].astype("<u4")
-            place = down[place]
+            above = np.empty_like(value)
+            above[~bits] = value[: self.zeros[level]]
+            above[bits] = value[self.zeros[level] :] | np.uint32(1 << (self.width - 1 - level))
+            value = above
         return value
 
 
