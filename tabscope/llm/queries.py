@@ -288,3 +288,27 @@ def _alignment(spark: SparkSession, folder: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
     rows = align(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"), model, related="ends")
     return with_counts(rows, model).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+# ── 11: ranked lexical search ─────────────────────────────────────────────────
+
+SQL_TERMS = r"regexp_extract_all({text}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, {SQL_TERMS.format(text=SQL_LOWER.format(text="coalesce(text, '')"))} AS w FROM documents),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS n_all, coalesce(sum(len(w)), 0)::BIGINT AS l_all FROM d),
+asked AS (SELECT DISTINCT item_id, unnest({SQL_TERMS.format(text=SQL_LOWER.format(text="coalesce(text, '')"))}) AS t FROM benchmark),
+tfs AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY 1, 2),
+weights AS (SELECT t, floor(1000 * ln((2 * n_all + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM tfs, totals WHERE t IN (SELECT t FROM asked) GROUP BY t, n_all),
+norms AS (SELECT doc_id, 50 + (50 * len(w) * n_all) // l_all AS m FROM d, totals WHERE len(w) > 0),
+scored AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN tfs USING (t) JOIN norms USING (doc_id) GROUP BY 1, 2),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+
+@register("op11_best_position_search", OP11_SQL)
+def _search(spark: SparkSession, folder: str) -> DataFrame:
+    from tabscope.llm.best_position import search
+
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=50)
