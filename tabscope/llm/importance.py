@@ -28,7 +28,6 @@ BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 ROWS_AT_ONCE = 2048
 TRAIN_FIFTHS = 4
-TOXIC_GRAMS = 1 << 16
 TOXIC_WINDOW = 8
 SIGNIFICANT = 4.0  # standard deviations by which toxic texts must use a gram more than good ones
 RANGES = 4096
@@ -106,46 +105,36 @@ def grams_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def toxic_weights(docs: DataFrame, sample: DataFrame, doc_id: str, text: str, smoothing: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes of the most usual grams of toxic texts of the first fifths, and log(toxic share / good share) of each.
+    """Sorted codes of the grams that tell toxic texts of the first fifths from good ones, and log(toxic share / good share) of each.
 
     Shares are of the texts that hold a gram; grams that toxic texts do not use
     significantly more weigh nothing, or their sum would hide the few that matter.
     Codes have 64 bits, since one shared by a usual gram would make clean texts
-    toxic. At most TOXIC_GRAMS codes come to the driver.
+    toxic. Every gram of the labelled texts is judged where it is counted; only
+    those that tell come to the driver, and each needs as many toxic texts as the
+    square of SIGNIFICANT at least.
     """
     train = F.broadcast(sample.where(f"fifth < {TRAIN_FIFTHS} AND (toxic OR good)").select(F.col("doc_id").alias("_id"), "toxic"))
-    known = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("text")).join(train, "_id")
+    known = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("text")).join(train, "_id").select("toxic", "text")
+    n_texts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if len(n_texts) < 2:
+        return np.zeros(0, np.int64), np.zeros(0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in record_batches(batches, ROWS_AT_ONCE):
-            for _, texts in chunks(as_bytes(batch.column(0))):
-                grams, n = np.unique(np.concatenate([np.unique(np.concatenate(g)) for g in grams_of(texts)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    counted = cut_lineage(known.where("toxic").select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
-    usual = counted.orderBy(F.desc("n"), "gram").limit(TOXIC_GRAMS).toPandas().sort_values("gram")
-    grams, toxic = usual["gram"].to_numpy(np.int64), usual["n"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(grams)
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last place holds all other grams.
-        found = np.zeros(len(shared.value) + 1, np.int64)
-        for batch in record_batches(batches, ROWS_AT_ONCE):
-            for _, texts in chunks(as_bytes(batch.column(0))):
-                every = np.concatenate([np.unique(np.concatenate(g)) for g in grams_of(texts)])
-                found += np.bincount(place_in(shared.value, every), minlength=len(found))
-        seen = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(found[seen])], names=["place", "n"])
-
-    good = np.zeros(len(grams) + 1, np.int64)
-    sums = known.where("NOT toxic").select("text").mapInArrow(look, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    good[sums["place"].to_numpy(np.int64)] = sums["n"].to_numpy(np.int64)
-    n_texts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    if len(n_texts) < 2:
-        return grams[:0], np.zeros(0)
-    expected = good[:-1] * (n_texts[True] / n_texts[False])
-    telling = toxic - expected >= SIGNIFICANT * np.sqrt(toxic + expected)
-    return grams[telling], np.log((toxic + smoothing) / (expected + smoothing))[telling]
+            flags = np.array(batch.column(0).to_pylist(), dtype=bool)
+            for start, texts in chunks(as_bytes(batch.column(1))):
+                own = [np.unique(np.concatenate(g)) for g in grams_of(texts)]
+                grams, place = np.unique(np.concatenate(own), return_inverse=True)
+                toxic = np.repeat(flags[start : start + len(own)], [len(g) for g in own])
+                held = [np.bincount(place[toxic == side], minlength=len(grams)) for side in (True, False)]
+                yield pa.RecordBatch.from_arrays([pa.array(grams), *(pa.array(h.astype(np.int64)) for h in held)], names=["gram", "toxic", "good"])
+
+    counted = known.mapInArrow(count, "gram bigint, toxic bigint, good bigint").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("good").alias("good"))
+    counted = counted.withColumn("expected", F.col("good") * F.lit(n_texts[True] / n_texts[False]))
+    telling = counted.where(F.col("toxic") - F.col("expected") >= SIGNIFICANT * F.sqrt(F.col("toxic") + F.col("expected")))
+    found = telling.select("gram", "toxic", "expected").toPandas().sort_values("gram")
+    return found["gram"].to_numpy(np.int64), np.log((found["toxic"] + smoothing) / (found["expected"] + smoothing)).to_numpy(float)
 
 
 def place_in(grams: np.ndarray, codes: np.ndarray) -> np.ndarray:

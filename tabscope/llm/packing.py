@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tabscope.columns import unused_name
 from tabscope.llm.words import record_batches
 from tabscope.session import cut_lineage
 
@@ -188,17 +189,18 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, wi
     one. A window leaves its last few sequences less than full; all others
     leave no slack that any choice of its pieces could have filled. Lengths run
     from 1 to the capacity. Columns called ``sequence_id`` or ``offset`` are
-    replaced.
+    replaced, others may have any name. No rows give none.
     """
     columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    numbered = cut_lineage(pieces.select(*columns, F.monotonically_increasing_id().alias("_piece")))
+    piece, window = unused_name("piece", columns), unused_name("window", columns)
+    numbered = cut_lineage(pieces.select(*columns, F.monotonically_increasing_id().alias(piece)))
     n_windows = max(1, -(-numbered.count() // window_pieces))
-    windowed = numbered.withColumn("_window", F.pmod(F.xxhash64("_piece"), F.lit(n_windows)))
+    windowed = numbered.withColumn(window, F.pmod(F.xxhash64(piece), F.lit(n_windows)))
     schema = windowed.withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint")).schema
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_piece", ignore_index=True)
+        rows = rows.sort_values(piece, ignore_index=True)
         sequence, offset = place(rows[length].to_numpy(np.int64), capacity)
         return rows.assign(sequence_id=int(key[0]) * (1 << 32) + sequence, offset=offset)
 
-    return windowed.groupBy("_window").applyInPandas(packed, schema).drop("_piece", "_window")
+    return windowed.groupBy(window).applyInPandas(packed, schema).drop(piece, window)

@@ -135,7 +135,7 @@ def divergence(counted: Column, total: Column, shares: Column) -> Column:
         return F.when(share > 0, 0.5 * share * F.log2(2 * share / (share + other))).otherwise(0.0)
 
     terms = F.zip_with(counted, shares, lambda c, r: part(c / total, r) + part(r, c / total))
-    return F.when(total > 0, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))))
+    return F.when((total > 0) & shares.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))))
 
 
 def judge(
@@ -149,7 +149,8 @@ def judge(
     word_noise: float = 2.0,
     least_chars: int = 200,
     least_words: int = 50,
-    least_texts: int = 50,
+    prior_chars: int = 2000,
+    prior_words: int = 400,
 ) -> DataFrame:
     """One row per input row: the counts, both distances, ``base_failed`` and ``kept``.
 
@@ -158,11 +159,14 @@ def judge(
     is over its limit, which is ``most_chars`` or ``most_words`` and, for what
     chance does to short texts, the noise divided by the root of the number of
     characters or words. A distance is not judged (and null) for texts with fewer
-    than ``least_chars`` characters or ``least_words`` words, nor for languages
-    with fewer than ``least_texts`` different texts. Equal texts count once in a
-    language's histograms, so copies do not shape them. Null or empty texts have
-    no words and fail; a null language is one of its own; repeated rows repeat
-    their result; other columns are ignored.
+    than ``least_chars`` characters or ``least_words`` words. A language's
+    reference is what its texts hold and, as if of one more text, ``prior_chars``
+    characters and ``prior_words`` words shared out as in all texts together; so
+    the rarer a language, the more the whole corpus judges it, by degrees. Equal
+    texts count once in the histograms, so copies do not shape them. Null or
+    empty texts have no words and fail; a null language is one of its own;
+    repeated rows repeat their result; no rows give none; other columns are
+    ignored.
     """
     counted = cut_lineage(counts(docs, doc_id, text, lang))
     once = counted.groupBy("lang", "high", "low").agg(F.first("chars").alias("chars"), F.first("common").alias("common"))
@@ -170,15 +174,20 @@ def judge(
     def summed(name: str, size: int) -> Column:
         return F.array(*(F.sum(F.col(name)[i]) for i in range(size))).alias(name)
 
-    def shares(name: str) -> Column:
-        """Of the sum in each place; null if there is nothing to share."""
-        total = F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x)
-        return F.when(total > 0, F.transform(name, lambda x: x / total)).alias(f"{name}_shares")
-
-    references = once.groupBy("lang").agg(F.count("*").alias("texts"), summed("chars", CLASSES), summed("common", len(WORDS) + 1))
     # Tables of their own, one row per language, so that nothing is summed again for each text.
-    references = cut_lineage(references.where(F.col("texts") >= least_texts))
-    known = cut_lineage(references.select("lang", shares("chars"), shares("common")))
+    references = cut_lineage(once.groupBy("lang").agg(summed("chars", CLASSES), summed("common", len(WORDS) + 1)))
+    pooled = references.agg(summed("chars", CLASSES), summed("common", len(WORDS) + 1)).first()
+
+    def shares(name: str, prior: int) -> Column:
+        """Of the sum in each place, with the prior's part of it; null if no text has any."""
+        counts = pooled[name]
+        if not sum(n or 0 for n in counts):
+            return F.lit(None).cast("array<double>").alias(f"{name}_shares")
+        expected = F.array(*(F.lit(prior * n / sum(counts)) for n in counts))
+        total = F.aggregate(name, F.lit(0).cast("bigint"), lambda a, x: a + x) + prior
+        return F.zip_with(name, expected, lambda n, e: (n + e) / total).alias(f"{name}_shares")
+
+    known = cut_lineage(references.select("lang", shares("chars", prior_chars), shares("common", prior_words)))
     both = counted.join(known, "lang", "left")
     long_enough = (F.col("n_chars") >= least_chars) & (F.col("n_words") >= least_words)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabscope.columns import unused_name
 from tabscope.session import cut_lineage
 
 SPAN = "struct<start:int, kind_no:int, end:int, kind:string, value:string>"
@@ -147,18 +148,22 @@ def redact(
     many_repositories: int = 50,
     live_mark: str = "[SECRET]",
     copied_mark: str = "[EXAMPLE]",
+    chars: str | None = None,
 ) -> DataFrame:
     """All rows and columns of ``docs``, each span of the text replaced by a mark.
 
     Spans that overlap are replaced together, by the mark for live ones if any
     of them is not a copied example. Texts without spans stay as they are, null
-    included.
+    included. A column of lengths in code points, ``chars``, follows the text it
+    belongs to. Columns may have any names; a null id shares the spans of other
+    rows of its text; no rows give none.
     """
+    place, hashed, held = (unused_name(n, docs.columns) for n in ("place", "hash", "spans"))
     decided = with_ownership(docs, doc_id, text, repository, owner, many_owners, many_repositories).where(F.size("spans") > 0)
-    decided = cut_lineage(decided.select(F.coalesce("doc_id", F.lit(-1)).alias("_place"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct())
+    decided = cut_lineage(decided.select(F.coalesce("doc_id", F.lit(-1)).alias(place), F.col("text_hash").alias(hashed), F.col("spans").alias(held)).distinct())
     if decided.count() <= BROADCAST_ROWS:
         decided = F.broadcast(decided)
-    keyed = docs.withColumns({"_place": F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-1)), "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    keyed = docs.withColumns({place: F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-1)), hashed: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
 
     def mark(live: Column) -> Column:
         return F.when(live, F.lit(live_mark)).otherwise(F.lit(copied_mark))
@@ -173,6 +178,10 @@ def redact(
         )
 
     first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("live"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", first, step, lambda s: F.concat(s["out"], mark(s["live"]), F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
-    joined = keyed.join(decided, ["_place", "_hash"], "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col(text))).select(*docs.columns)
+    clean = F.aggregate(held, first, step, lambda s: F.concat(s["out"], mark(s["live"]), F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
+    joined = keyed.join(decided, [place, hashed], "left")
+    found = F.col(held).isNotNull()
+    joined = joined.withColumn(text, F.when(found, clean).otherwise(F.col(text)))
+    if chars is not None:
+        joined = joined.withColumn(chars, F.when(found, F.length(text).cast(docs.schema[chars].dataType)).otherwise(F.col(chars)))
+    return joined.select(*docs.columns)

@@ -7,6 +7,7 @@ of about 2**-60.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -110,7 +111,21 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def record_batches(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Cut large batches, so that what is computed from one stays small."""
+    """Cut large batches, so that what is computed from one stays small.
+
+    What a task freed goes back to the system when its last batch is done: the
+    worker lives on, and the next task may run in another.
+    """
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        del batch
+    give_back()
+
+
+def give_back() -> None:
+    """Hand free memory of Arrow and of the C library back to the system, where these can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
