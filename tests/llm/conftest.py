@@ -9,7 +9,7 @@ def odd_documents(spark):
     rows = [(i, t, None if i % 3 else "en", f"src{i % 2}", None) for i, t in enumerate(ODD_TEXTS)]
     rows += [rows[4], rows[4], (None, "word", "en", None, 4), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    names = ("kept", "component_id", "rep", "key", "hash", "spans", "shard", "ids", "value", "list", "unit", "score", "bucket", "sequence_id")
+    names = ("kept", "component_id", "rep", "key", "hash", "spans", "shard", "ids", "value", "list", "unit", "score", "bucket", "sequence_id", "_before", "_place", "_hash", "_spans", "_refused", "_id", "_target", "_piece", "_window", "_key", "place", "held", "piece", "window", "id", "text_hash", "found", "row", "term", "rank", "low", "high", "toxic", "good")
     return df.selectExpr("*", *(f"'extra' AS {n}" for n in names))
 
 

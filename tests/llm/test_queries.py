@@ -26,5 +26,5 @@ def test_query(spark, name):
 
 
 def test_there_is_a_query_for_each_operator():
-    assert {int(n.split("_")[0][2:]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n.split("_")[0][2:]) for n in queries.QUERIES} == set(range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None

@@ -260,3 +260,19 @@ def test_threshold_keeps_the_good():
     good, bad = np.linspace(0, 1, 1000), np.linspace(-5, 0.5, 1000)
     assert np.mean(good >= importance.threshold_of(good, bad, 0.99)) >= 0.99
     assert importance.threshold_of(good, bad[:0], 0.99) == -np.inf
+
+
+def test_the_fiftieth_text_changes_no_verdict(spark):
+    """A language's reference grows by degrees: junk among 5, 49 or 50 texts is refused, clean texts stay; what is not judged is null."""
+    rng = random.Random(8)
+    common = "the of and to in a is that for it was".split()
+    clean = lambda: " ".join(rng.choice([*common, *prose(rng, 12)]) for _ in range(200))
+    rows = [(i, clean(), "en") for i in range(80)]
+    for lang, n in (("x", 5), ("y", 49), ("z", 50)):
+        first = len(rows)
+        rows += [(first + i, clean(), lang) for i in range(n - 1)] + [(10_000 + n, " ".join("@%&^~" + str(rng.randint(0, 999)) for _ in range(300)), lang)]
+    rows.append((20_000, "short but varied text of more than ten words in all here", "w"))
+    got = {r["doc_id"]: r for r in rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert [got[10_000 + n]["kept"] for n in (5, 49, 50)] == [False] * 3
+    assert all(got[i]["kept"] for i, _, _ in rows if i < 10_000)
+    assert got[20_000]["kept"] and got[20_000]["char_distance"] is None and got[20_000]["word_distance"] is None
