@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows may be long texts: a batch is held by the JVM, by Python and on the way between them.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
 
