@@ -149,8 +149,8 @@ def judge(
     word_noise: float = 2.0,
     least_chars: int = 200,
     least_words: int = 50,
-    prior_chars: int = 2000,
-    prior_words: int = 400,
+    prior_chars: int = 20_000,
+    prior_words: int = 4_000,
 ) -> DataFrame:
     """One row per input row: the counts, both distances, ``base_failed`` and ``kept``.
 
@@ -160,7 +160,7 @@ def judge(
     chance does to short texts, the noise divided by the root of the number of
     characters or words. A distance is not judged (and null) for texts with fewer
     than ``least_chars`` characters or ``least_words`` words. A language's
-    reference is what its texts hold and, as if of one more text, ``prior_chars``
+    reference is what its texts hold and, as if of some more texts, ``prior_chars``
     characters and ``prior_words`` words shared out as in all texts together; so
     the rarer a language, the more the whole corpus judges it, by degrees. Equal
     texts count once in the histograms, so copies do not shape them. Null or
