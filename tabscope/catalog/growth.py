@@ -187,6 +187,92 @@ def forecast_events(t):
     return table.withColumn("day", F.col("day").cast("string"))
 
 
+# ── many series at once ──────────────────────────────────────────────────────
+
+
+def daily_by_sql(table: str, date: str, metric: str, agg: str, key: str) -> str:
+    return f"""(SELECT c.k, day, value, date_diff('day', min(day) OVER (PARTITION BY c.k), day) AS x FROM
+      (SELECT k, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM
+        (SELECT {key} AS k, CAST(min({date}) AS DATE) AS a, CAST(max({date}) AS DATE) AS b FROM {table} WHERE {metric} IS NOT NULL GROUP BY 1)) c
+      LEFT JOIN (SELECT {key} AS k, CAST({date} AS DATE) AS on_day, {agg}({metric}) AS value FROM {table} WHERE {metric} IS NOT NULL GROUP BY 1, 2) v
+      ON v.k IS NOT DISTINCT FROM c.k AND on_day = day)"""
+
+
+def fitted_by_sql(*source: str) -> str:
+    daily = daily_by_sql(*source)
+    return f"""(SELECT *, avg(residual) OVER (PARTITION BY k, weekday) AS effect FROM
+      (SELECT d.*, n, s, i, value - (i + s * x) AS residual, isodow(day) - 1 AS weekday FROM {daily} d JOIN
+        (SELECT k, count(value) AS n, regr_slope(value, x) AS s, regr_intercept(value, x) AS i FROM {daily} WHERE value IS NOT NULL GROUP BY 1) l
+        ON l.k IS NOT DISTINCT FROM d.k))"""
+
+
+_BY_STATUS = ("orders", "o_orderdate", "o_totalprice", "sum", "o_orderstatus")
+_BY_LABEL = (EVENTS_GAPS.sql, "ts", "value", "avg", "label")
+_BY_USER = ("events", "ts", "value", "sum", "user_id")
+
+
+@query("m1_daily_by_status", f"SELECT k AS o_orderstatus, CAST(day AS VARCHAR) AS day, {rounded('value', 4)} AS value FROM {daily_by_sql(*_BY_STATUS)}")
+def daily_by_status(t):
+    return _daily(trend.daily_series(t.orders, "o_orderdate", "o_totalprice", by=["o_orderstatus"]))
+
+
+def _summary_by_sql(key: str, *source: str) -> str:
+    enough = "CASE WHEN n >= 10 THEN {} END"
+    found = {
+        "slope_per_day": rounded("s", 6),
+        "trend_direction": "CASE WHEN s > 0 THEN 'rising' WHEN s < 0 THEN 'falling' ELSE 'flat' END",
+        "trend_pct_over_period": f"CASE WHEN i <> 0 THEN {rounded('100.0 * s * (n - 1) / i', 2)} END",
+        "has_weekly_seasonality": "swing > 0.15 * spread",
+        "forecast_std": rounded("std", 4),
+    }
+    columns = ", ".join(f"{enough.format(sql)} AS {name}" for name, sql in found.items())
+    return f"""SELECT k AS {key}, n >= 10 AS applicable, CASE WHEN n < 10 THEN 'at least 10 distinct days are needed' END AS reason, n AS n_days, {columns}
+    FROM (SELECT k, any_value(n) AS n, any_value(s) AS s, any_value(i) AS i, stddev_pop(residual) AS std,
+      stddev_pop(value) AS spread, max(effect) - min(effect) AS swing FROM {fitted_by_sql(*source)} GROUP BY k)"""
+
+
+@query("m2_trend_by_status", _summary_by_sql("o_orderstatus", *_BY_STATUS))
+def trend_by_status(t):
+    return analyze_trend(t.orders, "o_orderdate", "o_totalprice", by=["o_orderstatus"])["summary"]
+
+
+@query("m2_trend_by_label", _summary_by_sql("label", *_BY_LABEL))
+def trend_by_label(t):
+    """Events without a label are a series too."""
+    return analyze_trend(t.derived(EVENTS_GAPS), "ts", "value", "mean", by=["label"])["summary"]
+
+
+@query(
+    "m3_weekday_effect_by_status",
+    f"SELECT k AS o_orderstatus, CAST(weekday AS INTEGER) AS weekday, strftime(min(day), '%A') AS day_name, {rounded('max(effect)', 2)} AS effect"
+    f" FROM {fitted_by_sql(*_BY_STATUS)} WHERE n >= 10 GROUP BY 1, 2 HAVING max(effect) IS NOT NULL",
+)
+def weekdays_by_status(t):
+    return analyze_trend(t.orders, "o_orderdate", "o_totalprice", by=["o_orderstatus"])["weekday_effect"]
+
+
+def _forecast_by_sql(key: str, days: int, *source: str) -> str:
+    value = rounded("i + s * (last_x + step) + coalesce(e.effect, 0)", 4)
+    return f"""WITH f AS (SELECT * FROM {fitted_by_sql(*source)} WHERE n >= 10), e AS (SELECT k, weekday, max(effect) AS effect FROM f GROUP BY 1, 2),
+    o AS (SELECT k, max(day) AS last_day, max(x) AS last_x, any_value(s) AS s, any_value(i) AS i, {rounded('stddev_pop(residual)', 4)} AS std FROM f GROUP BY 1),
+    d AS (SELECT *, CAST(last_day + step * INTERVAL 1 DAY AS DATE) AS day FROM o, range(1, {days + 1}) r(step))
+    SELECT k AS {key}, CAST(day AS VARCHAR) AS day, value, {rounded('value - 1.28 * std', 4)} AS lower, {rounded('value + 1.28 * std', 4)} AS upper
+    FROM (SELECT d.k, day, std, {value} AS value FROM d LEFT JOIN e ON e.weekday = isodow(day) - 1 AND e.k IS NOT DISTINCT FROM d.k)"""
+
+
+@query("m5_forecast_by_status", _forecast_by_sql("o_orderstatus", 14, *_BY_STATUS))
+def forecast_by_status(t):
+    table = analyze_trend(t.orders, "o_orderdate", "o_totalprice", by=["o_orderstatus"])["forecast"]
+    return table.withColumn("day", F.col("day").cast("string"))
+
+
+@query("m5_forecast_by_user", _forecast_by_sql("user_id", 7, *_BY_USER))
+def forecast_by_user(t):
+    """A series per user, many of them with too few days."""
+    table = analyze_trend(t.events, "ts", "value", forecast_days=7, by=["user_id"])["forecast"]
+    return table.withColumn("day", F.col("day").cast("string"))
+
+
 @query("m8_date_columns", "SELECT c AS \"column\" FROM (VALUES ('ordered'), ('o_orderdate')) v(c) WHERE (SELECT count(*) FROM orders) > 0")
 def date_columns(t):
     found = cleaning.date_columns(t.derived(WEEKDAYS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -108,19 +109,19 @@ def drift_highlights(report: dict[str, DataFrame]) -> DataFrame:
 
 
 def analyze_trend(
-    df: DataFrame, date: str, metric: str, agg: str = "sum", forecast_days: int = trend.FORECAST_DAYS
+    df: DataFrame, date: str, metric: str, agg: str = "sum", forecast_days: int = trend.FORECAST_DAYS, by: Sequence[str] = ()
 ) -> dict[str, DataFrame]:
-    """Summary, weekday effects, forecast and history of a daily metric.
+    """Summary, weekday effects, forecast and history of a daily metric, per combination of the ``by`` columns if there are any.
 
-    ``fitted`` is one row per calendar day; persist it if several tables are read.
+    ``fitted`` is one row per calendar day and series; persist it if several tables are read.
     """
-    require(df, date, metric)
-    daily = trend.daily_series(df, date, metric, agg)
-    fitted = trend.fit_trend(daily)
+    require(df, date, metric, *by)
+    daily = trend.daily_series(df, date, metric, agg, by)
+    fitted = trend.fit_trend(daily, by)
     return {
         "fitted": fitted,
-        "summary": trend.trend_summary(fitted),
-        "weekday_effect": trend.weekday_effects(fitted),
-        "forecast": trend.forecast(fitted, forecast_days),
-        "history": trend.history(daily),
+        "summary": trend.trend_summary(fitted, by),
+        "weekday_effect": trend.weekday_effects(fitted, by),
+        "forecast": trend.forecast(fitted, forecast_days, by),
+        "history": trend.history(daily, by),
     }

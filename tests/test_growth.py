@@ -123,3 +123,37 @@ def test_hot_user_is_reduced_before_the_window(spark):
     plan = retention._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Window") < plan.index("HashAggregate")  # the plan reads from the result down
     assert sum(r["active"] for r in as_dicts(retention) if r["period_offset"] == 0) == 50
+
+
+def test_many_series_are_each_as_one(spark, table):
+    """Each key gives what its rows alone give; keys may be null, short, or have a third of all rows."""
+    rng = random.Random(3)
+    series = {"a": days(40, lambda i, w: 5 + i + 3 * (w == 1)), "b": days(12, lambda i, w: rng.gauss(0, 1), datetime.date(2023, 3, 1)), None: days(15, lambda i, w: 7), "c": days(4, lambda i, w: i)}
+    rows = [(k, n, d, v) for k, r in series.items() for n in (1, 2) for d, v in r] + [("a", 1, datetime.date(2024, 1, 3), 0.0)] * 60
+    df = table("k string, m int, d date, v double", rows)
+    found = analyze_trend(df, "d", "v", by=["k", "m"])
+    for part in ("summary", "weekday_effect", "forecast", "history"):
+        many = [tuple(r) for r in found[part].collect()]
+        for k in series:
+            for n in (1, 2):
+                alone = [tuple(r) for r in analyze_trend(df.where((F.col("k").eqNullSafe(k)) & (F.col("m") == n)), "d", "v")[part].collect()]
+                assert sorted(r[2:] for r in many if r[:2] == (k, n)) == sorted(alone), (part, k, n)
+    assert found["summary"].count() == 8 and found["forecast"].where("k = 'c'").count() == 0
+
+
+def test_series_of_nothing_and_clashing_keys(table):
+    empty = analyze_trend(table("k string, d date, v double", []), "d", "v", by=["k"])
+    assert all(empty[part].count() == 0 for part in ("summary", "weekday_effect", "forecast", "history"))
+    with pytest.raises(ValueError, match="day"):
+        trend.daily_series(table("day string, d date, v double", []), "d", "v", by=["day"])
+    with pytest.raises(KeyError):
+        trend.daily_series(table("d date, v double", []), "d", "v", by=["k"])
+
+
+def test_no_window_holds_more_than_one_series(spark):
+    """Series are dealt out by key once; no exchange brings all rows together."""
+    df = spark.range(1000).selectExpr("id % 300 AS k", "date_add(DATE'2024-01-01', CAST(id % 20 AS INT)) AS d", "CAST(id AS DOUBLE) AS v")
+    found = analyze_trend(df, "d", "v", by=["k"])
+    for part in ("summary", "forecast"):
+        plan = found[part]._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and plan.count("Exchange hashpartitioning") == 2
