@@ -42,9 +42,9 @@ def found_sizes(t):
     return first.agg(F.sum("size").alias("total"), F.count("*").alias("n_clusters"))
 
 
-def _profile_sql() -> str:
+def _profile_sql(label: str) -> str:
     view = (
-        "(SELECT c_mktsegment AS cluster, CAST(n AS DOUBLE) AS orders, spent, c_acctbal AS balance FROM customer JOIN"
+        f"(SELECT {label} AS cluster, CAST(n AS DOUBLE) AS orders, spent, c_acctbal AS balance FROM customer JOIN"
         " (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS spent FROM orders GROUP BY 1) ON c_custkey = o_custkey)"
     )
     parts = " UNION ALL ".join(
@@ -59,12 +59,18 @@ def _profile_sql() -> str:
         (SELECT *, (m - om) / CASE WHEN os = 0 THEN 1 ELSE os END AS z FROM ({parts}))) WHERE rank <= 5"""
 
 
-@query("o2_cluster_profiles", _profile_sql())
+@query("o2_cluster_profiles", _profile_sql("c_mktsegment"))
 def profiles(t):
     """Profiles for given labels: here the market segments."""
     return segments.cluster_profiles(_buyers(t), BUYER_COLUMNS, "c_mktsegment")
 
 
+@query("o2_profiles_of_many_groups", _profile_sql("c_custkey // 3"))
+def many_profiles(t):
+    """Some hundreds of groups at the smallest scale, in proportion to the customers at any."""
+    return segments.cluster_profiles(_buyers(t).withColumn("block", F.expr("c_custkey DIV 3")), BUYER_COLUMNS, "block")
+
+
 @query("o2_cluster_profiles_found")
 def found_profiles(t):
     found = segments.find_segments(_buyers(t), BUYER_COLUMNS)

@@ -172,6 +172,24 @@ def remove_duplicates(t):
     return cleaning.remove_duplicate_rows(t.derived(REPEATED))
 
 
+@query(
+    "j10_keep_first_by_key",
+    "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) = 1",
+)
+def keep_first(t):
+    """The first order of each customer and priority."""
+    return cleaning.keep_first(t.orders, ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"])
+
+
+@query(
+    "j10_keep_first_with_gaps",
+    f"SELECT * FROM {EVENTS_GAPS.sql} QUALIFY row_number() OVER (PARTITION BY label, user_id ORDER BY value NULLS FIRST, event_id DESC) = 1",
+)
+def keep_first_gaps(t):
+    """A missing label is a key like any other, a missing value comes first."""
+    return cleaning.keep_first(t.derived(EVENTS_GAPS), ["label", "user_id"], ["value", -F.col("event_id")])
+
+
 def _filled(fill: str, column: str = "value") -> str:
     others = {"value": "event_id, user_id, ts, event_type, label", "label": "event_id, user_id, ts, event_type, value"}[column]
     filled = f"coalesce({column}, ({fill}))"

@@ -69,6 +69,30 @@ def welch_orders(t):
     return _test_rows(significance.numeric_significance(orders(t), "o_totalprice"))
 
 
+def _welch_by_sql(rows: str, metric: str, segment: str) -> str:
+    b, a = "FILTER (WHERE side = 'before')", "FILTER (WHERE side = 'after')"
+    usable = "CASE WHEN n1 >= 2 AND n2 >= 2 THEN {} END"
+    return f"""SELECT '{metric}' AS metric, '{segment}' AS "column", segment, 'welch_t_test' AS test, n1 >= 2 AND n2 >= 2 AS applicable,
+      CASE WHEN n1 < 2 OR n2 < 2 THEN 'at least two values are needed on each side' END AS reason,
+      {usable.format(rounded('t', 4))} AS statistic, {usable.format(rounded(t_p_sql('t', 'd'), 4))} AS p_value,
+      {usable.format('CAST(0.05 AS DOUBLE)')} AS alpha, {usable.format(f"{t_p_sql('t', 'd')} < 0.05")} AS significant, n1 AS n_before, n2 AS n_after
+    FROM (SELECT *, CASE WHEN n1 >= 2 AND n2 >= 2 THEN (m1 - m2) / sqrt(v1 / n1 + v2 / n2) END AS t,
+        CASE WHEN n1 >= 2 AND n2 >= 2 THEN pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) END AS d
+      FROM (SELECT CAST({segment} AS VARCHAR) AS segment, count({metric}) {b} AS n1, count({metric}) {a} AS n2, avg({metric}) {b} AS m1, avg({metric}) {a} AS m2,
+        var_samp({metric}) {b} AS v1, var_samp({metric}) {a} AS v2 FROM {rows} GROUP BY 1 HAVING count({metric}) > 0))"""
+
+
+@query("e1_welch_by_segment", _welch_by_sql(LINES, "l_extendedprice", "l_returnflag"))
+def welch_by_segment(t):
+    return _test_rows(significance.segment_significance(lines(t), "l_extendedprice", "l_returnflag"))
+
+
+@query("e1_welch_by_customer", _welch_by_sql(ORDERS, "o_totalprice", "o_custkey"))
+def welch_by_customer(t):
+    """A test for each customer; many have too few orders in a year."""
+    return _test_rows(significance.segment_significance(orders(t), "o_totalprice", "o_custkey"))
+
+
 def _chi_sql(rows: str, column: str) -> str:
     gap = "abs({o} - n * {t} / total)"
     cell = f"pow({gap} - least(CASE WHEN k = 2 THEN 0.5 ELSE 0.0 END, {gap}), 2) / (n * {{t}} / total)"

@@ -7,6 +7,7 @@ and return a table; chained with :func:`apply_fixes` they stay one Spark plan.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
@@ -199,6 +200,30 @@ def remove_duplicate_rows(df: DataFrame) -> DataFrame:
     return df.withColumns(keys).dropDuplicates([*flat, *keys]).drop(*keys)
 
 
+def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """One row for each combination of the keys: the first by the order, ascending with nulls first.
+
+    Missing keys are alike, nested ones are compared by their JSON text. Rows
+    equal in the order are told apart by hashes of all their cells, so the
+    choice never depends on how the rows lie. It is an aggregate: each task
+    keeps one row per key before the shuffle, and a key with a third of all rows
+    brings no more than that from any task.
+    """
+    if not keys or not order:
+        raise ValueError("name at least one key and one column to order by")
+    require(df, *keys, *[o for o in order if isinstance(o, str)])
+    clean = missing_as_null(df)
+    cells = [text_of(clean, c) if c in nested_columns(clean) else ref(c) for c in clean.columns]
+    pattern = F.concat(F.lit(""), *[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    hashes = [F.xxhash64(pattern, *cells), F.xxhash64(F.lit("second"), *cells, pattern)]
+    # A null would take its row out of the comparison altogether only if the whole struct were null.
+    place = F.struct(*[ref(o) if isinstance(o, str) else o for o in order], *hashes)
+    by = [cells[clean.columns.index(k)].alias(f"k{i}") for i, k in enumerate(keys)]
+    row = F.struct(*[ref(c) for c in clean.columns])
+    firsts = clean.select(*by, place.alias("place"), row.alias("row")).groupBy(*[f"k{i}" for i in range(len(by))])
+    return firsts.agg(F.min_by("row", "place").alias("row")).select("row.*")
+
+
 def _set(df: DataFrame, column: str, value: Column) -> DataFrame:
     return df.select(*[value.alias(c) if c == column else ref(c) for c in df.columns])
 

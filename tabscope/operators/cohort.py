@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabscope.columns import missing_as_null, ref, require
 from tabscope.functions.dates import day_rows, period_label, period_start, periods_between
 from tabscope.functions.safe import tidy
+from tabscope.session import cut_lineage
 
 MIN_USERS = 2
 MIN_COHORTS = 2
@@ -17,18 +18,16 @@ PERIODS = ("D", "W", "M")
 def _active_users(df: DataFrame, user: str, date: str, period: str) -> DataFrame:
     """(cohort, period_offset, active): how many users of a cohort were active so many periods later.
 
-    Events are first reduced to one row per user and period, so a user with a
-    third of all events brings at most one row per calendar period to the
-    window, and later counts need no distinct.
+    A user is one set of active periods, no larger than the calendar, merged
+    in every task before the one shuffle by user; so a user with a third of all
+    events is one short row there. Cohort and offsets are read from the set, and
+    the counts combine before they meet.
     """
     events = missing_as_null(day_rows(df, date, user=ref(user))).na.drop()
-    visits = events.select("user", period_start(F.col("day"), period).alias("period")).distinct()
-    first = F.min("period").over(Window.partitionBy("user"))
-    return (
-        visits.withColumn("cohort", first)
-        .groupBy("cohort", periods_between(F.col("cohort"), F.col("period"), period).alias("period_offset"))
-        .agg(F.count("*").alias("active"))
-    )
+    users = events.groupBy("user").agg(F.collect_set(period_start(F.col("day"), period)).alias("periods"))
+    visits = users.select(F.array_min("periods").alias("cohort"), F.explode("periods").alias("period"))
+    offset = periods_between(F.col("cohort"), F.col("period"), period).alias("period_offset")
+    return visits.groupBy("cohort", offset).agg(F.count("*").alias("active"))
 
 
 def compute_retention(df: DataFrame, user: str, date: str, period: str = "M") -> DataFrame:
@@ -71,8 +70,12 @@ def compute_retention(df: DataFrame, user: str, date: str, period: str = "M") ->
 
 
 def retention_matrix(retention: DataFrame) -> DataFrame:
-    """Cohorts as rows, the offsets that occur as columns ``offset_0, offset_1, ...``; unseen is null."""
-    rows = retention.filter("applicable")
+    """Cohorts as rows, the offsets that occur as columns ``offset_0, offset_1, ...``; unseen is null.
+
+    The events are read once: the rows, one per cohort and offset, are stored
+    before the offsets among them are listed, and one aggregate turns them.
+    """
+    rows = cut_lineage(retention.filter("applicable").select("cohort", "cohort_size", "period_offset", "retention"))
     offsets = [r[0] for r in rows.select("period_offset").distinct().orderBy("period_offset").collect()]
-    at = lambda n: F.max(F.when(F.col("period_offset") == n, F.col("retention")))
-    return rows.groupBy("cohort", "cohort_size").agg(*[at(n).alias(f"offset_{n}") for n in offsets]).orderBy("cohort")
+    turned = rows.groupBy("cohort", "cohort_size").pivot("period_offset", offsets or [0]).agg(F.max("retention"))
+    return turned.select("cohort", "cohort_size", *[ref(str(n)).alias(f"offset_{n}") for n in offsets]).orderBy("cohort")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabscope.columns import as_text, equals, is_nested, is_numeric, literal, missing_as_null, ref, require, small_table
 from tabscope.functions.safe import pct_change, tidy
+from tabscope.operators.insights import distinct_counts
 
 SIDE = "__side"
 BEFORE, AFTER = "before", "after"
@@ -341,8 +342,8 @@ def _low_cardinality(df: DataFrame, columns: list[str]) -> list[str]:
     close = [c for i, c in enumerate(columns) if row[f"d{i}"] <= 2 * _MANY]
     if not close:
         return []
-    row = clean.agg(*[F.count_distinct(ref(c)).alias(f"d{i}") for i, c in enumerate(close)]).first()
-    return [c for i, c in enumerate(close) if _FEW <= row[f"d{i}"] <= _MANY]
+    counted = {r["column"]: r["n_distinct"] for r in distinct_counts(clean, close).collect()}
+    return [c for c in close if _FEW <= counted[c] <= _MANY]
 
 
 def _first_choice(df: DataFrame, columns: list[str]) -> str | None:

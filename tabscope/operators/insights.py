@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +31,10 @@ from tabscope.functions.text import has_edge_space
 IDENTIFIER_SHARE = 0.9
 FENCE = 1.5
 
-# Aggregates per pass: more would leave generated code too large to compile.
-AGGREGATES_PER_PASS = 90
+# Rows multiplied at once: some megabytes for a hundred columns.
+ROWS_AT_ONCE = 4096
 # Sketches with a ratio below this put a column far away from being an identifier.
 CLEARLY_REPEATED = 0.5
-# Distinct duplicate hashes that are sent to every task instead of shuffling whole rows.
-BROADCAST_HASHES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -107,74 +108,64 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None, facts: Fa
     """Pearson correlation of every pair of number columns, over the rows where both are present.
 
     Long form, one row per unordered pair (``column`` comes later in the table
-    than ``column2``); null where a column does not vary. A first pass finds the
-    counts and means; then sums of products about those means are enough: one
-    per pair where nothing is missing, six where something is.
+    than ``column2``); null where a column does not vary. Two scans, whatever
+    the number of columns and gaps: a first pass finds the means, a second the
+    products of all columns about them.
     """
     columns = columns if columns is not None else numeric_columns(df)
     unfit = [c for c in columns if c not in numeric_columns(df)]
     if unfit:
         raise TypeError(f"not numeric: {unfit}")
     spark = df.sparkSession
-    schema = "column string, column2 string, correlation double"
     if len(columns) < 2:
-        return small_table(spark, [], schema)
+        return small_table(spark, [], "column string, column2 string, correlation double")
     facts = facts or gather_facts(df.select(*[ref(c) for c in columns]))
-    df = missing_as_null(df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
-    complete = [facts.present[c] == facts.rows for c in columns]
+    clean = missing_as_null(df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
     # A column with one value has no correlation; sums about a rounded mean would leave a residue.
-    centred = [
-        F.col(f"c{i}") - F.lit(facts.mean[c]) if facts.mean[c] is not None and c not in facts.constant else F.lit(None).cast("double")
-        for i, c in enumerate(columns)
-    ]
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
-    parts = []
-    for block in _blocks(pairs, complete):
-        sums: dict[str, Column] = {}
-        records = []
-        for i, j in block:
-            records.append([F.lit(columns[i]), F.lit(columns[j]), _pair_correlation(i, j, centred, complete, sums)])
-        one = df.agg(*[F.sum(value).alias(name) for name, value in sums.items()])
-        parts.append(rows_of(one, records, ["column", "column2", "correlation"]))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _blocks(pairs: list[tuple[int, int]], complete: list[bool]):
-    """Cut the pairs into passes of a bounded number of sums."""
-    block, size = [], 0
-    for i, j in pairs:
-        cost = 2 if complete[i] and complete[j] else 6
-        if block and size + cost > AGGREGATES_PER_PASS:
-            yield block
-            block, size = [], 0
-        block.append((i, j))
-        size += cost
-    if block:
-        yield block
-
-
-def _pair_correlation(i: int, j: int, x: list[Column], complete: list[bool], sums: dict[str, Column]) -> Column:
-    def total(name: str, value: Column) -> Column:
-        sums[name] = value
-        return F.col(name)
-
-    if complete[i] and complete[j]:
-        product = total(f"p{i}_{j}", x[i] * x[j])
-        return F.try_divide(
-            product, F.sqrt(total(f"s{i}", x[i] * x[i])) * F.sqrt(total(f"s{j}", x[j] * x[j]))
-        )
-    both = x[i].isNotNull() & x[j].isNotNull()
-    n = total(f"n{i}_{j}", F.when(both, F.lit(1.0)))
-    a = total(f"a{i}_{j}", F.when(both, x[i]))
-    b = total(f"b{i}_{j}", F.when(both, x[j]))
-    aa = total(f"aa{i}_{j}", F.when(both, x[i] * x[i]))
-    bb = total(f"bb{i}_{j}", F.when(both, x[j] * x[j]))
-    ab = total(f"ab{i}_{j}", x[i] * x[j])
+    means = [facts.mean[c] if c not in facts.constant else None for c in columns]
+    c = F.col
     # The values are centred already, so the corrections for the pair's own means are small.
-    var_a, var_b = aa - F.try_divide(a * a, n), bb - F.try_divide(b * b, n)
+    var_a = c("aa") - F.try_divide(c("a") * c("a"), c("n"))
+    var_b = c("bb") - F.try_divide(c("b") * c("b"), c("n"))
     noise = 1e-12
-    spread = F.when((var_a > aa * noise) & (var_b > bb * noise), F.sqrt(var_a) * F.sqrt(var_b))
-    return F.try_divide(ab - F.try_divide(a * b, n), spread)
+    spread = F.when((var_a > c("aa") * noise) & (var_b > c("bb") * noise), F.sqrt(var_a) * F.sqrt(var_b))
+    names = F.lit(columns)
+    pairs = small_table(spark, [(i, j) for i in range(len(columns)) for j in range(i)], "i int, j int")
+    return pairs.join(_products(clean, means), ["i", "j"], "left").select(
+        names[c("i")].alias("column"), names[c("j")].alias("column2"), F.try_divide(c("ab") - F.try_divide(c("a") * c("b"), c("n")), spread).alias("correlation")
+    )
+
+
+def _products(df: DataFrame, means: list[float | None]) -> DataFrame:
+    """Sums over the rows where both of two columns are present: ``n``, ``a``, ``b``, ``aa``, ``bb``, ``ab`` for each ``i`` > ``j``.
+
+    ``a`` and ``b`` are the two values about their means; a column without a
+    mean is left out. Each task multiplies its columns as matrices and sends one
+    row per pair; these are summed by pair.
+    """
+    used = [i for i, mean in enumerate(means) if mean is not None]
+    centre = np.array([means[i] for i in used])
+    low, high = np.tril_indices(len(used), -1)
+    place = np.array(used, dtype=np.int32)
+    names = ["i", "j", "n", "a", "b", "aa", "bb", "ab"]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((4, len(used), len(used)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                x = np.array([part.column(k).to_numpy(zero_copy_only=False) for k in range(len(used))], dtype=float)
+                there = ~np.isnan(x)
+                x = np.where(there, x - centre[:, None], 0.0)
+                there = there.astype(float)
+                sums += [there @ there.T, x @ there.T, (x * x) @ there.T, x @ x.T]
+        n, a, aa, ab = sums
+        values = [n[low, high], a[low, high], a[high, low], aa[low, high], aa[high, low], ab[low, high]]
+        yield pa.RecordBatch.from_arrays([pa.array(place[low]), pa.array(place[high]), *map(pa.array, values)], names=names)
+
+    schema = "i int, j int, " + ", ".join(f"{n} double" for n in names[2:])
+    partial = df.select(*[f"c{i}" for i in used]).mapInArrow(multiply, schema)
+    return partial.groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names[2:]])
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -291,11 +282,8 @@ def high_cardinality_columns(df: DataFrame, facts: Facts | None = None) -> DataF
         n = facts.rows if facts else df.count()
         row = clean.agg(*[F.approx_count_distinct(ref(c), error).alias(f"d{i}") for i, c in enumerate(texts)]).first()
         doubtful = [c for i, c in enumerate(texts) if n and row[f"d{i}"] / n >= CLEARLY_REPEATED]
-        if doubtful:
-            row = clean.agg(*[F.count_distinct(ref(c)).alias(f"d{i}") for i, c in enumerate(doubtful)]).first()
-            found += [
-                c for i, c in enumerate(doubtful) if row[f"d{i}"] > 1 and row[f"d{i}"] / n > IDENTIFIER_SHARE
-            ]
+        counted = {r["column"]: r["n_distinct"] for r in _distinct_values(missing_as_null(clean), doubtful).collect()}
+        found += [c for c in doubtful if counted.get(c, 0) > 1 and counted[c] / n > IDENTIFIER_SHARE]
     ordered = [(c,) for c in df.columns if c in found]
     return small_table(df.sparkSession, ordered, "column string")
 
@@ -303,27 +291,22 @@ def high_cardinality_columns(df: DataFrame, facts: Facts | None = None) -> DataF
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier identical row (missing equals missing).
 
-    Counting whole rows would shuffle the whole table. So eight bytes per row
-    are shuffled first; only rows whose hash occurs twice are compared in full.
-    If there are too many such hashes to send to every task, all rows are.
+    Rows are told apart by two hashes of 64 bits, so 16 bytes for each
+    different row are shuffled, however long the rows and however many repeat;
+    counts of a row that very many tasks hold combine before it. Two different
+    rows are taken for one with a chance of about 2**-128.
     """
+    groups = row_hashes(df).groupBy("h", "g").agg(F.count("*").alias("copies"))
+    return groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
+
+
+def row_hashes(df: DataFrame) -> DataFrame:
+    """``h`` and ``g``, two hashes of each whole row; missing cells are alike, nested ones count by their JSON text."""
     clean = missing_as_null(df)
-    keyed = clean.select(*[_comparable(clean, c).alias(f"c{i}") for i, c in enumerate(clean.columns)])
-    # xxhash64 skips nulls; the null pattern keeps (null, x) and (x, null) apart.
-    pattern = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in keyed.columns])
-    hashed = keyed.withColumn("h", F.xxhash64(*keyed.columns, pattern))
-    twice = hashed.groupBy("h").count().filter("count > 1").select("h").persist()
-    try:
-        n_twice = twice.count()
-        repeated = 0
-        if n_twice:
-            few = n_twice <= BROADCAST_HASHES
-            rows = hashed.join(F.broadcast(twice), "h", "left_semi") if few else keyed
-            groups = rows.groupBy(*keyed.columns).agg(F.count("*").alias("copies"))
-            repeated = groups.agg(F.sum(F.col("copies") - 1)).first()[0]
-    finally:
-        twice.unpersist()
-    return small_table(df.sparkSession, [(repeated,)], "duplicate_rows bigint")
+    cells = [_comparable(clean, c) for c in clean.columns]
+    # Hashing skips nulls; the null pattern keeps (null, x) and (x, null) apart.
+    pattern = F.concat(F.lit(""), *[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    return clean.select(F.xxhash64(pattern, *cells).alias("h"), F.xxhash64(F.lit("second"), *cells, pattern).alias("g"))
 
 
 def _comparable(df: DataFrame, name: str) -> Column:

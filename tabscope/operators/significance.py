@@ -6,6 +6,7 @@ test, goes through a vectorised Python function for its tail probability.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -23,24 +24,43 @@ def _verdict(p: Column, alpha: float) -> Column:
     return F.coalesce(p < alpha, F.lit(False))
 
 
+def _moments(value: Column) -> list[Column]:
+    """Counts, means and sample variances of both sides; all combine before the shuffle."""
+    return [
+        F.count(on(BEFORE, value)).alias("n1"),
+        F.count(on(AFTER, value)).alias("n2"),
+        F.avg(on(BEFORE, value)).alias("m1"),
+        F.avg(on(AFTER, value)).alias("m2"),
+        F.var_samp(on(BEFORE, value)).alias("v1"),
+        F.var_samp(on(AFTER, value)).alias("v2"),
+    ]
+
+
 def numeric_significance(pair: Pair, metric: str, alpha: float = DEFAULT_ALPHA) -> DataFrame:
     """Welch's t-test of the metric, before against after (unequal variances)."""
-    value = pair.number(metric)
-    return welch(
-        pair.rows.agg(
-            F.count(on(BEFORE, value)).alias("n1"),
-            F.count(on(AFTER, value)).alias("n2"),
-            F.avg(on(BEFORE, value)).alias("m1"),
-            F.avg(on(AFTER, value)).alias("m2"),
-            F.var_samp(on(BEFORE, value)).alias("v1"),
-            F.var_samp(on(AFTER, value)).alias("v2"),
-        ),
-        alpha,
-    ).select(F.lit(metric).alias("metric"), "*")
-
-
-def welch(samples: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:
-    """The test for every row of counts ``n1 n2``, means ``m1 m2`` and sample variances ``v1 v2``."""
+    tests = welch(pair.rows.agg(*_moments(pair.number(metric))), alpha)
+    return tests.select(F.lit(metric).alias("metric"), "*")
+
+
+def segment_significance(pair: Pair, metric: str, segment: str, alpha: float = DEFAULT_ALPHA) -> DataFrame:
+    """The same test within every value of a segment column, one row each.
+
+    Which segment changed for real? Values are told apart by their text; the
+    missing ones are a segment named null. A segment on one side only, or with
+    a single value on a side, is not applicable; one without any value of the
+    metric has no row. Sums combine before the shuffle, so one segment may hold
+    most rows and there may be millions of them.
+    """
+    shared = pair.shared()
+    for name in (metric, segment):
+        if name not in shared:
+            raise KeyError(f"Unknown column: {name}")
+    samples = pair.rows.groupBy(pair.text(segment).alias("segment")).agg(*_moments(pair.number(metric)))
+    return welch(samples.filter("n1 + n2 > 0"), alpha, ["segment"]).select(F.lit(metric).alias("metric"), F.lit(segment).alias("column"), "*")
+
+
+def welch(samples: DataFrame, alpha: float = DEFAULT_ALPHA, keys: Sequence[str] = ()) -> DataFrame:
+    """The test for every row of counts ``n1 n2``, means ``m1 m2`` and sample variances ``v1 v2``; ``keys`` are kept."""
     c = F.col
     se1, se2 = F.try_divide(c("v1"), c("n1")), F.try_divide(c("v2"), c("n2"))
     spread = F.sqrt(se1 + se2)
@@ -57,6 +77,7 @@ def welch(samples: DataFrame, alpha: float = DEFAULT_ALPHA) -> DataFrame:
         .withColumn("dof", F.when(enough, F.when(spread > 0, dof).otherwise(F.lit(1.0))))
         .withColumn("p_value", t_two_sided_p("statistic", "dof"))
         .select(
+            *[ref(k) for k in keys],
             F.lit("welch_t_test").alias("test"),
             "applicable",
             F.when(~enough, "at least two values are needed on each side").alias("reason"),

@@ -177,3 +177,26 @@ def test_fixes_of_whole_columns_change_nothing(table):
     assert cleaning.cap_outliers(even, "v").schema == even.schema
     prices = table("v decimal(10,2)", [(Decimal("1.10"),), (Decimal("2.20"),), (None,)])
     assert sorted(r[0] for r in cleaning.fill_missing(prices, "v", "mean").collect()) == [Decimal("1.10"), Decimal("1.65"), Decimal("2.20")]
+
+
+def test_first_row_of_each_key(spark, table):
+    """Keys may be missing or nested; equal places are told apart by the row, not by where it lies."""
+    rows = [(1, "a", 3.0, "x"), (1, "a", 1.0, "y"), (None, "a", 2.0, "z"), (None, "a", None, "w"), (float("nan"), "a", 5.0, "v"), (2, "b", 1.0, "q"), (2, "b", 1.0, "p"), (2, "b", 1.0, "p")]
+    df = table("k double, s string, o double, v string", [(None if r[0] is None else float(r[0]), *r[1:]) for r in rows])
+    found = {(r["k"], r["s"]): r["v"] for r in cleaning.keep_first(df, ["k", "s"], ["o"]).collect()}
+    assert found.keys() == {(1.0, "a"), (None, "a"), (2.0, "b")}
+    assert (found[1.0, "a"], found[None, "a"]) == ("y", "w") and found[2.0, "b"] in ("p", "q")
+    again = {(r["k"], r["s"]): r["v"] for r in cleaning.keep_first(df.orderBy("v").repartition(3), ["k", "s"], ["o"]).collect()}
+    assert again == found
+    latest = {r["k"]: r["v"] for r in cleaning.keep_first(df, ["k"], [-F.col("o")]).where("k = 1").collect()}
+    assert latest == {1.0: "x"}
+    nested = df.select(F.struct("k", "s").alias("pair"), F.array("v").alias("list"), "o")
+    kept = cleaning.keep_first(nested, ["pair"], ["o"])
+    # Inside nested cells NaN is a value of its own.
+    assert kept.columns == nested.columns and kept.dtypes == nested.dtypes and kept.count() == 4
+    assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert cleaning.keep_first(df.limit(0), ["k"], ["o"]).count() == 0
+    with pytest.raises(KeyError):
+        cleaning.keep_first(df, ["nope"], ["o"])
+    with pytest.raises(ValueError):
+        cleaning.keep_first(df, ["k"], [])

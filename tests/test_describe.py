@@ -100,9 +100,7 @@ def test_nested_columns(nested):
     assert insights.generate_insights(nested).count() > 0
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
-def test_duplicates_tell_missing_places_apart(table, monkeypatch, limit):
-    monkeypatch.setattr(insights, "BROADCAST_HASHES", limit)
+def test_duplicates_tell_missing_places_apart(table):
     rows = [(None, "a"), ("a", None), (None, "a"), (None, None), (None, None), ("", None)]
     assert insights.duplicate_rows(table("x string, y string", rows)).first()[0] == 2
 
@@ -137,9 +135,39 @@ def test_a_constant_has_no_correlation(spark):
     assert [(r["column"], r["column2"]) for r in as_dicts(insights.strongest_correlations(df))] == [("c", "b")]
 
 
-def test_wide_correlation_takes_several_passes(spark):
-    df = spark.range(50).select(*[((F.col("id") * (i + 3)) % (i + 7)).alias(f"c{i}") for i in range(20)])
-    assert insights.correlation_pairs(df).count() == 190
+def test_wide_correlations_with_gaps_take_two_scans(spark, tmp_path):
+    """A hundred columns: one scan for the means, one for all products; no expression per pair."""
+    value = lambda i: (F.col("id") * (i + 3)) % (i + 7)
+    columns = [F.when(F.col("id") % (i + 2) != 0, value(i)).cast("double").alias(f"c{i}") for i in range(100)]
+    spark.range(300).select(*columns).write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    pairs = insights.correlation_pairs(df)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1
+    expected = df.toPandas().corr()
+    rows = pairs.collect()
+    assert len(rows) == 4950
+    for r in rows[::37]:
+        wanted = expected.loc[r["column"], r["column2"]]
+        assert r["correlation"] == (None if pd.isna(wanted) else pytest.approx(wanted, abs=1e-9))
+
+
+def test_repeats_shuffle_hashes_not_rows(spark, tmp_path):
+    """Every row repeats and rows are long: 16 bytes of each different row and a count are shuffled."""
+    spark.range(0, 4000, 1, 4).select((F.col("id") % 1000).alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 40).alias("t")).write.parquet(str(tmp_path / "a"))
+    df = spark.read.parquet(str(tmp_path / "a"))
+    df = df.unionByName(df)
+    found = insights.duplicate_rows(df)
+    assert found.first()[0] == 4000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(h" in plan
+
+
+def test_identifiers_are_counted_without_expand(spark):
+    df = spark.range(500).select(*[F.concat(F.lit(str(i)), F.col("id")).alias(f"t{i}") for i in range(5)], F.lit("x").alias("same"))
+    plan = insights.distinct_counts(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    assert [r[0] for r in insights.high_cardinality_columns(df).collect()] == [f"t{i}" for i in range(5)]
 
 
 def test_empty_and_all_missing_tables(table):

@@ -153,3 +153,12 @@ def test_test_sizes_keep_proportions(table):
     counts = table("label double, count bigint", [(0.0, 97), (1.0, 33), (2.0, 3)])
     sizes = {r["label"]: r["in_test"] for r in importance._test_sizes(counts, 133, math.ceil(0.25 * 133)).collect()}
     assert sum(sizes.values()) == 34 and sizes[0.0] in (24, 25) and sizes[1.0] in (8, 9) and sizes[2.0] in (0, 1)
+
+
+def test_profiles_of_many_groups_meet_in_no_single_window(spark):
+    rows = spark.range(3000).select((F.col("id") % 700).alias("g"), (F.col("id") * 7 % 13).cast("double").alias("a"), F.col("id").cast("double").alias("b"))
+    found = segments.cluster_profiles(rows, ["a", "b"], "g")
+    assert found.count() == 1400 and {r["overall_mean"] for r in found.where("column = 'b'").collect()} == {1499.5}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("Subquery")[0]
+    assert segments.cluster_profiles(rows.limit(0), ["a", "b"], "g").count() == 0

@@ -1,10 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabscope.functions import tails
-from tabscope.operators import significance
+from tabscope.operators import drift, significance
 from tabscope.operators.drift import pair_of
 from tests.conftest import as_dicts
 
@@ -116,3 +118,32 @@ def test_linear_fit(table):
 def test_linear_fit_edges(table, rows, applicable, p):
     found = as_dicts(significance.linear_fit(table("x double, y double", rows), "x", "y"))[0]
     assert found["applicable"] is applicable and found["p_value"] == p
+
+
+def test_tails_of_many_values_at_once():
+    """Arrays give what their elements give, in all ranges of both distributions."""
+    rng = np.random.default_rng(1)
+    t, dof = np.append(rng.normal(0, 5, 300), [0.0, np.inf, -np.inf, 40.0, 1e-9]), np.append(10 ** rng.uniform(0, 9, 300), [3, 4, 5, 2, 7])
+    assert tails.t_two_sided(t, dof) == pytest.approx([float(tails.t_two_sided(a, b)) for a, b in zip(t, dof, strict=True)], rel=1e-7, abs=1e-300)
+    x, dof = np.append(10 ** rng.uniform(-3, 4, 300), [0.0, -1.0, np.inf]), np.append(10 ** rng.uniform(0, 4, 300).round(1), [1, 2, 3])
+    assert tails.chi_square_upper(x, dof) == pytest.approx([float(tails.chi_square_upper(a, b)) for a, b in zip(x, dof, strict=True)], rel=1e-7, abs=1e-300)
+    assert tails.log_gamma(np.array([0.5, 1, 2, 9.99, 10, 171.5, 1e6])) == pytest.approx([math.lgamma(v) for v in (0.5, 1, 2, 9.99, 10, 171.5, 1e6)], rel=1e-13, abs=1e-13)
+    assert tails.normal_two_sided(np.array([0.0, 1.96, -3.0, 8.0])) == pytest.approx([math.erfc(abs(z) / math.sqrt(2)) for z in (0, 1.96, 3, 8)], rel=1e-9)
+
+
+def test_each_segment_is_tested_as_if_alone(spark, table):
+    rng = random.Random(6)
+    rows = [(d, side, None if rng.random() < 0.1 else rng.gauss(10 + (d == "up") * 3 * (side == "b"), 2)) for d in ("up", "flat", None) for side in "ab" for _ in range(40)]
+    rows += [("new", "b", 1.0), ("new", "b", 2.0), ("once", "a", 1.0), ("once", "b", 1.0), ("blank", "a", None)]
+    df = table("depot string, side string, v double", rows)
+    found = {r["segment"]: r for r in as_dicts(significance.segment_significance(drift.split_by_column(df, "side", "a", "b"), "v", "depot"))}
+    assert found.keys() == {"up", "flat", None, "new", "once"}
+    assert found["up"]["significant"] and found["flat"]["applicable"]
+    assert not found["new"]["applicable"] and found["new"]["n_after"] == 2 and found["once"]["p_value"] is None
+    for depot in ("up", "flat", None):
+        own = df.where(F.col("depot").eqNullSafe(depot))
+        alone = as_dicts(significance.numeric_significance(drift.split_by_column(own, "side", "a", "b"), "v"))[0]
+        for name in ("statistic", "p_value", "n_before", "n_after", "significant"):
+            assert found[depot][name] == pytest.approx(alone[name], rel=1e-12)
+    with pytest.raises(KeyError):
+        significance.segment_significance(drift.split_by_column(df, "side", "a", "b"), "v", "nope")
