@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscope.columns import as_text, equals, is_nested, is_numeric, literal, missing_as_null, ref, require, small_table
+from tabscope.functions import late
 from tabscope.functions.safe import pct_change, tidy
 from tabscope.operators.insights import distinct_counts
+from tabscope.session import cut_lineage
 
 SIDE = "__side"
 BEFORE, AFTER = "before", "after"
@@ -183,66 +185,85 @@ def compare_metrics(pair: Pair, columns: list[str] | None = None) -> DataFrame:
 # ── categories ───────────────────────────────────────────────────────────────
 
 
+def _category_rows(pair: Pair, columns: list[str]) -> DataFrame:
+    return late.text_rows(pair.rows, {c: pair.text(c) for c in columns}, SIDE)
+
+
+def _side_counts() -> list[Column]:
+    return [F.count(on(BEFORE, F.lit(1))).alias("n_before"), F.count(on(AFTER, F.lit(1))).alias("n_after")]
+
+
 def category_counts(pair: Pair, columns: list[str]) -> DataFrame:
     """(column, value, n_before, n_after) of the present values, compared as text."""
-    pairs = [F.struct(F.lit(c).alias("column"), pair.text(c).alias("value")) for c in columns]
-    # Not `unpivot`: plans with it are not recognised as equal, and the shuffle could not be reused.
-    long = pair.rows.select(SIDE, F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
-    return long.groupBy("column", "value").agg(
-        F.count(on(BEFORE, F.lit(1))).alias("n_before"), F.count(on(AFTER, F.lit(1))).alias("n_after")
-    )
+    return _category_rows(pair, columns).groupBy("column", "value").agg(*_side_counts())
+
+
+def category_groups(pair: Pair, columns: list[str]) -> DataFrame:
+    """The same counts with the hashes and beginnings of the values instead of the values."""
+    return late.grouped(_category_rows(pair, columns), *_side_counts())
 
 
 def category_shares(pair: Pair, columns: list[str] | None = None) -> DataFrame:
-    """Share of every value among the present values of its column, before and after.
+    """Share of every value among the present values of its column, before and after."""
+    columns = columns if columns is not None else pair.categorical()
+    return _with_shares(category_counts(pair, columns))
+
 
-    The column totals are a table of one row per column and are broadcast; a
+def _with_shares(counts: DataFrame) -> DataFrame:
+    """The column totals are a table of one row per column and are broadcast; a
     window over the values of one column would put all of them into one task.
     """
-    columns = columns if columns is not None else pair.categorical()
-    counts = category_counts(pair, columns)
     totals = counts.groupBy("column").agg(F.sum("n_before").alias("t_before"), F.sum("n_after").alias("t_after"))
     share = lambda n, t: F.coalesce(100 * F.try_divide(F.col(n).cast("double"), F.col(t)), F.lit(0.0))
     before, after = share("n_before", "t_before"), share("n_after", "t_after")
     return counts.join(F.broadcast(totals), "column").select(
-        "column",
-        "value",
-        "n_before",
-        "n_after",
+        *[ref(c) for c in counts.columns],
         tidy(before, 2).alias("share_before"),
         tidy(after, 2).alias("share_after"),
         tidy(after - before, 2).alias("shift_pts"),
     )
 
 
+def best_groups(shares: DataFrame, top_n: int) -> DataFrame:
+    """The groups of values that can be among the first of their column and ``kind``, with equal beginnings at equal ranks."""
+    kinds = {
+        "shift": (None, [F.abs("shift_pts").desc()]),
+        "new": (F.col("n_before") == 0, []),
+        "dropped": (F.col("n_after") == 0, []),
+    }
+    chosen = None
+    for kind, (test, order) in kinds.items():
+        place = F.rank().over(Window.partitionBy("column").orderBy(*order, "beginning"))
+        best = (shares if test is None else shares.filter(test)).withColumn("rank", place).filter(F.col("rank") <= top_n)
+        best = best.withColumn("kind", F.lit(kind))
+        chosen = best if chosen is None else chosen.unionByName(best)
+    return chosen
+
+
 def compare_categories(pair: Pair, columns: list[str] | None = None, top_n: int = TOP_SHIFTS) -> DataFrame:
     """Per shared category column the largest share shifts, the new and the dropped values.
 
     Rows ``(column, kind, rank, value, share_before, share_after, shift_pts)``.
-    The rank filters become per-task group limits, so a column with very many
-    values sends only its best few of each task to the ranking.
+    Values are counted and chosen by hash and beginning, so what is shuffled
+    does not grow with their length; texts are fetched for the chosen. The rank
+    filters become per-task group limits, so a column with very many values
+    sends only its best few of each task to the ranking.
     """
     columns = columns if columns is not None else pair.categorical()
     if not columns:
         return small_table(pair.rows.sparkSession, [],
             "column string, kind string, rank int, value string, share_before double, share_after double, shift_pts double",
         )
-    shares = category_shares(pair, columns)
-    kinds = {
-        "shift": (None, [F.abs("shift_pts").desc(), F.col("value")]),
-        "new": (F.col("n_before") == 0, [F.col("value")]),
-        "dropped": (F.col("n_after") == 0, [F.col("value")]),
-    }
-    result = None
-    for kind, (test, order) in kinds.items():
-        rows = shares if test is None else shares.filter(test)
-        ranked = (
-            rows.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)))
-            .filter(F.col("rank") <= top_n)
-            .select("column", F.lit(kind).alias("kind"), "rank", "value", "share_before", "share_after", "shift_pts")
-        )
-        result = ranked if result is None else result.unionByName(ranked)
-    return result
+    rows = _category_rows(pair, columns)
+    shares = _with_shares(cut_lineage(late.grouped(rows, *_side_counts())))
+    chosen = best_groups(shares, top_n)
+    found = late.with_values(chosen, rows)
+    first = [F.when(F.col("kind") == "shift", F.abs("shift_pts")).desc_nulls_last(), F.col("value")]
+    return (
+        found.withColumn("rank", F.row_number().over(Window.partitionBy("column", "kind").orderBy(*first)))
+        .filter(F.col("rank") <= top_n)
+        .select("column", "kind", "rank", "value", "share_before", "share_after", "shift_pts")
+    )
 
 
 # ── drivers ──────────────────────────────────────────────────────────────────

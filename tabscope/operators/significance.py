@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tabscope.columns import missing_as_null, ref, require
 from tabscope.functions.safe import tidy
 from tabscope.functions.tails import chi_square_p, normal_p, t_two_sided_p
-from tabscope.operators.drift import AFTER, BEFORE, Pair, category_counts, on
+from tabscope.operators.drift import AFTER, BEFORE, Pair, category_groups, on
 
 DEFAULT_ALPHA = 0.05
 
@@ -97,7 +97,7 @@ def categorical_significance(pair: Pair, column: str, alpha: float = DEFAULT_ALP
     The side totals are scalar subqueries over the category counts, so no row
     of the counts has to meet all the others.
     """
-    counts = category_counts(pair, [column])
+    counts = category_groups(pair, [column])
     facts = counts.agg(
         F.struct(
             F.coalesce(F.sum("n_before"), F.lit(0)).alias("a"),

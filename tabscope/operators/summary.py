@@ -18,8 +18,10 @@ from tabscope.columns import (
     small_table,
     text_of,
 )
+from tabscope.functions import late
 from tabscope.functions.quantiles import exact_quantiles
 from tabscope.functions.safe import share_pct
+from tabscope.session import cut_lineage
 
 TOP_VALUES = 10
 PROFILE_BARS = 15
@@ -31,11 +33,25 @@ _QUARTILES = [0.25, 0.5, 0.75]
 
 
 def value_counts(df: DataFrame, column: str, top_n: int | None = TOP_VALUES) -> DataFrame:
-    """Present values by frequency; equal counts in value order."""
+    """Present values by frequency; equal counts in value order.
+
+    The most frequent texts are chosen by hash and beginning, and fetched then.
+    """
     require(df, column)
     value = text_of(df, column) if _nested(df, column) else ref(column)
     values = missing_as_null(df.select(value.alias("value"))).na.drop()
-    counts = values.groupBy("value").agg(F.count("*").alias("count"))
+    if top_n is not None and isinstance(values.schema["value"].dataType, T.StringType):
+        rows = late.text_rows(values, {column: ref("value")})
+        groups = cut_lineage(late.grouped(rows, F.count("*").alias("count")))
+        first = groups.orderBy(F.desc("count"), "beginning").limit(top_n).select("count", "beginning").collect()
+        if not first:
+            return groups.select(F.col("beginning").alias("value"), "count")
+        # All that stand before the last of them, or beside it with the same beginning.
+        n, beginning = F.lit(first[-1]["count"]), F.lit(first[-1]["beginning"])
+        chosen = groups.filter((F.col("count") > n) | (F.col("count") == n) & (F.col("beginning") <= beginning))
+        counts = late.with_values(chosen, rows).select("value", "count")
+    else:
+        counts = values.groupBy("value").agg(F.count("*").alias("count"))
     return counts if top_n is None else counts.orderBy(F.desc("count"), "value").limit(top_n)
 
 
@@ -43,17 +59,6 @@ def _nested(df: DataFrame, column: str) -> bool:
     return is_nested(df.schema[column].dataType)
 
 
-def text_value_groups(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, value, count) for all given columns at once, values as text, missing left out."""
-    texts = df.select(*[text_of(df, c).alias(c) for c in columns])
-    return (
-        texts.unpivot([], [ref(c) for c in columns], "column", "value")
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("count"))
-    )
-
-
 def get_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per column and statistic one row ``(column, dtype, statistic, number, text)``.
 
@@ -123,16 +128,17 @@ def get_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct count, most frequent value and its frequency of each column, in one shuffle of groups."""
-    return (
-        text_value_groups(df, columns)
-        .groupBy("column")
-        .agg(
-            F.count("*").alias("n_distinct"),
-            F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("top"),
-            F.max("count").alias("freq"),
-        )
-    )
+    """Distinct count, most frequent value and its frequency of each column; of equal counts the first value.
+
+    Texts are grouped by hash: what is shuffled does not grow with their length.
+    """
+    rows = late.text_rows(df, {c: text_of(df, c) for c in columns})
+    groups = cut_lineage(late.grouped(rows, F.count("*").alias("count")))
+    best = groups.groupBy("column").agg(F.count("*").alias("n_distinct"), F.min(F.struct(-F.col("count"), F.col("beginning"))).alias("best"))
+    # One row per column.
+    chosen = groups.join(F.broadcast(best), "column").filter(F.struct(-F.col("count"), F.col("beginning")) == F.col("best")).drop("best")
+    texts = late.with_values(chosen, rows)
+    return texts.groupBy("column").agg(F.max("n_distinct").alias("n_distinct"), F.min("value").alias("top"), F.max("count").alias("freq"))
 
 
 # ── one column ───────────────────────────────────────────────────────────────
@@ -175,7 +181,9 @@ def profile_column(df: DataFrame, column: str) -> DataFrame:
         if is_nested(dtype):
             distinct = one.agg(F.lit(None).cast("double").alias("number"))
         else:
-            distinct = one.agg(F.count_distinct(v).cast("double").alias("number"))
+            # Two hashes stand for a value: what is shuffled does not grow with its length.
+            different = one.filter(v.isNotNull()).select(F.xxhash64(v).alias("h"), F.xxhash64(F.lit("second"), v).alias("g")).distinct()
+            distinct = different.agg(F.count("*").cast("double").alias("number"))
         more = top.unionByName(distinct.select(F.lit("unique").alias("statistic"), nothing.alias("value"), "number"))
     return rows.unionByName(more).select(
         F.lit(column).alias("column"), F.lit(kind).alias("kind"), "statistic", "value", "number"
