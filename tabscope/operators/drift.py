@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabscope.columns import as_text, equals, is_nested, is_numeric, literal, missing_as_null, ref, require, small_table
 from tabscope.functions import late
+from tabscope.functions.kernels import moments
 from tabscope.functions.safe import pct_change, tidy
 from tabscope.operators.insights import distinct_counts
 from tabscope.session import cut_lineage
@@ -146,26 +147,16 @@ def compare_metrics(pair: Pair, columns: list[str] | None = None) -> DataFrame:
         empty = "column string, sum_before double, sum_after double, sum_pct_change double, "
         empty += "mean_before double, mean_after double, mean_pct_change double"
         return small_table(pair.rows.sparkSession, [], empty)
-    aggregates = []
-    for i, c in enumerate(columns):
-        aggregates += [F.sum(pair.number(c)).alias(f"s{i}"), F.avg(pair.number(c)).alias(f"m{i}")]
-    by_side = pair.rows.groupBy(SIDE).agg(*aggregates)
-    records = [[F.lit(c), F.col(f"s{i}"), F.col(f"m{i}")] for i, c in enumerate(columns)]
-    long = by_side.select(
-        SIDE,
-        F.inline(
-            F.array(*[F.struct(r[0].alias("column"), r[1].alias("total"), r[2].alias("mean")) for r in records])
-        ),
-    )
+    found = moments(pair.rows, {c: pair.number(c) for c in columns}, F.when(F.col(SIDE) == BEFORE, 0).otherwise(1))
+
+    def of(c: str, side: int) -> tuple[float, float | None]:
+        """Sum and mean. A side without rows has mean 0; a side whose values are all missing has none."""
+        m = found.get((side, c))
+        return (m.total, m.mean) if m else (0.0, 0.0)
+
+    records = [(c, *(of(c, side)[figure] for figure in (0, 1) for side in (0, 1))) for c in columns]
+    wide = small_table(pair.rows.sparkSession, records, "column string, " + ", ".join(f"{n} double" for n in names[1:]))
     zero = F.lit(0.0)
-    rows_on = lambda side: F.count(on(side, F.lit(1))) > 0
-    wide = long.groupBy("column").agg(
-        F.coalesce(F.max(on(BEFORE, F.col("total"))), zero).alias("sum_before"),
-        F.coalesce(F.max(on(AFTER, F.col("total"))), zero).alias("sum_after"),
-        # A side without rows has mean 0; a side whose values are all missing has none.
-        F.when(rows_on(BEFORE), F.max(on(BEFORE, F.col("mean")))).otherwise(zero).alias("mean_before"),
-        F.when(rows_on(AFTER), F.max(on(AFTER, F.col("mean")))).otherwise(zero).alias("mean_after"),
-    )
     sum_pct = pct_change(F.col("sum_before"), F.col("sum_after"))
     mean_pct = pct_change(F.col("mean_before"), F.col("mean_after"))
     return (

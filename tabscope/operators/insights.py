@@ -24,6 +24,7 @@ from tabscope.columns import (
     text_columns,
     text_of,
 )
+from tabscope.functions.kernels import Moments, moments
 from tabscope.functions.quantiles import exact_quantiles
 from tabscope.functions.safe import share_pct, tidy
 from tabscope.functions.text import has_edge_space
@@ -31,6 +32,8 @@ from tabscope.functions.text import has_edge_space
 IDENTIFIER_SHARE = 0.9
 FENCE = 1.5
 
+# Columns with a single value that one pass reads: more would leave generated code too large to compile.
+COLUMNS_AT_ONCE = 50
 # Rows multiplied at once: some megabytes for a hundred columns.
 ROWS_AT_ONCE = 4096
 # Sketches with a ratio below this put a column far away from being an identifier.
@@ -49,32 +52,49 @@ class Facts:
 
 
 def gather_facts(df: DataFrame) -> Facts:
-    """Present values, means, values with space around them, and single values, of all columns."""
+    """Present values, means, values with space around them, and single values, of all columns, however many.
+
+    Every column is one or two numbers to the pass: its value or a hash of it,
+    and whether a text has space around it. Columns that seem to have a single
+    value are looked at once more, as they are.
+    """
     clean = missing_as_null(df)
     numbers, texts, nested = set(numeric_columns(clean)), set(text_columns(clean)), set(nested_columns(clean))
-    aggregates = [F.count("*").alias("n")]
+    values: dict[str, Column] = {}
     for i, c in enumerate(clean.columns):
-        aggregates.append(F.count(ref(c)).alias(f"n{i}"))
         if c in numbers:
-            aggregates.append(F.avg(ref(c).cast("double")).alias(f"m{i}"))
+            values[f"v{i}"] = ref(c).cast("double")
+        elif c in nested:
+            values[f"v{i}"] = F.when(ref(c).isNotNull(), 1.0)
+        else:
+            values[f"v{i}"] = F.when(ref(c).isNotNull(), F.xxhash64(ref(c)))
         if c in texts:
-            aggregates.append(F.count_if(has_edge_space(ref(c))).alias(f"w{i}"))
-        if c not in nested:
-            # Smallest equal to largest says "only one" without counting distinct values.
-            low, high = F.min(ref(c)), F.max(ref(c))
-            aggregates.append(F.when(low == high, low.cast("string")).alias(f"v{i}"))
-    row = clean.agg(*aggregates).first()
+            values[f"w{i}"] = F.when(has_edge_space(ref(c)), 1.0)
+    found = {name: m for (_, name), m in moments(clean, values).items()}
     at = {c: i for i, c in enumerate(clean.columns)}
-    single = {c: row[f"v{i}"] for c, i in at.items() if c not in nested}
+    nothing = Moments(0, 0, 0.0, 0.0, None, None)
+    of = lambda kind, c: found.get(f"{kind}{at[c]}", nothing)
+    alike = [c for c in clean.columns if c not in nested and of("v", c).n and of("v", c).low == of("v", c).high]
     return Facts(
-        rows=row["n"],
-        present={c: row[f"n{i}"] for c, i in at.items()},
-        mean={c: row[f"m{i}"] for c, i in at.items() if c in numbers},
-        spaced={c: row[f"w{i}"] for c, i in at.items() if c in texts},
-        constant={c: v for c, v in single.items() if v is not None},
+        rows=max((m.rows for m in found.values()), default=0),
+        present={c: of("v", c).n for c in clean.columns},
+        mean={c: of("v", c).mean for c in clean.columns if c in numbers},
+        spaced={c: of("w", c).n for c in clean.columns if c in texts},
+        constant=_single_values(clean, alike),
     )
 
 
+def _single_values(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The value of each column that has only one; smallest equal to largest says so without counting."""
+    found = {}
+    for start in range(0, len(columns), COLUMNS_AT_ONCE):
+        some = columns[start : start + COLUMNS_AT_ONCE]
+        ends = [(F.min(ref(c)), F.max(ref(c))) for c in some]
+        row = df.agg(*[F.when(low == high, low.cast("string")).alias(f"v{i}") for i, (low, high) in enumerate(ends)]).first()
+        found |= {c: row[f"v{i}"] for i, c in enumerate(some) if row[f"v{i}"] is not None}
+    return found
+
+
 def shape(df: DataFrame) -> DataFrame:
     """Row and column counts, with the number of columns of each type class."""
     return df.agg(F.count("*").alias("rows")).select("rows", *_class_sizes(df))

@@ -19,6 +19,7 @@ from tabscope.columns import (
     text_of,
 )
 from tabscope.functions import late
+from tabscope.functions.kernels import Moments, moments
 from tabscope.functions.quantiles import exact_quantiles
 from tabscope.functions.safe import share_pct
 from tabscope.session import cut_lineage
@@ -73,29 +74,23 @@ def get_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     value = {c: ref(c).cast("double") for c in numbers}
     value |= {c: F.unix_micros(ref(c).cast("timestamp")).cast("double") for c in dates}
-    aggregates = [F.count("*").alias("n")]
-    for i, c in enumerate(fields):
-        aggregates.append(F.count(ref(c)).alias(f"n{i}"))
-        if c in value:
-            aggregates += [F.avg(value[c]).alias(f"mean{i}"), F.min(value[c]).alias(f"min{i}"), F.max(value[c]).alias(f"max{i}")]
-        if c in numbers:
-            aggregates.append(F.stddev_samp(value[c]).alias(f"std{i}"))
-    row = df.agg(*aggregates).first()
-
-    position = {c: i for i, c in enumerate(fields)}
-    measured = {c: v for c, v in value.items() if row[f"n{position[c]}"]}
-    quartiles = exact_quantiles(df, measured, _QUARTILES, {c: row[f"n{position[c]}"] for c in measured})
+    found = {c: m for (_, c), m in moments(df, {c: value.get(c, F.when(ref(c).isNotNull(), 1.0)) for c in fields}).items()}
+    nothing = Moments(0, 0, 0.0, 0.0, None, None)
+    figures = {c: found.get(c, nothing) for c in fields}
+
+    measured = {c: v for c, v in value.items() if figures[c].n}
+    quartiles = exact_quantiles(df, measured, _QUARTILES, {c: figures[c].n for c in measured})
 
     records: list[tuple] = []
-    for c, i in position.items():
+    for c, m in figures.items():
         dtype = fields[c].simpleString()
-        records += [(c, dtype, "count", float(row[f"n{i}"]), None), (c, dtype, "nulls", float(row["n"] - row[f"n{i}"]), None)]
+        records += [(c, dtype, "count", float(m.n), None), (c, dtype, "nulls", float(m.rows - m.n), None)]
         if c in measured:
             names = ["mean", "min", "25%", "50%", "75%", "max"]
-            found = [row[f"mean{i}"], row[f"min{i}"], *quartiles[c], row[f"max{i}"]]
+            numbers_of = [m.mean, m.low, *quartiles[c], m.high]
             if c in numbers:
-                names, found = [*names, "std"], [*found, row[f"std{i}"]]
-            records += [(c, dtype, s, v, None) for s, v in zip(names, found)]
+                names, numbers_of = [*names, "std"], [*numbers_of, m.std]
+            records += [(c, dtype, s, v, None) for s, v in zip(names, numbers_of, strict=True)]
     schema = "column string, dtype string, statistic string, number double, text string"
     table = small_table(df.sparkSession, records, schema)
     if dates:

@@ -1,11 +1,13 @@
 import datetime
 import random
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tabscope.functions.quantiles import exact_quantiles, values_at
+from tabscope.functions import kernels
 from tabscope.operators import insights, summary
 from tests.conftest import as_dicts, by
 
@@ -261,3 +263,36 @@ def test_scatter_folds_rare_categories(spark):
     assert len(hues) == 9 and hues["10"] == 50 and hues["Other"] == 15
     assert summary.scatter_points(df, "id", "y").columns == ["x", "y"]
     assert summary.profile_bars(df.filter("id < 0"), "hue") is None
+
+
+def test_many_columns_are_one_pass(spark):
+    """Four hundred columns with gaps: the figures of pandas, without an aggregate per column."""
+    columns = [F.when(F.col("id") % (i % 7 + 2) != 0, (F.col("id") * (i + 3)) % (i % 50 + 5) - 1000.0 * i).alias(f"c{i}") for i in range(400)]
+    df = spark.range(0, 1000, 1, 6).select(*columns, F.lit(" x").alias("s"), (F.col("id") % 2 == 0).alias("b"), F.lit(None).cast("date").alias("none"))
+    local = df.toPandas()
+    started = time.perf_counter()
+    facts = insights.gather_facts(df)
+    seconds = time.perf_counter() - started
+    assert facts.rows == 1000 and facts.spaced == {"s": 1000} and facts.present["none"] == 0
+    assert facts.constant.keys() == {c for c in df.columns if local[c].nunique() == 1} and facts.constant["s"] == " x"
+    assert facts.present == {c: int(local[c].notna().sum()) for c in df.columns}
+    assert all(facts.mean[c] == pytest.approx(local[c].mean(), rel=1e-12) for c in facts.mean)
+    assert seconds < 20
+    found = kernels.moments(df, {f"c{i}": F.col(f"c{i}") for i in range(400)}, F.when(F.col("b"), 0).otherwise(1))
+    for side, rows in ((0, local[local["b"]]), (1, local[~local["b"]])):
+        for i in range(0, 400, 7):
+            m, own = found[side, f"c{i}"], rows[f"c{i}"]
+            assert (m.rows, m.n) == (500, int(own.notna().sum()))
+            if m.n:
+                assert (m.low, m.high) == (own.min(), own.max()) and m.total == pytest.approx(own.sum(), rel=1e-12)
+                assert m.std == pytest.approx(own.std(), rel=1e-9, abs=1e-12)
+
+
+def test_figures_of_odd_columns(spark, table):
+    df = table("a double, b double, c double", [(1.0, None, float("inf")), (float("nan"), None, 1.0), (-0.0, None, 2.0)])
+    found = kernels.moments(df, {c: F.col(c) for c in "abc"})
+    assert (found[0, "a"].n, found[0, "a"].low, found[0, "a"].high) == (2, 0.0, 1.0)
+    assert (found[0, "b"].n, found[0, "b"].mean, found[0, "b"].low) == (0, None, None)
+    assert found[0, "c"].total == float("inf")
+    assert kernels.moments(df.limit(0), {"a": F.col("a")}) == {} and kernels.moments(df, {}) == {}
+    assert insights.gather_facts(df.limit(0)).rows == 0
