@@ -225,11 +225,53 @@ def category_counts(t):
 # ── whole reports ────────────────────────────────────────────────────────────
 
 
+def _report(t):
+    return reports.drift_report(orders(t), "o_totalprice", "o_orderpriority")
+
+
+def _same_schema_sql(rows: str, types: dict[str, str]) -> str:
+    """Schema comparison of two snapshots with the same columns."""
+    columns = ", ".join(f"('common_column', '{c}', '{t}', '{t}', CAST(NULL AS DOUBLE))" for c, t in types.items())
+    b, a = f"count(*) {_B}", f"count(*) {_A}"
+    return (
+        f"SELECT * FROM (VALUES {columns}) v(kind, \"column\", before, after, pct_change) UNION ALL"
+        f" SELECT 'row_count', NULL, CAST({b} AS VARCHAR), CAST({a} AS VARCHAR), {_pct(b, a)} FROM {rows}"
+    )
+
+
+_ORDER_TYPES = {
+    "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+}
+_PRIORITY_SEGMENTS = segments_sql(ORDERS, "o_orderpriority", "o_totalprice", "sum")
+
+
+@query("d20_report_schema", _same_schema_sql(ORDERS, _ORDER_TYPES))
+def report_schema(t):
+    return _report(t)["schema"]
+
+
+@query("d20_report_categories", _categories_sql(_ORDER_SHARES))
+def report_categories(t):
+    return _report(t)["categories"]
+
+
+@query("d20_report_driver", _driver_sql(_PRIORITY_SEGMENTS))
+def report_driver(t):
+    return _report(t)["driver"]
+
+
+@query("d20_report_driver_totals", _totals_sql(_PRIORITY_SEGMENTS))
+def report_totals(t):
+    return _report(t)["driver_totals"]
+
+
 @query("d20_report_metrics", " UNION ALL ".join(_metric_sql(ORDERS, c) for c in ("o_orderkey", "o_custkey", "o_totalprice")))
 def report_metrics(t):
     return reports.drift_report(orders(t), "o_totalprice", "o_orderpriority")["metrics"]
 
 
+_DATED = {"o_orderpriority": "o_orderpriority", "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"}
 _STATUS = "(SELECT *, CASE o_orderstatus WHEN 'F' THEN 'before' ELSE 'after' END AS side FROM orders WHERE o_orderstatus IN ('F', 'O'))"
 
 
@@ -238,15 +280,9 @@ def groups_driver(t):
     return reports.compare_groups(t.orders, "o_orderstatus", "F", "O", "o_totalprice", "o_orderpriority")["driver"]
 
 
-@query("d21_compare_groups_categories", _categories_sql(_shares_sql(_STATUS, {"o_orderpriority": "o_orderpriority"})))
+@query("d21_compare_groups_categories", _categories_sql(_shares_sql(_STATUS, _DATED)))
 def groups_categories(t):
-    found = reports.compare_groups(t.orders.drop("o_orderdate"), "o_orderstatus", "F", "O")
-    return found["categories"]
-
-
-@query("d22_highlights")
-def highlights(t):
-    return reports.drift_highlights(reports.drift_report(lines(t), "l_extendedprice", "l_returnflag"))
+    return reports.compare_groups(t.orders, "o_orderstatus", "F", "O")["categories"]
 
 
 @query(

@@ -39,27 +39,32 @@ def retention_sql(table: str, user: str, date: str, period: str) -> str:
     FROM a JOIN s ON a.cohort = s.cohort"""
 
 
-# Users join in different weeks only if early events of later users are left unseen.
-JOINERS = Derived(
-    "events",
+# Customers and the days of their orders: dates in two spellings, some of them no dates at all.
+VISITS = Derived(
+    "orders",
     (
-        "CASE WHEN day(ts) > user_id % 28 THEN user_id END AS user_id",
-        "CASE WHEN event_id % 3 = 0 THEN concat(CAST(month(ts) AS STRING), '/', CAST(day(ts) AS STRING), '/', CAST(year(ts) AS STRING))"
-        " WHEN event_id % 31 = 1 THEN 'lost' ELSE CAST(CAST(ts AS DATE) AS STRING) END AS seen",
-        "CASE WHEN event_id % 3 <> 0 AND event_id % 31 = 1 THEN NULL ELSE ts END AS seen_at",
+        "o_custkey",
+        "CASE WHEN o_orderkey % 3 = 0 THEN concat(CAST(month(o_orderdate) AS STRING), '/', CAST(day(o_orderdate) AS STRING), '/', CAST(year(o_orderdate) AS STRING))"
+        " WHEN o_orderkey % 31 = 1 THEN 'lost' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS seen",
+        "CASE WHEN o_orderkey % 3 <> 0 AND o_orderkey % 31 = 1 THEN NULL ELSE o_orderdate END AS seen_at",
     ),
 )
 
 
-@query("l1_retention_day", retention_sql(JOINERS.sql, "user_id", "seen_at", "D"))
+@query("l1_retention_day", retention_sql("events", "user_id", "ts", "D"))
 def by_day(t):
-    return cohort.compute_retention(t.derived(JOINERS), "user_id", "seen_at", "D")
+    return cohort.compute_retention(t.events, "user_id", "ts", "D")
+
+
+@query("l1_retention_day_of_orders", retention_sql(VISITS.sql, "o_custkey", "seen_at", "D"))
+def by_day_of_orders(t):
+    return cohort.compute_retention(t.derived(VISITS), "o_custkey", "seen_at", "D")
 
 
-@query("l1_retention_week", retention_sql(JOINERS.sql, "user_id", "seen_at", "W"))
+@query("l1_retention_week", retention_sql(VISITS.sql, "o_custkey", "seen_at", "W"))
 def by_week(t):
-    """Dates here are text in mixed spellings, some of them no dates at all."""
-    return cohort.compute_retention(t.derived(JOINERS), "user_id", "seen", "W")
+    """Dates here are text in mixed spellings."""
+    return cohort.compute_retention(t.derived(VISITS), "o_custkey", "seen", "W")
 
 
 @query("l1_retention_month", retention_sql("orders", "o_custkey", "o_orderdate", "M"))
@@ -69,12 +74,14 @@ def by_month(t):
 
 def _matrix_sql(offsets: range) -> str:
     cells = ", ".join(f"max(CASE WHEN period_offset = {n} THEN retention END) AS offset_{n}" for n in offsets)
-    return f"SELECT cohort, cohort_size, {cells} FROM ({retention_sql(JOINERS.sql, 'user_id', 'seen_at', 'W')}) GROUP BY 1, 2"
+    return f"SELECT cohort, cohort_size, {cells} FROM ({retention_sql(VISITS.sql, 'o_custkey', 'seen_at', 'M')}) GROUP BY 1, 2"
 
 
-@query("l2_retention_matrix", _matrix_sql(range(5)))
+@query("l2_retention_matrix", _matrix_sql(range(24)))
 def matrix(t):
-    return cohort.retention_matrix(cohort.compute_retention(t.derived(JOINERS), "user_id", "seen", "W"))
+    """The first two years of every cohort."""
+    retention = cohort.compute_retention(t.derived(VISITS), "o_custkey", "seen", "M")
+    return cohort.retention_matrix(retention.filter("period_offset < 24"))
 
 
 # ── trend ────────────────────────────────────────────────────────────────────

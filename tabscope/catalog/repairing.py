@@ -317,10 +317,10 @@ PEOPLE = Derived(
 _PEOPLE_TEXTS = ["c_name", "contact", "phone", "tax_number", "card", "account", "address", "version", "joined"]
 
 
-def _rates_sql() -> str:
+def _rates_sql(view: Derived, texts: list[str]) -> str:
     share = "avg(CASE WHEN {among} THEN CASE WHEN {test} THEN 1.0 ELSE 0.0 END END)"
     parts = []
-    for i, c in enumerate(_PEOPLE_TEXTS):
+    for i, c in enumerate(texts):
         shape_card = "regexp_matches(v, '^\\d[\\d\\s-]{11,22}\\d$')"
         shape_ip = "regexp_matches(v, '^(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})\\.(\\d{1,3})$')"
         luhn = (
@@ -340,39 +340,51 @@ def _rates_sql() -> str:
         rates = ", ".join(f"{rounded(share.format(among=a, test=x), 6)} AS {n}" for n, (a, x) in tests.items())
         parts.append(
             f"SELECT {i} AS position, '{c}' AS \"column\", {rates} FROM"
-            f" (SELECT v, regexp_replace(v, '\\D', '', 'g') AS d FROM (SELECT trim({c}) AS v FROM {PEOPLE.sql}))"
+            f" (SELECT v, regexp_replace(v, '\\D', '', 'g') AS d FROM (SELECT trim({c}) AS v FROM {view.sql}))"
         )
     return _union(parts)
 
 
-@query("k2_k6_pii_rates", _rates_sql())
+@query("k2_k6_pii_rates", _rates_sql(PEOPLE, _PEOPLE_TEXTS))
 def rates(t):
     table = pii.pii_rates(t.derived(PEOPLE))
     return table.withColumns({name: tidy(name, 6) for name in pii.RATES})
 
 
-@query(
-    "k1_pii_columns",
-    f"""SELECT "column", kind, label FROM (SELECT *, CASE WHEN email >= 0.8 THEN 'email' WHEN ssn >= 0.8 THEN 'ssn'
+def _kinds_sql(rates: str) -> str:
+    return f"""SELECT "column", kind, label FROM (SELECT *, CASE WHEN email >= 0.8 THEN 'email' WHEN ssn >= 0.8 THEN 'ssn'
       WHEN card_shape >= 0.8 AND card_valid >= 0.8 THEN 'credit_card' WHEN ip_shape >= 0.8 AND ip_valid >= 0.8 THEN 'ip_address'
-      WHEN phone >= 0.8 AND "column" <> 'joined' THEN 'phone' END AS kind FROM ({_rates_sql()}))
+      WHEN phone >= 0.8 AND "column" <> 'joined' THEN 'phone' END AS kind FROM ({rates}))
     JOIN (VALUES ('email', 'Email address'), ('ssn', 'Social Security Number'), ('credit_card', 'Credit card number'),
-      ('ip_address', 'IP address'), ('phone', 'Phone number')) v(k, label) ON kind = k""",
-)
+      ('ip_address', 'IP address'), ('phone', 'Phone number')) v(k, label) ON kind = k"""
+
+
+@query("k1_pii_columns", _kinds_sql(_rates_sql(PEOPLE, _PEOPLE_TEXTS)))
 def personal_columns(t):
     return pii.detect_pii_columns(t.derived(PEOPLE))
 
 
-_MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
+# Pieces of whole texts: what stands around an @, the first long run of digits and marks between them, the first word.
+PIECES = Derived(
+    "documents",
+    (
+        "doc_id",
+        "nullif(regexp_extract(text, '[^ \n]*@[^ \n]*', 0), '') AS contact",
+        "nullif(regexp_extract(text, '[0-9][-0-9.()]{6,}', 0), '') AS number",
+        "nullif(regexp_extract(text, '[^ \n]+', 0), '') AS word",
+        "lang",
+        "source",
+    ),
+)
+_PIECE_TEXTS = ["contact", "number", "word", "lang", "source"]
+
+
+@query("k2_k6_pii_rates_from_documents", _rates_sql(PIECES, _PIECE_TEXTS))
+def document_rates(t):
+    table = pii.pii_rates(t.derived(PIECES))
+    return table.withColumns({name: tidy(name, 6) for name in pii.RATES})
 
 
-@query(
-    "k1_pii_columns_from_documents",
-    f"SELECT 'contact' AS \"column\", 'email' AS kind, 'Email address' AS label FROM (SELECT count(*) AS n FROM documents"
-    f" WHERE regexp_matches(text, '{_MAIL}')) WHERE n > 0",
-)
-def document_contacts(t):
-    """All addresses in whole document texts, beside the texts' languages and sources."""
-    found = F.regexp_extract_all("text", F.lit(_MAIL), F.lit(0))
-    rows = t.documents.select("lang", "source", F.explode_outer(found).alias("contact"))
-    return pii.detect_pii_columns(rows)
+@query("k1_pii_columns_from_documents", _kinds_sql(_rates_sql(PIECES, _PIECE_TEXTS)))
+def document_pieces(t):
+    return pii.detect_pii_columns(t.derived(PIECES))

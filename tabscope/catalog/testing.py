@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabscope.catalog import ORDERS_GAPS, query, rounded
+from tabscope.catalog import ORDERS_GAPS, changes, query, rounded
 from tabscope.catalog.changes import LINES, ORDERS, lines, orders
 from tabscope.functions.safe import tidy
 from tabscope.operators import drift, significance
+from tabscope.plans import reports
 
 STEPS = 2000
 
@@ -211,6 +212,45 @@ def fit_gaps(t):
     return _fit(significance.linear_fit(rows, "customer", "price"))
 
 
+# ── tests within whole reports ───────────────────────────────────────────────
+
+
+@query("d20_report_metric_significance", _welch_sql(ORDERS, "o_totalprice"))
+def report_metric_test(t):
+    return _test_rows(reports.drift_report(orders(t), "o_totalprice", "o_orderpriority")["metric_significance"])
+
+
+@query("d20_report_segment_significance", _chi_sql(ORDERS, "o_orderpriority"))
+def report_segment_test(t):
+    return _test_rows(reports.drift_report(orders(t), "o_totalprice", "o_orderpriority")["segment_significance"])
+
+
+def _highlights_sql() -> str:
+    """What each table of the report on line items gives to the reader."""
+    none, dated = "CAST(NULL AS DOUBLE)", "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')"
+    shares = changes._shares_sql(LINES, {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "l_shipdate": dated})
+    segments = changes.segments_sql(LINES, "l_returnflag", "l_extendedprice", "sum")
+    metrics = " UNION ALL ".join(changes._metric_sql(LINES, c) for c in changes._LINE_METRICS)
+    rows = f"(SELECT count(*) FILTER (WHERE side = 'before') AS b, count(*) FILTER (WHERE side = 'after') AS a FROM {LINES})"
+    verdict = "CASE WHEN significant THEN 'significant' ELSE 'not significant' END"
+    parts = [
+        f"SELECT 'row_count' AS kind, 'rows' AS subject, CAST(NULL AS VARCHAR) AS detail, CAST(b AS DOUBLE) AS before, CAST(a AS DOUBLE) AS after, {changes._pct('b', 'a')} AS change FROM {rows}",
+        f"SELECT 'metric', \"column\", NULL, sum_before, sum_after, sum_pct_change FROM (SELECT * FROM ({metrics}) WHERE sum_pct_change <> 0 ORDER BY abs(sum_pct_change) DESC, \"column\" LIMIT 5)",
+        f"SELECT 'category', \"column\", concat(kind, ': ', value), share_before, share_after, shift_pts FROM ({changes._categories_sql(shares)}) WHERE kind <> 'shift' OR rank <= 3",
+        f"SELECT 'total', 'all segments', CASE WHEN mix_shift THEN 'mix shift' END, total_before, total_after, total_pct_change FROM ({changes._totals_sql(segments)})",
+        f"SELECT 'driver', segment, CAST(contribution_pct AS VARCHAR), before, after, delta FROM (SELECT * FROM ({changes._driver_sql(segments)}) ORDER BY abs(delta) DESC, segment LIMIT 5)",
+        f"SELECT 'test', metric, {verdict}, {none}, {none}, p_value FROM ({_welch_sql(LINES, 'l_extendedprice')})",
+        f"SELECT 'test', \"column\", {verdict}, {none}, {none}, p_value FROM ({_chi_sql(LINES, 'l_returnflag')})",
+    ]
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
+@query("d22_highlights", _highlights_sql())
+def highlights(t):
+    found = reports.drift_highlights(reports.drift_report(lines(t), "l_extendedprice", "l_returnflag"))
+    return found.withColumn("change", tidy("change", 4))
+
+
 @query(
     "p2_any_significant",
     f"SELECT coalesce(bool_or(significant), false) AS significant FROM (SELECT significant FROM ({_welch_sql(LINES, 'l_extendedprice')})"
