@@ -64,6 +64,17 @@ def outer_hot(t):
     return joins.join_dataframes(t.derived(SALES), t.derived(CLIENTS), "custkey", "custkey", "outer", hot_key_rows=10)
 
 
+@query(
+    "c1_join_left_hot",
+    "SELECT p.p_partkey, p.p_brand, l.l_partkey, l.l_orderkey, l.l_linenumber FROM part p LEFT JOIN lineitem l ON l.l_partkey = p.p_partkey",
+)
+def left_hot(t):
+    """The optional side has the many rows; the histogram that sized the join names the keys to take out."""
+    parts, lines = t.part.select("p_partkey", "p_brand"), t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber")
+    histogram = joins.key_histogram(parts, lines, "p_partkey", "l_partkey")
+    return joins.join_dataframes(parts, lines, "p_partkey", "l_partkey", "left", hot_key_rows=30, histogram=histogram)
+
+
 @query(
     "c1_join_different_keys",
     "SELECT o.*, c.* FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscope.columns import is_nested, is_text, missing_as_null, ref, require
 from tabscope.functions.safe import tidy
+from tabscope.session import cut_lineage
 
 JOIN_TYPES = ("inner", "left", "right", "outer")
+# Rows of one key that a task takes without trouble, and hot keys that are sent to every task.
+HOT_KEY_ROWS = 1_000_000
+BROADCAST_KEYS = 100_000
 
 
 def suggest_join_keys(a: DataFrame, b: DataFrame) -> list[tuple[int, str]]:
@@ -22,7 +28,7 @@ def suggest_join_keys(a: DataFrame, b: DataFrame) -> list[tuple[int, str]]:
 
 
 def join_dataframes(
-    a: DataFrame, b: DataFrame, left_on: str, right_on: str, how: str = "inner", hot_key_rows: int | None = None
+    a: DataFrame, b: DataFrame, left_on: str, right_on: str, how: str = "inner", hot_key_rows: int | None = None, histogram: DataFrame | None = None
 ) -> DataFrame:
     """Join on equal keys, where a missing key equals a missing key.
 
@@ -30,10 +36,12 @@ def join_dataframes(
 
     Spark picks broadcast or sort-merge by size, and adaptive execution splits
     hot keys of an inner join on either side. It cannot split the optional side
-    of a left or right join, nor any side of a full join. With ``hot_key_rows``
-    the keys are counted first, and if such a side has a key with more rows, the
-    join is written as the inner join plus the unmatched rows (anti joins
-    against distinct keys), which all can be split. The result is the same.
+    of a left or right join, nor any side of a full join. With the keys'
+    ``histogram`` (:func:`key_histogram`, which is also what sizes a join before
+    it is run) at hand, keys with more than ``hot_key_rows`` rows on a side are
+    taken out: those on both sides are an inner join, since every row has a
+    match, and those on one side need no join at all. The result is the same.
+    ``hot_key_rows`` without a histogram has one counted.
     """
     if how not in JOIN_TYPES:
         raise ValueError(f"no such join: {how}")
@@ -46,18 +54,44 @@ def join_dataframes(
     a, b, key_a, key_b, output = _renamed(missing_as_null(a), missing_as_null(b), left_on, right_on)
     match = a[key_a].eqNullSafe(b[key_b])
 
-    if how != "inner" and hot_key_rows is not None and _hot(a, b, key_a, key_b, how, hot_key_rows):
-        matched = a.join(b, match, "inner").select(*output)
-        parts = [matched]
-        if how in ("left", "outer"):
-            parts.append(_unmatched(a, b, key_a, key_b, output))
-        if how in ("right", "outer"):
-            parts.append(_unmatched(b, a, key_b, key_a, output))
-        result = parts[0]
-        for part in parts[1:]:
-            result = result.unionByName(part)
-        return result
-    return a.join(b, match, {"outer": "full"}.get(how, how)).select(*output)
+    kind = {"outer": "full"}.get(how, how)
+    if how == "inner" or (histogram is None and hot_key_rows is None):
+        return a.join(b, match, kind).select(*output)
+    limit = HOT_KEY_ROWS if hot_key_rows is None else hot_key_rows
+    histogram = histogram if histogram is not None else _histogram(a, b, key_a, key_b)
+    # So few that each has more than the limit of rows: they are stored, counted and then sent to every task.
+    hot = cut_lineage(histogram.filter(F.greatest("n_a", "n_b") > limit).select(F.col("key").alias("__key"), "n_a", "n_b"))
+    n_hot = hot.count()
+    if not n_hot:
+        return a.join(b, match, kind).select(*output)
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+    both, only_a, only_b = hot.filter("n_a > 0 AND n_b > 0"), hot.filter("n_b = 0"), hot.filter("n_a = 0")
+
+    def rows(df: DataFrame, key: str, keys: DataFrame, join: str) -> DataFrame:
+        return df.join(keys.select("__key"), df[key].eqNullSafe(keys["__key"]), join)
+
+    cold_a, cold_b = rows(a, key_a, hot, "left_anti"), rows(b, key_b, hot, "left_anti")
+    hot_a, hot_b = rows(a, key_a, both, "left_semi"), rows(b, key_b, both, "left_semi")
+    parts = [cold_a.join(cold_b, F.col(key_a).eqNullSafe(F.col(key_b)), kind), hot_a.join(hot_b, F.col(key_a).eqNullSafe(F.col(key_b)), "inner")]
+    if how in ("left", "outer"):
+        parts.append(_alone(rows(a, key_a, only_a, "left_semi"), b))
+    if how in ("right", "outer"):
+        parts.append(_alone(rows(b, key_b, only_b, "left_semi"), a))
+    return reduce(DataFrame.unionByName, [p.select(*output) for p in parts])
+
+
+def key_histogram(a: DataFrame, b: DataFrame, left_on: str, right_on: str) -> DataFrame:
+    """``key``, ``n_a``, ``n_b``: rows of each key on both sides, 0 where a side has none; missing keys are one key."""
+    require(a, left_on)
+    require(b, right_on)
+    return _histogram(missing_as_null(a.select(ref(left_on).alias("ka"))), missing_as_null(b.select(ref(right_on).alias("kb"))), "ka", "kb")
+
+
+def _histogram(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFrame:
+    """Counts of one side at a time meet in one more sum, so both combine before the shuffle."""
+    one, none = F.lit(1), F.lit(0)
+    sides = a.select(F.col(key_a).alias("key"), one.alias("n_a"), none.alias("n_b")).union(b.select(F.col(key_b), none, one))
+    return sides.groupBy("key").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
 
 
 def _renamed(a: DataFrame, b: DataFrame, left_on: str, right_on: str):
@@ -78,16 +112,9 @@ def _renamed(a: DataFrame, b: DataFrame, left_on: str, right_on: str):
     return a.toDF(*inner_a), b.toDF(*inner_b), key_a, key_b, output
 
 
-def _hot(a: DataFrame, b: DataFrame, key_a: str, key_b: str, how: str, limit: int) -> bool:
-    sides = {"left": [(b, key_b)], "right": [(a, key_a)], "outer": [(a, key_a), (b, key_b)]}[how]
-    return any(not df.groupBy(key).count().filter(F.col("count") > limit).isEmpty() for df, key in sides)
-
-
-def _unmatched(one: DataFrame, other: DataFrame, key: str, other_key: str, output: list[Column]) -> DataFrame:
-    keys = other.select(other_key).distinct()
-    rows = one.join(keys, one[key].eqNullSafe(keys[other_key]), "left_anti")
-    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema]
-    return rows.select("*", *absent).select(*output)
+def _alone(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows without a match: the other side's columns are null."""
+    return one.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in other.schema])
 
 
 def join_stats(a: DataFrame, b: DataFrame, left_on: str, right_on: str) -> DataFrame:

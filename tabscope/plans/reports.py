@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -24,25 +24,48 @@ def drift_report(
     segment: str | None = None,
     agg: str = "sum",
     exclude: tuple[str, ...] = (),
-) -> dict[str, DataFrame]:
+) -> Report:
     """Schema, metrics and categories; with ``metric`` and ``segment`` also drivers and tests."""
-    report = {
-        "schema": drift.compare_schemas(pair),
-        "metrics": drift.compare_metrics(pair, [c for c in pair.numeric() if c not in exclude]),
-        "categories": drift.compare_categories(pair, [c for c in pair.categorical() if c not in exclude]),
+    shared = pair.shared()
+    parts: dict[str, Callable[[], DataFrame]] = {
+        "schema": lambda: drift.compare_schemas(pair),
+        "metrics": lambda: drift.compare_metrics(pair, [c for c in pair.numeric() if c not in exclude]),
+        "categories": lambda: drift.compare_categories(pair, [c for c in pair.categorical() if c not in exclude]),
     }
     if metric and segment:
         segments = drift.segment_aggregates(pair, metric, segment, agg)
-        report["driver"] = drift.decompose_segments(segments)
-        report["driver_totals"] = drift.decompose_totals(segments)
-    if metric and metric in pair.shared():
-        report["metric_significance"] = numeric_significance(pair, metric)
-    if segment and segment in pair.shared():
-        report["segment_significance"] = categorical_significance(pair, segment)
-    return report
+        parts["driver"] = lambda: drift.decompose_segments(segments)
+        parts["driver_totals"] = lambda: drift.decompose_totals(segments)
+    if metric and metric in shared:
+        parts["metric_significance"] = lambda: numeric_significance(pair, metric)
+    if segment and segment in shared:
+        parts["segment_significance"] = lambda: categorical_significance(pair, segment)
+    return Report(parts)
+
+
+class Report(Mapping[str, DataFrame]):
+    """The tables of a report by name, each built when it is first asked for."""
+
+    def __init__(self, parts: dict[str, Callable[[], DataFrame]]):
+        self._parts = parts
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._parts[name]()
+        return self._built[name]
 
+    def __contains__(self, name: object) -> bool:
+        return name in self._parts
 
-def has_significant_change(report: dict[str, DataFrame]) -> DataFrame:
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._parts)
+
+    def __len__(self) -> int:
+        return len(self._parts)
+
+
+def has_significant_change(report: Mapping[str, DataFrame]) -> DataFrame:
     """One row ``(significant)`` over the tests of a report."""
     tests = [report[k] for k in ("metric_significance", "segment_significance") if k in report]
     if not tests:
@@ -52,7 +75,7 @@ def has_significant_change(report: dict[str, DataFrame]) -> DataFrame:
 
 def compare_groups(
     df: DataFrame, split: str, value_before: Any, value_after: Any, metric: str | None = None, segment: str | None = None
-) -> dict[str, DataFrame]:
+) -> Mapping[str, DataFrame]:
     """Drift report between two values of one column of one table.
 
     An unknown column or a value without rows gives ``{"error": one-row table}``.
@@ -67,7 +90,7 @@ def compare_groups(
     return drift_report(pair, metric, segment, exclude=(split,))
 
 
-def drift_highlights(report: dict[str, DataFrame]) -> DataFrame:
+def drift_highlights(report: Mapping[str, DataFrame]) -> DataFrame:
     """What a reader should see first: ``(kind, subject, detail, before, after, change)``."""
     nothing = F.lit(None)
 

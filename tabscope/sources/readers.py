@@ -27,13 +27,16 @@ def load(
     ``schema`` spares CSV and JSON the pass that finds the types. With
     ``multi_line`` a CSV cell may span lines and JSON need not have one record
     per line; then Spark has to read text files whole, one task each. If it is
-    left out, CSV is split among tasks and JSON is read whole.
+    left out, CSV is split among tasks, as is JSON in files ending in ``.jsonl``
+    or ``.ndjson``; other JSON is read whole.
     """
     extension = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if extension == "parquet":
         return spark.read.parquet(path)
-    if extension == "json":
-        reader = spark.read.option("multiLine", multi_line is not False)
+    if extension in ("json", "jsonl", "ndjson"):
+        # These names promise one record per line, so the file is split among tasks.
+        whole = extension == "json" if multi_line is None else multi_line
+        reader = spark.read.option("multiLine", whole)
         return (reader.schema(schema) if schema else reader).json(path)
     if extension == "csv":
         return read_csv(spark, path, schema, bool(multi_line))

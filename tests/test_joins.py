@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tabscope.operators import joins
 from tabscope.operators.joins import join_dataframes, join_stats, suggest_join_keys
 from tests.conftest import by
 
@@ -87,3 +88,20 @@ def test_suggested_keys(table):
     a = table("name string, user_id int, key int, day date", [])
     b = table("day date, key int, user_id int, other int", [])
     assert suggest_join_keys(a, b) == [(0, "key"), (0, "user_id"), (1, "day")]
+
+
+def test_a_histogram_at_hand_takes_hot_keys_out(table, monkeypatch):
+    """Hot keys on both sides, on one side only, and missing ones; nothing is counted again."""
+    rng = random.Random(12)
+    a = [(rng.choice([1, 2, 3, 4, None]), i) for i in range(60)] + [(7, i) for i in range(20)]
+    b = [(rng.choice([1, 2, 5, None]), i) for i in range(60)] + [(8, i) for i in range(20)]
+    da, db = table("k int, x int", a), table("k int, y int", b)
+    histogram = joins.key_histogram(da, db, "k", "k")
+    assert {r["key"]: (r["n_a"], r["n_b"]) for r in histogram.collect()} == {k: (sum(x[0] == k for x in a), sum(x[0] == k for x in b)) for k in (1, 2, 3, 4, 5, 7, 8, None)}
+    monkeypatch.setattr(joins, "_histogram", None)
+    order = lambda r: tuple(str(x) for x in r)
+    for how in ("left", "right", "outer"):
+        plain = sorted(map(tuple, join_dataframes(da, db, "k", "k", how).collect()), key=order)
+        for limit in (5, 14, None):
+            found = join_dataframes(da, db, "k", "k", how, hot_key_rows=limit, histogram=histogram)
+            assert sorted(map(tuple, found.collect()), key=order) == plain

@@ -123,3 +123,11 @@ def test_large_csv_is_split_among_tasks(spark, tmp_path):
         assert load(spark, path, schema="id bigint, name string").rdd.getNumPartitions() > 2
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("extension", ["jsonl", "ndjson"])
+def test_json_by_line_is_split_among_tasks(spark, tmp_path, extension):
+    path = tmp_path / f"rows.{extension}"
+    path.write_text("".join(f'{{"a": {i}, "b": "x{i}"}}\n' for i in range(50)))
+    df = load(spark, str(path))
+    assert df.count() == 50 and "multiLine" not in df._jdf.queryExecution().toString().replace("multiLine -> false", "").replace("multiLine=false", "")
