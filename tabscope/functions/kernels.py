@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Numbers worked on at once: some megabytes.
+CELLS_AT_ONCE = 1 << 18
 _FIGURES = "side int, i int, rows bigint, n bigint, total double, squares double, low double, high double"
 
 
@@ -44,19 +46,30 @@ def partial_moments(df: DataFrame, values: dict[str, Column], side: Column | Non
     """Figures of each task, (side, column number) by row; ``side`` is a number from 0 on, null is missing and NaN too."""
     width = len(values)
 
+    def add(held: dict[int, list[np.ndarray]], parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        x, sides = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts])
+        for s in np.unique(sides).tolist():
+            own = x if (sides == s).all() else x[:, sides == s]
+            n, total = np.count_nonzero(~np.isnan(own), axis=1), np.nansum(own, axis=1)
+            mean = total / np.maximum(n, 1)
+            squares = np.nansum((own - mean[:, None]) ** 2, axis=1)
+            found = [np.full(width, own.shape[1]), n, total, squares, np.fmin.reduce(own, axis=1), np.fmax.reduce(own, axis=1)]
+            held[s] = found if s not in held else _merged(held[s], found)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        cells = 0
         with np.errstate(invalid="ignore", over="ignore"):
             for batch in batches:
                 x = np.array([batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)], dtype=float)
-                sides = batch.column(width).to_numpy(zero_copy_only=False)
-                for s in np.unique(sides).tolist():
-                    own = x[:, sides == s]
-                    n, total = np.count_nonzero(~np.isnan(own), axis=1), np.nansum(own, axis=1)
-                    mean = total / np.maximum(n, 1)
-                    squares = np.nansum((own - mean[:, None]) ** 2, axis=1)
-                    found = [np.full(width, own.shape[1]), n, total, squares, np.fmin.reduce(own, axis=1), np.fmax.reduce(own, axis=1)]
-                    held[s] = found if s not in held else _merged(held[s], found)
+                parts.append((x, batch.column(width).to_numpy(zero_copy_only=False)))
+                cells += x.size
+                if cells >= CELLS_AT_ONCE:
+                    add(held, parts)
+                    parts, cells = [], 0
+            if parts:
+                add(held, parts)
             for s, (rows, n, total, squares, low, high) in held.items():
                 arrays = [pa.array(np.full(width, s), pa.int32()), pa.array(np.arange(width), pa.int32()), pa.array(rows, pa.int64()), pa.array(n, pa.int64())]
                 arrays += [pa.array(v, pa.float64()) for v in (total, squares)] + [pa.array(v, pa.float64(), mask=n == 0) for v in (low, high)]

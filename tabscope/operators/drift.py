@@ -14,7 +14,6 @@ from tabscope.functions import late
 from tabscope.functions.kernels import moments
 from tabscope.functions.safe import pct_change, tidy
 from tabscope.operators.insights import distinct_counts
-from tabscope.session import cut_lineage
 
 SIDE = "__side"
 BEFORE, AFTER = "before", "after"
@@ -246,7 +245,7 @@ def compare_categories(pair: Pair, columns: list[str] | None = None, top_n: int
             "column string, kind string, rank int, value string, share_before double, share_after double, shift_pts double",
         )
     rows = _category_rows(pair, columns)
-    shares = _with_shares(cut_lineage(late.grouped(rows, *_side_counts())))
+    shares = _with_shares(late.grouped(rows, *_side_counts()))
     chosen = best_groups(shares, top_n)
     found = late.with_values(chosen, rows)
     first = [F.when(F.col("kind") == "shift", F.abs("shift_pts")).desc_nulls_last(), F.col("value")]

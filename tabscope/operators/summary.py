@@ -128,7 +128,8 @@ def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
     Texts are grouped by hash: what is shuffled does not grow with their length.
     """
     rows = late.text_rows(df, {c: text_of(df, c) for c in columns})
-    groups = cut_lineage(late.grouped(rows, F.count("*").alias("count")))
+    # Both uses of the groups are in one plan, which makes the shuffle once.
+    groups = late.grouped(rows, F.count("*").alias("count"))
     best = groups.groupBy("column").agg(F.count("*").alias("n_distinct"), F.min(F.struct(-F.col("count"), F.col("beginning"))).alias("best"))
     # One row per column.
     chosen = groups.join(F.broadcast(best), "column").filter(F.struct(-F.col("count"), F.col("beginning")) == F.col("best")).drop("best")
