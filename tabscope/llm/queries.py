@@ -202,15 +202,36 @@ def _licence_sql() -> str:
     words = r"list_filter(regexp_split_to_array(lower({unit}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     grams = "list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
     return f"""
-WITH templates AS (SELECT no, name, {grams.format(w="w")} AS g FROM (SELECT no, name, {words.format(unit="body")} AS w FROM (VALUES {rows}) v(no, name, body))),
-units AS (
+WITH RECURSIVE templates AS (SELECT no, name, len(w) AS length, {grams.format(w="w")} AS g
+  FROM (SELECT no, name, {words.format(unit="body")} AS w FROM (VALUES {rows}) v(no, name, body))),
+lines AS (SELECT doc_id, line, {words.format(unit="unit")} AS w FROM (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS unit FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
-  UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10))),
-cut AS (SELECT doc_id, line, {grams.format(w="w")} AS g FROM (SELECT doc_id, line, {words.format(unit="unit")} AS w FROM units) WHERE len(w) > 1),
+  UNION ALL SELECT doc_id, 0, text FROM documents WHERE contains(text, chr(10)))),
+cut AS (SELECT doc_id, line, {grams.format(w="w")} AS g FROM lines WHERE len(w) > 1),
 scored AS (SELECT doc_id, line, no, name, 2.0::DOUBLE * len(list_intersect(c.g, t.g)) / (len(c.g) + len(t.g)) AS dice FROM cut c JOIN templates t
   ON 2 * least(len(c.g), len(t.g)) >= 0.8 * (len(c.g) + len(t.g))),
 best AS (SELECT doc_id, line, name, dice FROM scored WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, no) = 1),
-met AS (SELECT * FROM best b WHERE line > 0 OR NOT EXISTS (SELECT 1 FROM best o WHERE o.doc_id = b.doc_id AND o.line > 0))
+between_lines AS (SELECT l.doc_id, l.line, l.w, b.line IS NULL AS free,
+  count(b.line) OVER (PARTITION BY l.doc_id ORDER BY l.line) AS part
+  FROM lines l LEFT JOIN best b USING (doc_id, line) WHERE l.line > 0),
+parts AS (SELECT doc_id, part, flatten(list(w ORDER BY line)) AS w FROM between_lines WHERE free GROUP BY doc_id, part),
+pairs AS (SELECT doc_id, part, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, part, w, unnest(range(1, len(w))) AS i FROM parts)),
+begun AS (SELECT p.doc_id, p.part, p.i, t.no FROM pairs p JOIN (SELECT no, unnest(g) AS gram FROM templates) t USING (gram)),
+wins AS (SELECT doc_id, part, i, no, name, g, w[i : i + length - 1] AS w FROM begun JOIN parts USING (doc_id, part) JOIN templates USING (no)),
+cut_wins AS (SELECT doc_id, part, i, i + len(w) AS past, no, name, g, {grams.format(w="w")} AS h FROM wins),
+hits AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY i, dice DESC, no) AS k FROM (
+  SELECT doc_id, part, i, past, no, name, 2.0::DOUBLE * len(list_intersect(g, h)) / (len(g) + len(h)) AS dice FROM cut_wins) WHERE dice >= 0.8),
+held AS (SELECT doc_id, part, k, past, no, name, dice, 1 AS notice FROM hits WHERE k = 1
+  UNION ALL SELECT h.doc_id, h.part, h.k,
+    CASE WHEN h.i >= o.past OR h.dice > o.dice OR (h.dice = o.dice AND h.no < o.no) THEN h.past ELSE o.past END,
+    CASE WHEN h.i >= o.past OR h.dice > o.dice OR (h.dice = o.dice AND h.no < o.no) THEN h.no ELSE o.no END,
+    CASE WHEN h.i >= o.past OR h.dice > o.dice OR (h.dice = o.dice AND h.no < o.no) THEN h.name ELSE o.name END,
+    CASE WHEN h.i >= o.past OR h.dice > o.dice OR (h.dice = o.dice AND h.no < o.no) THEN h.dice ELSE o.dice END,
+    o.notice + CASE WHEN h.i >= o.past THEN 1 ELSE 0 END
+  FROM held o JOIN hits h ON h.doc_id = o.doc_id AND h.part = o.part AND h.k = o.k + 1),
+notices AS (SELECT doc_id, name, dice FROM best WHERE line > 0 UNION ALL
+  SELECT doc_id, name, dice FROM (SELECT * FROM held QUALIFY row_number() OVER (PARTITION BY doc_id, part, notice ORDER BY k DESC) = 1)),
+met AS (SELECT * FROM notices UNION ALL SELECT doc_id, name, dice FROM best WHERE line = 0 AND doc_id NOT IN (SELECT doc_id FROM notices))
 SELECT d.doc_id, count(m.name)::BIGINT AS n_notices, coalesce(string_agg(DISTINCT m.name, ',' ORDER BY m.name), '') AS licences, max(m.dice) AS best_dice
 FROM documents d LEFT JOIN met m USING (doc_id) GROUP BY d.doc_id
 """

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import textwrap
 
+import duckdb
 import numpy as np
 import pytest
 
-from tabscope.llm import licences, secrets, sharding, vectors
+from tabscope.llm import licences, queries, secrets, sharding, vectors
 from tests.llm.test_texts import groups
 
 ASSIGN = re.compile(r'(?i:(password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', re.A)
@@ -118,25 +120,94 @@ def dice(a, b):
     return 2 * len(grams[0] & grams[1]) / max(1, len(grams[0]) + len(grams[1])) if min(map(len, grams)) else 0
 
 
-def test_licences_are_those_of_brute_force(spark):
+def words_in(text):
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def best_template(unit):
+    best = max(((dice(unit, body), -n, name) for n, (name, body) in enumerate(licences.TEMPLATES)), default=None)
+    return best if best and best[0] >= 0.8 else None
+
+
+def notices_between(words):
+    """Every window of every template, from left to right."""
+    hits = []
+    for n, (name, body) in enumerate(licences.TEMPLATES):
+        template = words_in(body)
+        pairs = set(zip(template, template[1:], strict=False))
+        for i in range(len(words) - 1):
+            window = words[i : i + len(template)]
+            if (words[i], words[i + 1]) in pairs and (score := dice(" ".join(window), body)) >= 0.8:
+                hits.append((i, -score, n, i + len(window), name))
+    kept = []
+    for i, minus, n, end, name in sorted(hits):
+        if not kept or i >= kept[-1][3]:
+            kept.append((i, minus, n, end, name))
+        elif (minus, n) < kept[-1][1:3]:
+            kept[-1] = (i, minus, n, end, name)
+    return [(-minus, -n, name) for _, minus, n, _, name in kept]
+
+
+def brute_notices(text):
+    lines = [(line, best_template(line)) for line in text.split("\n")]
+    found, words = [], []
+    for line, best in [*lines, ("", (0, 0, ""))]:
+        if best is None:
+            words += words_in(line)
+        else:
+            found += notices_between(words) + ([best] if best[0] else [])
+            words = []
+    if not found and len(lines) > 1 and (best := best_template(text)):
+        found = [best]
+    return found
+
+
+def licence_texts():
     rng = random.Random(8)
-    texts = [""]
+    common = "the of software license under to use in this is a work permission version terms".split()
+    texts = ["", "licensed", "\n\n", " ".join(common * 30), "\n".join(" ".join(rng.choices(common, k=9)) for _ in range(60))]
     for name, body in licences.TEMPLATES:
         words = body.split()
         texts += [body.upper(), f"Intro text.\n{body}\nmore", " ".join(words[: len(words) * 2 // 3]), "\n".join(words)]
+        wrapped = "\n".join("# " + line for line in textwrap.wrap("Copyright 2020 by the authors of this thing. " + body + " Some code follows here.", 76))
+        texts += [wrapped, wrapped + "\n" + "x = 1\n" * 40 + wrapped, f"Copyright 2020 by its authors. {body} See the file LICENSE.", f"{body} {body}\nSo {body} {body}"]
         words[rng.randrange(len(words))] = "changed"
-        texts.append("Head\n" + " ".join(words))
+        texts += ["Head\n" + " ".join(words), "Some words before " + " ".join(words) + " and after", "tail " + " ".join(words[: len(words) * 9 // 10])]
+    bodies = [body for _, body in licences.TEMPLATES]
+    texts += ["So: " + " ".join(rng.sample(bodies, len(bodies))) + " end", "\n".join("\n".join(textwrap.wrap("by " + b, 30)) for b in bodies)]
+    return texts
+
+
+def test_licences_are_those_of_brute_force(spark):
+    texts = licence_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    for r in licences.scan(docs).collect():
-        text = texts[r["doc_id"]]
-        best = [max(((dice(u, b), -n, name) for n, (name, b) in enumerate(licences.TEMPLATES)), default=None) for u in text.split("\n")]
-        best = [b for b in best if b[0] >= 0.8]
-        if not best and "\n" in text:
-            best = [b for b in [max((dice(text, b), -n, name) for n, (name, b) in enumerate(licences.TEMPLATES))] if b[0] >= 0.8]
-        assert r["n_notices"] == len(best) and r["licences"] == ",".join(sorted({b[2] for b in best})), text
+    rows = licences.scan(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        best = brute_notices(texts[r["doc_id"]])
+        assert r["n_notices"] == len(best) and r["licences"] == ",".join(sorted({b[2] for b in best})), texts[r["doc_id"]]
         assert r["best_dice"] == (pytest.approx(max(b[0] for b in best)) if best else None)
 
 
+def test_every_template_is_found_wrapped_and_within_a_line(spark):
+    rows = []
+    for name, body in licences.TEMPLATES:
+        rows += [(name, "\n".join(textwrap.wrap(body + " More text.", 76, initial_indent="// ", subsequent_indent="// ")) + "\ncode" * 40)]
+        rows += [(name, f"Copyright 2020 by its authors. {body} See the file LICENSE.")]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id bigint, text string")
+    for r in licences.scan(docs).collect():
+        assert r["n_notices"] >= 1 and rows[r["doc_id"]][0] in r["licences"].split(","), rows[r["doc_id"]]
+
+
+def test_licence_query_and_its_sql_agree_on_planted_notices(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(licence_texts())), "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, n_notices, licences, best_dice FROM ({queries._licence_sql()})").fetchall()}
+    for r in licences.scan(docs).collect():
+        assert (r["n_notices"], r["licences"]) == want[r["doc_id"]][:2] and r["best_dice"] == want[r["doc_id"]][2]
+
+
 def test_licences_on_odd_rows(odd_documents, no_documents):
     rows = licences.scan(odd_documents).collect()
     assert len(rows) == odd_documents.count() and all(r["n_notices"] == 0 and r["best_dice"] is None for r in rows)
