@@ -166,6 +166,8 @@ def _secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.encode(as_text(base), "UTF-8"), 256).alias("base_sha256"),
         as_text(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["copied"])).cast("bigint").alias("n_copied"),
+        # owners:repositories of each span's value, in the order of ``spans``
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["n_owners"], s["n_repositories"])), ",").alias("ownership"),
     )
 
 

@@ -9,6 +9,7 @@ if they look live in this sense.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,9 @@ from tabscope.session import cut_lineage
 
 SPAN = "struct<start:int, kind_no:int, end:int, kind:string, value:string>"
 BROADCAST_ROWS = 100_000
+# Matches of one text handled together. A growing array is copied for each new
+# element, so long ones are built from blocks: no case is treated otherwise.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -47,22 +51,63 @@ def spans(text: Column, kind: Kind, kind_no: int) -> Column:
     pattern = F.lit(kind.pattern)
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
     values = F.regexp_extract_all(text, pattern, F.lit(kind.value_group)) if kind.value_group else whole
-    between = F.split(text, kind.pattern, -1)
-    joined = F.arrays_zip(whole.alias("whole"), values.alias("value"), F.slice(between, 1, F.size(whole)).alias("gap"))
-    nothing = F.lit(None).cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    # The text after the last match is a gap too many.
+    joined = F.arrays_zip(whole.alias("whole"), values.alias("value"), F.split(text, kind.pattern, -1).alias("gap"))
+    nothing = F.array().cast(f"array<{SPAN}>")
 
     def step(done: Column, match: Column) -> Column:
         begin = done["at"] + F.length(match["gap"])
-        end = begin + F.length(match["whole"])
+        end = begin + F.coalesce(F.length(match["whole"]), F.lit(0))
         span = F.struct(
             begin.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"), F.lit(kind.name).alias("kind"), match["value"].alias("value")
         )
-        kept = F.when(F.length(match["value"]) >= kind.least, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+        kept = F.when(F.length(match["value"]) >= kind.least, F.array(span)).otherwise(nothing)
         return F.struct(end.alias("at"), F.concat(done["out"], kept).alias("out"))
 
+    def placed(part: Column) -> Column:
+        """Length of a block of matches, and its spans counted from its beginning."""
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step)
+
+    def begun(parts: Column) -> Column:
+        """Where each block begins, and the end of the last."""
+        return F.aggregate(parts, F.array(F.lit(0)), lambda at, part: F.concat(at, F.array(F.element_at(at, -1) + part["at"])))
+
+    def moved(part: Column, by: Column) -> Column:
+        def move(s: Column) -> Column:
+            return F.struct((s["start"] + by).alias("start"), s["kind_no"].alias("kind_no"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))
+
+        return F.transform(part["out"], move)
+
+    parts = let(joined, lambda all_matches: F.transform(blocks(all_matches, BLOCK), placed))
+    found = let(parts, lambda p: let(begun(p), lambda at: F.flatten(F.transform(p, lambda part, k: moved(part, F.get(at, k))))))
     # Texts without a match, nearly all, are read once.
-    return F.coalesce(F.when(text.rlike(kind.pattern), F.aggregate(joined, start, step, lambda s: s["out"])).otherwise(nothing), F.array().cast(f"array<{SPAN}>"))
+    return F.coalesce(F.when(text.rlike(kind.pattern), found), nothing)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocks(items: Column, size: int) -> Column:
+    """An array cut into arrays of at most ``size``; one empty one if there are no items."""
+    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * size + 1, size))
+
+
+def clear_of(tokens: Column, base: Column, sizes: tuple[int, ...]) -> Column:
+    """The ``tokens``, in order and apart from each other, that overlap none of ``base``.
+
+    Each block of tokens is held only against what lies within its own range.
+    """
+    if not sizes:
+        return F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+
+    def near(part: Column) -> Column:
+        first, last = F.get(part, F.lit(0)), F.get(part, F.size(part) - 1)
+        return F.struct(part.alias("tokens"), F.filter(base, lambda b: (b["start"] < last["end"]) & (first["start"] < b["end"])).alias("base"))
+
+    return F.flatten(F.transform(F.transform(blocks(tokens, sizes[0]), near), lambda f: clear_of(f["tokens"], f["base"], sizes[1:])))
 
 
 def candidates(text: Column) -> Column:
@@ -72,10 +117,9 @@ def candidates(text: Column) -> Column:
         spans(text, OWNED, len(BASE)),
         lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(s["value"], ""))) >= VARIETY),
     )
-    return F.transform(
-        F.array(F.struct(base.alias("base"), tokens.alias("tokens"))),
-        lambda f: F.concat(f["base"], F.filter(f["tokens"], lambda t: ~F.exists(f["base"], lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))),
-    )[0]
+    found = F.struct(base.alias("base"), tokens.alias("tokens"))
+    clear = lambda f: F.when(F.size(f["base"]) > 0, clear_of(f["tokens"], f["base"], (BLOCK * BLOCK // 16, BLOCK // 4))).otherwise(f["tokens"])
+    return let(found, lambda f: F.concat(f["base"], clear(f)))
 
 
 def with_ownership(docs: DataFrame, doc_id: str, text: str, repository: str, owner: str, many_owners: int, many_repositories: int) -> DataFrame:
@@ -168,17 +212,36 @@ def redact(
     def mark(live: Column) -> Column:
         return F.when(live, F.lit(live_mark)).otherwise(F.lit(copied_mark))
 
-    def step(done: Column, span: Column) -> Column:
-        apart = span["start"] >= done["at"]
-        before = F.concat(done["out"], F.when(done["at"] > 0, mark(done["live"])).otherwise(F.lit("")), F.substring(F.col(text), done["at"] + 1, span["start"] - done["at"]))
-        return F.struct(
-            F.greatest(done["at"], span["end"]).alias("at"),
-            F.when(apart, ~span["copied"]).otherwise(done["live"] | ~span["copied"]).alias("live"),
-            F.when(apart, before).otherwise(done["out"]).alias("out"),
-        )
-
-    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("live"), F.lit("").alias("out"))
-    clean = F.aggregate(held, first, step, lambda s: F.concat(s["out"], mark(s["live"]), F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
+    def within(done: Column, block: Column, region: Column) -> Column:
+        """One block of spans; ``region`` is the text from where ``done`` stands to the block's last start."""
+
+        def step(now: Column, span: Column) -> Column:
+            apart = span["start"] >= now["at"]
+            before = F.concat(
+                now["out"],
+                F.when(now["at"] > 0, mark(now["live"])).otherwise(F.lit("")),
+                F.substring(region, now["at"] - done["at"] + 1, span["start"] - now["at"]),
+            )
+            return F.struct(
+                F.greatest(now["at"], span["end"]).alias("at"),
+                F.when(apart, ~span["copied"]).otherwise(now["live"] | ~span["copied"]).alias("live"),
+                F.when(apart, before).otherwise(now["out"]).alias("out"),
+            )
+
+        return F.aggregate(block, F.struct(done["at"].alias("at"), done["live"].alias("live"), F.lit("").alias("out")), step)
+
+    def block_step(done: Column, block: Column) -> Column:
+        region = F.substring(F.col(text), done["at"] + 1, F.element_at(block, -1)["start"] - done["at"])
+        now = let(region, lambda r: within(done, block, r))
+        return let(now, lambda n: F.struct(n["at"].alias("at"), n["live"].alias("live"), F.concat(done["out"], F.array(n["out"])).alias("out")))
+
+    first = F.struct(F.lit(0).alias("at"), F.lit(False).alias("live"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate(
+        blocks(F.col(held), BLOCK),
+        first,
+        block_step,
+        lambda s: F.concat(F.array_join(s["out"], ""), mark(s["live"]), F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))),
+    )
     joined = keyed.join(decided, [place, hashed], "left")
     found = F.col(held).isNotNull()
     joined = joined.withColumn(text, F.when(found, clean).otherwise(F.col(text)))

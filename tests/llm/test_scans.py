@@ -34,6 +34,51 @@ def test_base_spans_are_those_of_brute_force(spark):
         assert base == base_spans(texts[r["doc_id"]]), texts[r["doc_id"]]
 
 
+def test_secret_query_tells_owners_of_every_span(spark, tmp_path):
+    rows = [(i, "a token=EXAMPLEkey12345 b", f"owner{i % 4}") for i in range(8)] + [(8, "x zq9XkLm2PqRs7TuVw8Yz token=EXAMPLEkey12345", "owner0"), (9, None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op2_secret_ownership"](spark, str(tmp_path)).collect()}
+    assert got[0]["ownership"] == "4:9" and got[8]["ownership"] == "1:1,4:9" and got[9]["ownership"] == got[9]["spans"] == ""
+    assert got[0]["n_copied"] == got[8]["n_copied"] == 1
+
+
+def overlapping(span, others):
+    return any(o[0] < span[1] and span[0] < o[1] for o in others)
+
+
+def owned_spans(text):
+    """Long mixed tokens that overlap no base span."""
+    base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(text).split(",") if s]
+    found = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(set(m[0])) >= 10]
+    return [s for s in found if not overlapping(s, base)]
+
+
+def redacted(text, spans):
+    out, at, ends = "", 0, sorted((start, end) for start, end in spans)
+    for start, end in ends:
+        if start >= at:
+            out += text[at:start] + "[SECRET]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+@pytest.mark.parametrize("block", [4, 16, 256])
+def test_many_spans_of_one_text_are_those_of_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    rng = random.Random(block)
+    bits = ["token=abcdefgh12 ", "é😀 ", "AKIA" + "ABCDEF123456" + " ", "0123456789abcdef" * 2 + "\n", "zz9Qm3LkPw7RtYx2VbN8", "secret: ", " ", "word ", "/", "x=short token=ab "]
+    texts = ["".join(rng.choice(bits) for _ in range(n)) for n in [0, 1, 2, 5, 9, 17, 40, 130, 900, 3000] for _ in range(3)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    kept = {}
+    for r in secrets.scan(docs).collect():
+        text = texts[r["doc_id"]]
+        assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"] if s["kind"] != "owned") == base_spans(text)
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "owned"] == owned_spans(text)
+        kept[r["doc_id"]] = [(s["start"], s["end"]) for s in r["spans"]]
+    for r in secrets.redact(docs).collect():
+        assert r["text"] == redacted(texts[r["doc_id"]], kept[r["doc_id"]])
+
+
 def test_ownership_parts_examples_from_live_ones(spark):
     example, live, shared = "token=EXAMPLEkey12345", "zq9XkLm2PqRs7TuVw8Yz", "kk8JhGfDs3AqWeRtYuIoP0"
     rows = [(i, f"see {example} here", f"owner{i}") for i in range(4)]
