@@ -10,6 +10,29 @@ from tabscope.session import cut_lineage
 
 # Every round writes its tables: few links need few files.
 LINKS_PER_PART = 100_000
+# A key is hot if more than one of so many rows has it, so there are fewer hot keys than this.
+HOT_SHARE = 200
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that more than one in HOT_SHARE of the rows has: a table of fewer than HOT_SHARE rows, whatever the input."""
+    counted = rows.groupBy(key).count()
+    total = rows.agg(F.count("*").alias("total"))
+    return cut_lineage(counted.join(F.broadcast(total), F.col("count") * HOT_SHARE > F.col("total")).select(key).coalesce(1))
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key.
+
+    Rows with hot keys stay where they are and get their row by broadcast; only
+    the others, of which no key has many, are shuffled by the key. Without
+    ``hot``, the table is known to be small and broadcast whole.
+    """
+    if hot is None:
+        return rows.join(F.broadcast(table), key)
+    hot = F.broadcast(hot)
+    few = F.broadcast(table.join(hot, key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,9 +41,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round finds the smallest label among a node's neighbours and gives it to
     the node and to the node its own label names, through which it reaches all
     that have that label; so the number of rounds grows with the logarithm of
-    the number of nodes. Joins are plain equi-joins of materialised tables, which
-    adaptive execution can split on a hot node; aggregates combine before the
-    shuffle. Empty links give an empty table; repeated links and self-links are
+    the number of nodes. Labels that many nodes have, and nodes with very many
+    links, are looked up by broadcast; aggregates combine before the shuffle. Empty links give an empty table; repeated links and self-links are
     harmless; rows with a null end are ignored.
     """
     pairs = links.select(F.col(a).alias("node"), F.col(b).alias("other")).na.drop().where("node <> other")
@@ -31,11 +53,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     def kept(df: DataFrame) -> DataFrame:
         return cut_lineage(df.coalesce(parts))
 
+    # The nodes of one part are at most LINKS_PER_PART, 16 bytes each: small enough to broadcast.
+    small = parts == 1
+    hubs = None if small else hot_keys(edges, "other")
     labels = kept(edges.groupBy("node").agg(F.min("other").alias("low")).selectExpr("node", "least(node, low) AS label"))
     while True:
         of_label = labels.selectExpr("node AS label", "label AS next")
-        jumped = labels.join(of_label, "label").selectExpr("node", "next AS label")
-        around = edges.join(jumped.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("low"))
+        hot = None if small else hot_keys(labels, "label")
+        jumped = looked_up(labels, of_label, "label", hot).selectExpr("node", "next AS label")
+        jumped = jumped if small else kept(jumped)
+        around = looked_up(edges, jumped.withColumnRenamed("node", "other"), "other", hubs).groupBy("node").agg(F.min("label").alias("low"))
         seen = kept(jumped.join(around, "node").select("node", "label", "low"))
         moved = seen.where("low < label")
         if moved.isEmpty():

@@ -32,8 +32,13 @@ PER_WORD = 64 // BITS
 PACKED = MINIMA // PER_WORD
 ROWS_AT_ONCE = 1024
 SHINGLES_AT_ONCE = 2048
-COLUMNS_AT_ONCE = 8192
-BLOCK = 128
+COLUMNS_AT_ONCE = 2048
+# A block of members of a zone: so many texts, or so many shingles, on average.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 20
+# Classes of a bucket are compared by a join while it has few of them, else in blocks of signatures inside tasks.
+FEW, BLOCK_SIGNATURES, STRIP = 64, 4096, 256
+# A block with more candidate pairs than this for each of its members is compared on full sets as a whole.
+PAIRS_PER_MEMBER = 4
 # 16 bytes each in the broadcast table.
 BROADCAST_IDS = 1_000_000
 
@@ -97,32 +102,116 @@ def similar(first: list[np.ndarray], second: list[np.ndarray], percent: int) ->
     return (union > 0) & (100 * same >= percent * union)
 
 
+def dealt(members: DataFrame, group: str, rows: int, shingles: int | None = None) -> DataFrame:
+    """Members of each group dealt to pairs of blocks, so that tasks compare a block with a block.
+
+    One side of a pair (``side`` 0, block ``low``) holds members outside the
+    group's largest label, the other (``side`` 1, block ``high``) any members:
+    members of the largest label never meet each other. Blocks have some ``rows``
+    members, or some ``shingles`` of their column ``n``, on average; rows are
+    copied once for each block they meet. Groups of one label give none.
+    """
+    by_label = members.groupBy(group, "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    facts = by_label.groupBy(group).agg(
+        F.max_by("label", F.struct("size", "label")).alias("main"),
+        F.max("size").alias("largest"),
+        F.sum("size").alias("size"),
+        F.sum("n").alias("n"),
+    )
+    full = F.col("size") / rows if shingles is None else F.greatest(F.col("size") / rows, F.col("n") / shingles)
+    facts = facts.where("largest < size").withColumn("all_blocks", F.ceil(full).cast("int"))
+    facts = facts.withColumn("rest_blocks", F.ceil(F.col("all_blocks") * (F.col("size") - F.col("largest")) / F.col("size")).cast("int"))
+    placed = members.join(cut_lineage(facts.select(group, "main", "all_blocks", "rest_blocks")), group)
+    place = F.xxhash64("rep")
+    sides = []
+    for side, own, own_blocks, others, other_blocks in ((0, "low", "rest_blocks", "high", "all_blocks"), (1, "high", "all_blocks", "low", "rest_blocks")):
+        some = placed.where("label <> main") if side == 0 else placed
+        some = some.withColumns({"side": F.lit(side), own: F.pmod(place, F.col(own_blocks)).cast("int")})
+        sides.append(some.withColumn(others, F.explode(F.expr(f"sequence(0, {other_blocks} - 1)"))).drop("all_blocks", "rest_blocks"))
+    return sides[0].unionByName(sides[1])
+
+
+def _sides(rows: pd.DataFrame) -> list[np.ndarray]:
+    side = rows["side"].to_numpy()
+    return [np.flatnonzero(side == which) for which in (0, 1)]
+
+
+def _to_meet(rows: pd.DataFrame, sides: list[np.ndarray]) -> np.ndarray:
+    """Which rows of one side have another label than which of the other; of two that meet twice, once."""
+    rep, label, main = (rows[c].to_numpy() for c in ("rep", "label", "main"))
+    a, b = sides[0][:, None], sides[1][None, :]
+    return (label[a] != label[b]) & ((label == main)[b] | (rep[a] < rep[b]))
+
+
+def _spanning_links(rep: np.ndarray, sides: list[np.ndarray], met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as connect what the marks connect."""
+    of_row, lowest = spanning(met)
+    met_rows, moved = of_row < len(sides[1]), lowest < np.arange(len(sides[1]))
+    a = np.concatenate([rep[sides[0]][met_rows], rep[sides[1]][moved]])
+    b = rep[sides[1]][np.concatenate([of_row[met_rows], lowest[moved]])]
+    return a, b
+
+
 def links_within(zones: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """Links (a, b) between members of one zone that have different labels, as many as connect what all of them connect.
 
-    Full sets are compared in blocks of members, so neither the pairs of a large
-    zone nor its members ever come together in one task.
+    ``zones`` has ``zone``, ``rep``, ``label`` and the set size ``n``. Full sets
+    are compared in blocks of members, so neither the pairs of a large zone nor
+    its members ever come together in one task.
     """
-    texts = texts_of(zones.selectExpr("rep AS id"), docs, doc_id, text)
-    sizes = cut_lineage(zones.groupBy("zone").agg(F.expr(f"CAST(ceil(count(*) / {BLOCK}) AS INT)").alias("blocks")))
-    placed = zones.join(sizes, "zone").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = placed.select("zone", "rep", "label", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    dealt = dealt.join(texts.withColumnRenamed("id", "rep"), "rep").withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    blocks = cut_lineage(dealt(zones, "zone", BLOCK_TEXTS, BLOCK_SHINGLES))
+    if blocks.isEmpty():
+        return blocks.selectExpr("rep AS a", "rep AS b")
+    texts = texts_of(blocks.selectExpr("rep AS id"), docs, doc_id, text)
+    blocks = blocks.join(texts.withColumnRenamed("id", "rep"), "rep")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        block = rows["block"].to_numpy()
         sets = [s for _, texts in chunks([t.encode() for t in rows["text"]]) for s in shingle_sets(texts, width)]
-        sides = [np.flatnonzero(block == int(key[place])) for place in (1, 2)]
-        met = similar([sets[i] for i in sides[0]], [sets[i] for i in sides[1]], percent)
-        label, rep = rows["label"].to_numpy(), rows["rep"].to_numpy()
-        met &= label[sides[0]][:, None] != label[sides[1]][None, :]
-        of_row, lowest = spanning(met)
-        met_rows, moved = of_row < len(sides[1]), lowest < np.arange(len(sides[1]))
-        a = np.concatenate([rep[sides[0]][met_rows], rep[sides[1]][moved]])
-        b = rep[sides[1]][np.concatenate([of_row[met_rows], lowest[moved]])]
+        sides = _sides(rows)
+        met = similar([sets[i] for i in sides[0]], [sets[i] for i in sides[1]], percent) & _to_meet(rows, sides)
+        a, b = _spanning_links(rows["rep"].to_numpy(), sides, met)
         return pd.DataFrame({"a": a, "b": b})
 
-    return dealt.groupBy("zone", "low", "high").applyInPandas(compare, "a bigint, b bigint")
+    return blocks.groupBy("zone", "low", "high").applyInPandas(compare, "a bigint, b bigint")
+
+
+def likely_in_blocks(inside: DataFrame, percent: int, slack: float) -> DataFrame:
+    """Pairs (a, b) of different labels and zones in a bucket that pass the estimate, by packed signatures in blocks.
+
+    ``dense`` pairs stand for blocks with more such pairs than PAIRS_PER_MEMBER
+    for each member: they connect what all of those connect, and whoever they
+    connect is yet to be compared. So no task gives more than a few pairs a member.
+    """
+    lows = np.uint64(int("0001" * PER_WORD, 2))
+    chance = 2.0**-BITS
+    passes = (1 - np.arange(MINIMA + 1) / float(MINIMA) - chance) / (1 - chance) >= percent / 100 - slack
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sides = _sides(rows)
+        packed = np.array(rows["s"].tolist(), dtype=np.int64).view(np.uint64).reshape(-1, PACKED)
+        n, zone, rep = (rows[c].to_numpy() for c in ("n", "zone", "rep"))
+        strips = []
+        for start in range(0, len(sides[0]), STRIP):
+            some = sides[0][start : start + STRIP]
+            differing = np.zeros((len(some), len(sides[1])), np.uint8)
+            for place in range(PACKED):
+                bits = packed[some, place][:, None] ^ packed[sides[1], place][None, :]
+                bits |= bits >> np.uint64(1)
+                bits |= bits >> np.uint64(2)
+                differing += np.bitwise_count(bits & lows)
+            size_a, size_b = n[some][:, None], n[sides[1]][None, :]
+            alike = passes[differing] & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b))
+            strips.append(alike & (zone[some][:, None] != zone[sides[1]][None, :]) & _to_meet(rows, [some, sides[1]]))
+        met = np.concatenate([np.zeros((0, len(sides[1])), bool), *strips])
+        dense = met.sum() > PAIRS_PER_MEMBER * len(rows)
+        if dense:
+            a, b = _spanning_links(rep, sides, met)
+        else:
+            first, second = np.nonzero(met)
+            a, b = rep[sides[0][first]], rep[sides[1][second]]
+        return pd.DataFrame({"a": a, "b": b, "dense": bool(dense)})
+
+    return dealt(inside, "key", BLOCK_SIGNATURES).groupBy("key", "low", "high").applyInPandas(meet, "a bigint, b bigint, dense boolean")
 
 
 SIGNED = "doc_id bigint, n_shingles bigint, digest binary, signature array<bigint>, bands array<bigint>"
@@ -210,12 +299,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     2. What hubs hold together by the estimate is a zone. Members of a zone that
        are not yet connected are compared on their full sets, in blocks.
     3. Members of a bucket in different zones and components are compared by the
-       estimate, those of the bucket's largest component only with the rest, and
-       confirmed.
+       estimate, those of the bucket's largest component only with the rest: by a
+       join in buckets of a few members, else by signatures in blocks, inside
+       tasks. Pairs that pass are confirmed; where they are many for the members
+       of a block, what they connect is a zone and compared like one.
 
     Every pair that shares a band and passes the estimate is thus either
-    confirmed, refused on the full sets, or already connected. The second step
-    takes time with the square of a zone that does not link up, not memory.
+    confirmed, refused on the full sets, or already connected. Texts of one
+    template below the threshold take time with the square of their number; what
+    is shuffled for them grows with their number, times the number of blocks of
+    512 texts or 4096 signatures, and pairs are emitted in proportion to members.
 
     Null or empty texts, and texts without words, have an empty set and link
     with nothing. Rows that repeat an id are one document. Rows with a null id
@@ -245,19 +338,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = components(links).withColumnRenamed("node", "rep")
     zoned = components(stars).withColumnRenamed("node", "rep").withColumnRenamed("component", "zone")
     known = cut_lineage(zoned.join(first, "rep", "left").select("rep", "zone", F.coalesce("component", "rep").alias("label")))
-    mixed = known.groupBy("zone").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("zone")
-    links = links.unionByName(cut_lineage(links_within(cut_lineage(known.join(cut_lineage(mixed), "zone")), docs, doc_id, text, width, percent)))
+    sizes = classes.select("rep", "n")
+    links = links.unionByName(cut_lineage(links_within(cut_lineage(known.join(sizes, "rep")), docs, doc_id, text, width, percent)))
 
     own = F.coalesce("zone", "rep").alias("zone"), F.coalesce("label", "rep").alias("label")
     labelled = cut_lineage(members.join(known, "rep", "left").select("key", "rep", *own))
     counted = labelled.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key")
-    counted = counted.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main"))
-    inside = labelled.join(cut_lineage(counted.where("labels > 1").select("key", "main")), "key")
+    counted = counted.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("size"))
+    inside = labelled.join(cut_lineage(counted.where("labels > 1").select("key", "main", "size")), "key")
     inside = cut_lineage(inside.join(classes.select("rep", "n", "s"), "rep"))
-    rest = inside.where("label <> main").selectExpr("key", "rep AS a", "n AS n_a", "s AS s_a", "label AS label_a", "zone AS zone_a")
-    others = inside.selectExpr("key", "rep AS b", "n AS n_b", "s AS s_b", "label AS label_b", "zone AS zone_b", "main")
+    small = inside.where(F.col("size") <= FEW)
+    rest = small.where("label <> main").selectExpr("key", "rep AS a", "n AS n_a", "s AS s_a", "label AS label_a", "zone AS zone_a")
+    others = small.selectExpr("key", "rep AS b", "n AS n_b", "s AS s_b", "label AS label_b", "zone AS zone_b", "main")
     across = rest.join(others, "key").where("label_a <> label_b AND zone_a <> zone_b AND (label_b = main OR a < b)").where(likely)
-    more = cut_lineage(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = across.select("a", "b")
+    large = cut_lineage(inside.where(F.col("size") > FEW).drop("main", "size"))
+    if not large.isEmpty():
+        likely_pairs = cut_lineage(likely_in_blocks(large, percent, slack))
+        found = found.unionByName(likely_pairs.where("NOT dense").select("a", "b"))
+        crowds = components(likely_pairs.where("dense")).withColumnRenamed("node", "rep").withColumnRenamed("component", "zone")
+        crowds = crowds.join(sizes, "rep").join(known.select("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        links = links.unionByName(cut_lineage(links_within(cut_lineage(crowds), docs, doc_id, text, width, percent)))
+    more = cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not more.isEmpty():
         links = links.unionByName(cut_lineage(confirmed(more, docs, doc_id, text, width, percent)))
 

@@ -79,6 +79,50 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert all(r["kept"] == (k == want[k]) for k, r in got.items())
 
 
+@pytest.mark.parametrize(("few", "block", "per_member"), [(2, 8, 0), (2, 8, 4), (64, 4096, 4)])
+def test_template_families_below_the_threshold(spark, monkeypatch, few, block, per_member):
+    """Texts of one template at 0.5 to 0.7 and a few at 0.75 or more, by joins, by blocks of signatures, and by whole crowds."""
+    monkeypatch.setattr(near_text, "FEW", few)
+    monkeypatch.setattr(near_text, "BLOCK_SIGNATURES", block)
+    monkeypatch.setattr(near_text, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(near_text, "PAIRS_PER_MEMBER", per_member)
+    rng = random.Random(17)
+    texts = []
+    for changed in (2, 3, 4, 6):
+        template = prose(rng, 120)
+        for _ in range(25):
+            words = list(template)
+            for place in rng.sample(range(120), changed):
+                words[place] = f"own{rng.randint(0, 10**9)}"
+            texts.append(" ".join(words))
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_duplicates(docs).collect()}
+    assert got == groups(range(len(sets)), links)
+
+
+def test_blocks_of_a_crowd_emit_in_proportion_to_members(spark):
+    """All signatures alike, all labels different: every pair passes, and as many links come back as members, not pairs."""
+    rows = [(1, n, 100, [7] * near_text.PACKED, n, n) for n in range(200)]
+    inside = spark.createDataFrame(rows, "key bigint, rep bigint, n bigint, s array<bigint>, label bigint, zone bigint")
+    pairs = near_text.likely_in_blocks(inside, 75, 0.2).collect()
+    assert len(pairs) <= 2 * len(rows) and all(p["dense"] for p in pairs)
+    joined = components(spark.createDataFrame(pairs))
+    assert {r["component"] for r in joined.collect()} == {0} and joined.count() == 200
+
+
+@pytest.mark.parametrize("per_part", [3, 100_000])
+def test_components_look_hot_labels_up(spark, monkeypatch, per_part):
+    from tabscope.llm import graph
+
+    monkeypatch.setattr(graph, "LINKS_PER_PART", per_part)
+    monkeypatch.setattr(graph, "HOT_SHARE", 8)
+    links = [(1, n) for n in range(2, 60)] + [(n, n + 1) for n in range(100, 130)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {n: 1 for n in range(1, 60)} | {n: 100 for n in range(100, 131)}
+
+
 def test_near_duplicates_on_odd_rows(odd_documents, no_documents):
     rows = near_text.near_duplicates(odd_documents).collect()
     assert len(rows) == odd_documents.count()
