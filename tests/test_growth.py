@@ -35,6 +35,15 @@ def test_matrix_leaves_the_unseen_empty(log):
     assert [rows["2022-10"][f"offset_{n}"] for n in range(3)] == [1.0, 0.5, None]
 
 
+def test_a_single_cohort_is_shown_where_asked_for(table):
+    df = table("u int, d string", [(1, "2024-01-01"), (2, "2024-01-01"), (2, "2024-01-03")])
+    rows = as_dicts(cohort.compute_retention(df, "u", "d", "D", min_cohorts=1))
+    assert sorted((r["applicable"], r["cohort"], r["period_offset"], r["active"], r["cohort_size"], r["retention"]) for r in rows) == [
+        (True, "2024-01-01", 0, 2, 2, 1.0), (True, "2024-01-01", 2, 1, 2, 0.5),
+    ]
+    assert [r["applicable"] for r in as_dicts(cohort.compute_retention(df, "u", "d", "D"))] == [False]
+
+
 def test_weeks_start_on_monday(table):
     df = table("u int, d string", [(1, "2024-01-01"), (1, "2024-01-08"), (2, "2024-01-14"), (2, "2024-01-15")])
     rows = as_dicts(cohort.compute_retention(df, "u", "d", "W"))
