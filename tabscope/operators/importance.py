@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tabscope.columns import is_numeric, missing_as_null, ref, require, small_table, text_of
 from tabscope.functions.quantiles import exact_quantiles
-from tabscope.session import cut_lineage
+from tabscope.session import cut_lineage, parts_for
 
 MIN_ROWS = 20
 MAX_FEATURES = 10
@@ -24,9 +24,8 @@ DEPTH = 8
 SEED = 42
 TEST_SHARE = 0.25
 CODE_VALUES = 10
-# Rows of one part of the training table; parts follow the number of rows, so the forest is the same on every cluster.
+# Rows of one part of a small training table; parts follow the number of rows, so the forest is the same on every cluster.
 ROWS_PER_PART = 2000
-MOST_PARTS = 10_000
 # Text that stands for a missing value; it is a category of its own.
 MISSING_TEXT = "nan"
 # Code of a text that the training rows do not have.
@@ -233,7 +232,7 @@ def predict_importance(
 
     features, codes = _encoding(marked, names)
     encoder = Scorer(None, features.withColumn("feature", F.concat(F.lit("x"), "position")), *_renamed(codes, names), classes)
-    parts = min(MOST_PARTS, -(-n // ROWS_PER_PART))
+    parts = parts_for(n, -(-n // ROWS_PER_PART))
     label = F.col("label")
     if classify:
         label = label.alias("label", metadata={"ml_attr": {"type": "nominal", "num_vals": smallest["n"]}})

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabscope.operators import importance, segments
+from tabscope.session import FULLEST, SPREAD, parts_for
 from tabscope.sources import load_model, save_model
 from tests.conftest import as_dicts
 
@@ -97,6 +98,24 @@ def test_regression_with_reproducible_split(signal):
     assert (rows[0]["n_train"], rows[0]["n_test"]) == (as_dicts(again.table)[0]["n_train"], as_dicts(again.table)[0]["n_test"])
 
 
+def test_forests_train_on_a_bounded_number_of_parts(signal, monkeypatch):
+    """Each part sends the figures of all nodes of a level."""
+    seen = []
+    for forest in (importance.RandomForestRegressor, importance.RandomForestClassifier):
+        fit = forest.fit
+        monkeypatch.setattr(forest, "fit", lambda self, rows, fit=fit: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    monkeypatch.setattr(importance, "ROWS_PER_PART", 1)
+    for target, other in (("amount", "label"), ("label", "amount")):
+        found = as_dicts(importance.predict_importance(signal.drop(other), target, key=["id"], trees=5).table)[0]
+        assert (found["n_train"], found["n_test"]) == (150, 50)
+    assert seen == [SPREAD, SPREAD]
+
+
+def test_parts_follow_the_rows():
+    assert [parts_for(n, -(-n // 2000)) for n in (1, 15_000, 64_000, 90_000, 5_400_000)] == [1, 8, 32, 32, 32]
+    assert parts_for(100 * FULLEST, 50_000) == 100
+
+
 def test_places_in_groups_are_exact_where_draws_tie(spark):
     rows = spark.range(3000).select(F.col("id"), (F.col("id") % 3 == 0).cast("double").alias("g"), (F.col("id") % 7).alias("draw"), F.xxhash64("id").alias("tie"))
     found = importance.ranked_within(rows.repartition(7), "g", ["draw", "tie"], "place")
