@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,13 +20,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tabscope.columns import unused_name
-from tabscope.llm.words import record_batches
+from tabscope.llm.words import kept, let_go, record_batches
 from tabscope.session import cut_lineage
 
 CAPACITY = 2048
 WINDOW_PIECES = 4096
-CACHED_WORDS = 600_000
-CACHED_PARTS = 600_000
+CACHED_WORDS = 400_000
+CACHED_PARTS = 100_000
 LONGEST_CACHED = 40
 ROWS_AT_ONCE = 512
 
@@ -49,7 +48,8 @@ class WordCache(dict):
     A plain word, letters with marks behind them, is made of two parts, which
     the vocabulary's pattern always parts and its normaliser only lower-cases;
     there are fewer different parts than words. Parts go to the model itself,
-    all other words through the whole tokenizer.
+    all other words through the whole tokenizer. The letters in lower case are a
+    word too, so they are kept among the words and not a second time.
     """
 
     def __init__(self, vocabulary: str):
@@ -57,25 +57,29 @@ class WordCache(dict):
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
         self.names = _byte_names()
-        self.parts: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
+        named = part if part.isascii() else "".join([self.names[b] for b in part.encode()])
+        found = [token.id for token in self.model.tokenize(named)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _marks(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
         if ids is None:
-            named = part if part.isascii() else "".join([self.names[b] for b in part.encode()])
-            found = [token.id for token in self.model.tokenize(named)]
-            ids = struct.pack(f"<{len(found)}I", *found)
-            if len(part) <= LONGEST_CACHED:
-                if len(self.parts) >= CACHED_PARTS:
-                    self.parts = {"": b""}
-                self.parts[part] = ids
+            ids = self._part(marks)
+            if len(marks) <= LONGEST_CACHED:
+                if len(self.marks) >= CACHED_PARTS:
+                    self.marks = {"": b""}
+                self.marks[marks] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
         letters = word.rstrip(MARKS)
         # Up to ÿ, letters are composed and are lower-cased one by one.
         if letters.isalpha() and max(letters) <= "ÿ":
-            ids = self._part(letters.lower()) + self._part(word[len(letters) :])
+            lower = letters.lower()
+            ids = self._part(word) if lower == word else self[lower] + self._marks(word[len(letters) :])
         else:
             found = self.tokenizer.encode(word, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(found)}I", *found)
@@ -90,20 +94,15 @@ class WordCache(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(1)
-def word_cache(vocabulary: str) -> WordCache:
-    """One cache per Python worker and vocabulary."""
-    return WordCache(vocabulary)
-
-
 def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", closing_id: int = 1) -> DataFrame:
     """``doc_id`` and ``ids`` of each row's whole text (null: empty), with ``closing_id`` at the end."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
     closing = np.array([closing_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in record_batches(batches, ROWS_AT_ONCE):
-            cache = word_cache(vocabulary)
+        for batch in record_batches(batches, ROWS_AT_ONCE, keep=vocabulary):
+            # One cache per Python worker, until it turns to other work.
+            cache = kept(vocabulary, WordCache)
             ids = [cache.encode(t or "") + closing for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], schema=schema)
 
@@ -199,6 +198,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY, wi
     schema = windowed.withColumn("sequence_id", F.lit(0).cast("bigint")).withColumn("offset", F.lit(0).cast("bigint")).schema
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         rows = rows.sort_values(piece, ignore_index=True)
         sequence, offset = place(rows[length].to_numpy(np.int64), capacity)
         return rows.assign(sequence_id=int(key[0]) * (1 << 32) + sequence, offset=offset)

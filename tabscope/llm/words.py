@@ -8,7 +8,7 @@ of about 2**-60.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,12 +110,33 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
-def record_batches(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, build: Callable[[str], object]) -> object:
+    """What ``build`` makes of ``name``, made once and kept by this Python worker for its next tasks that keep it."""
+    if name not in _kept:
+        _kept[name] = build(name)
+    return _kept[name]
+
+
+def let_go(keep: str | None = None) -> None:
+    """Drop what this Python worker keeps for other work than ``keep``: it lives on from step to step."""
+    others = [name for name in _kept if name != keep]
+    for name in others:
+        del _kept[name]
+    if others:
+        give_back()
+
+
+def record_batches(batches: Iterable[pa.RecordBatch], rows: int, keep: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut large batches, so that what is computed from one stays small.
 
-    What a task freed goes back to the system when its last batch is done: the
-    worker lives on, and the next task may run in another.
+    What earlier tasks kept, but under ``keep``, goes first. What a task freed
+    goes back to the system when its last batch is done: the worker lives on,
+    and the next task may run in another.
     """
+    let_go(keep)
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)

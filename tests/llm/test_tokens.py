@@ -10,7 +10,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tabscope.llm import archives, packing, pieces
+from tabscope.llm import archives, packing, pieces, words
 from tests.llm.conftest import ODD_TEXTS
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -54,6 +54,19 @@ def test_caches_that_overflow_change_nothing(monkeypatch):
         assert np.frombuffer(cache.encode(text), "<u4").tolist() == Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_is_kept_once():
+    cache = packing.WordCache(VOCABULARY)
+    cache.encode("one two three one, Two three")
+    assert set(cache) == {"one", "two", "three", "one,", "Two"}
+    assert set(cache.marks) == {"", ","}
+
+
+def test_a_worker_keeps_no_words_for_other_work():
+    cache = words.kept(VOCABULARY, packing.WordCache)
+    assert list(words.record_batches([], 512, keep=VOCABULARY)) == [] and words.kept(VOCABULARY, packing.WordCache) is cache
+    assert list(words.record_batches([], 512)) == [] and not words._kept
+
+
 def test_encode_and_decode_on_odd_rows(odd_documents, no_documents):
     rows = pieces.decode(pieces.encode(odd_documents, MODEL), MODEL).collect()
     assert len(rows) == odd_documents.count()
