@@ -14,6 +14,17 @@ LINKS_PER_PART = 100_000
 HOT_SHARE = 200
 
 
+def gathered(df: DataFrame, rows: int = LINKS_PER_PART) -> tuple[DataFrame, int]:
+    """``df`` materialised, in as many parts as its rows fill at ``rows`` each, and the number of its rows.
+
+    A table of a few thousand rows then takes a task or two a step, however many
+    parts shuffles have; what is in one part needs no shuffle at all.
+    """
+    df = cut_lineage(df)
+    n = df.count()
+    return df.coalesce(-(-n // rows) or 1), n
+
+
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     """Keys that more than one in HOT_SHARE of the rows has: a table of fewer than HOT_SHARE rows, whatever the input."""
     counted = rows.groupBy(key).count()
@@ -45,8 +56,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links, are looked up by broadcast; aggregates combine before the shuffle. Empty links give an empty table; repeated links and self-links are
     harmless; rows with a null end are ignored.
     """
-    pairs = links.select(F.col(a).alias("node"), F.col(b).alias("other")).na.drop().where("node <> other")
-    edges = cut_lineage(pairs.unionByName(pairs.selectExpr("other AS node", "node AS other")).distinct())
+    pairs, n = gathered(links.select(F.col(a).alias("node"), F.col(b).alias("other")).na.drop().where("node <> other"))
+    if not n:
+        return pairs.selectExpr("node", "other AS component")
+    edges = cut_lineage(pairs.selectExpr("inline(array(struct(node, other), struct(other AS node, node AS other)))").distinct())
     parts = -(-edges.count() // LINKS_PER_PART) or 1
     edges = edges.coalesce(parts)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabscope.llm.graph import components, spanning
+from tabscope.llm.graph import LINKS_PER_PART, components, gathered, spanning
 from tabscope.llm.words import as_bytes, chunks, mix, record_batches, shingle_sets
 from tabscope.session import cut_lineage
 
@@ -39,8 +39,12 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 20
 FEW, BLOCK_SIGNATURES, STRIP = 64, 4096, 256
 # A block with more candidate pairs than this for each of its members is compared on full sets as a whole.
 PAIRS_PER_MEMBER = 4
-# 16 bytes each in the broadcast table.
+# 16 bytes each in the broadcast table, or 24.
 BROADCAST_IDS = 1_000_000
+# Rows of longer tables that are broadcast: blocks, digests.
+BROADCAST_ROWS = 100_000
+# Rows of one part of a table that holds signatures, and pairs that one task confirms, if shuffles have more parts than that takes.
+SIGNATURES_PER_PART, PAIRS_PER_TASK = 8192, 256
 
 _draw = np.random.default_rng(20)
 _FACTORS = _draw.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,6 +106,11 @@ def similar(first: list[np.ndarray], second: list[np.ndarray], percent: int) ->
     return (union > 0) & (100 * same >= percent * union)
 
 
+def beside(table: DataFrame, n: int, most: int) -> DataFrame:
+    """``table`` to be joined with: broadcast if its ``n`` rows are no more than ``most``, so that the other side stays where it is."""
+    return F.broadcast(table) if n <= most else table
+
+
 def dealt(members: DataFrame, group: str, rows: int, shingles: int | None = None) -> DataFrame:
     """Members of each group dealt to pairs of blocks, so that tasks compare a block with a block.
 
@@ -121,7 +130,8 @@ def dealt(members: DataFrame, group: str, rows: int, shingles: int | None = None
     full = F.col("size") / rows if shingles is None else F.greatest(F.col("size") / rows, F.col("n") / shingles)
     facts = facts.where("largest < size").withColumn("all_blocks", F.ceil(full).cast("int"))
     facts = facts.withColumn("rest_blocks", F.ceil(F.col("all_blocks") * (F.col("size") - F.col("largest")) / F.col("size")).cast("int"))
-    placed = members.join(cut_lineage(facts.select(group, "main", "all_blocks", "rest_blocks")), group)
+    facts, n = gathered(facts.select(group, "main", "all_blocks", "rest_blocks"))
+    placed = members.join(beside(facts, n, BROADCAST_ROWS), group)
     place = F.xxhash64("rep")
     sides = []
     for side, own, own_blocks, others, other_blocks in ((0, "low", "rest_blocks", "high", "all_blocks"), (1, "high", "all_blocks", "low", "rest_blocks")):
@@ -159,11 +169,11 @@ def links_within(zones: DataFrame, docs: DataFrame, doc_id: str, text: str, widt
     are compared in blocks of members, so neither the pairs of a large zone nor
     its members ever come together in one task.
     """
-    blocks = cut_lineage(dealt(zones, "zone", BLOCK_TEXTS, BLOCK_SHINGLES))
-    if blocks.isEmpty():
+    blocks, n = gathered(dealt(zones, "zone", BLOCK_TEXTS, BLOCK_SHINGLES))
+    if not n:
         return blocks.selectExpr("rep AS a", "rep AS b")
     texts = texts_of(blocks.selectExpr("rep AS id"), docs, doc_id, text)
-    blocks = blocks.join(texts.withColumnRenamed("id", "rep"), "rep")
+    blocks = texts.withColumnRenamed("id", "rep").join(beside(blocks, n, BROADCAST_ROWS), "rep")
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sets = [s for _, texts in chunks([t.encode() for t in rows["text"]]) for s in shingle_sets(texts, width)]
@@ -254,17 +264,19 @@ def texts_of(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFra
     While the ids are few enough to be broadcast, only their texts leave the
     scan; beyond that number both sides are shuffled.
     """
-    wanted = cut_lineage(ids.distinct())
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted, n = gathered(ids.distinct())
     every = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    return cut_lineage(every.join(wanted, "id", "left_semi"))
+    return cut_lineage(every.join(beside(wanted, n, BROADCAST_IDS), "id", "left_semi"))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough."""
-    texts = texts_of(pairs.selectExpr("a AS id").union(pairs.selectExpr("b")), docs, doc_id, text)
-    both = pairs.join(texts.selectExpr("id AS b", "text AS text_b"), "b").join(texts.selectExpr("id AS a", "text AS text_a"), "a")
+    pairs, n = gathered(pairs)
+    if not n:
+        return pairs
+    texts = texts_of(pairs.selectExpr("explode(array(a, b)) AS id"), docs, doc_id, text)
+    both = texts.selectExpr("id AS a", "text AS text_a").join(beside(pairs, n, BROADCAST_IDS), "a")
+    both = both.join(texts.selectExpr("id AS b", "text AS text_b"), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +293,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, width:
                 keep.append(union > 0 and 100 * same >= percent * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a bigint, b bigint")
+    # Pairs come sorted by b, which is a hub that many share: its set is made once.
+    return both.select("a", "b", "text_b", "text_a").coalesce(-(-n // PAIRS_PER_TASK)).mapInArrow(confirm, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, slack: float = 0.2) -> DataFrame:
@@ -317,61 +330,72 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = cut_lineage(signatures(docs, doc_id, text, width))
     folded = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest")
     folded = folded.agg(F.min(F.struct("doc_id", "n_shingles", "signature", "bands")).alias("c"))
-    classes = cut_lineage(folded.selectExpr("digest", "c.doc_id AS rep", "c.n_shingles AS n", "c.signature AS s", "c.bands AS bands"))
+    classes = folded.selectExpr("digest", "c.doc_id AS rep", "c.n_shingles AS n", "c.signature AS s", "c.bands AS bands")
+    classes, n_classes = gathered(classes, SIGNATURES_PER_PART)
+
+    def by_class(df: DataFrame) -> DataFrame:
+        """A short row for some classes, in parts in proportion to their number."""
+        parts = -(-n_classes // LINKS_PER_PART) or 1
+        return cut_lineage(df.coalesce(parts)).coalesce(parts)
 
     banded = classes.select("rep", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size"))
-    members = cut_lineage(banded.join(shared.where("low < high").select("key", "size"), "key"))
-    weights = cut_lineage(members.groupBy("rep").agg(F.sum("size").alias("weight")))
-    hubs = members.join(weights, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
-    spokes = members.join(cut_lineage(hubs), "key").where("rep <> hub").selectExpr("rep AS a", "hub AS b").distinct()
+    members, _ = gathered(banded.join(shared.where("low < high").select("key", "size"), "key"))
+    weights = by_class(members.groupBy("rep").agg(F.sum("size").alias("weight")))
+    hubs = members.join(beside(weights, n_classes, BROADCAST_IDS), "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
+    spokes = members.join(hubs, "key").where("rep <> hub").selectExpr("rep AS a", "hub AS b").repartition("a").distinct()
 
     estimate = similarity_estimate(F.col("s_a"), F.col("s_b"))
     likely = (estimate >= percent / 100 - slack) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     side_a = classes.selectExpr("rep AS a", "n AS n_a", "s AS s_a")
     side_b = classes.selectExpr("rep AS b", "n AS n_b", "s AS s_b")
     stars = spokes.join(side_a, "a").join(side_b, "b").where(likely)
-    stars = cut_lineage(stars.select("a", "b", estimate.alias("estimate")))
+    stars, _ = gathered(stars.select("a", "b", estimate.alias("estimate")))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("estimate", -F.col("b"))).alias("b"))
-    links = cut_lineage(confirmed(cut_lineage(best), docs, doc_id, text, width, percent))
+    links = cut_lineage(confirmed(best, docs, doc_id, text, width, percent))
 
     first = components(links).withColumnRenamed("node", "rep")
     zoned = components(stars).withColumnRenamed("node", "rep").withColumnRenamed("component", "zone")
-    known = cut_lineage(zoned.join(first, "rep", "left").select("rep", "zone", F.coalesce("component", "rep").alias("label")))
-    sizes = classes.select("rep", "n")
-    links = links.unionByName(cut_lineage(links_within(cut_lineage(known.join(sizes, "rep")), docs, doc_id, text, width, percent)))
+    known = by_class(zoned.join(first, "rep", "left").select("rep", "zone", F.coalesce("component", "rep").alias("label")))
+    sizes = by_class(classes.select("rep", "n"))
+    links = links.unionByName(cut_lineage(links_within(by_class(known.join(sizes, "rep")), docs, doc_id, text, width, percent)))
 
     own = F.coalesce("zone", "rep").alias("zone"), F.coalesce("label", "rep").alias("label")
-    labelled = cut_lineage(members.join(known, "rep", "left").select("key", "rep", *own))
+    labelled = cut_lineage(members.join(beside(known, n_classes, BROADCAST_IDS), "rep", "left").select("key", "rep", *own))
     counted = labelled.groupBy("key", "label").agg(F.count("*").alias("size")).groupBy("key")
     counted = counted.agg(F.count("*").alias("labels"), F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("size"))
-    inside = labelled.join(cut_lineage(counted.where("labels > 1").select("key", "main", "size")), "key")
-    inside = cut_lineage(inside.join(classes.select("rep", "n", "s"), "rep"))
+    inside = labelled.join(counted.where("labels > 1").select("key", "main", "size"), "key")
+    inside, _ = gathered(inside.join(classes.select("rep", "n", "s"), "rep"), SIGNATURES_PER_PART)
     small = inside.where(F.col("size") <= FEW)
     rest = small.where("label <> main").selectExpr("key", "rep AS a", "n AS n_a", "s AS s_a", "label AS label_a", "zone AS zone_a")
     others = small.selectExpr("key", "rep AS b", "n AS n_b", "s AS s_b", "label AS label_b", "zone AS zone_b", "main")
     across = rest.join(others, "key").where("label_a <> label_b AND zone_a <> zone_b AND (label_b = main OR a < b)").where(likely)
     found = across.select("a", "b")
-    large = cut_lineage(inside.where(F.col("size") > FEW).drop("main", "size"))
-    if not large.isEmpty():
-        likely_pairs = cut_lineage(likely_in_blocks(large, percent, slack))
+    large, n_large = gathered(inside.where(F.col("size") > FEW).drop("main", "size"), SIGNATURES_PER_PART)
+    if n_large:
+        likely_pairs, _ = gathered(likely_in_blocks(large, percent, slack))
         found = found.unionByName(likely_pairs.where("NOT dense").select("a", "b"))
-        crowds = components(likely_pairs.where("dense")).withColumnRenamed("node", "rep").withColumnRenamed("component", "zone")
-        crowds = crowds.join(sizes, "rep").join(known.select("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        links = links.unionByName(cut_lineage(links_within(cut_lineage(crowds), docs, doc_id, text, width, percent)))
-    more = cut_lineage(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not more.isEmpty():
-        links = links.unionByName(cut_lineage(confirmed(more, docs, doc_id, text, width, percent)))
+        dense = likely_pairs.where("dense")
+        if not dense.isEmpty():
+            crowds = components(dense).withColumnRenamed("node", "rep").withColumnRenamed("component", "zone")
+            crowds = crowds.join(sizes, "rep").join(known.select("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+            links = links.unionByName(cut_lineage(links_within(by_class(crowds), docs, doc_id, text, width, percent)))
+    more = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.unionByName(cut_lineage(confirmed(more, docs, doc_id, text, width, percent)))
 
     # Rows that repeat an id with other words stand for one document: the id links their classes.
     named = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest", F.xxhash64("digest").alias("h"))
     repeated = named.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("doc_id")
-    every = named.join(repeated, "doc_id").join(classes.select("digest", "rep"), "digest").selectExpr("doc_id AS a", "rep AS b")
-    found = components(links.unionByName(every))
-    by_digest = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    repeated, n_repeated = gathered(repeated)
+    if n_repeated:
+        every = named.join(beside(repeated, n_repeated, BROADCAST_IDS), "doc_id").join(classes.select("digest", "rep"), "digest")
+        links = links.unionByName(every.selectExpr("doc_id AS a", "rep AS b"))
+    found = components(links).withColumnRenamed("node", "rep")
+    by_digest = classes.join(beside(found, n_classes, BROADCAST_IDS), "rep", "left")
+    by_digest = cut_lineage(by_digest.select("digest", F.coalesce("component", "rep").alias("component")))
     return (
         signed.select("doc_id", "n_shingles", "digest")
-        .join(cut_lineage(by_digest), "digest", "left")
+        .join(beside(by_digest, n_classes, BROADCAST_ROWS), "digest", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

@@ -102,6 +102,33 @@ def test_template_families_below_the_threshold(spark, monkeypatch, few, block, p
     assert got == groups(range(len(sets)), links)
 
 
+def test_near_duplicates_are_the_same_without_broadcasts(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(near_texts())), "doc_id bigint, text string")
+    want = sorted(near_text.near_duplicates(docs).collect())
+    for name, value in (("BROADCAST_IDS", 0), ("BROADCAST_ROWS", 0), ("PAIRS_PER_TASK", 1), ("SIGNATURES_PER_PART", 8), ("LINKS_PER_PART", 8)):
+        monkeypatch.setattr(near_text, name, value)
+    assert sorted(near_text.near_duplicates(docs).collect()) == want
+
+
+def test_near_duplicates_of_few_texts_take_few_tasks(spark):
+    """Shuffles of 64 parts that nothing merges: most steps are on tables that fill one part."""
+    docs = spark.createDataFrame(list(enumerate(near_texts())), "doc_id bigint, text string")
+    tracker = spark.sparkContext.statusTracker()
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    earlier = set(tracker.getJobIdsForGroup())
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        near_text.near_duplicates(docs).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for job in set(tracker.getJobIdsForGroup()) - earlier for s in tracker.getJobInfo(job).stageIds}
+    tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    assert 0 < tasks < 4000, tasks  # 8859 before small tables were gathered, 2529 after
+
+
 def test_blocks_of_a_crowd_emit_in_proportion_to_members(spark):
     """All signatures alike, all labels different: every pair passes, and as many links come back as members, not pairs."""
     rows = [(1, n, 100, [7] * near_text.PACKED, n, n) for n in range(200)]
