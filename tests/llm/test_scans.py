@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 import textwrap
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 
 from tabscope.llm import licences, queries, secrets, sharding, vectors
+from tabscope.session import checkpoint_folder
 from tests.llm.test_texts import groups
 
 ASSIGN = re.compile(r'(?i:(password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', re.A)
@@ -313,3 +315,24 @@ def test_no_link_is_lost_in_a_subspace(spark, monkeypatch, width, rank):
     df = spark.createDataFrame([(i, r[:d].tolist()) for i, (r, d) in enumerate(zip(x, dims, strict=True))], "vec_id bigint, embedding array<double>")
     got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
     assert [got[i] for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+
+
+def test_what_vectors_write_grows_with_their_number(spark, monkeypatch):
+    """Some sixty parts, all of which meet: no part is written again for each that it meets."""
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 64))
+    x[1::2] = x[::2] + 0.02 * rng.normal(size=(1500, 64))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    folders = [Path(checkpoint_folder(spark).removeprefix("file:")), *map(Path, local)]
+
+    def files():
+        return {f: f.stat().st_size for folder in folders for f in folder.rglob("*") if f.is_file()}
+
+    before = files()
+    got = vectors.near_duplicates(df).collect()
+    written = sum(size for f, size in files().items() if f not in before)
+    assert sum(r["n_links"] for r in got) == 3000 and sum(r["kept"] for r in got) == 1500
+    # Shuffles and checkpoints together; 18.8 times the vectors when they were sent to each part they meet.
+    assert x.nbytes < written < 8 * x.nbytes
