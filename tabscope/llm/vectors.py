@@ -284,15 +284,23 @@ def linked(q: Block, m: Block, quantiser: Quantiser, radii: np.ndarray, least_co
 
 
 @contextmanager
-def rows_per_batch(spark: SparkSession, n: int) -> Iterator[None]:
-    """Batches of ``n`` rows, for rows of some MB each."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of ``spark.sql`` for a while, dots written as two underscores."""
+    held = {f"spark.sql.{k.replace('__', '.')}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in held}
     try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, was)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` in the shared folder; its shuffles, which are as large and have no other reader, are removed at once."""
+    with settings(df.sparkSession, classic__shuffleDependency__fileCleanup__enabled="true"):
+        return cut_lineage(df.select("*"))
 
 
 def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least_cosine: float = 0.95, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -316,7 +324,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     keyed, kind = keyed_vectors(rows, vec_id, embedding)
     # Vectors with one key have one direction: any of them will do, but always the same.
     folded = keyed.where("key IS NOT NULL AND vec_id IS NOT NULL").groupBy("key", "dim").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("raw").alias("raw"))
-    classes = cut_lineage(folded.withColumn("cls", F.monotonically_increasing_id()))
+    classes = stored(folded.withColumn("cls", F.monotonically_increasing_id()))
     n_classes, width = classes.agg(F.count("*"), F.max("dim")).first()
     own = keyed.select("vec_id", "key")
     if not n_classes:
@@ -368,7 +376,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     dealt = in_list.withColumn("deal", F.pmod(F.xxhash64("cls"), F.lit(1 << 40))).mapInPandas(deal, "dim int, weight bigint, raw binary, cls bigint, list int, part int")
     tables = min(n_parts, max(4, -(-n_parts // BLOCKS_PER_PART)))
     packed = dealt.repartition(tables, "part").groupBy("part").applyInPandas(pack, ", ".join(["part int", *(f"{c} binary" for c in (*fields, "lists", "radii"))]))
-    blocks = cut_lineage(packed)
+    blocks = stored(packed)
     radii = np.zeros(n_lists)
     for row in blocks.select("lists", "radii").collect():
         np.maximum.at(radii, np.frombuffer(row["lists"], "<i4"), np.frombuffer(row["radii"]))
@@ -404,7 +412,8 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         if query is not None:
             yield found_rows(query.counts())
 
-    with rows_per_batch(spark, 4):
+    # Rows are some MB each.
+    with settings(spark, execution__arrow__maxRecordsPerBatch="4"):
         # As many letters as zones, of which there are no more than lists, for each part.
         asks = cut_lineage(blocks.select("part", "dim", "list", "raw").mapInArrow(probe, "part int, asks string"))
         zones = F.broadcast(spark.createDataFrame(pd.DataFrame({"part": np.arange(n_parts, dtype=np.int32), "zone": zone_of_part.astype(np.int32)}), "part int, zone int"))
@@ -413,7 +422,8 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         # Of two parts one asks the other; each part asks itself.
         turn = "q_part = m_part OR ((q_part + m_part) % 2 = 0) = (q_part < m_part) AND q_part <> m_part AND substring(asks, zone + 1, 1) = '1'"
         met = queries.join(others.hint("shuffle_replicate_nl"), F.expr(turn)).drop("asks", "zone")
-        found = cut_lineage(met.mapInArrow(compare, "a bigint, b bigint, links bigint"))
+        # Of one small part for each pair of parts of the tables.
+        found = cut_lineage(met.mapInArrow(compare, "a bigint, b bigint, links bigint")).coalesce(tables)
 
     counted = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "cls")
     joined = components(found).withColumnRenamed("node", "cls")
